@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import let
+
 
 def binary_answer(p_true: Column) -> Column:
     return F.create_map(F.lit("false"), 1 - p_true, F.lit("true"), p_true)
@@ -37,32 +39,40 @@ def anonymous_answer(options: Column, raw: Column) -> Column:
     return _pick(options, raw, "option_")
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def renormalized(probabilities: Column, decimals: int = 4) -> Column:
     """Divide by the sum, only if rounding to `decimals` can explain the gap; else NULL."""
     values = F.map_values(probabilities)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     allowed = F.size(values) * F.lit(0.5 * 10.0**-decimals + 1e-6)
-    fits = (
-        (total > 0)
-        & (F.abs(total - 1) <= allowed)
-        & F.forall(values, lambda p: p.between(0.0, 1.0))
-    )
-    return F.when(fits, F.transform_values(probabilities, lambda _, p: p / total))
+    inside = F.forall(values, lambda p: p.between(0.0, 1.0))
+
+    def divided(total: Column) -> Column:
+        fits = (total > 0) & (F.abs(total - 1) <= allowed) & inside
+        return F.when(fits, F.transform_values(probabilities, lambda _, p: p / total))
+
+    return let(_sum(values), divided)
 
 
 def softmax(candidates: Column, log_probabilities: Column, temperature: float = 1.0) -> Column:
     """Stable softmax in candidate order; a missing or non-finite candidate gives NULL."""
-    values = F.transform(
+    scaled = F.transform(
         candidates, lambda c: F.try_element_at(log_probabilities, c) / F.lit(float(temperature))
     )
-    finite = F.forall(
-        values,
-        lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))),
-    )
-    peak = F.array_max(values)
-    weights = F.transform(values, lambda v: F.exp(v - peak))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.coalesce(finite, F.lit(False)), F.transform(weights, lambda w: w / total))
+
+    def usable(v: Column) -> Column:
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+
+    def shares(weights: Column) -> Column:
+        return let(_sum(weights), lambda total: F.transform(weights, lambda w: w / total))
+
+    def weighted(values: Column) -> Column:
+        exps = let(F.array_max(values), lambda peak: F.transform(values, lambda v: F.exp(v - peak)))
+        return F.when(F.coalesce(F.forall(values, usable), F.lit(False)), let(exps, shares))
+
+    return let(scaled, weighted)
 
 
 def uniform_answer(options: Column) -> Column:

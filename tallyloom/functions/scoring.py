@@ -17,8 +17,15 @@ def _total(values: Column) -> Column:
 
 
 def aligned(options: Column, values: Column) -> Column:
-    """Map values as an array in candidate order."""
-    return F.transform(options, lambda o: F.try_element_at(values, o["id"]))
+    """Map values as an array in candidate order.
+
+    Maps usually list the candidates in their own order already; then the values are taken
+    as they are, which stays in generated code, and nothing is looked up per candidate.
+    """
+    looked_up = F.transform(options, lambda o: F.try_element_at(values, o["id"]))
+    return F.when(F.map_keys(values) == options["id"], F.map_values(values)).when(
+        values.isNotNull(), looked_up
+    )
 
 
 def chosen_position(p: Column) -> Column:
@@ -51,19 +58,19 @@ def _width(options: Column) -> Column:
 def score_error(options: Column, p: Column, t: Column) -> Column:
     """Signed expected-value error over the width of the original scale."""
     gap = F.zip_with(p, t, lambda a, b: a - b)
-    weighted = F.zip_with(options["value"], gap, lambda v, g: v * g)
-    return F.try_divide(_total(weighted), _width(options))
+    terms = F.zip_with(options["value"], gap, lambda v, g: v * g)
+    return F.try_divide(_total(terms), _width(options))
 
 
-def normalized_expectation(options: Column, probabilities: Column) -> Column:
-    """Expected value with the scale mapped to [0, 1]."""
-    low, width = F.array_min(options["value"]), _width(options)
-    weighted = F.zip_with(
-        options["value"],
-        aligned(options, probabilities),
-        lambda v, p: F.try_divide(v - low, width) * p,
-    )
-    return _total(weighted)
+def normalized_expectation(options: Column, p: Column) -> Column:
+    """Expected value with the scale mapped to [0, 1].
+
+    Low end and width are taken out of the sum: what stands inside a lambda is evaluated once
+    per element, what is an argument of `zip_with` once per row.
+    """
+    weighted = F.zip_with(options["value"], p, lambda v, x: v * x)
+    low = F.array_min(options["value"])
+    return F.try_divide(_total(weighted) - low * _total(p), _width(options))
 
 
 def _area(box: Column) -> Column:

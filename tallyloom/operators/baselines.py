@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scoring as S
 
-BUCKETS = 4096
+BUCKETS = 16384
 
 
 def noul_baselines(decisions: DataFrame) -> DataFrame:
@@ -46,11 +46,9 @@ def choice_baselines(decisions: DataFrame) -> DataFrame:
             "benchmark_id",
             "share",
             F.posexplode(
-                F.transform(
-                    "options",
-                    lambda o: F.struct(
-                        o["id"].alias("id"), F.try_element_at("target", o["id"]).alias("t")
-                    ),
+                F.arrays_zip(
+                    F.col("options.id").alias("id"),
+                    S.aligned(F.col("options"), F.col("target")).alias("t"),
                 )
             ).alias("pos", "option"),
         )
@@ -99,87 +97,77 @@ def choice_baselines(decisions: DataFrame) -> DataFrame:
     )
 
 
-def group_medians(values: DataFrame, group: str, value: str) -> DataFrame:
-    """Exact interpolating median per group, without one task holding a group.
+def group_medians(
+    counts: DataFrame, group: str, value: str, low: float | None = None, high: float | None = None
+) -> DataFrame:
+    """Exact interpolating median per group from (group, value, c), without holding a group.
 
-    Equal values are counted first, then the counts are placed into equal-width buckets.
-    Only the bucket(s) with the middle ranks are ordered value by value; buckets are refined
-    once more before that, so the ordered part is a 1/BUCKETS^2 slice of the value range.
+    The value range is cut into equal-width buckets. At most BUCKETS rows per group tell which
+    bucket(s) hold the middle ranks; only those are ordered value by value. Without known
+    ends the range of each group is taken from the data.
     """
-    counts = (
-        values.where(F.col(value).isNotNull())
-        .groupBy(group, F.col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    ends = counts.groupBy(group).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")
-    )
-    # One-based ranks of the two middle values; equal when n is odd.
-    ends = ends.select(
-        group,
-        "lo",
-        (F.col("hi") - F.col("lo")).alias("width"),
-        F.floor((F.col("n") + 1) / 2).alias("r1"),
-        F.floor((F.col("n") + 2) / 2).alias("r2"),
+    counts = counts.where(F.col(value).isNotNull()).withColumnRenamed(value, "v")
+    if low is None or high is None:
+        ends = counts.groupBy(group).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+        counts = counts.join(ends, group)
+        start, width = F.col("_lo"), F.col("_hi") - F.col("_lo")
+    else:
+        start, width = F.lit(low), F.lit(high - low)
+    share = F.when(width > 0, (F.col("v") - start) / width).otherwise(F.lit(0.0))
+    bucket = F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)))
+    placed = counts.select(group, "v", "c", bucket.alias("bucket"))
+    whole = Window.partitionBy(group)
+    # One-based ranks of the two middle values; equal when the group is odd.
+    n = F.sum("size").over(whole)
+    middle = (
+        placed.groupBy(group, "bucket")
+        .agg(F.sum("c").alias("size"))
+        .select(
+            group,
+            "bucket",
+            "size",
+            F.sum("size").over(whole.orderBy("bucket")).alias("upto"),
+            F.floor((n + 1) / 2).alias("r1"),
+            F.floor((n + 2) / 2).alias("r2"),
+        )
+        .withColumn("before", F.col("upto") - F.col("size"))
+        .where(
+            ((F.col("before") < F.col("r1")) & (F.col("r1") <= F.col("upto")))
+            | ((F.col("before") < F.col("r2")) & (F.col("r2") <= F.col("upto")))
+        )
+        .drop("size", "upto")
     )
-    fine = F.when(
-        F.col("width") > 0,
-        F.least(
-            F.lit(BUCKETS * BUCKETS - 1),
-            F.floor((F.col("v") - F.col("lo")) / F.col("width") * (BUCKETS * BUCKETS)),
-        ),
-    ).otherwise(F.lit(0))
-    placed = (
-        counts.join(ends, group)
-        .withColumn("fine", fine.cast("bigint"))
-        .withColumn("coarse", F.shiftright("fine", 12))
+    inside = F.sum("c").over(Window.partitionBy(group, "bucket").orderBy("v"))
+    ranked = placed.join(middle, [group, "bucket"]).select(
+        group, "v", "r1", "r2", (F.col("before") + inside).alias("upto"), "c"
     )
 
-    def middle(rows: DataFrame, bucket: str, held: list[str]) -> DataFrame:
-        """Buckets holding a middle rank, with the number of rows before them."""
-        sizes = rows.groupBy(*held, bucket, "r1", "r2").agg(F.sum("c").alias("size"))
-        if "before" in rows.columns:
-            base = rows.groupBy(*held).agg(F.first("before").alias("start"))
-            sizes = sizes.join(base, held)
-        else:
-            sizes = sizes.withColumn("start", F.lit(0).cast("bigint"))
-        running = F.sum("size").over(Window.partitionBy(*held).orderBy(bucket))
-        upto = F.col("start") + running
-        return (
-            sizes.withColumn("upto", upto)
-            .withColumn("before", F.col("upto") - F.col("size"))
-            .where(
-                ((F.col("before") < F.col("r1")) & (F.col("r1") <= F.col("upto")))
-                | ((F.col("before") < F.col("r2")) & (F.col("r2") <= F.col("upto")))
-            )
-            .select(*held, bucket, "before")
-        )
-
-    coarse = middle(placed, "coarse", [group])
-    narrowed = placed.join(coarse, [group, "coarse"])
-    slices = middle(narrowed, "fine", [group, "coarse"])
-    final = narrowed.drop("before").join(slices, [group, "coarse", "fine"])
-    upto = F.col("before") + F.sum("c").over(Window.partitionBy(group, "fine").orderBy("v"))
-    ranked = final.withColumn("upto", upto).withColumn("above", F.col("upto") - F.col("c"))
-
-    def at(rank: str):
-        hit = (F.col("above") < F.col(rank)) & (F.col(rank) <= F.col("upto"))
+    def at(rank: str) -> Column:
+        hit = (F.col("upto") - F.col("c") < F.col(rank)) & (F.col(rank) <= F.col("upto"))
         return F.max(F.when(hit, F.col("v")))
 
     return ranked.groupBy(group).agg(((at("r1") + at("r2")) / 2).alias("median"))
 
 
 def score_baselines(decisions: DataFrame) -> DataFrame:
-    """Median normalised target and the mean absolute error around it."""
-    values = decisions.where(F.col("task") == "score").select(
-        "benchmark_id",
-        S.normalized_expectation(F.col("options"), F.col("target")).alias("value"),
+    """Median normalised target and the mean absolute error around it.
+
+    Equal targets are counted first; both the median and the error work on the counts.
+    """
+    options = F.col("options")
+    counts = (
+        decisions.where(F.col("task") == "score")
+        .select(
+            "benchmark_id",
+            S.normalized_expectation(options, S.aligned(options, F.col("target"))).alias("value"),
+        )
+        .groupBy("benchmark_id", "value")
+        .agg(F.count(F.lit(1)).alias("c"))
     )
-    counted = values.groupBy("benchmark_id", "value").agg(F.count(F.lit(1)).alias("c"))
-    medians = group_medians(values, "benchmark_id", "value")
+    medians = group_medians(counts, "benchmark_id", "value", 0.0, 1.0)
     gap = F.abs(F.col("value") - F.col("median")) * F.col("c")
     return (
-        counted.join(medians, "benchmark_id")
+        counts.join(medians, "benchmark_id")
         .groupBy("benchmark_id")
         .agg(
             F.first("median").alias("constant_score_baseline"),

@@ -10,6 +10,7 @@ from tallyloom.functions import scoring as S
 
 DECISION_KEY = ("benchmark_id", "case_id", "question_id")
 GRAIN = ("run_id", "benchmark_id")
+CELLS = ("true_positive", "false_positive", "false_negative", "true_negative")
 
 
 def join_decisions(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -88,29 +89,21 @@ def aggregate_scores(rows: DataFrame) -> DataFrame:
             "accuracy_at_iou_0_5"
         ),
         F.count("brier").alias("_n_noul"),
-        *[
-            F.sum(c).alias(c)
-            for c in ("true_positive", "false_positive", "false_negative", "true_negative")
-        ],
+        *[F.sum(c).alias(c) for c in CELLS],
     )
     # A noul result without any gradable row still reports zero cells.
-    zeroed = sums
-    for c in ("true_positive", "false_positive", "false_negative", "true_negative"):
-        zeroed = zeroed.withColumn(
-            c, F.when(F.col("task") == "noul", F.coalesce(c, F.lit(0.0)))
-        )
-    tp, fp = F.col("true_positive"), F.col("false_positive")
-    fn, tn = F.col("false_negative"), F.col("true_negative")
-    rates = zeroed.select(
-        "*",
-        F.when(F.col("_n_noul") > 0, F.try_divide(tp + tn, F.col("_n_noul"))).alias("accuracy"),
-        _ratio(tp, tp + fn).alias("positive_recall"),
-        _ratio(tn, tn + fp).alias("specificity"),
+    noul = F.col("task") == "noul"
+    tp, fp, fn, tn = (F.when(noul, F.coalesce(c, F.lit(0.0))) for c in CELLS)
+    recall, specificity = _ratio(tp, tp + fn), _ratio(tn, tn + fp)
+    return sums.select(
+        *[c for c in sums.columns if c not in (*CELLS, "_n_noul")],
+        *[value.alias(name) for name, value in zip(CELLS, (tp, fp, fn, tn), strict=True)],
+        F.when(noul, F.try_divide(tp + tn, F.col("_n_noul"))).alias("accuracy"),
+        recall.alias("positive_recall"),
+        specificity.alias("specificity"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-    ).drop("_n_noul")
-    return rates.withColumn(
-        "balanced_accuracy", (F.col("positive_recall") + F.col("specificity")) / 2
+        ((recall + specificity) / 2).alias("balanced_accuracy"),
     )
 
 
@@ -140,10 +133,9 @@ def adjusted_metrics(metrics: DataFrame, baselines: DataFrame) -> DataFrame:
         .when(task == "noul", 2 * F.col("balanced_accuracy") - 1)
         .when(task == "score", score)
     )
-    return (
-        m.withColumn(
-            "brier_skill", F.when(brier_base > EPSILON, 1 - F.col("binary_brier") / brier_base)
-        )
-        .withColumn("baseline_adjusted_skill", skill)
-        .withColumn("baseline_adjusted_score", S.clip_unit(F.col("baseline_adjusted_skill")))
+    return m.select(
+        "*",
+        F.when(brier_base > EPSILON, 1 - F.col("binary_brier") / brier_base).alias("brier_skill"),
+        skill.alias("baseline_adjusted_skill"),
+        S.clip_unit(skill).alias("baseline_adjusted_score"),
     )

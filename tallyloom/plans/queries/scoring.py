@@ -96,7 +96,8 @@ def _(tb):
        from score_target""",
 )
 def _(tb):
-    value = S.normalized_expectation(F.col("options"), F.col("target"))
+    options = F.col("options")
+    value = S.normalized_expectation(options, S.aligned(options, F.col("target")))
     return tb.decisions_of("score").select(
         "benchmark_id", "case_id", F.round(value, 6).alias("expectation")
     )
@@ -454,10 +455,15 @@ def _(tb):
 )
 def _(tb):
     """The exact grouped median on many distinct values of an unbounded range."""
-    rows = tb.table("orders").selectExpr(
-        "concat('c', cast(o_custkey % 7 as string)) bucket", "o_totalprice v"
+    counts = (
+        tb.table("orders")
+        .selectExpr("concat('c', cast(o_custkey % 7 as string)) grp", "o_totalprice value")
+        .groupBy("grp", "value")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    return B.group_medians(counts, "grp", "value").select(
+        F.col("grp").alias("bucket"), r6("median")
     )
-    return B.group_medians(rows, "bucket", "v").select("bucket", r6("median"))
 
 
 @query(

@@ -36,13 +36,31 @@ QUESTION = {"noul": "quality", "choice": "status", "score": "price", "box": "are
 
 _CHOICE_TARGET = """
     case when cid % 9 = 0 then
-           case when pos = (cid * 7) % k or pos = ((cid * 7) % k + 1) % k then 0.5D else 0D end
-         when pos = (cid * 7) % k then 1D else 0D end"""
+           case when {pos} = (cid * 7) % k or {pos} = ((cid * 7) % k + 1) % k
+                then 0.5D else 0D end
+         when {pos} = (cid * 7) % k then 1D else 0D end"""
 _SCORE_TARGET = """
     case when cid % 3 = 0 then
-           case when pos = custkey % 4 then 0.75D when pos = custkey % 4 + 1 then 0.25D else 0D end
-         when pos = custkey % 5 then 1D else 0D end"""
-_WEIGHTS = "transform(sequence(0L, k - 1), pos -> 1 + (cid * 13 + pos * 29 + m * 7) % 10)"
+           case when {pos} = custkey % 4 then 0.75D
+                when {pos} = custkey % 4 + 1 then 0.25D else 0D end
+         when {pos} = custkey % 5 then 1D else 0D end"""
+_CHOICE_OPTION = (
+    "named_struct('id', concat('p', cast(({pos} + custkey) % 5 as string)), "
+    "'value', cast(null as double))"
+)
+_SCORE_OPTION = "named_struct('id', 'l{pos}', 'value', cast(10 * ({pos} + 1) as double))"
+_WEIGHT = "1 + (cid * 13 + {pos}L * 29 + m * 7) % 10"
+
+
+def per_position(template: str, size: str = "k", most: int = 5) -> str:
+    """`template` at positions 0..size-1 as an array; unrolled, so that it is compiled."""
+    cells = ", ".join(template.replace("{pos}", str(i)) for i in range(most))
+    return f"slice(array({cells}), 1, int({size}))"
+
+
+def weight_total() -> str:
+    terms = (f"case when k > {i} then {_WEIGHT.replace('{pos}', str(i))} else 0 end" for i in range(5))
+    return " + ".join(terms)
 
 
 class Testbed:
@@ -96,10 +114,8 @@ class Testbed:
             "status_bid bid",
             "cid",
             "k",
-            "transform(sequence(0L, k - 1), pos -> named_struct("
-            "'id', concat('p', cast((pos + custkey) % 5 as string)), "
-            "'value', cast(null as double))) options",
-            f"transform(sequence(0L, k - 1), pos -> {_CHOICE_TARGET}) t",
+            f"{per_position(_CHOICE_OPTION)} options",
+            f"{per_position(_CHOICE_TARGET)} t",
         )
 
     @cached_property
@@ -108,10 +124,8 @@ class Testbed:
             "price_bid bid",
             "cid",
             "5L k",
-            "transform(sequence(0L, 4L), pos -> named_struct("
-            "'id', concat('l', cast(pos as string)), "
-            "'value', cast(10 * (pos + 1) as double))) options",
-            f"transform(sequence(0L, 4L), pos -> {_SCORE_TARGET}) t",
+            f"{per_position(_SCORE_OPTION, '5')} options",
+            f"{per_position(_SCORE_TARGET, '5')} t",
         )
 
     @cached_property
@@ -199,11 +213,10 @@ class Testbed:
             )
         else:
             filled = (
-                runs.withColumn("w", F.expr(_WEIGHTS))
-                .withColumn("total", F.expr("aggregate(w, 0L, (a, x) -> a + x)"))
+                runs.selectExpr("*", f"{weight_total()} total")
                 .selectExpr(
                     "*",
-                    "map_from_arrays(options.id, transform(w, x -> x / total)) answer",
+                    f"map_from_arrays(options.id, {per_position(f'({_WEIGHT}) / total')}) answer",
                     f"{no_box} moved",
                 )
             )
@@ -232,7 +245,8 @@ class Testbed:
             self.decisions.select("benchmark_id", "task", "dataset", "split", "case_id")
             .groupBy("benchmark_id", "task", "dataset", "split")
             .agg(
-                F.count_distinct("case_id").alias("case_count"),
+                # One decision per case and benchmark in every derived table.
+                F.count(F.lit(1)).alias("case_count"),
                 F.count(F.lit(1)).alias("decision_count"),
             )
             .selectExpr(
@@ -318,16 +332,19 @@ class Testbed:
         """One nested case per order: a status choice and a price score, targets reversed."""
         joined = self.orders_base.selectExpr(
             "*",
-            f"transform(sequence(0L, k - 1), pos -> {_CHOICE_TARGET}) ct",
-            f"transform(sequence(0L, 4L), pos -> {_SCORE_TARGET}) st",
-            "transform(sequence(0L, k - 1), pos -> named_struct("
-            "'id', concat('p', cast((pos + custkey) % 5 as string)), "
-            "'description_json', concat('\"p', cast(pos as string), '\"'), "
-            "'value', cast(null as double))) cc",
-            "transform(sequence(0L, 4L), pos -> named_struct("
-            "'id', concat('l', cast(pos as string)), "
-            "'description_json', concat('{\"level\":', cast(pos as string), '}'), "
-            "'value', cast(10 * (pos + 1) as double))) sc",
+            f"{per_position(_CHOICE_TARGET)} ct",
+            f"{per_position(_SCORE_TARGET, '5')} st",
+            per_position(
+                "named_struct('id', concat('p', cast(({pos} + custkey) % 5 as string)), "
+                "'description_json', '\"p{pos}\"', 'value', cast(null as double))"
+            )
+            + " cc",
+            per_position(
+                "named_struct('id', 'l{pos}', 'description_json', '{\"level\":{pos}}', "
+                "'value', cast(10 * ({pos} + 1) as double))",
+                "5",
+            )
+            + " sc",
         )
         decision = (
             "named_struct('id', '{q}', 'kind', 'judgment', 'type', '{t}', 'system_prompt', '', "
