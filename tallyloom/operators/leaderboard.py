@@ -19,6 +19,7 @@ from tallyloom.constants import (
 from tallyloom.operators.ranking import tie_ranks, with_position
 from tallyloom.operators.results import eligible, is_complete
 from tallyloom.operators.scopes import generalization_scope, is_generalization, ranking_scope
+from tallyloom.session import cut
 
 RUN = ("category", "run_id")
 
@@ -144,24 +145,6 @@ def leaderboard_positions(board: DataFrame) -> DataFrame:
     return with_position(board, ["category", "task"], leaderboard_order())
 
 
-def covered_runs(results: DataFrame, members: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Measured runs with a complete result for every member of the category."""
-    scoped = scoped_results(results, members, benchmarks)
-    required = required_counts(members, benchmarks).groupBy("category").agg(
-        F.sum("required").alias("required")
-    )
-    return (
-        scoped.groupBy(*RUN)
-        .agg(
-            F.count_if(is_complete()).alias("complete"),
-            F.bool_or(F.col("provenance") == "demo").alias("demo"),
-        )
-        .join(required, "category")
-        .where(~F.col("demo") & (F.col("complete") == F.col("required")))
-        .select(*RUN)
-    )
-
-
 def borda_points(values: DataFrame, value: str = "baseline_adjusted_score") -> DataFrame:
     """`(N - r) / (N - 1)` per (category, benchmark, run), r the average rank over exact ties."""
     keys = ["category", "benchmark_id"]
@@ -172,18 +155,66 @@ def borda_points(values: DataFrame, value: str = "baseline_adjusted_score") -> D
         values.select(*keys, "run_id", value)
         .join(ranks, [*keys, value])
         .join(sizes, keys)
-        .withColumn("average_rank", average)
-        .withColumn("points", F.try_divide(F.col("n") - average, F.col("n") - 1))
-        .drop("ties", "rank", "n")
+        .select(
+            *keys,
+            "run_id",
+            value,
+            average.alias("average_rank"),
+            F.try_divide(F.col("n") - average, F.col("n") - 1).alias("points"),
+        )
+    )
+
+
+def _ranked_results(results: DataFrame, members: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """Results over the non-box scope with the columns ranking looks at."""
+    scope = ranking_scope(members, benchmarks).select("category", "benchmark_id")
+    return results.select(
+        "run_id",
+        "benchmark_id",
+        "task",
+        "provenance",
+        is_complete().alias("complete"),
+        F.coalesce(eligible(), F.lit(False)).alias("eligible"),
+        "baseline_adjusted_score",
+    ).join(scope, "benchmark_id")
+
+
+def _cohort(ranked: DataFrame, members: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """One aggregate per run decides coverage, demo, Task Avg and whether scores are usable."""
+    value = F.col("baseline_adjusted_score")
+
+    def task_mean(task: str) -> Column:
+        mine = (F.col("task") == task) & F.col("eligible")
+        defined = (F.count_if(mine) > 0) & (F.count_if(mine & value.isNull()) == 0)
+        return F.when(defined, F.avg(F.when(mine, value)))
+
+    average = sum((task_mean(t) for t in RANKING_TASKS), F.lit(0.0)) / len(RANKING_TASKS)
+    runs = ranked.groupBy(*RUN).agg(
+        F.count_if("complete").alias("complete"),
+        F.bool_or(F.col("provenance") == "demo").alias("demo"),
+        F.bool_and(F.col("eligible") & value.isNotNull()).alias("usable"),
+        average.alias("task_avg"),
+    )
+    required = (
+        ranking_scope(members, benchmarks)
+        .groupBy("category")
+        .agg(F.count(F.lit(1)).alias("required"))
+    )
+    return (
+        runs.join(required, "category")
+        .where(
+            ~F.col("demo")
+            & (F.col("complete") == F.col("required"))
+            & F.col("task_avg").isNotNull()
+        )
+        .select(*RUN, "task_avg", "usable")
     )
 
 
 def borda_cohort(results: DataFrame, members: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Runs that compete: measured, complete over the non-box scope, Task Avg defined."""
-    ranked = ranking_scope(members, benchmarks)
-    average = task_average(task_means(results, ranked, benchmarks))
-    covered = covered_runs(results, ranked, benchmarks)
-    return covered.join(average.where(F.col("task_avg").isNotNull()), list(RUN))
+    ranked = _ranked_results(results, members, benchmarks)
+    return _cohort(ranked, members, benchmarks).select(*RUN, "task_avg")
 
 
 def borda_scores(results: DataFrame, members: DataFrame, benchmarks: DataFrame) -> DataFrame:
@@ -191,30 +222,21 @@ def borda_scores(results: DataFrame, members: DataFrame, benchmarks: DataFrame)
 
     Gates: at least two runs, and every result of the cohort eligible with an adjusted
     score. `results` should be the stored table: ties are exact equality of stored scores.
+    The cohort's scores are stored before ranking, so ranking reads a few narrow columns
+    instead of repeating the scope and cohort joins.
     """
-    ranked = ranking_scope(members, benchmarks)
-    cohort = borda_cohort(results, members, benchmarks)
-    entries = (
-        scoped_results(results, ranked, benchmarks)
-        .join(cohort, list(RUN))
-        .select(
-            *RUN,
-            "benchmark_id",
-            "task_avg",
-            "baseline_adjusted_score",
-            (F.coalesce(eligible(), F.lit(False)) & F.col("baseline_adjusted_score").isNotNull())
-            .alias("usable"),
-        )
+    ranked = _ranked_results(results, members, benchmarks)
+    cohort = _cohort(ranked, members, benchmarks)
+    entries = cut(
+        ranked.select(*RUN, "benchmark_id", "baseline_adjusted_score").join(cohort, list(RUN))
     )
     per_run = entries.groupBy(*RUN).agg(
-        F.first("task_avg").alias("task_avg"), F.bool_and("usable").alias("usable")
+        F.first("task_avg").alias("task_avg"), F.first("usable").alias("usable")
     )
     gates = per_run.groupBy("category").agg(
         ((F.count(F.lit(1)) >= 2) & F.bool_and("usable")).alias("open")
     )
-    means = (
-        borda_points(entries).groupBy(*RUN).agg(F.avg("points").alias("mean_points"))
-    )
+    means = borda_points(entries).groupBy(*RUN).agg(F.avg("points").alias("mean_points"))
     return (
         per_run.join(gates, "category")
         .join(means, list(RUN), "left")

@@ -86,6 +86,16 @@ models as (
            parameter_count_method,
          s_suppkey suppkey
   from supplier),
+exposures as (
+  select model_key, run_id, suppkey, b.bid benchmark_id,
+         case when suppkey % 5 = 0 then 'evaluation_examples' else 'same_source_family' end
+           relationship,
+         case when suppkey % 11 = 0 then 'leaked' else 'public' end dataset_access,
+         case when suppkey % 13 = 0 then 'https://u:p@example.com/x'
+              else 'https://example.com/x' end evidence_url
+  from models, (values ('quality-en-noul', 2), ('status-F-choice', 3), ('price-9-score', 7))
+    b(bid, every)
+  where suppkey % every = 0),
 noul_p as (
   select m, bid, cid, t, {OUTCOME} outcome, ((cid * 31 + m * 17) % 101) / cast(100 as double) p
   from fx_noul, runs6),

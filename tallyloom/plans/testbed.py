@@ -6,6 +6,7 @@ can state the same tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,16 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.scopes import membership
 from tallyloom.plans.evaluation import evaluate
-from tallyloom.session import cut
+from tallyloom.session import shared_path
 
 RUNS = 6
 
+# Where each application keeps the stored tables of a scale-factor folder.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+# Disclosed benchmarks: every n-th model names them; the last one is not defined.
+EXPOSED = (("quality-en-noul", 2), ("status-F-choice", 3), ("price-9-score", 7))
+
 # Portable expressions over (m, cid, bid).
 OUTCOME = (
     "case when (cid * 7 + m * 13) % 97 = 0 then 'abstained' "
@@ -239,8 +246,16 @@ class Testbed:
 
     # --- dimensions -----------------------------------------------------------------
 
-    @cached_property
+    @property
     def benchmarks(self) -> DataFrame:
+        """Definitions are authored tables: derived and stored once per application."""
+        return self._stored("benchmarks", lambda: self._derived_benchmarks())
+
+    @property
+    def categories(self) -> DataFrame:
+        return self._stored("categories", lambda: self._derived_categories())
+
+    def _derived_benchmarks(self) -> DataFrame:
         return (
             self.decisions.select("benchmark_id", "task", "dataset", "split", "case_id")
             .groupBy("benchmark_id", "task", "dataset", "split")
@@ -264,8 +279,7 @@ class Testbed:
             )
         )
 
-    @cached_property
-    def categories(self) -> DataFrame:
+    def _derived_categories(self) -> DataFrame:
         listed = self.benchmarks.selectExpr(
             "id",
             "explode(array_compact(array('main-v1', "
@@ -320,10 +334,42 @@ class Testbed:
     def lazy_results(self) -> DataFrame:
         return evaluate(self.predictions, self.decisions, self.benchmarks, self.runs)
 
-    @cached_property
+    @property
     def results(self) -> DataFrame:
-        """The stored result table."""
-        return cut(self.lazy_results)
+        """The stored result table: written to the shared folder once per application.
+
+        Rankings and checks work on saved results; evaluating is a step before them.
+        """
+        return self._stored("results", lambda: self.lazy_results)
+
+    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = shared_path(self.spark, name)
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+    @cached_property
+    def exposed_models(self) -> DataFrame:
+        """Models with disclosure entries; NULL when there are none."""
+        relation = (
+            "case when suppkey % 5 = 0 then 'evaluation_examples' else 'same_source_family' end"
+        )
+        entries = ", ".join(
+            f"case when suppkey % {every} = 0 then named_struct('benchmark_id', '{bid}', "
+            f"'relationship', {relation}, 'registration_source', 'unknown', "
+            "'dataset_access', case when suppkey % 11 = 0 then 'leaked' else 'public' end, "
+            "'dataset', concat('org/set', cast(suppkey as string)), "
+            "'revision', cast(null as string), 'config', 'main', 'split', 'train', "
+            "'evidence_url', case when suppkey % 13 = 0 then 'https://u:p@example.com/x' "
+            "else 'https://example.com/x' end, 'note', 'declared') end"
+            for bid, every in EXPOSED
+        )
+        listed = self.models.selectExpr("*", f"array_compact(array({entries})) e")
+        return listed.selectExpr(
+            *self.models.columns, "case when size(e) > 0 then e end training_exposure"
+        )
 
     # --- nested cases ---------------------------------------------------------------
 
