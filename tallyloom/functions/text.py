@@ -100,7 +100,7 @@ def hub_label(url: Column) -> Column:
 def hub_id(url: Column) -> Column:
     """owner/model of an https link to the model's root page, else NULL."""
     parts = F.split(
-        F.trim(F.lit("/"), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))), "/"
+        F.trim(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/")), "/"
     )
     named = F.forall(parts, lambda p: p.rlike(r"^[\w.-]+$"))
     ok = (

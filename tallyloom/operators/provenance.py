@@ -102,7 +102,7 @@ def coverage_gaps(results: DataFrame, members: DataFrame, benchmarks: DataFrame)
 
 
 def _shown(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", value * 100), F.lit("N/A"))
+    return F.when(value.isNotNull(), F.format_string("%.2f", value * 100)).otherwise(F.lit("N/A"))
 
 
 def report_table(
