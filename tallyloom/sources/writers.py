@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import lzma
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import csv_cell, markdown_cell, markdown_link
+from tallyloom.sources.bundles import MAX_BYTES
 from tallyloom.validation.checks import conflicting_results, raise_on
 
 PARTITION = ("run_id", "benchmark_id")
@@ -83,6 +90,49 @@ def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{base}/generations/snapshot_id={newest}")
 
 
+def write_documents(rows: DataFrame, root: str, name: str, content: str) -> DataFrame:
+    """Write one document per row to `root/<name>`; returns (name, bytes) when run.
+
+    Names ending in `.xz` are compressed. A file appears under its name only when whole, and
+    a retried task writes the same bytes again.
+    """
+    base = root.rstrip("/")
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, folder = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+        for batch in batches:
+            sizes = []
+            for file, text in zip(batch["name"], batch["content"], strict=True):
+                payload = text.encode("utf-8")
+                if len(payload) > MAX_BYTES:
+                    raise ValueError(f"Document exceeds the size limit: {file}")
+                if file.endswith(".xz"):
+                    payload = lzma.compress(payload)
+                target = f"{folder}/{file}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                staged = f"{target}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(staged) as out:
+                    out.write(payload)
+                store.move(staged, target)
+                sizes.append(len(payload))
+            yield pd.DataFrame({"name": batch["name"], "bytes": sizes})
+
+    picked = rows.select(F.col(name).alias("name"), F.col(content).alias("content"))
+    return picked.mapInPandas(save, "name string, bytes long")
+
+
+def write_bundles(bundles: DataFrame, root: str, compressed: bool = True) -> None:
+    """Result structs as `<run_id>/<benchmark id>.json[.xz]`, one file each."""
+    suffix = ".json.xz" if compressed else ".json"
+    rows = bundles.select(
+        F.concat(
+            F.col("result.run_id"), F.lit("/"), F.col("result.benchmark.id"), F.lit(suffix)
+        ).alias("name"),
+        F.to_json("result", {"ignoreNullFields": "false"}).alias("content"),
+    )
+    write_documents(rows, root, "name", "content").write.format("noop").mode("overwrite").save()
+
+
 def csv_lines(table: DataFrame, columns: list[str]) -> DataFrame:
     """Every cell quoted and made safe for spreadsheets; `url` and `huggingface` come last."""
     cells = [

@@ -323,7 +323,7 @@ def stored_metrics(
         bound = F.greatest(F.lit(tolerance), 1e-9 * F.greatest(F.abs(s), F.abs(r)))
         return one_null | F.coalesce(F.abs(s - r) > bound, F.lit(False))
 
-    rows = both.select(
+    rows = both.where(F.col("_s") & F.col("_r")).select(
         *RESULT,
         F.explode(
             F.array_compact(F.array(*[F.when(differs(m), F.lit(m)) for m in metrics]))
@@ -458,7 +458,7 @@ def definitions(benchmarks: DataFrame, categories: DataFrame) -> DataFrame:
     twice = (
         listed.groupBy("category", "id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     )
-    unknown = listed.join(benchmarks.select("id"), "id", "left_anti")
+    unknown = listed.distinct().join(benchmarks.select("id"), "id", "left_anti")
     empty = F.coalesce(F.size("benchmarks"), F.lit(0)) <= 0
     return union_all(
         [
