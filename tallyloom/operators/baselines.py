@@ -32,68 +32,59 @@ def choice_baselines(decisions: DataFrame) -> DataFrame:
 
     A decision lacking an id (or position) falls back to 1/k. So the mean of a fixed answer
     is `(sum 1/k + sum over decisions having it of (t - 1/k)) / n`, which needs one exploded
-    pass instead of one pass per id.
+    pass instead of one pass per id. Position 0 exists in every decision, so its rows also
+    give n and the sum of 1/k.
     """
-    share = F.try_divide(F.lit(1.0), F.size("options"))
-    chosen = decisions.where(F.col("task") == "choice").select(
-        "benchmark_id", share.alias("share"), "options", "target"
-    )
-    totals = chosen.groupBy("benchmark_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("share").alias("uniform_total")
-    )
-    gains = (
-        chosen.select(
+    options = F.col("options")
+    cells = (
+        decisions.where(F.col("task") == "choice")
+        .select(
             "benchmark_id",
-            "share",
+            F.try_divide(F.lit(1.0), F.size(options)).alias("share"),
             F.posexplode(
                 F.arrays_zip(
                     F.col("options.id").alias("id"),
-                    S.aligned(F.col("options"), F.col("target")).alias("t"),
+                    S.aligned(options, F.col("target")).alias("t"),
                 )
             ).alias("pos", "option"),
         )
         .groupBy("benchmark_id", "pos", F.col("option.id").alias("id"))
-        .agg(F.sum(F.col("option.t") - F.col("share")).alias("gain"))
+        .agg(
+            F.sum(F.col("option.t") - F.col("share")).alias("gain"),
+            F.sum("share").alias("share"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+    fixed = F.array(
+        F.struct(F.lit("id").alias("kind"), F.col("id").alias("answer")),
+        F.struct(F.lit("position").alias("kind"), F.col("pos").cast("string").alias("answer")),
     )
+    first = (F.col("pos") == 0) & (F.col("fixed.kind") == "position")
     answers = (
-        gains.select(
-            "benchmark_id",
-            "gain",
-            F.explode(
-                F.array(
-                    F.struct(F.lit("id").alias("kind"), F.col("id").alias("answer")),
-                    F.struct(
-                        F.lit("position").alias("kind"), F.col("pos").cast("string").alias("answer")
-                    ),
-                )
-            ).alias("fixed"),
-        )
+        cells.select("benchmark_id", "pos", "gain", "share", "n", F.explode(fixed).alias("fixed"))
         .groupBy("benchmark_id", "fixed")
-        .agg(F.sum("gain").alias("gain"))
-        .groupBy("benchmark_id")
         .agg(
-            F.max(F.when(F.col("fixed.kind") == "id", F.col("gain"))).alias("id_gain"),
-            F.max(F.when(F.col("fixed.kind") == "position", F.col("gain"))).alias("position_gain"),
+            F.sum("gain").alias("gain"),
+            F.sum(F.when(first, F.col("n"))).alias("n"),
+            F.sum(F.when(first, F.col("share"))).alias("share"),
         )
     )
-
-    def mean_of(gain: str):
-        return (F.col("uniform_total") + F.col(gain)) / F.col("n")
-
-    return (
-        totals.join(answers, "benchmark_id")
-        .select(
-            "benchmark_id",
-            (F.col("uniform_total") / F.col("n")).alias("uniform_accuracy_baseline"),
-            mean_of("id_gain").alias("fixed_id_baseline"),
-            mean_of("position_gain").alias("fixed_position_baseline"),
-        )
-        .withColumn(
-            "fixed_answer_accuracy_baseline",
-            F.greatest(
-                "uniform_accuracy_baseline", "fixed_id_baseline", "fixed_position_baseline"
-            ),
-        )
+    kind = F.col("fixed.kind")
+    best = answers.groupBy("benchmark_id").agg(
+        F.max(F.when(kind == "id", F.col("gain"))).alias("id_gain"),
+        F.max(F.when(kind == "position", F.col("gain"))).alias("position_gain"),
+        F.sum("n").alias("n"),
+        F.sum("share").alias("uniform_total"),
+    )
+    uniform = F.col("uniform_total") / F.col("n")
+    by_id = (F.col("uniform_total") + F.col("id_gain")) / F.col("n")
+    by_position = (F.col("uniform_total") + F.col("position_gain")) / F.col("n")
+    return best.select(
+        "benchmark_id",
+        uniform.alias("uniform_accuracy_baseline"),
+        by_id.alias("fixed_id_baseline"),
+        by_position.alias("fixed_position_baseline"),
+        F.greatest(uniform, by_id, by_position).alias("fixed_answer_accuracy_baseline"),
     )
 
 

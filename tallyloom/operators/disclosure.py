@@ -97,7 +97,8 @@ def needs_recount(total: Column, active: Column, method: Column) -> Column:
 
 def reconciled_counts(results: DataFrame, metadata: DataFrame) -> DataFrame:
     """Displayed counts per model; conflict when runs disagree and metadata is silent."""
-    measured = results.groupBy("model_key").agg(
+    columns = ("model_key", "total_params", "active_params", "parameter_count_method")
+    measured = results.select(*columns).distinct().groupBy("model_key").agg(
         F.count_distinct(F.struct("total_params", "active_params")).alias("pairs"),
         F.min(F.struct("total_params", "active_params", "parameter_count_method")).alias("one"),
     )

@@ -15,10 +15,15 @@ def reuse_by_content(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
 
     The first row per text is a minimum, so copies collapse before the shuffle and no task
     holds a group of copies. The join back is on the content key; adaptive skew handling
-    splits the fact side of a key with many copies.
+    splits the fact side of a key with many copies. A single numeric order column keeps the
+    minimum in a hash aggregate.
     """
     keyed = rows.withColumn("content_key", F.sha2(text, 256))
-    first = keyed.groupBy("content_key").agg(F.min(F.struct(*order)).alias("source"))
+    if len(order) == 1:
+        lowest = keyed.groupBy("content_key").agg(F.min(order[0]).alias("_lowest"))
+        first = lowest.select("content_key", F.struct(F.col("_lowest").alias(order[0])).alias("source"))
+    else:
+        first = keyed.groupBy("content_key").agg(F.min(F.struct(*order)).alias("source"))
     joined = keyed.join(first, "content_key")
     mine = F.struct(*order)
     return joined.withColumn("reused", mine != F.col("source"))
@@ -30,7 +35,7 @@ def computed_once(rows: DataFrame, text: str, compute: Callable[[DataFrame], Dat
     `compute` receives (content_key, text) and returns (content_key, ...).
     """
     keyed = rows.withColumn("content_key", F.sha2(text, 256))
-    distinct = keyed.groupBy("content_key").agg(F.min(text).alias(text))
+    distinct = keyed.select("content_key", text).distinct()
     return keyed.join(compute(distinct), "content_key")
 
 
@@ -139,8 +144,8 @@ def measured_lengths(
         *key, F.explode(F.array(*[F.coalesce(f, F.lit("")) for f in fields])).alias("text")
     ).withColumn("content_key", F.sha2("text", 256))
     sizes = (
-        long.groupBy("content_key")
-        .agg(F.min("text").alias("text"))
+        long.select("content_key", "text")
+        .distinct()
         .select("content_key", length(F.col("text")).cast("bigint").alias("tokens"))
     )
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.constants import RANKING_TASKS, TASKS
 from tallyloom.functions.text import format_parameters, report_cell
 from tallyloom.operators.leaderboard import task_means
-from tallyloom.operators.results import is_complete
+from tallyloom.operators.results import category_lists, is_complete
 from tallyloom.operators.scopes import generalization_scope
 
 # Volatile parts of a recorded environment.
@@ -76,28 +76,31 @@ def configurations(results: DataFrame) -> DataFrame:
 def coverage_gaps(results: DataFrame, members: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Required non-box benchmarks that a model lacks or has not completed, per category.
 
-    Expected rows pair the models seen in a category with its members by the category key;
-    done rows are removed with an anti join. The list of gaps of one model is at most the
-    category's size.
+    Per model, the finished members are taken from the category's required list; both are at
+    most as long as the category record, and no model x member pairs are made.
     """
     required = members.join(
         benchmarks.where(F.col("task") != "box").select(F.col("id").alias("benchmark_id")),
         "benchmark_id",
         "left_semi",
     ).select("category", "benchmark_id")
+    finished = is_complete() & (F.col("failed") == 0)
     models = (
-        results.select("model_key", "benchmark_id")
+        results.select("model_key", "benchmark_id", finished.alias("finished"))
         .join(members.select("category", "benchmark_id"), "benchmark_id")
-        .select("category", "model_key")
-        .distinct()
+        .groupBy("category", "model_key")
+        .agg(F.collect_set(F.when(F.col("finished"), F.col("benchmark_id"))).alias("done"))
     )
-    done = results.where(is_complete() & (F.col("failed") == 0)).select(
-        "model_key", "benchmark_id"
-    )
-    gaps = models.join(required, "category").join(done, ["model_key", "benchmark_id"], "left_anti")
-    return gaps.groupBy("category", "model_key").agg(
-        F.count(F.lit(1)).alias("missing"),
-        F.array_join(F.array_sort(F.collect_list("benchmark_id")), ", ").alias("affected"),
+    return (
+        models.join(category_lists(required), "category")
+        .select("category", "model_key", F.array_except("required", "done").alias("gaps"))
+        .where(F.size("gaps") > 0)
+        .select(
+            "category",
+            "model_key",
+            F.size("gaps").cast("bigint").alias("missing"),
+            F.array_join("gaps", ", ").alias("affected"),
+        )
     )
 
 

@@ -37,12 +37,32 @@ def outcome_counts(predictions: DataFrame, benchmarks: DataFrame) -> DataFrame:
 
 
 def stored_results(
-    metrics: DataFrame, counts: DataFrame, runs: DataFrame, digits: int = STORED_DIGITS
+    metrics: DataFrame, benchmarks: DataFrame, runs: DataFrame, digits: int = STORED_DIGITS
 ) -> DataFrame:
-    """The saved result table: run identity, counts, status and rounded metrics."""
-    present = [m for m in METRICS if m in metrics.columns]
-    kept = metrics.select(*GRAIN, "task", *[F.round(m, digits).alias(m) for m in present])
-    return kept.join(counts, list(GRAIN)).join(runs, "run_id")
+    """The saved result table: run identity, counts, status and rounded metrics.
+
+    `metrics` carries its counts, cases included (see `score_predictions`).
+    """
+    expected = benchmarks.select(
+        F.col("id").alias("benchmark_id"), F.col("decision_count").alias("expected")
+    )
+    complete = (F.col("recorded") == F.col("expected")) & (F.col("failed") == 0)
+    return (
+        metrics.join(expected, "benchmark_id")
+        .join(runs, "run_id")
+        .select(
+            *GRAIN,
+            "task",
+            *[F.round(m, digits).alias(m) for m in METRICS],
+            "cases",
+            "expected",
+            "succeeded",
+            "failed",
+            "abstained",
+            F.when(complete, "complete").otherwise("partial").alias("status"),
+            *[c for c in runs.columns if c != "run_id"],
+        )
+    )
 
 
 def is_complete(measured: bool = True) -> Column:
@@ -101,17 +121,37 @@ def category_runs(results: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def category_lists(members: DataFrame) -> DataFrame:
+    """(category, required): the member list of each category, as its record holds it."""
+    return members.groupBy("category").agg(
+        F.array_sort(F.collect_set("benchmark_id")).alias("required")
+    )
+
+
 def missing_results(results: DataFrame, members: DataFrame, runs: DataFrame) -> DataFrame:
     """Category members a run has no complete measured result for.
 
-    Each run brings its own category, so the expected rows come from an equi-join on the
-    category; the answer itself is as long as what is missing.
+    Per run, the set of finished members (never longer than the category's own list) is taken
+    from that list; only what is missing becomes rows, not every run x member pair.
     """
-    done = results.where(is_complete()).select(*GRAIN)
-    expected = runs.select("run_id", "category").join(
-        members.select("category", "benchmark_id"), "category"
+    done = (
+        results.where(is_complete())
+        .select(*GRAIN)
+        .join(members.select("category", "benchmark_id"), "benchmark_id")
+        .groupBy("category", "run_id")
+        .agg(F.collect_set("benchmark_id").alias("done"))
+    )
+    none = F.array().cast("array<string>")
+    return (
+        runs.select("run_id", "category")
+        .join(done, ["category", "run_id"], "left")
+        .join(category_lists(members), "category")
+        .select(
+            "category",
+            "run_id",
+            F.explode(F.array_except("required", F.coalesce("done", none))).alias("benchmark_id"),
+        )
     )
-    return expected.join(done, list(GRAIN), "left_anti")
 
 
 def at_recorded_revision(results: DataFrame, targets: DataFrame) -> DataFrame:

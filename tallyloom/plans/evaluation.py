@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame
 
 from tallyloom.operators.baselines import baselines
 from tallyloom.operators.leaderboard import borda_scores
-from tallyloom.operators.results import outcome_counts, stored_results
+from tallyloom.operators.results import stored_results
 from tallyloom.operators.scoring import adjusted_metrics, score_predictions
 from tallyloom.session import cut
 
 
-def metric_table(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
+def metric_table(
+    predictions: DataFrame, decisions: DataFrame, count_cases: bool = False
+) -> DataFrame:
     """Metrics, baselines and adjusted scores per (run, benchmark), all benchmarks in one job."""
-    return adjusted_metrics(score_predictions(predictions, decisions), baselines(decisions))
+    metrics = score_predictions(predictions, decisions, count_cases)
+    return adjusted_metrics(metrics, baselines(decisions))
 
 
 def evaluate(
     predictions: DataFrame, decisions: DataFrame, benchmarks: DataFrame, runs: DataFrame
 ) -> DataFrame:
-    """The result table: metrics, outcome counts, status and run identity."""
-    return stored_results(
-        metric_table(predictions, decisions), outcome_counts(predictions, benchmarks), runs
-    )
+    """The result table: metrics, outcome counts, status and run identity, in one pass."""
+    return stored_results(metric_table(predictions, decisions, count_cases=True), benchmarks, runs)
 
 
 def rank_runs(results: DataFrame, members: DataFrame, benchmarks: DataFrame) -> DataFrame:

@@ -40,21 +40,27 @@ def write_results(results: DataFrame, path: str, files_per_result: int = 1) -> N
         clash = results.select(*PARTITION).distinct().join(old, list(PARTITION), "left_semi")
         if not clash.isEmpty():
             raise ValueError("Result already exists; use a new run id")
-    names = [c for c in results.columns if c not in PARTITION]
-    content = F.xxhash64(F.to_json(F.struct(*names)))
-    piece = F.pmod(content, F.lit(files_per_result))
-    spread = results.withColumn("_piece", piece).repartition(*PARTITION, "_piece").drop("_piece")
+    spread = _in_pieces(results, files_per_result)
     spread.write.mode("append").partitionBy(*PARTITION).parquet(path)
 
 
-def export_results(results: DataFrame, path: str, content: list[str]) -> None:
+def _in_pieces(rows: DataFrame, pieces: int) -> DataFrame:
+    """One file per (partition, piece): few files, and no partition tied to one task."""
+    names = [c for c in rows.columns if c not in PARTITION]
+    piece = F.pmod(F.xxhash64(F.to_json(F.struct(*names))), F.lit(pieces))
+    return rows.withColumn("_piece", piece).repartition(*PARTITION, "_piece").drop("_piece")
+
+
+def export_results(
+    results: DataFrame, path: str, content: list[str], files_per_result: int = 1
+) -> None:
     """Add or replace the supplied (model, benchmark) parts and keep all others.
 
     Two different results for one part are an error; identical ones collapse.
     """
     raise_on(conflicting_results(results, content))
     (
-        results.distinct()
+        _in_pieces(results.distinct(), files_per_result)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITION)

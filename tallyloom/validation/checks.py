@@ -270,8 +270,8 @@ def duplicate_cases(cases: DataFrame) -> DataFrame:
 def input_hashes(recorded: DataFrame, dataset: DataFrame) -> DataFrame:
     """Hashes a result recorded per (benchmark, case) against those of the dataset.
 
-    `recorded` carries run_id. Dataset cases a run does not mention are found by counting:
-    the anti join side stays as small as what is wrong.
+    `recorded` carries run_id. Dataset cases a run does not mention are found by counting its
+    known cases, so no run x case grid is built.
     """
     keys = ["benchmark_id", "case_id"]
     current = dataset.select(*keys, F.col("input_hash").alias("current_hash"))
@@ -286,9 +286,8 @@ def input_hashes(recorded: DataFrame, dataset: DataFrame) -> DataFrame:
         ),
     )
     sizes = dataset.groupBy("benchmark_id").agg(F.count_distinct("case_id").alias("expected"))
-    seen = recorded.groupBy("run_id", "benchmark_id").agg(
-        F.count_distinct("case_id").alias("seen")
-    )
+    known = compared.where(F.col("current_hash").isNotNull())
+    seen = known.groupBy("run_id", "benchmark_id").agg(F.count_distinct("case_id").alias("seen"))
     short = seen.join(sizes, "benchmark_id", "left")
     fewer = F.coalesce("expected", F.lit(0)) > F.col("seen")
     return wrong.unionByName(
@@ -341,8 +340,9 @@ def conflicting_results(results: DataFrame, content: list[str]) -> DataFrame:
     digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
     groups = (
         results.select(*RESULT, digest.alias("digest"))
+        .distinct()
         .groupBy(*RESULT)
-        .agg((F.min("digest") != F.max("digest")).alias("differs"))
+        .agg((F.count(F.lit(1)) > 1).alias("differs"))
     )
     return _found(
         groups, "result", RESULT, first_problem(("conflicting contents", F.col("differs")))
@@ -359,8 +359,9 @@ def model_identity(results: DataFrame, identity: list[str]) -> DataFrame:
     digest = F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)
     groups = (
         results.select("run_id", digest.alias("digest"))
+        .distinct()
         .groupBy("run_id")
-        .agg((F.min("digest") != F.max("digest")).alias("differs"))
+        .agg((F.count(F.lit(1)) > 1).alias("differs"))
     )
     return _found(
         groups, "model identity", ["run_id"], first_problem(("inconsistent", F.col("differs")))
@@ -588,8 +589,11 @@ def file_names(bundles: DataFrame, published: bool = True) -> DataFrame:
 
 def subset_owners(claims: DataFrame) -> DataFrame:
     """Subset names claimed by more than one dataset source."""
-    owners = claims.groupBy("subset").agg(
-        (F.min("source") != F.max("source")).alias("several")
+    owners = (
+        claims.select("subset", "source")
+        .distinct()
+        .groupBy("subset")
+        .agg((F.count(F.lit(1)) > 1).alias("several"))
     )
     return _found(owners, "subset", ["subset"], first_problem(("several sources", F.col("several"))))
 
