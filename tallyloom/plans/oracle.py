@@ -288,7 +288,7 @@ points as (
          rank() over (partition by category, benchmark_id order by v desc)
            + (count(*) over (partition by category, benchmark_id, v) - 1)
              / cast(2 as double) r,
-         count(*) over (partition by category, benchmark_id) n
+         count(v) over (partition by category, benchmark_id) n
   from entries),
 borda as (
   select category, run_id,

@@ -45,7 +45,8 @@ def _(tb):
     "borda_points",
     "W1",
     """select category, benchmark_id, run_id, round(r, 6) average_rank,
-              round((n - r) / nullif(n - 1, 0), 6) points from points""",
+              round((n - r) / nullif(n - 1, 0), 6) points from points
+       where v is not null""",
 )
 def _(tb):
     ranked = P.ranking_scope(tb.members, tb.benchmarks)
