@@ -10,54 +10,65 @@ from pyspark.sql import functions as F
 from tallyloom.session import cut
 
 
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    amount: Column,
+    name: str,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Adds the sum of `amount` over the rows before this one in its group's total order.
+
+    The rows are range-partitioned on (group, order) and stored, so that the piece number
+    becomes data. A row's total is the one inside its own piece plus those of the group's
+    earlier pieces. Pieces are cut by sampled quantiles: no task holds more than a piece, even
+    if one group is everything and whatever the distribution of its values.
+    """
+    keys = list(keys)
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = cut(
+        df.repartitionByRange(partitions, *keys, *order).select(
+            "*", amount.alias("_amount"), F.spark_partition_id().alias("_piece")
+        )
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        pieces.groupBy(*keys, "_piece")
+        .agg(F.sum("_amount").alias("_size"))
+        .select(*keys, "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = (
+        Window.partitionBy(*keys, "_piece")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return (
+        pieces.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
+        .join(offsets, [*keys, "_piece"])
+        .select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))
+    )
+
+
 def tie_ranks(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     *,
     descending: bool = True,
-    buckets: int = 1024,
+    partitions: int | None = None,
 ) -> DataFrame:
     """(keys, value, ties, rank): competition rank of each distinct value within its group.
 
-    Ties collapse before the shuffle. Distinct values are then split into equal-width
-    buckets; a group's order is the order of its buckets (at most `buckets` rows) plus the
-    order inside each bucket, so a hot group is spread over many tasks. NULL and non-finite
-    values have no rank.
+    Ties collapse before the shuffle; the rank is one more than the rows with better values.
+    NULL and non-finite values have no rank.
     """
-    keys = list(keys)
     finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     ties = df.where(finite).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    ends = ties.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    share = F.when(width > 0, (F.col(value) - F.col("_lo")) / width).otherwise(F.lit(0.0))
-    bucket = F.least(F.lit(buckets - 1), F.floor(share * buckets))
-    placed = ties.join(ends, keys).withColumn(
-        "_bucket", -bucket if descending else bucket
-    ).drop("_lo", "_hi")
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        placed.groupBy(*keys, "_bucket")
-        .agg(F.sum("ties").alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-        .drop("_size")
-    )
     order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return (
-        placed.withColumn("_inside", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bucket"])
-        .select(
-            *keys,
-            value,
-            "ties",
-            (F.col("_before") + F.col("_inside") + 1).cast("bigint").alias("rank"),
-        )
-    )
+    ahead = running_totals(ties, keys, [order], F.col("ties"), "rank", partitions)
+    return ahead.withColumn("rank", F.col("rank") + 1)
 
 
 def with_rank(
@@ -76,32 +87,6 @@ def with_position(
     name: str = "position",
     partitions: int | None = None,
 ) -> DataFrame:
-    """One-based position within each group under a total order.
-
-    The rows are range-partitioned on (group, order) and stored, so that the partition number
-    becomes data. A row's position is its place inside its own piece plus the sizes of the
-    group's earlier pieces. No task sees more than a piece, even if one group is everything.
-    """
-    keys = list(keys)
-    spark = df.sparkSession
-    if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = cut(
-        df.repartitionByRange(partitions, *keys, *order).withColumn(
-            "_piece", F.spark_partition_id()
-        )
-    )
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        pieces.groupBy(*keys, "_piece")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .drop("_size")
-    )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
-    return (
-        pieces.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_piece"])
-        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
-        .drop("_piece", "_inside", "_before")
-    )
+    """One-based position within each group under a total order."""
+    before = running_totals(df, keys, order, F.lit(1).cast("bigint"), name, partitions)
+    return before.withColumn(name, F.col(name) + 1)
