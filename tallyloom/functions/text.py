@@ -86,14 +86,18 @@ def _is_model_path(parts: Column) -> Column:
 
 
 def hub_label(url: Column) -> Column:
-    """owner/model, with the checkpoint folder of a tree link."""
-    parts = _path_parts(url)
+    """owner/model, with the checkpoint folder of a tree link; escapes are decoded."""
+    # `+` stays itself in a path, so it is escaped before decoding.
+    parts = F.transform(
+        _path_parts(url), lambda p: F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
+    )
+    readable = F.forall(parts, lambda p: p.isNotNull())
     scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     folder = F.when(
         F.get(parts, F.lit(2)) == "tree", F.slice(parts, 5, F.greatest(F.size(parts), F.lit(1)))
     ).otherwise(F.array().cast("array<string>"))
-    ok = (host == HUB_HOST) & scheme.isin("http", "https") & _is_model_path(parts)
+    ok = (host == HUB_HOST) & scheme.isin("http", "https") & _is_model_path(parts) & readable
     return F.when(ok, F.array_join(F.concat(F.slice(parts, 1, 2), folder), "/"))
 
 
@@ -226,7 +230,7 @@ def report_cell(value: Column) -> Column:
 
 def csv_cell(value: Column) -> Column:
     """Quoted, and marked as text when a spreadsheet would read a formula."""
-    safe = F.when(value.rlike(r"^\s*[=+@-]"), F.concat(F.lit("'"), value)).otherwise(value)
+    safe = F.when(value.rlike(r"(?U)^[\s\uFEFF]*[=+@-]"), F.concat(F.lit("'"), value)).otherwise(value)
     return F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
 
 

@@ -21,20 +21,21 @@ def _subject(*parts):
     return "concat(" + ", '/', ".join(parts) + ")"
 
 
-_CHOICE_KEY = _subject("'run-2'", "bid", "cast(cid as varchar)", "'status'")
+_CHOICE_KEY = _subject(
+    "'run-' || cast(m as varchar)", "bid", "cast(cid as varchar)", "'status'"
+)
 
 
 @query(
     "check_probability_maps",
     "V1",
     f"""select 'probabilities' "check", {_CHOICE_KEY} subject, 'invalid distribution' detail
-        from (select distinct bid, cid from fx_choice)
-        where (cid * 7 + 26) % 97 <> 0 and (cid % 31 = 0 or cid % 37 = 0 or cid % 41 = 0)""",
+        from choice_row
+        where outcome = 'ok' and (cid % 31 = 0 or cid % 37 = 0 or cid % 41 = 0)""",
 )
 def _(tb):
     """A sum off by 0.001, a renamed key, and a negative value with a correct sum."""
-    run = tb.predictions_of("choice").where("run_id = 'run-2'")
-    joined = J.join_decisions(run, tb.decisions_of("choice")).withColumn(
+    joined = J.join_decisions(tb.predictions_of("choice"), tb.decisions_of("choice")).withColumn(
         "cid", F.col("case_id").cast("bigint")
     )
     broken = joined.withColumn(
@@ -193,12 +194,12 @@ def _(tb):
               case when cid % 29 = 0 then 'not exactly one outcome'
                    when cid % 31 = 0 then 'unknown abstention'
                    else 'box for a distribution question' end detail
-        from (select distinct bid, cid from fx_choice)
-        where cid % 29 = 0 or cid % 31 = 0 or cid % 37 = 0""",
+        from choice_row where cid % 29 = 0 or cid % 31 = 0 or cid % 37 = 0""",
 )
 def _(tb):
-    run = tb.predictions_of("choice").where("run_id = 'run-2'")
-    rows = run.withColumn("cid", F.col("case_id").cast("bigint")).selectExpr(
+    rows = tb.predictions_of("choice").withColumn(
+        "cid", F.col("case_id").cast("bigint")
+    ).selectExpr(
         "*",
         "case when cid % 29 = 0 or (cid % 31 <> 0 and cid % 37 <> 0) then probabilities end p",
         "case when cid % 29 = 0 then null when cid % 31 = 0 then 'tired' "
@@ -489,13 +490,13 @@ def _(tb):
 @query(
     "check_subset_owners",
     "V21",
-    """select 'subset' "check", n_name subject, 'several sources' detail from nation
-       where n_nationkey % 4 = 1""",
+    """select 'subset' "check", c_name subject, 'several sources' detail from customer
+       where c_custkey % 4 = 1""",
 )
 def _(tb):
-    nations = tb.table("nation")
-    claims = nations.selectExpr("n_name subset", "cast(n_regionkey as string) source")
-    second = nations.where("n_nationkey % 4 = 1").selectExpr("n_name subset", "'other' source")
+    customers = tb.table("customer")
+    claims = customers.selectExpr("c_name subset", "c_mktsegment source")
+    second = customers.where("c_custkey % 4 = 1").selectExpr("c_name subset", "'other' source")
     return _out(C.subset_owners(claims.unionByName(second)))
 
 

@@ -232,23 +232,23 @@ def _(tb):
 @query(
     "release_checks",
     "IO7",
-    """select 'release file' "check", case n_nationkey % 5
-                when 0 then concat('../n', cast(n_nationkey as varchar), '.txt')
-                else concat('data/n', cast(n_nationkey as varchar), '.txt') end subject,
-              case n_nationkey % 5 when 0 then 'unsafe path' when 1 then 'unlisted'
+    """select 'release file' "check", case s_suppkey % 5
+                when 0 then concat('../n', cast(s_suppkey as varchar), '.txt')
+                else concat('data/n', cast(s_suppkey as varchar), '.txt') end subject,
+              case s_suppkey % 5 when 0 then 'unsafe path' when 1 then 'unlisted'
                 when 2 then 'missing' else 'checksum differs' end detail
-       from nation where n_nationkey % 5 < 4""",
+       from supplier where s_suppkey % 5 < 4""",
 )
 def _(tb):
-    nations = tb.table("nation")
+    suppliers = tb.table("supplier")
     root = shared_path(tb.spark, "release")
-    written = nations.where("n_nationkey % 5 not in (0, 2)").selectExpr(
-        "concat('data/n', n_nationkey, '.txt') name", "n_name text"
+    written = suppliers.where("s_suppkey % 5 not in (0, 2)").selectExpr(
+        "concat('data/n', s_suppkey, '.txt') name", "s_name text"
     )
     W.write_documents(written, root, "name", "text").write.format("noop").mode("overwrite").save()
-    listed = nations.where("n_nationkey % 5 <> 1").selectExpr(
-        "concat(case when n_nationkey % 5 = 0 then '../n' else 'data/n' end, n_nationkey, '.txt') path",
-        "sha2(concat(n_name, case when n_nationkey % 5 = 3 then '!' else '' end), 256) sha256",
+    listed = suppliers.where("s_suppkey % 5 <> 1").selectExpr(
+        "concat(case when s_suppkey % 5 = 0 then '../n' else 'data/n' end, s_suppkey, '.txt') path",
+        "sha2(concat(s_name, case when s_suppkey % 5 = 3 then '!' else '' end), 256) sha256",
     )
     return A.verify_release(tb.spark, root, listed)
 
@@ -438,11 +438,11 @@ def _(tb):
 @query(
     "written_table",
     "IO13,IO14",
-    "select n_name as line from nation",
+    "select c_name as line from customer",
 )
 def _(tb):
     path = shared_path(tb.spark, "lines")
-    W.write_lines(tb.table("nation").selectExpr("n_name line", "n_nationkey k"), ["k"], path)
+    W.write_lines(tb.table("customer").selectExpr("c_name line", "c_custkey k"), ["k"], path)
     return tb.spark.read.text(path).select(F.col("value").alias("line"))
 
 

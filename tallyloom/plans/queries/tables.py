@@ -473,27 +473,28 @@ def _(tb):
 @query(
     "subset_owners",
     "J7",
-    """select n_name subset, case when n_nationkey % 5 = 1 then 2 when n_nationkey % 5 = 2 then 0
+    """select c_name subset, case when c_custkey % 5 = 1 then 2 when c_custkey % 5 = 2 then 0
               else 1 end owners,
-              case when n_nationkey % 5 = 1 then null when n_nationkey % 5 = 2 then 'unscoped'
-                   else r_name end source
-       from nation join region on n_regionkey = r_regionkey""",
+              case when c_custkey % 5 = 1 then null when c_custkey % 5 = 2 then 'unscoped'
+                   else concat(c_mktsegment, cast(c_custkey % 50 as varchar)) end source
+       from customer""",
 )
 def _(tb):
-    nations = tb.table("nation").join(
-        tb.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    claims = nations.where("n_nationkey % 5 <> 2").select("r_name", "n_name").union(
-        nations.where("n_nationkey % 5 = 1").select(F.lit("second"), "n_name")
-    )
-    receipts = claims.groupBy(F.col("r_name").alias("source")).agg(
-        F.collect_set("n_name").alias("subsets")
+    """Receipts list the subsets they own; some subsets have two owners, some none."""
+    customers = tb.table("customer")
+    claims = customers.where("c_custkey % 5 <> 2").selectExpr(
+        "concat(c_mktsegment, c_custkey % 50) source", "c_name"
+    ).unionByName(
+        customers.where("c_custkey % 5 = 1").selectExpr(
+            "concat('second', c_custkey % 50) source", "c_name"
+        )
     )
-    fallback = tb.table("region").limit(1).select(
+    receipts = claims.groupBy("source").agg(F.collect_set("c_name").alias("subsets"))
+    fallback = customers.agg(F.count(F.lit(1))).select(
         F.lit("unscoped").alias("source"), F.lit(None).cast("array<string>").alias("subsets")
     )
     owned = subset_owner(
-        nations.select(F.col("n_name").alias("subset")), receipts.unionByName(fallback)
+        customers.select(F.col("c_name").alias("subset")), receipts.unionByName(fallback)
     )
     return owned.select("subset", F.col("owners").cast("int").alias("owners"), "source")
 
@@ -779,13 +780,13 @@ def _(tb):
 @query(
     "dataset_set_equality",
     "SO2",
-    """select n_name subset, case when n_nationkey = 3 then 'left' else 'right' end only_in
-       from nation where n_nationkey in (3, 7)""",
+    """select c_name subset, case when c_custkey % 100 = 3 then 'left' else 'right' end only_in
+       from customer where c_custkey % 100 in (3, 7)""",
 )
 def _(tb):
-    nations = tb.table("nation").select(F.col("n_name").alias("subset"), "n_nationkey")
+    customers = tb.table("customer").select(F.col("c_name").alias("subset"), "c_custkey")
     return Z.set_difference(
-        nations.where("n_nationkey <> 7"), nations.where("n_nationkey <> 3"), ["subset"]
+        customers.where("c_custkey % 100 <> 7"), customers.where("c_custkey % 100 <> 3"), ["subset"]
     )
 
 

@@ -91,6 +91,7 @@ def test_duplicate_json_keys_are_rejected(spark):
     [("https://huggingface.co/o/m", "o/m", "o/m"),
      ("https://huggingface.co/o/m/tree/main/x/y", "o/m/x/y", None),
      ("http://huggingface.co/o/m", "o/m", None),
+     ("https://huggingface.co/o/m%20x+y", "o/m x+y", None),
      ("https://huggingface.co/datasets/d", None, None),
      ("https://huggingface.co/o", None, None),
      ("https://example.com/o/m", None, None),
@@ -128,7 +129,7 @@ def test_parameter_counts(spark, count, expected):
 
 
 def test_spreadsheet_and_markdown_cells(spark):
-    for text, expected in (("=1+1", "\"'=1+1\""), (" @S", "\"' @S\""), ('say "x"', '"say ""x"""'), ("1-2", '"1-2"')):
+    for text, expected in (("=1+1", "\"'=1+1\""), (" @S", "\"' @S\""), ("\u00a0=x", "\"'\u00a0=x\""), ('say "x"', '"say ""x"""'), ("1-2", '"1-2"')):
         assert one(spark, X.csv_cell(F.lit(text))) == expected
     assert one(spark, X.markdown_cell(F.lit("A|B\\C\n<s>"))) == "A\\|B\\\\C<br>&lt;s&gt;"
     link = X.markdown_link(F.lit("Site"), F.lit("https://e.com/m(v1)"), F.lit(""))
