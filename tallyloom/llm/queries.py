@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import quality, url_filter
+from tallyloom.llm import bpe, quality, url_filter
+
+# Where the package of public vocabularies may lie if it is not on the path.
+TOKENIZERS_PARENT = "/opt"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def rank_file() -> str:
+    """The public multilingual byte-level vocabulary; read on the driver only."""
+    sys.path.append(TOKENIZERS_PARENT)
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 URL_RULES = (
     url_filter.Rule("net", "/", "block"),
     url_filter.Rule("example.net", "/en/", "allow"),
@@ -64,6 +76,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_documents(docs, rank_file(), decode=True)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 _LIST = ", ".join(f"'{p}'" for p in quality.LineRules().boilerplate)
 ORACLES["op5_quality_rules"] = rf"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
