@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, quality, url_filter
-
-# Where the package of public vocabularies may lie if it is not on the path.
-TOKENIZERS_PARENT = "/opt"
+from tallyloom.llm import ball_tree, bpe, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,9 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rank_file() -> str:
     """The public multilingual byte-level vocabulary; read on the driver only."""
-    sys.path.append(TOKENIZERS_PARENT)
-    import public_tokenizers
-
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -88,6 +82,27 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ball_tree.quantised(
+        table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")),
+        "vector",
+    )
+    return ball_tree.top_k(vectors, vectors.filter("id % 50 = 0"), k=5)
+
+
+ORACLES["op9_top_k"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+           where embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+      from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+        vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 _LIST = ", ".join(f"'{p}'" for p in quality.LineRules().boilerplate)
 ORACLES["op5_quality_rules"] = rf"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
