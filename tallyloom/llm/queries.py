@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ball_tree, bpe, quality, url_filter
+from tallyloom.llm import ball_tree, bpe, langid, mixing, preferences, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,65 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = langid.scored(docs.select("doc_id", "text"), langid.fit_by_folds(docs))
+    held_out = (langid.fold(F.col("doc_id")) == 0).alias("held_out")
+    return judged.select("doc_id", held_out, "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = preferences.conversations(table(spark, sf_dir, "conversations"))
+    pairs = preferences.format_pairs(preferences.with_other_answer(talks))
+    return pairs.select(
+        "pair_id",
+        "n_prompt_turns",
+        F.md5("prompt").alias("prompt_md5"),
+        F.md5("chosen_text").alias("chosen_md5"),
+        F.md5("rejected_text").alias("rejected_md5"),
+        preferences.spans_text(F.col("chosen_spans")).alias("chosen_spans"),
+        preferences.spans_text(F.col("rejected_spans")).alias("rejected_spans"),
+        "usable",
+    )
+
+
+ORACLES["op3_chat_format"] = """
+with t as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as i,
+             coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+l as (select conv_id, max(i) as n from t where role = 'assistant' group by conv_id),
+o as (select xor(l.conv_id, 1) as conv_id, t.text from l join t on t.conv_id = l.conv_id and t.i = l.n),
+p as (select l.conv_id, l.n, o.text from l join o using (conv_id)),
+a as (select t.conv_id, t.i, t.role, t.text, p.n,
+        case when t.i = p.n then p.text else t.text end as other
+      from t join p on p.conv_id = t.conv_id and t.i <= p.n),
+c as (select conv_id, coalesce(min(i) filter (where text <> other) - 1, max(n)) as common from a group by conv_id),
+r as (select a.conv_id, i, role, common,
+        '<|' || replace(role, '<|', '< |') || '|>' || chr(10) as head,
+        replace(text, '<|', '< |') || '<|end|>' as x, replace(other, '<|', '< |') || '<|end|>' as y
+      from a join c using (conv_id)),
+s as (select *,
+        coalesce(sum(length(head) + length(x) + 1) over (partition by conv_id order by i
+          rows between unbounded preceding and 1 preceding), 0) as ax,
+        coalesce(sum(length(head) + length(y) + 1) over (partition by conv_id order by i
+          rows between unbounded preceding and 1 preceding), 0) as ay
+      from r where i > common),
+g as (select conv_id,
+        string_agg(head || x || chr(10), '' order by i) as chosen, string_agg(head || y || chr(10), '' order by i) as rejected,
+        string_agg((ax + length(head))::bigint || '-' || (ax + length(head) + length(x))::bigint, ',' order by i)
+          filter (where role = 'assistant') as cs,
+        string_agg((ay + length(head))::bigint || '-' || (ay + length(head) + length(y))::bigint, ',' order by i)
+          filter (where role = 'assistant') as rs
+      from s group by conv_id),
+q as (select conv_id, string_agg(head || x || chr(10), '' order by i) as prompt from r where i <= common group by conv_id)
+select c.conv_id as pair_id, cast(common as integer) as n_prompt_turns, md5(coalesce(prompt, '')) as prompt_md5,
+  md5(coalesce(chosen, '')) as chosen_md5, md5(coalesce(rejected, '')) as rejected_md5,
+  coalesce(cs, '') as chosen_spans, coalesce(rs, '') as rejected_spans, cs is not null and rs is not null as usable
+from c left join g using (conv_id) left join q using (conv_id)
+"""
+
+
 @query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -82,6 +141,75 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_tree() -> dict[str, Column]:
+    """Domain (by the number at the end of the source's name), language, source."""
+    number = F.regexp_extract("source", r"(\d{1,9})$", 1).try_cast("int") % 4
+    return {"domain": F.concat(F.lit("d"), number.cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+MIX = mixing.Mix(
+    share=0.6,
+    epochs=2,
+    seed=17,
+    weights={
+        ("d0",): 4,
+        ("d1",): 3,
+        ("d2",): 2,
+        ("d3",): 1,
+        **{(f"d{i}", lang): w for i in range(4) for lang, w in (("en", 5), ("de", 2), ("fr", 2), ("es", 1))},
+    },
+)
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix_sources(docs, source_tree(), MIX).select("doc_id", "epoch", "n_tokens")
+
+
+def _level(name: str, parent: str, path: str, weight: str) -> str:
+    """SQL of one level of the tree: shares of `parent` (budget per path above) among the nodes `path`."""
+    up = ", ".join(path.split(", ")[:-1])
+    part = f"partition by {up}" if up else ""
+    join = f"using ({up})" if up else "on true"
+    last = path.split(", ")[-1]
+    return f"""
+{name}_a as (select {path}, most, w, budget from (
+    select {path}, sum(most) as most, {weight} as w from leaf group by {path}) n join {parent} p {join}),
+{name}_b as (select *, most * sum(w) over ({part} order by most / w::double, {last}
+      rows between current row and unbounded following)
+    <= greatest(budget - coalesce(sum(most) over ({part} order by most / w::double, {last}
+      rows between unbounded preceding and 1 preceding), 0), 0) * w as sat from {name}_a),
+{name}_c as (select *, sum(case when sat then 0 else w end) over ({part}) as ow,
+    budget - sum(case when sat then most else 0 end) over ({part}) as ob from {name}_b),
+{name}_d as (select *, case when sat then most else (ob::hugeint * w::hugeint) // ow::hugeint end as whole from {name}_c),
+{name} as (select {path}, whole + case when not sat and row_number() over (partition by {up + ', ' if up else ''}sat
+      order by {last}) <= ob - sum(case when sat then 0 else whole end) over ({part}) then 1 else 0 end as budget
+    from {name}_d)"""
+
+
+ORACLES["op7_mix_sources"] = f"""
+with d as (select doc_id, coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source,
+    coalesce('d' || (try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as integer) % 4), '(none)') as domain,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n
+  from documents),
+leaf as (select domain, lang, source, sum(n)::hugeint as supply, sum(n)::hugeint * 2 as most from d
+  group by domain, lang, source having sum(n) > 0),
+root as (select floor(sum(supply)::double * 0.6)::hugeint as budget from leaf),
+{_level("l1", "root", "domain", "case domain when 'd0' then 4 when 'd1' then 3 when 'd2' then 2 else 1 end")},
+{_level("l2", "l1", "domain, lang",
+        "case when domain not in ('d0', 'd1', 'd2', 'd3') then 1 when lang = 'en' then 5 "
+        "when lang in ('de', 'fr') then 2 else 1 end")},
+{_level("l3", "l2", "domain, lang, source", "1")},
+g as (select domain, lang, source, budget // supply as whole, budget % supply as part
+  from l3 join leaf using (domain, lang, source)),
+o as (select doc_id, n, whole, part, sum(n) over (partition by domain, lang, source
+    order by md5('17:' || whole::bigint || ':' || doc_id), doc_id rows between unbounded preceding and current row) as upto
+  from d join g using (domain, lang, source) where n > 0)
+select doc_id, unnest(range(0, (whole + case when upto <= part then 1 else 0 end)::bigint)) as epoch, n as n_tokens from o
+"""
+
+
 @query
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ball_tree.quantised(
