@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ball_tree, bpe, langid, mixing, preferences, quality, suffix_dedup, url_filter
+from tallyloom.llm import ball_tree, bpe, jaccard_join, langid, mixing, preferences, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,6 +244,12 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+@query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.linked_documents(docs, words=3, num=90, den=100)
+
+
 _LIST = ", ".join(f"'{p}'" for p in quality.LineRules().boilerplate)
 ORACLES["op5_quality_rules"] = rf"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
