@@ -30,17 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.arrow import Hashes, mixed, ranges, whole_groups
-from tallyloom.llm.components import components
+from tallyloom.llm.similarity import SMALL_GROUP, TILE, Join, Tiles, frequent_keys, index_batches, linked_components
 from tallyloom.session import shared_path
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-SMALL_GROUP = 8
-TILE = 2048
-SAMPLE = 64
 WORDS = 8  # 64-bit words of a sketch
 LARGEST_SET = 1 << 40
 # What a chance meeting costs against a row that is made, in the choice of weights.
@@ -222,11 +219,8 @@ def index_rows(sets: Sets, node: np.ndarray, bands: Bands, below: int) -> tuple[
     )
 
 
-def _indexed(words: int, bands: Bands, tiles: dict[int, int]):
-    """(key, node, info) of each task's distinct sets; keys with tiles are replaced by one key per pair of tiles."""
-    hot = np.array(sorted(tiles), np.int64).view(np.uint64)
-    hot.sort()
-    count = np.array([tiles[int(k)] for k in hot.view(np.int64)], np.int64)
+def _indexed(words: int, bands: Bands, tiles: Tiles):
+    """(key, node, info) of each task's distinct sets; the node is the set's first fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,142 +234,7 @@ def _indexed(words: int, bands: Bands, tiles: dict[int, int]):
                 keep = first[sets.row]
                 some = Sets(sets.row[keep], sets.shingle[keep], np.where(first, sets.size, 0))
                 for below in (0, 1):
-                    key, own, info = index_rows(some, node, bands, below)
-                    if len(hot):
-                        key, own, info = _tiled(key, own, info, hot, count)
-                    for at in range(0, len(key), 1 << 17):
-                        part = slice(at, at + (1 << 17))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key[part].view(np.int64)), pa.array(own[part].view(np.int64)), pa.array(info[part])],
-                            ["key", "node", "info"],
-                        )
-
-    return run
-
-
-def _tiled(key, own, info, hot, count) -> tuple[np.ndarray, ...]:
-    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-    is_hot = hot[at] == key
-    k, o, i, n = key[is_hot], own[is_hot], info[is_hot], count[at[is_hot]]
-    each = np.repeat(np.arange(len(k)), n)
-    mine = (mixed(o) % n.astype(np.uint64)).astype(np.int64)[each]
-    other = ranges(np.zeros(len(n), np.int64), n)
-    pair = (np.minimum(mine, other) << 24 | np.maximum(mine, other)).astype(np.uint64)
-    return (
-        np.concatenate([key[~is_hot], mixed(k[each] ^ mixed(pair + np.uint64(5)))]),
-        np.concatenate([own[~is_hot], o[each]]),
-        np.concatenate([info[~is_hot], i[each]]),
-    )
-
-
-def _fits(info_a: np.ndarray, info_b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Sizes in reach of each other, and one side exact."""
-    a, b = info_a >> 1, info_b >> 1
-    return (np.minimum(a, b) * den >= np.maximum(a, b) * num) & ((info_a | info_b) & 1 == 1)
-
-
-def _grouped(num: int, den: int):
-    """Sorted by (key, node): pairs of small groups as (0, x, y, 0), members of larger ones as (key, node, 0, info)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "x", "y", "info"]
-        for table in whole_groups(batches, ["key"], 1 << 17):
-            key, node, info = (table[c].to_numpy() for c in ("key", "node", "info"))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (info[1:] != info[:-1])
-            key, node, info = key[new], node[new], info[new]
-            change = np.ones(len(key), bool)
-            change[1:] = key[1:] != key[:-1]
-            head = np.flatnonzero(change)
-            size = np.diff(np.append(head, len(key)))
-            each = np.repeat(size, size)
-            large = each > SMALL_GROUP
-            if large.any():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key[large]),
-                        pa.array(node[large]),
-                        pa.array(np.zeros(large.sum(), np.int64)),
-                        pa.array(info[large]),
-                    ],
-                    names,
-                )
-            small = (each > 1) & ~large
-            key, node, info = key[small], node[small], info[small]
-            found = []
-            for step in range(1, SMALL_GROUP):
-                i = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else np.zeros(0, np.int64)
-                j = i + step
-                good = _fits(info[i], info[j], num, den) & (node[i] != node[j])
-                found.append(np.stack([np.minimum(node[i], node[j])[good], np.maximum(node[i], node[j])[good]], 1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            if len(pairs):
-                zero = pa.array(np.zeros(len(pairs), np.int64))
-                yield pa.RecordBatch.from_arrays([zero, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), zero], names)
-
-    return run
-
-
-def _sketch_matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), WORDS)
-
-
-def _possible(sketch: np.ndarray, info: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Sketch distance of all members of a group, and -1 where a link is impossible."""
-    n = info >> 1
-    out = np.empty((len(n), len(n)), np.int16)
-    for at in range(0, len(n), 128):
-        rows = slice(at, at + 128)
-        apart = np.zeros((len(n[rows]), len(n)), np.int64)
-        for w in range(WORDS):
-            apart += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[:, w][None, :])
-        most = (n[rows][:, None] + n[None, :]) * (den - num) // (den + num)
-        good = (apart <= most) & _fits(info[rows][:, None], info[None, :], num, den)
-        out[rows] = np.where(good, np.minimum(apart, 32000), -1)
-    return out
-
-
-def _spanning(apart: np.ndarray) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the possible links."""
-    n = len(apart)
-    open_, found = np.ones(n, bool), []
-    nearest, parent = np.full(n, 32767, np.int16), np.full(n, -1)
-    for _ in range(n):
-        waiting = np.where(open_, nearest, 32767)
-        at = int(waiting.argmin())
-        if waiting[at] == 32767:
-            at = int(open_.argmax())
-        else:
-            found.append((int(parent[at]), at))
-        open_[at] = False
-        closer = open_ & (apart[at] >= 0) & (apart[at] < nearest)
-        nearest[closer], parent[closer] = apart[at][closer], at
-    return found
-
-
-def _compared(num: int, den: int):
-    """Larger groups, sorted by key, with sketches and labels: (key, x, y) of a spanning forest of possible links, or,
-    where labels are given, of all possible links between different labels."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key"], 1 << 13):
-            key, node, info = (table[c].to_numpy() for c in ("key", "node", "info"))
-            label = table["label"].to_numpy()
-            sketch = _sketch_matrix(table["sketch"])
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            found = []
-            for a, b in zip(head, np.append(head[1:], len(key)), strict=True):
-                apart = _possible(sketch[a:b], info[a:b], num, den)
-                np.fill_diagonal(apart, -1)
-                if table["whole"][int(a)].as_py():
-                    i, j = np.nonzero(np.triu(apart >= 0, 1) & (label[a:b][:, None] != label[a:b][None, :]))
-                else:
-                    i, j = np.array(_spanning(apart), np.int64).reshape(-1, 2).T
-                x, y = node[a + i], node[a + j]
-                found.append(np.stack([np.full(len(x), key[a]), np.minimum(x, y), np.maximum(x, y)], 1))
-            rows = np.concatenate(found)
-            rows = rows[rows[:, 1] != rows[:, 2]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["key", "x", "y"])
+                    yield from index_batches(*tiles.deal(*index_rows(some, node, bands, below)))
 
     return run
 
@@ -407,7 +266,14 @@ def _verified(words: int, num: int, den: int):
 
 
 def linked_documents(
-    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, folder: str | None = None, sample: int = SAMPLE
+    docs: DataFrame,
+    words: int = 3,
+    num: int = 90,
+    den: int = 100,
+    folder: str | None = None,
+    sample: int = 64,
+    tile: int = TILE,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text); links: Jaccard >= num / den."""
     spark = docs.sparkSession
@@ -437,73 +303,26 @@ def linked_documents(
     counts = dict(classes.groupBy(band.alias("band")).count().collect())
     bands = choose_bands(num, den, counts, largest)
 
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        m, n = a >> 1, b >> 1
+        return (np.minimum(m, n) * den >= np.maximum(m, n) * num) & ((a | b) & 1 == 1)
+
+    def most(m, n):
+        gap, whole = den - num, den + num
+        if isinstance(m, Column):
+            return F.floor((m + n) * gap / whole)
+        return (m + n) * gap // whole
+
     shape = "key bigint, node bigint, info bigint"
-    # Beyond the 8 most frequent keys per partition, none can have more than an eighth of a partition's share.
-    part = given.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0).mapInArrow(_indexed(words, bands, {}), shape)
-    often = part.groupBy("key").count().filter(F.col("count") * sample > TILE).orderBy(F.desc("count"), "key")
-    tiles = {r["key"]: -(-r["count"] * sample // TILE) for r in often.limit(8 * parts).collect()}
-    rows = given.mapInArrow(_indexed(words, bands, tiles), shape)
-    groups = stored(
-        rows.repartition(parts, "key")
-        .sortWithinPartitions("key", "node", "info")
-        .mapInArrow(_grouped(num, den), "key bigint, x bigint, y bigint, info bigint"),
-        "groups",
+    part = given.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0)
+    tiles = Tiles(frequent_keys(part.mapInArrow(_indexed(words, bands, Tiles({})), shape), sample, parts, tile))
+    labels = linked_components(
+        given.mapInArrow(_indexed(words, bands, tiles), shape),
+        classes.select(F.col("h1").alias("node"), "rep", "n", "sketch"),
+        given,
+        Join(fits, most, _verified(words, num, den), WORDS, small_group),
+        folder,
     )
-    members = groups.filter("info > 0").select("key", F.col("x").alias("node"), "info")
-    pairs = groups.filter("info = 0").select("x", "y").distinct()
-
-    def compared(some: DataFrame, label, whole: bool) -> DataFrame:
-        known = classes.select(F.col("h1").alias("node"), "sketch")
-        wide = some.join(known, "node").select("key", "node", "info", "sketch", label.alias("label"), F.lit(whole).alias("whole"))
-        return (
-            wide.repartition(parts, "key")
-            .sortWithinPartitions("key", "node")
-            .mapInArrow(_compared(num, den), "key bigint, x bigint, y bigint")
-        )
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        """(x, y, linked) of pairs of class representatives, for pairs of class hashes."""
-        one = classes.select(F.col("h1").alias("x"), F.col("rep").alias("a"), F.col("sketch").alias("s"), F.col("n").alias("k"))
-        two = classes.select(F.col("h1").alias("y"), F.col("rep").alias("b"), F.col("sketch").alias("t"), F.col("n").alias("l"))
-        size = F.col("k") + F.col("l")
-        bits = [
-            F.bit_count(
-                F.conv(F.hex(F.substring("s", 4 * i + 1, 4)), 16, 10).cast("bigint").bitwiseXOR(
-                    F.conv(F.hex(F.substring("t", 4 * i + 1, 4)), 16, 10).cast("bigint")
-                )
-            )
-            for i in range(2 * WORDS)
-        ]
-        apart = sum(bits[1:], bits[0])
-        near = candidates.join(one, "x").join(two, "y").filter(apart * (den + num) <= size * (den - num))
-        both = near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        wanted = both.select("x", "y", F.explode(F.array("x", "y")).alias("doc"))
-        one_text = wanted.join(given, "doc").select("x", "y", "doc", "text")
-        return (
-            one_text.repartition(parts, "x", "y")
-            .sortWithinPartitions("x", "y", "doc")
-            .mapInArrow(_verified(words, num, den), "x bigint, y bigint, linked boolean")
-        )
-
-    forest = stored(compared(members, F.lit(0).cast("bigint"), False), "forest")
-    checked = stored(verified(pairs.unionByName(forest.select("x", "y")).distinct()), "checked")
-    links = checked.filter("linked").select("x", "y")
-    labels = components(links, f"{folder}/first")
-
-    # Groups in which a link of the forest proved false: their other possible links, between different components.
-    rep = classes.select("h1", "rep")
-    named = forest.join(rep.select(F.col("h1").alias("x"), F.col("rep").alias("a")), "x").join(
-        rep.select(F.col("h1").alias("y"), F.col("rep").alias("b")), "y"
-    )
-    named = named.select("key", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    doubtful = named.join(links, ["x", "y"], "left_anti").select("key").distinct()
-    again = members.join(doubtful, "key", "left_semi").join(rep.withColumnRenamed("h1", "node"), "node")
-    again = again.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    label = F.coalesce("label", "rep")
-    left = compared(again, label, True).select("x", "y").distinct()
-    more = stored(verified(left), "more").filter("linked").select("x", "y")
-    labels = components(links.unionByName(more), f"{folder}/second")
-
     mine = full.select("doc", "n", "h1", "h2").join(reps, ["n", "h1", "h2"])
     found = mine.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc", "n", F.coalesce("label", "rep").alias("component")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ball_tree, bpe, jaccard_join, langid, mixing, preferences, quality, suffix_dedup, url_filter
+from tallyloom.llm import ball_tree, bpe, jaccard_join, langid, line_dedup, mixing, preferences, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,6 +223,25 @@ select doc_id, unnest(range(0, (whole + case when upto <= part then 1 else 0 end
 """
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    verdicts = line_dedup.line_verdicts(docs, threshold=2, min_chars=32)
+    away = (F.col("doc") != F.col("class_doc")) | (F.col("line") != F.col("class_line"))
+    counts = verdicts.groupBy(F.col("doc").alias("doc_id")).agg(
+        F.count("*").alias("n_lines"),
+        F.sum(away.cast("bigint")).alias("n_removed"),
+        F.sum(F.col("linked").cast("bigint")).alias("n_linked"),
+        F.array_sort(F.collect_set(F.when(away, F.col("line")))).alias("removed_lines"),
+    )
+    none = F.lit(0).cast("bigint")
+    return docs.select("doc_id").join(counts, "doc_id", "left").select(
+        "doc_id",
+        *[F.coalesce(c, none).alias(c) for c in ("n_lines", "n_removed", "n_linked")],
+        F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"),
+    )
+
+
 @query
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ball_tree.quantised(
