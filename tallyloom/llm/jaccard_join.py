@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ LARGEST_SET = 1 << 40
 # What a chance meeting costs against a row that is made, in the choice of weights.
 MEETING_COST = 0.05
 NULL_ID = -(1 << 63)
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -239,28 +240,42 @@ def _indexed(words: int, bands: Bands, tiles: Tiles):
     return run
 
 
+def _linked(text: pa.Array, words: int, num: int, den: int) -> np.ndarray:
+    """Whether rows 2i and 2i + 1 are linked, for every i."""
+    parts = list(shingle_sets(text, words))
+    owner = np.concatenate([at + s.row for at, s in parts]) // 2
+    shingle = np.concatenate([s.shingle for _, s in parts])
+    order = np.lexsort((shingle, owner))
+    owner, shingle = owner[order], shingle[order]
+    twice = (owner[1:] == owner[:-1]) & (shingle[1:] == shingle[:-1])
+    same = np.bincount(owner[1:][twice], minlength=len(text) // 2)
+    total = np.bincount(owner, minlength=len(text) // 2)
+    return same * den >= (total - same) * num
+
+
 def _verified(words: int, num: int, den: int):
     """Sorted by (x, y), two rows with a text each: (x, y, linked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["x", "y"], 1 << 9):
-            x, y = table["x"].to_numpy(), table["y"].to_numpy()
-            pair = np.cumsum(np.concatenate([[False], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-            same = np.zeros(pair[-1] + 1, np.int64)
-            total = np.zeros(pair[-1] + 1, np.int64)
-            text = table["text"].combine_chunks()
-            text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-            parts = list(shingle_sets(text, words))
-            owner = pair[np.concatenate([at + s.row for at, s in parts])]
-            shingle = np.concatenate([s.shingle for _, s in parts])
-            order = np.lexsort((shingle, owner))
-            owner, shingle = owner[order], shingle[order]
-            twice = (owner[1:] == owner[:-1]) & (shingle[1:] == shingle[:-1])
-            np.add.at(same, owner[1:][twice], 1)
-            np.add.at(total, owner, 1)
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            linked = same * den >= (total - same) * num
-            yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.array(linked)], ["x", "y", "linked"])
+            x, y, doc = (table[c].to_numpy() for c in ("x", "y", "doc"))
+            # A document may stand in the table more than once: one row for each side is enough.
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(new)
+            size = np.cumsum(np.array(pc.binary_length(table["text"]).to_numpy())[at])
+            done = 0
+            while done < len(at):
+                # Some pairs at a time, by the size of their texts.
+                before = size[done - 1] if done else 0
+                to = int(np.searchsorted(size, before + CHUNK_BYTES, "right")) // 2 * 2
+                to = max(to, done + 2)
+                text = table["text"].take(pa.array(at[done:to])).combine_chunks()
+                text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
+                pair = at[done:to:2]
+                linked = _linked(text, words, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(x[pair]), pa.array(y[pair]), pa.array(linked)], ["x", "y", "linked"])
+                done = to
 
     return run
 

@@ -40,13 +40,12 @@ class Lines:
 
     def __init__(self, point: np.ndarray, text_start: np.ndarray, text_stop: np.ndarray, min_chars: int):
         breaks = np.flatnonzero(point == NEWLINE)
-        start = np.concatenate([text_start, breaks + 1])
-        stop = np.concatenate([text_stop, breaks])
-        start, stop = np.sort(start), np.sort(stop)
-        row = np.searchsorted(text_start, start, "right") - 1
-        # Empty texts begin where the next one does; each has one empty line, of no interest here.
-        first = np.searchsorted(row, np.arange(len(text_start)))
-        number = np.arange(len(row)) - first[row]
+        texts = np.arange(len(text_start))
+        row = np.concatenate([texts, np.searchsorted(text_start, breaks, "right") - 1])
+        start, stop = np.concatenate([text_start, breaks + 1]), np.concatenate([text_stop, breaks])
+        start, stop = start[np.lexsort((start, row))], stop[np.lexsort((stop, row))]
+        row = np.sort(row)
+        number = np.arange(len(row)) - np.searchsorted(row, texts)[row]
         keep = stop - start >= min_chars
         self.row, self.number, self.start, self.size = row[keep], number[keep], start[keep], (stop - start)[keep]
         values = mixed(point.astype(np.uint64) + np.uint64(1))
