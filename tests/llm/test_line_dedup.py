@@ -10,7 +10,7 @@ SHORT = 12
 
 
 def changed(r, text, edits):
-    chars = list(text)
+    chars = list(text) or ["a"]
     for _ in range(edits):
         at, kind = r.randrange(len(chars)), r.randrange(3)
         chars[at : at + (kind != 0)] = [r.choice("abcü🙂")] * (kind != 1)
