@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import canonical_text
+from tallyloom.operators.ranking import with_position
+
+# spark.sql.optimizer.windowGroupLimitThreshold's default.
+GROUP_LIMIT = 1000
 
 INFERENCE_COLUMNS = ("case_id", "state", "state_json", "images", "questions")
 
@@ -139,9 +143,13 @@ def inference_view(cases: DataFrame) -> DataFrame:
 def first_cases(cases: DataFrame, limit: int, order: str = "ordinal") -> DataFrame:
     """The first N cases per benchmark in dataset order.
 
-    Spark turns `row_number() <= N` into a group limit that runs before the shuffle, so
-    each task forwards at most N rows per benchmark, however large the benchmark is.
+    Up to Spark's group limit, `row_number() <= N` is applied before the shuffle, so each task
+    forwards at most N rows per benchmark. Beyond it, positions are counted over range pieces,
+    so that no benchmark is ordered in one task.
     """
+    if limit > GROUP_LIMIT:
+        placed = with_position(cases, ["benchmark_id"], [F.col(order), F.col("case_id")], name="_n")
+        return placed.where(F.col("_n") <= limit).drop("_n")
     window = Window.partitionBy("benchmark_id").orderBy(order, "case_id")
     return (
         cases.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= limit).drop("_n")

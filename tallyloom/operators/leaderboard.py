@@ -290,7 +290,10 @@ def generalization_comparison(
 
     def cell(family: str, task: str) -> Column:
         mine = (F.col("family") == family) & (F.col("cell_task") == task)
-        return F.max(F.when(mine, F.col("value"))).alias(f"{family}_{task}")
+        # More than one benchmark in a cell is an error; `duplicate_families` names it.
+        twice = F.raise_error(F.lit(f"More than one benchmark for {family}-{task}"))
+        named = F.when(mine, F.col("benchmark_id"))
+        return F.when(F.min(named) != F.max(named), twice).otherwise(F.max(F.when(mine, F.col("value")))).alias(f"{family}_{task}")
 
     names = [f"{f}_{t}" for f in FAMILIES for t in FAMILY_TASKS]
     wide = scored.groupBy(*RUN).agg(*[cell(f, t) for f in FAMILIES for t in FAMILY_TASKS])

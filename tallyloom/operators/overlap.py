@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import text_key
 
 
+# Tasks that share the rows of one text in a join; the side with one row per text is repeated as often.
+SALTS = 16
+
+
+def _salted_join(rows: DataFrame, per_key: DataFrame, key: str, how: str) -> DataFrame:
+    """Join rows with a table of one row per key, so that a key with many rows is shared by SALTS tasks."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, [key, "_salt"], how).drop("_salt")
+
+
 def reuse_by_content(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
     """Marks every row whose exact text occurred earlier, with the row it can reuse.
 
     The first row per text is a minimum, so copies collapse before the shuffle and no task
-    holds a group of copies. The join back is on the content key; adaptive skew handling
-    splits the fact side of a key with many copies. A single numeric order column keeps the
-    minimum in a hash aggregate.
+    holds a group of copies. The join back is salted, so that copies of one text are dealt
+    over several tasks. A single numeric order column keeps the minimum in a hash aggregate.
     """
     keyed = rows.withColumn("content_key", F.sha2(text, 256))
     if len(order) == 1:
@@ -24,7 +34,7 @@ def reuse_by_content(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
         first = lowest.select("content_key", F.struct(F.col("_lowest").alias(order[0])).alias("source"))
     else:
         first = keyed.groupBy("content_key").agg(F.min(F.struct(*order)).alias("source"))
-    joined = keyed.join(first, "content_key")
+    joined = _salted_join(keyed, first, "content_key", "inner")
     mine = F.struct(*order)
     return joined.withColumn("reused", mine != F.col("source"))
 
@@ -36,7 +46,7 @@ def computed_once(rows: DataFrame, text: str, compute: Callable[[DataFrame], Dat
     """
     keyed = rows.withColumn("content_key", F.sha2(text, 256))
     distinct = keyed.select("content_key", text).distinct()
-    return keyed.join(compute(distinct), "content_key")
+    return _salted_join(keyed, compute(distinct), "content_key", "inner")
 
 
 def evaluation_keys(inputs: DataFrame, text: str) -> DataFrame:
@@ -73,11 +83,8 @@ def overlap_audit(training: DataFrame, inputs: DataFrame, text: str) -> DataFram
 def decontaminated(training: DataFrame, inputs: DataFrame, text: str) -> DataFrame:
     """Training rows whose normalised text is no evaluation input."""
     known = inputs.select(text_key(F.col(text)).alias("content_key")).distinct()
-    return (
-        training.withColumn("content_key", text_key(F.col(text)))
-        .join(known, "content_key", "left_anti")
-        .drop("content_key")
-    )
+    keyed = training.withColumn("content_key", text_key(F.col(text)))
+    return _salted_join(keyed, known, "content_key", "left_anti").drop("content_key")
 
 
 def decontamination_receipt(training: DataFrame, inputs: DataFrame, text: str) -> DataFrame:
@@ -102,9 +109,8 @@ def decontamination_receipt(training: DataFrame, inputs: DataFrame, text: str) -
 def removed_ids(training: DataFrame, inputs: DataFrame, text: str) -> DataFrame:
     """The training rows the receipt names."""
     known = inputs.select(text_key(F.col(text)).alias("content_key")).distinct()
-    return training.withColumn("content_key", text_key(F.col(text))).join(
-        known, "content_key", "left_semi"
-    )
+    keyed = training.withColumn("content_key", text_key(F.col(text)))
+    return _salted_join(keyed, known, "content_key", "left_semi")
 
 
 def word_count(text: Column) -> Column:

@@ -51,6 +51,11 @@ def running_totals(
     )
 
 
+def is_finite(value: str) -> Column:
+    number = F.col(value)
+    return number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
+
+
 def tie_ranks(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,8 +69,7 @@ def tie_ranks(
     Ties collapse before the shuffle; the rank is one more than the rows with better values.
     NULL and non-finite values have no rank.
     """
-    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    ties = df.where(finite).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
+    ties = df.where(is_finite(value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
     order = F.col(value).desc() if descending else F.col(value).asc()
     ahead = running_totals(ties, keys, [order], F.col("ties"), "rank", partitions)
     return ahead.withColumn("rank", F.col("rank") + 1)
@@ -76,7 +80,10 @@ def with_rank(
 ) -> DataFrame:
     """Competition rank (1, 1, 3) as a column; rows without a finite value keep NULL."""
     ranks = tie_ranks(df, keys, value, descending=descending).withColumnRenamed("rank", name)
-    return df.join(ranks.drop("ties"), [*keys, value], "left")
+    # Rows without a rank stay out of the join, where they would all share one key.
+    ranked = df.where(is_finite(value)).join(ranks.drop("ties"), [*keys, value], "left")
+    rest = df.where(~is_finite(value)).withColumn(name, F.lit(None).cast("bigint"))
+    return ranked.unionByName(rest)
 
 
 def with_position(

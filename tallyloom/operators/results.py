@@ -11,28 +11,61 @@ GRAIN = ("run_id", "benchmark_id")
 DEFINITION = ("task", "dataset", "split", "primary_metric")
 
 
-def outcome_counts(predictions: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Cases, expected, succeeded, failed, abstained and status per (run, benchmark)."""
+def key_counts(predictions: DataFrame) -> DataFrame:
+    """(run, benchmark, cases, keys, rows): distinct cases, distinct decision keys, and predictions.
+
+    Only keys are shuffled, collapsed per case first, so no task sees all cases of a result.
+    """
+    keys = predictions.groupBy(*GRAIN, "case_id", "question_id").agg(F.count(F.lit(1)).alias("n"))
+    cases = keys.groupBy(*GRAIN, "case_id").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"))
+    return cases.groupBy(*GRAIN).agg(
+        F.count(F.lit(1)).alias("cases"), F.sum("keys").alias("keys"), F.sum("n").alias("rows")
+    )
+
+
+def result_status(known: Column, keys: Column, rows: Column, expected: Column, failed: Column) -> Column:
+    """`invalid` with a duplicate or unknown key; `complete` if every known key is there and none failed."""
+    invalid = (rows > keys) | (keys > known)
+    return F.when(invalid, "invalid").when((known == expected) & (failed == 0), "complete").otherwise("partial")
+
+
+def outcome_counts(
+    predictions: DataFrame, benchmarks: DataFrame, decisions: DataFrame | None = None
+) -> DataFrame:
+    """Cases, expected, succeeded, failed, abstained and status per (run, benchmark).
+
+    With `decisions`, keys that no decision has are unknown and make the result invalid.
+    """
+    key = ["benchmark_id", "case_id", "question_id"]
     succeeded = F.col("probabilities").isNotNull() | F.col("box").isNotNull()
-    counts = predictions.groupBy(*GRAIN).agg(
-        F.count_distinct("case_id").alias("cases"),
-        F.count(F.lit(1)).alias("recorded"),
-        F.count_if(succeeded).alias("succeeded"),
-        F.count_if(F.col("error").isNotNull()).alias("failed"),
-        F.count_if(F.col("abstention").isNotNull()).alias("abstained"),
+    keys = predictions.groupBy(*GRAIN, "case_id", "question_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(succeeded).alias("s"),
+        F.count_if(F.col("error").isNotNull()).alias("f"),
+        F.count_if(F.col("abstention").isNotNull()).alias("a"),
+    )
+    if decisions is None:
+        keys = keys.withColumn("known", F.lit(1))
+    else:
+        sound = decisions.select(*key, F.lit(1).alias("known")).distinct()
+        keys = keys.join(sound, key, "left")
+    cases = keys.groupBy(*GRAIN, "case_id").agg(
+        F.count(F.lit(1)).alias("keys"), F.count("known").alias("known"), *[F.sum(c).alias(c) for c in "nsfa"]
+    )
+    counts = cases.groupBy(*GRAIN).agg(
+        F.count(F.lit(1)).alias("cases"),
+        *[F.sum(c).alias(c) for c in ("keys", "known")],
+        F.sum("n").alias("rows"),
+        F.sum("s").alias("succeeded"),
+        F.sum("f").alias("failed"),
+        F.sum("a").alias("abstained"),
     )
     defined = benchmarks.select(
         F.col("id").alias("benchmark_id"), F.col("decision_count").alias("expected")
     )
-    complete = (F.col("recorded") == F.col("expected")) & (F.col("failed") == 0)
+    status = result_status(*[F.col(c) for c in ("known", "keys", "rows", "expected", "failed")])
     return counts.join(defined, "benchmark_id").select(
-        *GRAIN,
-        "cases",
-        "expected",
-        "succeeded",
-        "failed",
-        "abstained",
-        F.when(complete, "complete").otherwise("partial").alias("status"),
+        *GRAIN, "cases", "expected", "succeeded", "failed", "abstained", status.alias("status")
     )
 
 
@@ -41,12 +74,15 @@ def stored_results(
 ) -> DataFrame:
     """The saved result table: run identity, counts, status and rounded metrics.
 
-    `metrics` carries its counts, cases included (see `score_predictions`).
+    `metrics` carries its counts, and those of `key_counts`; `recorded` counts the rows with a known key.
     """
     expected = benchmarks.select(
         F.col("id").alias("benchmark_id"), F.col("decision_count").alias("expected")
     )
-    complete = (F.col("recorded") == F.col("expected")) & (F.col("failed") == 0)
+    # A duplicate makes more rows than keys, an unknown key more rows than were recorded.
+    known = F.least("recorded", "keys")
+    keys = F.when(F.col("rows") > F.col("recorded"), known + 1).otherwise(F.col("keys"))
+    status = result_status(known, keys, F.col("rows"), F.col("expected"), F.col("failed"))
     return (
         metrics.join(expected, "benchmark_id")
         .join(runs, "run_id")
@@ -59,7 +95,7 @@ def stored_results(
             "succeeded",
             "failed",
             "abstained",
-            F.when(complete, "complete").otherwise("partial").alias("status"),
+            status.alias("status"),
             *[c for c in runs.columns if c != "run_id"],
         )
     )

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyloom.constants import SUM_TOLERANCE
+from tallyloom.constants import ABSTENTIONS, SUM_TOLERANCE
 from tallyloom.schema import PREDICTION
 
+EDGES = ("left", "top", "right", "bottom")
+
 
 class Scorer(Protocol):
     """`predict` is required. `predict_batch` and `case_batch_size` are optional."""
@@ -56,6 +58,14 @@ def _check(case: dict[str, Any], answers: list[dict[str, Any]]) -> None:
             box is not None and question["task"] != "box"
         ):
             raise ValueError("outcome does not fit the task")
+        if box is not None:
+            b = box if isinstance(box, dict) else box.asDict()
+            if not all(isinstance(b.get(k), (int, float)) and 0 <= b[k] <= 1 for k in EDGES):
+                raise ValueError("box edge out of range")
+            if b["left"] >= b["right"] or b["top"] >= b["bottom"]:
+                raise ValueError("box edges out of order")
+        if outcomes[3] is not None and outcomes[3] not in ABSTENTIONS:
+            raise ValueError("unknown abstention")
         if probabilities is not None:
             p = _entries(probabilities)
             if set(p) != {o["id"] for o in question["options"]}:

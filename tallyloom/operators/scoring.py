@@ -71,12 +71,12 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > EPSILON, part / whole)
 
 
-def aggregate_scores(rows: DataFrame, count_cases: bool = False) -> DataFrame:
+def aggregate_scores(rows: DataFrame) -> DataFrame:
     """One shuffle to (run, benchmark): every task's sums in one partial aggregation.
 
     The task follows from the benchmark; as a grouping key it keeps the aggregation buffer
-    numeric, so Spark hashes instead of sorting all rows. Counting distinct cases adds a
-    shuffle of partial sums per case, which is cheaper than a second pass over predictions.
+    numeric, so Spark hashes instead of sorting all rows. Distinct cases and keys are counted
+    apart, over keys alone (`results.key_counts`).
     """
     error = F.col("signed_error")
     sums = rows.groupBy(*GRAIN, "task").agg(
@@ -94,7 +94,6 @@ def aggregate_scores(rows: DataFrame, count_cases: bool = False) -> DataFrame:
         ),
         F.count("brier").alias("_n_noul"),
         *[F.sum(c).alias(c) for c in CELLS],
-        *([F.count_distinct("case_id").alias("cases")] if count_cases else []),
     )
     # A noul result without any gradable row still reports zero cells.
     noul = F.col("task") == "noul"
@@ -112,11 +111,9 @@ def aggregate_scores(rows: DataFrame, count_cases: bool = False) -> DataFrame:
     )
 
 
-def score_predictions(
-    predictions: DataFrame, decisions: DataFrame, count_cases: bool = False
-) -> DataFrame:
+def score_predictions(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Joined, graded and aggregated; baselines are added by `adjusted_metrics`."""
-    return aggregate_scores(row_scores(join_decisions(predictions, decisions)), count_cases)
+    return aggregate_scores(row_scores(join_decisions(predictions, decisions)))
 
 
 def adjusted_metrics(metrics: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 
 from tallyloom.operators.baselines import baselines
 from tallyloom.operators.leaderboard import borda_scores
-from tallyloom.operators.results import stored_results
+from tallyloom.operators.results import key_counts, stored_results
 from tallyloom.operators.scoring import adjusted_metrics, score_predictions
 from tallyloom.session import cut
 
 
-def metric_table(
-    predictions: DataFrame, decisions: DataFrame, count_cases: bool = False
-) -> DataFrame:
+def metric_table(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Metrics, baselines and adjusted scores per (run, benchmark), all benchmarks in one job."""
-    metrics = score_predictions(predictions, decisions, count_cases)
+    metrics = score_predictions(predictions, decisions)
     return adjusted_metrics(metrics, baselines(decisions))
 
 
@@ -23,7 +21,8 @@ def evaluate(
     predictions: DataFrame, decisions: DataFrame, benchmarks: DataFrame, runs: DataFrame
 ) -> DataFrame:
     """The result table: metrics, outcome counts, status and run identity, in one pass."""
-    return stored_results(metric_table(predictions, decisions, count_cases=True), benchmarks, runs)
+    metrics = metric_table(predictions, decisions).join(key_counts(predictions), ["run_id", "benchmark_id"])
+    return stored_results(metrics, benchmarks, runs)
 
 
 def rank_runs(results: DataFrame, members: DataFrame, benchmarks: DataFrame) -> DataFrame:

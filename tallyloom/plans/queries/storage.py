@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.constants import METRICS
 from tallyloom.functions.decoding import refusal
 from tallyloom.operators import cases as N
 from tallyloom.operators import scorer as M
@@ -127,14 +128,13 @@ def _(tb):
 
 
 def _bundles(tb):
-    """Result documents of the non-box benchmarks, with the noul predictions inside."""
-    predictions = tb.predictions_of("noul").groupBy("run_id", "benchmark_id").agg(
+    """Result documents of all benchmarks, with all metrics and predictions inside."""
+    predictions = tb.predictions.groupBy("run_id", "benchmark_id").agg(
         F.collect_list(
             F.struct("case_id", "question_id", "probabilities", "box", "error", "abstention")
         ).alias("predictions")
     )
-    results = tb.results.where("task <> 'box'")
-    joined = results.join(predictions, ["run_id", "benchmark_id"], "left")
+    joined = tb.results.join(predictions, ["run_id", "benchmark_id"], "left")
     return joined.select(
         F.struct(
             F.lit(1).cast("bigint").alias("format_version"),
@@ -144,9 +144,7 @@ def _bundles(tb):
             "provenance",
             "status",
             F.struct("cases", "expected", "succeeded", "failed", "abstained").alias("counts"),
-            F.create_map(
-                F.lit("baseline_adjusted_score"), F.col("baseline_adjusted_score")
-            ).alias("metrics"),
+            F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))]).alias("metrics"),
             "predictions",
         ).alias("result")
     )
@@ -156,8 +154,9 @@ def _bundles(tb):
     "read_bundles",
     "IO5,V18",
     """select run_id, benchmark_id, status, succeeded, round(baseline_adjusted_score, 6) score,
-              case when task = 'noul' then cases else 0 end predictions
-       from results where task <> 'box'""",
+              round(mean_iou, 6) iou, round(binary_brier, 6) brier,
+              succeeded + failed + abstained predictions
+       from results""",
 )
 def _(tb):
     root = shared_path(tb.spark, "bundles")
@@ -175,6 +174,8 @@ def _(tb):
         "status",
         "counts.succeeded",
         F.round(F.col("metrics")["baseline_adjusted_score"], 6).alias("score"),
+        F.round(F.col("metrics")["mean_iou"], 6).alias("iou"),
+        F.round(F.col("metrics")["binary_brier"], 6).alias("brier"),
         F.coalesce("predictions", F.lit(0)).alias("predictions"),
     )
 
@@ -186,8 +187,8 @@ def _(tb):
               case when run_id = 'run-2' then 'no metadata'
                    when run_id = 'run-3' then 'folder differs from model id'
                    else 'file differs from benchmark id' end detail
-       from results where task <> 'box'
-         and (run_id in ('run-2', 'run-3') or benchmark_id = 'price-1-score')""",
+       from results
+       where run_id in ('run-2', 'run-3') or benchmark_id = 'price-1-score'""",
 )
 def _(tb):
     root = shared_path(tb.spark, "bundles")
@@ -517,12 +518,12 @@ def _(tb):
 
 
 def _arrivals(tb):
-    """Noul and box predictions in several files; every 7th case is delivered twice."""
+    """All predictions in several files; every 7th case is delivered twice, every 11th two weeks late."""
     source = shared_path(tb.spark, "arrivals")
-    rows = tb.predictions_of("noul").unionByName(tb.predictions_of("box"))
-    stamped = rows.withColumn(
-        "arrived_at",
-        F.timestamp_seconds(F.lit(1704067200) + F.col("case_id").cast("bigint") % 3600),
+    number = F.col("case_id").cast("bigint")
+    late = F.when(number % 11 == 0, -14 * 86400).otherwise(0)
+    stamped = tb.predictions.withColumn(
+        "arrived_at", F.timestamp_seconds(F.lit(1704067200) + number % 3600 + late)
     )
     again = stamped.where("cast(case_id as bigint) % 7 = 0")
     stamped.unionByName(again).repartition(4, "case_id").write.parquet(source)
@@ -543,7 +544,8 @@ def _ingested(tb):
     "ST1",
     """select concat('run-', cast(m as varchar)) run_id, bid benchmark_id,
               cast(cid as varchar) case_id, 1 as copies
-       from (select m, bid, cid from noul_row union all select m, bid, cid from box_row)""",
+       from (select m, bid, cid from noul_row union all select m, bid, cid from box_row
+             union all select m, bid, cid from choice_row union all select m, bid, cid from score_row)""",
 )
 def _(tb):
     rows = tb.spark.read.parquet(_ingested(tb))
@@ -557,7 +559,7 @@ def _(tb):
     "ST2",
     """select run_id, benchmark_id, cases recorded, succeeded, failed, abstained,
               round(cases / cast(expected as double), 6) coverage
-       from results where task in ('noul', 'box')""",
+       from results""",
 )
 def _(tb):
     target = shared_path(tb.spark, "live")

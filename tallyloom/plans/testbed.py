@@ -83,13 +83,12 @@ class Testbed:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, rows: DataFrame, key: str) -> DataFrame:
-        """Use all cores when a table arrives in fewer pieces than there are.
+        """Deal the rows over all cores by key.
 
         Deriving predictions multiplies rows; a table delivered as one small file would do
-        that in one task. Tables with enough pieces are not shuffled.
+        that in one task.
         """
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+        return rows.repartition(self.spark.sparkContext.defaultParallelism, key)
 
     # --- decisions ------------------------------------------------------------------
 

@@ -11,23 +11,18 @@ from pyspark.sql import functions as F
 
 from tallyloom.schema import RESULT
 
-# Limits of the bundle format.
-MAX_BYTES = 64 * 1024 * 1024
+# Fixed value: the memory that the format grants an XZ decoder. It bounds the dictionary, not the document.
 MAX_DECODER_MEMORY = 128 * 1024 * 1024
 
 
 def decompress(payload: bytes, compressed: bool) -> tuple[str | None, str | None]:
-    """(text, problem) of one bundle file; both sides of the compression are bounded."""
-    if len(payload) > MAX_BYTES:
-        return None, "oversized"
+    """(text, problem) of one bundle file; documents of any size are read."""
     if compressed:
         decoder = lzma.LZMADecompressor(format=lzma.FORMAT_XZ, memlimit=MAX_DECODER_MEMORY)
         try:
-            payload = decoder.decompress(payload, max_length=MAX_BYTES + 1)
+            payload = decoder.decompress(payload)
         except lzma.LZMAError:
             return None, "not an XZ stream"
-        if len(payload) > MAX_BYTES:
-            return None, "oversized"
         if not decoder.eof or decoder.unused_data:
             return None, "truncated stream or trailing data"
     try:
@@ -96,10 +91,28 @@ def read_bundles(spark: SparkSession, root: str) -> DataFrame:
     return text.select("path", problem.alias("problem"), result.alias("result"))
 
 
-def flat_results(bundles: DataFrame) -> DataFrame:
-    """Summary columns of parsed bundles, without their predictions."""
+def bundle_problems(bundles: DataFrame) -> DataFrame:
+    """Violations (check, subject, detail) of bundles that could not be read."""
+    return bundles.where(F.col("problem").isNotNull()).select(
+        F.lit("bundle").alias("check"), F.col("path").alias("subject"), F.col("problem").alias("detail")
+    )
+
+
+def _sound(bundles: DataFrame, strict: bool) -> DataFrame:
+    """Bundles with a result; unless told otherwise, one with a problem ends the job with its path."""
+    if not strict:
+        return bundles.where(F.col("result").isNotNull())
+    broken = F.raise_error(F.concat_ws(": ", "path", "problem"))
+    return bundles.withColumn("result", F.when(F.col("problem").isNotNull(), broken).otherwise(F.col("result")))
+
+
+def flat_results(bundles: DataFrame, strict: bool = True) -> DataFrame:
+    """Summary columns of parsed bundles, without their predictions.
+
+    `strict=False` leaves bundles with a problem out; `bundle_problems` has them.
+    """
     r = "result"
-    return bundles.where(F.col("result").isNotNull()).select(
+    return _sound(bundles, strict).select(
         "path",
         f"{r}.run_id",
         F.col(f"{r}.benchmark.id").alias("benchmark_id"),
@@ -114,8 +127,8 @@ def flat_results(bundles: DataFrame) -> DataFrame:
     )
 
 
-def flat_predictions(bundles: DataFrame) -> DataFrame:
-    rows = bundles.where(F.col("result").isNotNull()).select(
+def flat_predictions(bundles: DataFrame, strict: bool = True) -> DataFrame:
+    rows = _sound(bundles, strict).select(
         "result.run_id",
         F.col("result.benchmark.id").alias("benchmark_id"),
         F.explode("result.predictions").alias("p"),

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import csv_cell, markdown_cell, markdown_link
-from tallyloom.sources.bundles import MAX_BYTES
 from tallyloom.validation.checks import conflicting_results, raise_on
 
 PARTITION = ("run_id", "benchmark_id")
+# Tasks that share one (run, benchmark) by default; a result with fewer rows has fewer files.
+FILES_PER_RESULT = 16
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -27,7 +28,7 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if _exists(spark, path) else None
 
 
-def write_results(results: DataFrame, path: str, files_per_result: int = 1) -> None:
+def write_results(results: DataFrame, path: str, files_per_result: int = FILES_PER_RESULT) -> None:
     """Append results that do not exist yet; an existing (run, benchmark) is an error.
 
     Rows are spread over `files_per_result` pieces per result, so that a run or benchmark
@@ -52,7 +53,7 @@ def _in_pieces(rows: DataFrame, pieces: int) -> DataFrame:
 
 
 def export_results(
-    results: DataFrame, path: str, content: list[str], files_per_result: int = 1
+    results: DataFrame, path: str, content: list[str], files_per_result: int = FILES_PER_RESULT
 ) -> None:
     """Add or replace the supplied (model, benchmark) parts and keep all others.
 
@@ -71,15 +72,15 @@ def export_results(
 def publish_snapshot(
     results: DataFrame, root: str, snapshot_id: str, violations: DataFrame
 ) -> None:
-    """Write a generation, validate it, and only then move the pointer to it.
+    """Validate, then write a generation, and only then move the pointer to it.
 
-    `violations` is checked before the pointer row is appended. Earlier generations stay
-    where they are, so readers that resolved an older pointer keep working.
+    A rejected id leaves nothing behind and can be used again. Earlier generations stay where
+    they are, so readers that resolved an older pointer keep working.
     """
     spark = results.sparkSession
     base = root.rstrip("/")
-    results.write.mode("errorifexists").parquet(f"{base}/generations/snapshot_id={snapshot_id}")
     raise_on(violations)
+    results.write.mode("errorifexists").parquet(f"{base}/generations/snapshot_id={snapshot_id}")
     pointers = _read_or_none(spark, f"{base}/pointer")
     number = 1 if pointers is None else pointers.agg(F.max("number")).first()[0] + 1
     spark.range(1).select(
@@ -110,8 +111,6 @@ def write_documents(rows: DataFrame, root: str, name: str, content: str) -> Data
             sizes = []
             for file, text in zip(batch["name"], batch["content"], strict=True):
                 payload = text.encode("utf-8")
-                if len(payload) > MAX_BYTES:
-                    raise ValueError(f"Document exceeds the size limit: {file}")
                 if file.endswith(".xz"):
                     payload = lzma.compress(payload)
                 target = f"{folder}/{file}"
@@ -153,6 +152,30 @@ def csv_header(columns: list[str]) -> str:
     return ",".join('"' + c.replace('"', '""') + '"' for c in [*columns, "url", "huggingface"])
 
 
+def _document(heads: list[str], lines: DataFrame, order: list[str]) -> DataFrame:
+    """Head lines and table lines with a common order: (place, order columns, line)."""
+    spark = lines.sparkSession
+    types = dict(lines.dtypes)
+    keys = [f"k{i}" for i in range(len(order))]
+    body = lines.select(F.lit(len(heads)).alias("place"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], "line")
+    head = spark.createDataFrame(list(enumerate(heads)), "place int, line string")
+    empty = [F.lit(None).cast(types[c]).alias(k) for c, k in zip(order, keys, strict=True)]
+    return head.select("place", *empty, "line").unionByName(body)
+
+
+def write_csv(table: DataFrame, columns: list[str], order: list[str], path: str) -> None:
+    """A whole CSV document: header line, then the rows by `order`, each line ended by CRLF."""
+    document = _document([csv_header(columns)], csv_lines(table, columns), order)
+    write_lines(document, [c for c in document.columns if c != "line"], path, "\r\n")
+
+
+def write_markdown(table: DataFrame, columns: list[str], order: list[str], path: str) -> None:
+    """A whole Markdown table: header, separator row, then the rows by `order`."""
+    heads = ["| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
+    document = _document(heads, markdown_lines(table, columns), order)
+    write_lines(document, [c for c in document.columns if c != "line"], path)
+
+
 def markdown_lines(table: DataFrame, columns: list[str], linked: str = "Model") -> DataFrame:
     def cell(name: str) -> Column:
         value = F.coalesce(F.col(name).cast("string"), F.lit(""))

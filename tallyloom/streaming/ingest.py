@@ -21,6 +21,8 @@ ARRIVING = T.StructType(
         T.StructField(ARRIVED, T.TimestampType()),
     ]
 )
+# The stored table: a folder per batch.
+STORED = T.StructType([*ARRIVING.fields, T.StructField("batch", T.LongType())])
 
 
 def arriving_predictions(
@@ -33,26 +35,32 @@ def arriving_predictions(
     return reader.parquet(path)
 
 
-def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One row per decision of a run; state is dropped once the watermark has passed."""
-    return stream.withWatermark(ARRIVED, delay).dropDuplicatesWithinWatermark(list(KEY))
-
-
 def ingest(
     spark: SparkSession,
     source: str,
     target: str,
     checkpoint: str,
-    delay: str = "1 day",
     files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Append new predictions to a Parquet table, then stop when the input is used up."""
-    rows = deduplicated(arriving_predictions(spark, source, files_per_trigger), delay)
+    """Append new predictions to a Parquet table, then stop when the input is used up.
+
+    The target itself says what is new: a batch keeps the keys that no earlier batch wrote, so a
+    row that comes late is taken and a copy is not, whenever either arrives. Each batch owns a
+    folder and overwrites it when it is replayed.
+    """
+    names = [f.name for f in ARRIVING.fields]
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(list(KEY))
+        if batch_id > 0:
+            stored = batch.sparkSession.read.schema(STORED).parquet(target).where(F.col("batch") < batch_id)
+            new = new.join(stored.select(*KEY), list(KEY), "left_anti")
+        new.select(*names).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
     return (
-        rows.writeStream.format("parquet")
-        .option("path", target)
+        arriving_predictions(spark, source, files_per_trigger)
+        .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
@@ -73,7 +81,6 @@ def live_counts(
     source: str,
     target: str,
     checkpoint: str,
-    delay: str = "1 day",
     files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Running counts of a stream that holds one row per decision (see `ingest`).

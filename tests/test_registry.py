@@ -9,10 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tallyloom.plans.queries import SURVEY
+from tallyloom.plans.queries import QUERIES, SURVEY
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -60,11 +60,20 @@ def test_archives_need_metadata(spark, folder):
     assert lone == ["b7.json.xz"]
 
 
-def test_size_limits_hold_on_both_sides(monkeypatch):
-    monkeypatch.setattr(B, "MAX_BYTES", 100)
-    assert B.decompress(b"x" * 101, False) == (None, "oversized")
-    assert B.decompress(lzma.compress(b"x" * 101), True) == (None, "oversized")
-    assert B.decompress(b"x" * 100, False) == ("x" * 100, None)
+def test_documents_of_any_size_are_read():
+    large = b"[" + b"1," * (35 << 20) + b"1]"
+    assert B.decompress(large, False) == (large.decode(), None)
+    assert B.decompress(lzma.compress(large, preset=0), True) == (large.decode(), None)
+
+
+def test_flat_tables_stop_at_a_broken_bundle(spark, folder):
+    bundles = B.read_bundles(spark, str(folder))
+    broken = B.bundle_problems(bundles).collect()
+    assert broken and {r["check"] for r in broken} == {"bundle"}
+    for flat in (B.flat_results, B.flat_predictions):
+        with pytest.raises(Exception, match="json"):
+            flat(bundles).collect()
+        flat(bundles, strict=False).collect()
 
 
 def test_definitions_registry_and_metadata(spark, tmp_path):
@@ -151,18 +160,20 @@ def test_failures_stay_in_their_case(spark):
 def test_ingest_resumes_without_repeating(spark, tmp_path):
     source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
 
-    def deliver(ids):
+    def deliver(ids, arrived):
         rows = spark.createDataFrame([("r", "b", str(i), "q") for i in ids], "run_id string, benchmark_id string, case_id string, question_id string")
         rows.select("*", F.expr("map('true', 1D)").alias("probabilities"),
                     F.expr("cast(null as struct<left:double,top:double,right:double,bottom:double>)").alias("box"),
                     F.expr("cast(null as string)").alias("error"), F.expr("cast(null as string)").alias("abstention"),
-                    F.lit("2024-01-01").cast("timestamp").alias("arrived_at")).write.mode("append").parquet(source)
+                    F.lit(arrived).cast("timestamp").alias("arrived_at")).write.mode("append").parquet(source)
 
-    for ids in (range(5), range(3, 8), range(0)):
-        deliver(ids)
+    # The last rows come two weeks late: the new one is taken, the copy is not.
+    days = ("2024-01-20", "2024-01-21", "2024-01-22", "2024-01-06")
+    for ids, day in zip((range(5), range(3, 8), range(0), range(7, 9)), days, strict=True):
+        deliver(ids, day)
         I.ingest(spark, source, target, progress).awaitTermination()
     found = sorted(int(r["case_id"]) for r in spark.read.parquet(target).collect())
-    assert found == list(range(8))
+    assert found == list(range(9))
 
 
 def test_raise_on_names_examples(spark):
@@ -170,3 +181,25 @@ def test_raise_on_names_examples(spark):
     C.raise_on(none)
     with pytest.raises(ValueError, match="box r/b: edge"):
         C.raise_on(spark.createDataFrame([("box", "r/b", "edge")], none.schema))
+
+
+def test_whole_documents_of_tables(spark, tmp_path):
+    rows = [(2, 'say "hi"', "é\nx", "https://a.example/b", ""), (1, "=sum", "p|q", "", "")]
+    table = spark.createDataFrame(rows, "k int, Model string, Lang string, url string, huggingface string")
+    for name, write in (("csv", W.write_csv), ("md", W.write_markdown)):
+        write(table, ["Model", "Lang"], ["k"], str(tmp_path / name))
+    read = lambda name: b"".join(p.read_bytes() for p in sorted((tmp_path / name).glob("part-*")))
+    csv, markdown = read("csv"), read("md")
+    assert csv.startswith(b'"Model","Lang","url","huggingface"\r\n') and csv.endswith(b"\r\n")
+    lines = csv.decode().split("\r\n")[1:-1]
+    assert len(lines) == 2 and lines[1].startswith('"say ""hi""",')
+    assert markdown.startswith(b"| Model | Lang |\n| --- | --- |\n") and markdown.count(b"\n") == 4
+
+
+def test_rejected_snapshots_leave_nothing(spark, tmp_path):
+    bad = spark.createDataFrame([("a", "b", "c")], "check string, subject string, detail string")
+    results = spark.range(1)
+    with pytest.raises(ValueError):
+        W.publish_snapshot(results, str(tmp_path), "one", bad)
+    W.publish_snapshot(results, str(tmp_path), "one", bad.limit(0))
+    assert W.current_snapshot(spark, str(tmp_path)).count() == 1
