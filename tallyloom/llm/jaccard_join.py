@@ -44,7 +44,7 @@ LARGEST_SET = 1 << 40
 # What a chance meeting costs against a row that is made, in the choice of weights.
 MEETING_COST = 0.05
 NULL_ID = -(1 << 63)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -169,27 +169,32 @@ def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Sets:
 
 
 def _described(words: int):
-    """(doc, n, h1, h2, sketch) of every document."""
+    """(doc, n, h1, h2) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in shingle_sets(batch.column(1), words):
                 h1, h2 = sets.fingerprints()
-                sketch = sets.sketches()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(h1)),
                         pa.array(sets.size.astype(np.int64)),
                         pa.array(h1.view(np.int64)),
                         pa.array(h2.view(np.int64)),
-                        pa.array([x.tobytes() for x in sketch], pa.binary()),
                     ],
-                    ["doc", "n", "h1", "h2", "sketch"],
+                    ["doc", "n", "h1", "h2"],
                 )
 
     return run
 
 
+def _sketch(words: int):
+    def run(text: pa.Array) -> np.ndarray:
+        return np.concatenate([sets.sketches() for _, sets in shingle_sets(text, words)])
+
+    return run
+
+
 def index_rows(sets: Sets, node: np.ndarray, bands: Bands, below: int) -> tuple[np.ndarray, ...]:
     """(key, node, size << 1 | exact) of the scheme of each set's own band (below = 0) or of the one below (1)."""
     scheme = np.searchsorted(bands.edge, sets.size, "right") - 1 - below
@@ -303,12 +308,10 @@ def linked_documents(
         return spark.read.parquet(f"{folder}/{name}")
 
     described = stored(
-        given.mapInArrow(_described(words), "doc bigint, n bigint, h1 bigint, h2 bigint, sketch binary"), "sets"
+        given.mapInArrow(_described(words), "doc bigint, n bigint, h1 bigint, h2 bigint"), "sets"
     )
     full = described.filter("n > 0")
-    reps = full.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
-    sketches = full.select("n", "h1", "h2", F.col("doc").alias("rep"), "sketch").dropDuplicates(["n", "h1", "h2", "rep"])
-    classes = stored(reps.join(sketches, ["n", "h1", "h2", "rep"]), "classes")
+    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep")), "classes")
 
     largest = classes.agg(F.max("n")).first()[0] or 1
     edge = edges(num, den, largest)
@@ -333,12 +336,12 @@ def linked_documents(
     tiles = Tiles(frequent_keys(part.mapInArrow(_indexed(words, bands, Tiles({})), shape), sample, parts, tile))
     labels = linked_components(
         given.mapInArrow(_indexed(words, bands, tiles), shape),
-        classes.select(F.col("h1").alias("node"), "rep", "n", "sketch"),
+        classes.select(F.col("h1").alias("node"), "rep", "n"),
         given,
-        Join(fits, most, _verified(words, num, den), WORDS, small_group),
+        Join(fits, most, _verified(words, num, den), _sketch(words), WORDS, small_group),
         folder,
     )
-    mine = full.select("doc", "n", "h1", "h2").join(reps, ["n", "h1", "h2"])
+    mine = full.select("doc", "n", "h1", "h2").join(classes, ["n", "h1", "h2"])
     found = mine.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc", "n", F.coalesce("label", "rep").alias("component")
     )

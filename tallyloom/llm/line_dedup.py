@@ -29,7 +29,7 @@ from tallyloom.llm.similarity import SMALL_GROUP, TILE, Join, Tiles, frequent_ke
 from tallyloom.session import shared_path
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 WORDS = 4
 NULL_ID = -(1 << 63)
 NEWLINE = 10
@@ -50,12 +50,26 @@ class Lines:
         self.row, self.number, self.start, self.size = row[keep], number[keep], start[keep], (stop - start)[keep]
         values = mixed(point.astype(np.uint64) + np.uint64(1))
         self.point = point
-        self.one, self.two = Hashes(values, BASES[0]), Hashes(values, BASES[1])
+        self.one = Hashes(values, BASES[0])
         self.values = values
 
+    def nodes(self) -> np.ndarray:
+        return mixed(self.one.of(self.start, self.size) + self.size.astype(np.uint64))
+
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        size = self.size.astype(np.uint64)
-        return mixed(self.one.of(self.start, self.size) + size), mixed(self.two.of(self.start, self.size) + size)
+        """Two independent hashes of each line; the first is its node."""
+        two = Hashes(self.values, BASES[1]).of(self.start, self.size)
+        return self.nodes(), mixed(two + self.size.astype(np.uint64))
+
+    def texts(self, some: np.ndarray) -> pa.Array:
+        """The lines at `some` as strings, copied in one go."""
+        data = self.point.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+        data = np.frombuffer(data, np.uint8)
+        first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        start, stop = first[self.start[some]], first[self.start[some] + self.size[some]]
+        offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+        copied = data[ranges(start, stop - start)].tobytes()
+        return pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(copied)])
 
     def sketches(self) -> np.ndarray:
         """Parity of the pairs of neighbouring characters, per bit."""
@@ -89,6 +103,10 @@ def line_parts(column: pa.Array, min_chars: int) -> Iterator[tuple[int, Lines]]:
         at = to
 
 
+def _sketch(text: pa.Array) -> np.ndarray:
+    return np.concatenate([lines.sketches() for _, lines in line_parts(text, 0)])
+
+
 def _segments(size: np.ndarray, i: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment i of lines of a size: even, the longer segments last."""
     count = threshold + 1
@@ -121,7 +139,7 @@ def index_rows(lines: Lines, node: np.ndarray, some: np.ndarray, threshold: int,
 
 
 def _listed(min_chars: int):
-    """(doc, line, n, h1, h2, sketch) of every line that takes part."""
+    """(doc, line, n, h1, h2) of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,10 +148,7 @@ def _listed(min_chars: int):
                 if len(lines.row):
                     h1, h2 = lines.fingerprints()
                     columns = [doc[at + lines.row], lines.number, lines.size, h1.view(np.int64), h2.view(np.int64)]
-                    sketch = pa.array([x.tobytes() for x in lines.sketches()], pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [*map(pa.array, columns), sketch], ["doc", "line", "n", "h1", "h2", "sketch"]
-                    )
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc", "line", "n", "h1", "h2"])
 
     return run
 
@@ -148,7 +163,7 @@ def _indexed(threshold: int, min_chars: int, tiles: Tiles):
         for batch in batches:
             known = np.zeros(0, np.uint64)
             for _, lines in line_parts(batch.column(1), min_chars):
-                node = lines.fingerprints()[0]
+                node = lines.nodes()
                 some, known = _first(node, known)
                 for rows in index_rows(lines, node, some, threshold, min_chars):
                     yield from index_batches(*tiles.deal(*rows))
@@ -163,13 +178,9 @@ def _texts(min_chars: int):
         for batch in batches:
             known = np.zeros(0, np.uint64)
             for _, lines in line_parts(batch.column(1), min_chars):
-                node = lines.fingerprints()[0]
+                node = lines.nodes()
                 some, known = _first(node, known)
-                text = [
-                    lines.point[a : a + n].tobytes().decode("utf-32-le")
-                    for a, n in zip(lines.start[some].tolist(), lines.size[some].tolist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(node[some].view(np.int64)), pa.array(text, pa.string())], ["doc", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[some].view(np.int64)), lines.texts(some)], ["doc", "text"])
 
     return run
 
@@ -258,12 +269,10 @@ def line_verdicts(
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    shape = "doc bigint, line bigint, n bigint, h1 bigint, h2 bigint, sketch binary"
+    shape = "doc bigint, line bigint, n bigint, h1 bigint, h2 bigint"
     lines = stored(given.mapInArrow(_listed(min_chars), shape), "lines")
     place = F.min(F.struct("doc", "line")).alias("place")
-    classes = stored(
-        lines.groupBy("n", "h1", "h2").agg(place, F.first("sketch").alias("sketch")), "classes"
-    )
+    classes = stored(lines.groupBy("n", "h1", "h2").agg(place), "classes")
 
     def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (np.abs((a >> 1) - (b >> 1)) <= threshold) & ((a | b) & 1 == 1)
@@ -277,9 +286,9 @@ def line_verdicts(
     tiles = Tiles(frequent_keys(few, sample, parts, tile))
     labels = linked_components(
         given.mapInArrow(_indexed(threshold, min_chars, tiles), rows),
-        classes.select(F.col("h1").alias("node"), F.col("h1").alias("rep"), "n", "sketch"),
+        classes.select(F.col("h1").alias("node"), F.col("h1").alias("rep"), "n"),
         given.mapInArrow(_texts(min_chars), "doc bigint, text string"),
-        Join(fits, most, _verified(threshold), WORDS, small_group),
+        Join(fits, most, _verified(threshold), _sketch, WORDS, small_group),
         folder,
     )
     named = classes.select("n", "h1", "h2", "place").join(labels.withColumnRenamed("node", "h1"), "h1", "left")

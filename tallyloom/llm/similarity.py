@@ -29,12 +29,14 @@ class Join:
     """The rules of a join.
 
     fits(info, info): sizes in reach of each other and one side exact; most(size, size): largest sketch distance of a
-    link, for arrays and for columns; verify: Arrow function over (x, y, doc, text) sorted by (x, y), two rows a pair.
+    link, for arrays and for columns; verify: Arrow function over (x, y, doc, text) sorted by (x, y), two rows a pair;
+    sketch: a string array -> one row of `words` 64-bit words (as bytes) for each text.
     """
 
     fits: Callable[[np.ndarray, np.ndarray], np.ndarray]
     most: Callable
     verify: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    sketch: Callable[[pa.Array], np.ndarray]
     words: int  # 64-bit words of a sketch
     small_group: int = SMALL_GROUP
 
@@ -182,11 +184,25 @@ def _compared(join: Join):
     return run
 
 
+def _sketched(join: Join):
+    """(doc, text) -> (doc, text, sketch), once for each doc of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sketch = [x.tobytes() for x in join.sketch(part.column(1))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sketch, pa.binary())], ["doc", "text", "sketch"])
+
+    return run
+
+
 def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, join: Join, folder: str) -> DataFrame:
     """(node, label) of all linked representatives.
 
-    `rows` are index rows (key, node, info); `classes` has (node, rep, n, sketch): the representative of each node;
+    `rows` are index rows (key, node, info); `classes` has (node, rep, n): the representative of each node;
     `texts` has (doc, text) for at least all representatives. `folder` is a new one below the shared folder.
+    Only texts that some group has together with others are kept and sketched.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -205,6 +221,15 @@ def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, joi
     pairs = groups.filter("info = 0").select("x", "y").distinct()
     # Sketches as numbers: their distance is a built-in expression.
     width = range(join.words)
+    together = members.select("node").unionByName(pairs.select(F.explode(F.array("x", "y")).alias("node"))).distinct()
+    some = stored(classes.join(together, "node"), "together")
+    wanted = some.select(F.col("rep").alias("doc")).distinct()
+    texts = stored(
+        texts.join(wanted, "doc").select("doc", "text").mapInArrow(_sketched(join), "doc bigint, text string, sketch binary"),
+        "texts",
+    ).dropDuplicates(["doc"])
+    classes = some.join(texts.select(F.col("doc").alias("rep"), "sketch"), "rep")
+    texts = texts.select("doc", "text")
 
     def compared(some: DataFrame, label: Column, whole: bool) -> DataFrame:
         wide = some.join(classes.select("node", "sketch"), "node").select(

@@ -10,9 +10,9 @@ SHORT = 12
 
 
 def changed(r, text, edits):
-    chars = list(text) or ["a"]
+    chars = list(text)
     for _ in range(edits):
-        at, kind = r.randrange(len(chars)), r.randrange(3)
+        at, kind = r.randrange(len(chars) + 1), r.randrange(3)
         chars[at : at + (kind != 0)] = [r.choice("abcü🙂")] * (kind != 1)
     return "".join(chars)
 
