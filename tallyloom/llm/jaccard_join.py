@@ -3,10 +3,10 @@
 Two sets with Jaccard >= t differ in at most H = (1 - t) / (1 + t) * (|x| + |y|) shingles. Shingles are hashed into
 segments; sizes fall into bands of ratio 1 / t, and a set is indexed in the scheme of its own band and of the band
 below, so that both partners of any link share a scheme. By pigeonhole, if the weights of a scheme's segments add up
-to H + 1, then some segment of weight 1 is equal in both sets, or some segment of weight 2 differs in at most one
-shingle. Weight-1 segments are indexed by their subset, weight-2 segments by their subset and its one-deletion
+to more than H, then some segment of weight 1 is equal in both sets, or some segment of weight 2 differs in at most
+one shingle. Weight-1 segments are indexed by their subset, weight-2 segments by their subset and its one-deletion
 neighbourhood. The weights of each band are chosen by cost: rows that are made, and chance meetings of empty segments
-at the number of sets in the band.
+at the number of sets in the band. Slack beyond H + 1 lets most sets leave their empty segments out of the index.
 
 Sets that are equal are one class from the start. Members of larger index groups are compared by parity sketches,
 which never overstate the difference; of a group's possible links only a spanning forest goes on. Candidates are
@@ -41,8 +41,8 @@ from tallyloom.session import shared_path
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORDS = 8  # 64-bit words of a sketch
 LARGEST_SET = 1 << 40
-# What a chance meeting costs against a row that is made, in the choice of weights.
-MEETING_COST = 0.05
+# What a shingle costs in the comparison of two sets, against an index row, in the choice of weights.
+MEETING_COST = 0.7
 NULL_ID = -(1 << 63)
 CHUNK_BYTES = 1 << 19
 
@@ -55,11 +55,12 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 @dataclass(frozen=True)
 class Bands:
-    """Size bands and, per band, its segments: `total` of them, the first `double` with weight 2."""
+    """Size bands and, per band, its segments: `total` of them, the first `double` with weight 2, and the slack."""
 
     edge: np.ndarray  # smallest size of each band
     total: np.ndarray
     double: np.ndarray
+    slack: np.ndarray
 
 
 def edges(num: int, den: int, largest: int) -> np.ndarray:
@@ -69,31 +70,48 @@ def edges(num: int, den: int, largest: int) -> np.ndarray:
     return np.array(found, np.int64)
 
 
-def _weights(size: int, need: int, sets: int) -> tuple[int, int]:
-    """(segments, of them with weight 2) with total weight `need` at the least cost for sets of about `size`."""
+def _weights(size: int, need: int, sets: int) -> tuple[int, int, int]:
+    """(segments, of them with weight 2, slack) of total weight need + slack, at the least cost for sets of `size`.
+
+    Segments that are empty meet by chance. With slack for those that a set may be expected to have, they need no rows
+    (see index_rows); without, they have rows, and each chance meeting costs the comparison of two sets.
+    """
     best = None
     for share in (0.0, 0.25, 0.5, 0.75, 1.0):
-        double = math.ceil(need * share / 2)
-        total = double + max(need - 2 * double, 0)
-        rows = total + double * size / total
-        empty = total * sets * math.exp(-2.0 * size / total)
-        cost = rows + MEETING_COST * empty
-        if best is None or cost < best[0]:
-            best = (cost, total, double)
-    return best[1], best[2]
+        for wide in (False, True):
+            slack = 0
+            for _ in range(20 if wide else 1):
+                double = math.ceil((need + slack) * share / 2)
+                total = double + max(need + slack - 2 * double, 0)
+                fill = size / total
+                trivial = math.exp(-fill) * (total - double + 2 * double * (1 + fill))
+                enough = math.ceil(trivial + 6 * math.sqrt(2 * trivial) + 1) if wide else 0
+                if slack >= enough:
+                    break
+                slack = enough
+            else:
+                continue
+            if total > 2 * size + 1:
+                continue
+            rows = total + double * size / total
+            meetings = 0.0 if wide else sets * math.exp(-2 * fill) * (total - double + double * (1 + fill) ** 2)
+            cost = rows + MEETING_COST * size * meetings
+            if best is None or cost < best[0]:
+                best = (cost, total, double, slack)
+    if best is None:
+        return need, 0, 0
+    return best[1], best[2], best[3]
 
 
 def choose_bands(num: int, den: int, sizes: dict[int, int], largest: int) -> Bands:
     """`sizes`: sets per band."""
     edge = edges(num, den, largest)
-    total, double = [], []
+    chosen = []
     for band in range(len(edge) - 1):
         high = int(edge[band + 1]) - 1
         most = (high + high * den // num) * (den - num) // (den + num)
-        t, d = _weights(int(edge[band]), most + 1, sizes.get(band, 0) + sizes.get(band + 1, 0))
-        total.append(t)
-        double.append(d)
-    return Bands(edge, np.array(total), np.array(double))
+        chosen.append(_weights(int(edge[band]), most + 1, sizes.get(band, 0) + sizes.get(band + 1, 0)))
+    return Bands(edge, *(np.array(x, np.int64) for x in zip(*chosen, strict=True)))
 
 
 @dataclass
@@ -209,19 +227,27 @@ def index_rows(sets: Sets, node: np.ndarray, bands: Bands, below: int) -> tuple[
     sums = np.zeros(len(shingle) + 1, np.uint64)
     value = mixed(shingle ^ np.uint64(BASES[0]))
     np.cumsum(value, out=sums[1:])
-    stop = np.cumsum(np.bincount(place, minlength=int(m.sum())))
+    filled = np.bincount(place, minlength=int(m.sum()))
+    stop = np.cumsum(filled)
     subset = sums[stop] - sums[np.concatenate([[0], stop[:-1]])] if len(stop) else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(m)), m)
     inner = np.arange(len(owner)) - base[owner]
     tag = mixed((scheme[owner].astype(np.uint64) << np.uint64(40)) + inner.astype(np.uint64) + np.uint64(1))
     exact = mixed(subset ^ tag)
     info = sets.size << 1
-    two = segment < bands.double[np.maximum(scheme, 0)][row]
+    low = np.maximum(scheme, 0)
+    wide = inner < bands.double[low][owner]
+    # A link leaves matching segments of more than `slack` weight. If those of a set that could match as empty weigh
+    # no more, another one matches as well, and the empty subsets need no rows. Other sets have all rows.
+    empty = np.where(wide, 2 * (filled <= 1), filled == 0)
+    every = np.bincount(owner, empty, minlength=len(m)) > bands.slack[low]
+    one = (filled > 0) | every[owner]
+    two = (segment < bands.double[low][row]) & ((filled[place] > 1) | every[row])
     less = mixed((subset[place[two]] - value[two]) ^ tag[place[two]])
     return (
-        np.concatenate([exact, less]),
-        np.concatenate([node[owner], node[row[two]]]),
-        np.concatenate([info[owner] | 1, info[row[two]]]),
+        np.concatenate([exact[one], less]),
+        np.concatenate([node[owner[one]], node[row[two]]]),
+        np.concatenate([info[owner[one]] | 1, info[row[two]]]),
     )
 
 

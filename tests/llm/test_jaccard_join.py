@@ -5,7 +5,7 @@ import pytest
 
 from llm_helpers import documents, groups, prose, shingles
 from tallyloom.llm.components import components
-from tallyloom.llm.jaccard_join import choose_bands, edges, linked_documents
+from tallyloom.llm.jaccard_join import Bands, Sets, choose_bands, edges, index_rows, linked_documents
 from tallyloom.session import shared_path
 
 
@@ -49,16 +49,43 @@ def test_repeated_rows_and_empty_tables(spark):
 
 
 def test_weights_reach_the_bound():
-    for sets in (1, 10**9):
+    for sets in (1, 1000, 10**9):
         bands = choose_bands(90, 100, {i: sets for i in range(200)}, 100_000)
         edge = edges(90, 100, 100_000)
-        for band, (total, double) in enumerate(zip(bands.total, bands.double, strict=True)):
+        for band, (total, double, slack) in enumerate(zip(bands.total, bands.double, bands.slack, strict=True)):
             high = int(edge[band + 1]) - 1
-            assert total + double >= (high + high * 100 // 90) * 10 // 190 + 1
+            assert total + double >= (high + high * 100 // 90) * 10 // 190 + 1 + slack
     assert choose_bands(90, 100, {}, 50).double.sum() == 0
     assert np.any(choose_bands(90, 100, {i: 10**12 for i in range(99)}, 50).double)
 
 
+@pytest.mark.parametrize("weights", [(3, 0, 0), (9, 0, 6), (2, 1, 0), (8, 3, 8), (30, 30, 40)])
+def test_equal_keys_for_all_close_sets(weights):
+    """Sets within the weight of a scheme share a key, one side of it exact, with and without empty segments."""
+    total, double, slack = weights
+    r = np.random.default_rng(1)
+    bands = Bands(np.array([1, 1000]), np.array([total]), np.array([double]), np.array([slack]))
+    reach = total + double - 1 - slack
+    for size in (1, 2, 3, 5, 12, 40):
+        for _ in range(60):
+            a = set(r.integers(0, 2**63, size).tolist())
+            b = set(a)
+            for _ in range(reach):
+                if r.random() < 0.5 and len(b) > 1:
+                    b.remove(sorted(b)[r.integers(len(b))])
+                else:
+                    b.add(int(r.integers(0, 2**63)))
+            if len(a ^ b) > reach:
+                continue
+            both = [np.array(sorted(x), np.uint64) for x in (a, b)]
+            sets = Sets(np.repeat([0, 1], [len(x) for x in both]), np.concatenate(both), np.array([len(x) for x in both]))
+            key, node, info = index_rows(sets, np.array([0, 1], np.uint64), bands, 0)
+            rows = [{}, {}]
+            for k, n, i in zip(key.tolist(), node.tolist(), info.tolist(), strict=True):
+                rows[n][k] = rows[n].get(k, 0) | (i & 1)
+            assert any(rows[0][k] | rows[1][k] for k in rows[0].keys() & rows[1].keys())
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
