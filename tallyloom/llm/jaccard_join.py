@@ -84,8 +84,10 @@ def _weights(size: int, need: int, sets: int) -> tuple[int, int, int]:
                 double = math.ceil((need + slack) * share / 2)
                 total = double + max(need + slack - 2 * double, 0)
                 fill = size / total
-                trivial = math.exp(-fill) * (total - double + 2 * double * (1 + fill))
-                enough = math.ceil(trivial + 6 * math.sqrt(2 * trivial) + 1) if wide else 0
+                once, twice = math.exp(-fill) * (total - double), math.exp(-fill) * double * (1 + fill)
+                # Beyond so many deviations hardly one of all sets is left.
+                away = math.sqrt(2 * math.log(max(sets, 2)) * (once + 4 * twice))
+                enough = math.ceil(once + 2 * twice + away + 1) if wide else 0
                 if slack >= enough:
                     break
                 slack = enough
