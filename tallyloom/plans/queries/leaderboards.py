@@ -108,7 +108,12 @@ _RAW = f"""
   group by t.category, t.run_id, t.task"""
 _BOARD = f"""
   select category, run_id, task, demo, complete, total,
-         case when complete = total then mean end score from ({_RAW})"""
+         case when complete = total then mean end score from ({_RAW})
+  union all
+  select a.category, a.run_id, k.task, a.demo, 0, 0, cast(null as double)
+  from (select category, run_id, bool_or(provenance = 'demo') demo from scoped group by category, run_id) a,
+       (values ('noul'), ('choice'), ('score'), ('box')) k(task)
+  where not exists (select 1 from required q where q.category = a.category and q.task = k.task)"""
 
 
 @query(
@@ -118,8 +123,7 @@ _BOARD = f"""
 )
 def _(tb):
     board = L.raw_leaderboard(tb.results, tb.members, tb.benchmarks)
-    # Absent (category, task) scopes have no required benchmark and no row in the oracle.
-    return board.where(F.col("total") > 0).select(
+    return board.select(
         "category",
         "run_id",
         "task",
@@ -140,7 +144,7 @@ def _(tb):
         from ({_BOARD})""",
 )
 def _(tb):
-    board = L.raw_leaderboard(tb.results, tb.members, tb.benchmarks).where(F.col("total") > 0)
+    board = L.raw_leaderboard(tb.results, tb.members, tb.benchmarks)
     board = board.withColumn("score", F.round("score", 12))
     return L.leaderboard_positions(board).select("category", "task", "run_id", "position")
 
@@ -148,15 +152,14 @@ def _(tb):
 @query(
     "diagnostic_means",
     "AG17",
-    """select category, run_id, task, round(avg(accuracy), 6) mean
-       from scoped where task = 'noul' and status = 'complete' and provenance = 'measured'
-       group by category, run_id, task
-       having count(*) = (select required from required q
-                          where q.category = scoped.category and q.task = 'noul')""",
+    """select t.category, t.run_id, t.task,
+         round(case when count(*) filter (s.status = 'complete' and s.provenance = 'measured') = min(t.required)
+                     and count(s.accuracy) = count(*) then avg(s.accuracy) end, 6) mean
+       from run_tasks t left join scoped s on s.category = t.category and s.run_id = t.run_id and s.task = t.task
+       group by t.category, t.run_id, t.task""",
 )
 def _(tb):
-    means = _means(tb, "accuracy").where((F.col("task") == "noul") & F.col("value").isNotNull())
-    return means.select("category", "run_id", "task", r6("value", "mean"))
+    return _means(tb, "accuracy").select("category", "run_id", "task", r6("value", "mean"))
 
 
 _CELL = """max(case when d.dataset like '%-{f}-{t}' and s.status = 'complete'
