@@ -26,6 +26,11 @@ _CHOICE_KEY = _subject(
 )
 
 
+# Every prediction's run, benchmark, case and question.
+_ALL = """(select m, bid, cid, 'status' q from choice_row union all select m, bid, cid, 'price' from score_row
+  union all select m, bid, cid, 'quality' from noul_row union all select m, bid, cid, 'area' from box_row)"""
+
+
 @query(
     "check_probability_maps",
     "V1",
@@ -220,23 +225,22 @@ def _(tb):
 @query(
     "check_prediction_keys",
     "V7",
-    """select 'prediction key' "check",
-              concat('run-', cast(m as varchar), '/', bid, '/x', cast(cid as varchar), '/status')
-                subject,
+    f"""select 'prediction key' "check",
+              concat('run-', cast(m as varchar), '/', bid, '/x', cast(cid as varchar), '/', q) subject,
               'unknown decision' detail
-       from choice_row where cid % 211 = 0
+       from {_ALL} where cid % 211 = 0
        union all select 'prediction key',
-              concat('run-', cast(m as varchar), '/', bid, '/', cast(cid as varchar), '/status'),
-              'duplicate' from choice_row where cid % 199 = 0 and cid % 211 <> 0
+              concat('run-', cast(m as varchar), '/', bid, '/', cast(cid as varchar), '/', q),
+              'duplicate' from {_ALL} where cid % 199 = 0 and cid % 211 <> 0
        union all select 'prediction key',
-              concat('run-', cast(m as varchar), '/', bid, '/x', cast(cid as varchar), '/status'),
-              'duplicate' from choice_row where cid % 199 = 0 and cid % 211 = 0
+              concat('run-', cast(m as varchar), '/', bid, '/x', cast(cid as varchar), '/', q),
+              'duplicate' from {_ALL} where cid % 199 = 0 and cid % 211 = 0
        union all select 'prediction key',
-              concat('run-', cast(m as varchar), '/', bid, '/x', cast(cid as varchar), '/status'),
-              'unknown decision' from choice_row where cid % 199 = 0 and cid % 211 = 0""",
+              concat('run-', cast(m as varchar), '/', bid, '/x', cast(cid as varchar), '/', q),
+              'unknown decision' from {_ALL} where cid % 199 = 0 and cid % 211 = 0""",
 )
 def _(tb):
-    rows = tb.predictions_of("choice").select("run_id", "benchmark_id", "case_id", "question_id")
+    rows = tb.predictions.select("run_id", "benchmark_id", "case_id", "question_id")
     renamed = rows.withColumn(
         "case_id",
         F.expr(
@@ -244,7 +248,7 @@ def _(tb):
         ),
     )
     again = renamed.where("cast(replace(case_id, 'x', '') as bigint) % 199 = 0")
-    return _out(C.prediction_keys(renamed.unionByName(again), tb.decisions_of("choice")))
+    return _out(C.prediction_keys(renamed.unionByName(again), tb.decisions))
 
 
 @query(
@@ -269,11 +273,11 @@ def _(tb):
 @query(
     "check_duplicate_cases",
     "V8",
-    """select 'case id' "check", concat(bid, '/', cast(cid as varchar)) subject, 'duplicate' detail
-       from fx_box where cid % 97 = 0""",
+    f"""select distinct 'case id' "check", concat(bid, '/', cast(cid as varchar)) subject, 'duplicate' detail
+       from {_ALL} where m = 0 and cid % 97 = 0""",
 )
 def _(tb):
-    rows = tb.decisions_of("box").select("benchmark_id", "case_id")
+    rows = tb.decisions.select("benchmark_id", "case_id")
     again = rows.where("cast(case_id as bigint) % 97 = 0")
     return _out(C.duplicate_cases(rows.unionByName(again)))
 
@@ -281,22 +285,22 @@ def _(tb):
 @query(
     "check_input_hashes",
     "V9",
-    """select 'input hash' "check",
+    f"""select 'input hash' "check",
               concat('run-', cast(m as varchar), '/', bid, '/', cast(cid as varchar)) subject,
               'hash differs' detail
-       from box_row where cid % 101 = 0 and cid % 103 <> 0
+       from {_ALL} where cid % 101 = 0 and cid % 103 <> 0
        union all select distinct 'input hash', concat('run-', cast(m as varchar), '/', bid),
-              'cases missing' from box_row where cid % 103 = 0""",
+              'cases missing' from {_ALL} where cid % 103 = 0""",
 )
 def _(tb):
-    recorded = tb.predictions_of("box").selectExpr(
+    recorded = tb.predictions.selectExpr(
         "run_id",
         "benchmark_id",
         "case_id",
         "case when cast(case_id as bigint) % 101 = 0 then 'other' else concat('h', case_id) end "
         "input_hash",
     ).where("cast(case_id as bigint) % 103 <> 0")
-    return _out(C.input_hashes(recorded, tb.decisions_of("box")))
+    return _out(C.input_hashes(recorded, tb.decisions))
 
 
 @query(
