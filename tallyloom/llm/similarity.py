@@ -225,7 +225,8 @@ def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, joi
     some = stored(classes.join(together, "node"), "together")
     wanted = some.select(F.col("rep").alias("doc")).distinct()
     texts = stored(
-        texts.join(wanted, "doc").select("doc", "text").mapInArrow(_sketched(join), "doc bigint, text string, sketch binary"),
+        # By shuffle at every size: the ids grow with the corpus.
+        texts.join(wanted.hint("merge"), "doc").select("doc", "text").mapInArrow(_sketched(join), "doc bigint, text string, sketch binary"),
         "texts",
     ).dropDuplicates(["doc"])
     classes = some.join(texts.select(F.col("doc").alias("rep"), "sketch"), "rep")
