@@ -54,12 +54,12 @@ TASK_METRICS = {
 }
 METRICS = tuple(dict.fromkeys(m for t in TASKS for m in TASK_METRICS[t]))
 
-# Reasons shown when a benchmark has no adjusted score.
+# Reason codes of benchmarks without an adjusted score.
 INELIGIBLE_REASON = {
-    "noul": "Only one target class: balanced accuracy is undefined.",
-    "choice": "A fixed answer already achieves 100%: no headroom for adjustment.",
-    "score": "Constant targets: baseline MAE is zero.",
-    "box": "Optional Box IoU; excluded from ranking and baseline adjustment.",
+    "noul": "single_target_class",
+    "choice": "fixed_answer_is_perfect",
+    "score": "constant_targets",
+    "box": "task_is_not_ranked",
 }
 
 # Enumerations of the record formats.

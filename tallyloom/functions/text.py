@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,9 +17,6 @@ DATASET_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*$"
 COMMIT = r"^[0-9a-f]{40}$"
 DIGEST = r"^[0-9a-f]{64}$"
 
-# Model families with a label of their own, and an owner left out of labels.
-FAMILY_LABELS = {"system-ichi": "System Ichi · "}
-HIDDEN_OWNER = "convaiinnovations/"
 HUB_HOST = "huggingface.co"
 
 
@@ -56,22 +54,29 @@ def benchmark_label(benchmark_id: Column, task: Column) -> Column:
     return F.translate(F.regexp_replace(benchmark_id, suffix, F.lit("")), "-", " ")
 
 
-def model_label(display_name: Column, adapter: Column, model_id: Column) -> Column:
+def model_label(
+    display_name: Column,
+    adapter: Column,
+    model_id: Column,
+    family_labels: Mapping[str, str] | None = None,
+    hidden_owner: str = "",
+) -> Column:
+    """The display name, else the model id without `hidden_owner`.
+
+    `family_labels` maps an adapter to the prefix of its models' labels.
+    """
     parts = F.filter(F.split(model_id, "/"), lambda p: p != "")
     last, before = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
     tail = F.when(last == "checkpoint", F.coalesce(before, model_id)).otherwise(
         F.coalesce(last, model_id)
     )
-    at = F.instr(model_id, HIDDEN_OWNER)
-    plain = F.when(
-        at > 0,
-        F.concat(
-            F.substring(model_id, F.lit(1), at - 1),
-            F.substring(model_id, at + len(HIDDEN_OWNER), F.length(model_id)),
-        ),
-    ).otherwise(model_id)
-    label = plain
-    for name, prefix in FAMILY_LABELS.items():
+    label = model_id
+    if hidden_owner:
+        at = F.instr(model_id, hidden_owner)
+        rest = F.substring(model_id, at + len(hidden_owner), F.length(model_id))
+        without = F.concat(F.substring(model_id, F.lit(1), at - 1), rest)
+        label = F.when(at > 0, without).otherwise(model_id)
+    for name, prefix in (family_labels or {}).items():
         label = F.when(adapter == name, F.concat(F.lit(prefix), tail)).otherwise(label)
     return F.coalesce(F.when(display_name != "", display_name), label)
 

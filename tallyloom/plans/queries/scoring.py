@@ -502,10 +502,10 @@ def _(tb):
     "AG13",
     """select run_id, benchmark_id, eligible,
               case when not eligible then case task
-                when 'noul' then 'Only one target class: balanced accuracy is undefined.'
-                when 'choice' then 'A fixed answer already achieves 100%: no headroom for adjustment.'
-                when 'score' then 'Constant targets: baseline MAE is zero.'
-                else 'Optional Box IoU; excluded from ranking and baseline adjustment.' end end
+                when 'noul' then 'single_target_class'
+                when 'choice' then 'fixed_answer_is_perfect'
+                when 'score' then 'constant_targets'
+                else 'task_is_not_ranked' end end
               reason from results""",
 )
 def _(tb):

@@ -367,20 +367,22 @@ def _(tb):
     "model_labels",
     "SC3",
     """select c_custkey, case c_custkey % 4
-         when 0 then c_name when 1 then concat('System Ichi · ', c_mktsegment)
-         when 2 then concat('System Ichi · ', c_name) else concat('x/', c_name) end as label
+         when 0 then c_name when 1 then concat('Family A · ', c_mktsegment)
+         when 2 then concat('Family A · ', c_name) else concat('x/', c_name) end as label
        from customer""",
 )
 def _(tb):
     rows = tb.table("customer").selectExpr(
         "c_custkey",
         "case when c_custkey % 4 = 0 then c_name end display_name",
-        "case when c_custkey % 4 in (1, 2) then 'system-ichi' else 'local' end adapter",
+        "case when c_custkey % 4 in (1, 2) then 'family-a' else 'local' end adapter",
         "case c_custkey % 4 when 1 then concat('/runs/', c_mktsegment, '/checkpoint') "
         "when 2 then concat('a/', c_name, '/') "
-        "else concat('x/convaiinnovations/', c_name) end model_id",
+        "else concat('x/someowner/', c_name) end model_id",
+    )
+    label = X.model_label(
+        F.col("display_name"), F.col("adapter"), F.col("model_id"), {"family-a": "Family A · "}, "someowner/"
     )
-    label = X.model_label(F.col("display_name"), F.col("adapter"), F.col("model_id"))
     return rows.select("c_custkey", label.alias("label"))
 
 
