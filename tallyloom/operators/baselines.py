@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scoring as S
+from tallyloom.operators.ranking import running_totals
 
 BUCKETS = 16384
 
@@ -93,17 +94,15 @@ def group_medians(
 ) -> DataFrame:
     """Exact interpolating median per group from (group, value, c), without holding a group.
 
-    The value range is cut into equal-width buckets. At most BUCKETS rows per group tell which
-    bucket(s) hold the middle ranks; only those are ordered value by value. Without known
-    ends the range of each group is taken from the data.
+    With known ends the value range is cut into equal-width buckets. At most BUCKETS rows per
+    group tell which bucket(s) hold the middle ranks; only those are ordered value by value.
+    Without them, ranks are counted over range pieces of the data, so that no outlier can put
+    all other values into one task.
     """
     counts = counts.where(F.col(value).isNotNull()).withColumnRenamed(value, "v")
     if low is None or high is None:
-        ends = counts.groupBy(group).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-        counts = counts.join(ends, group)
-        start, width = F.col("_lo"), F.col("_hi") - F.col("_lo")
-    else:
-        start, width = F.lit(low), F.lit(high - low)
+        return _medians_by_rank(counts.groupBy(group, "v").agg(F.sum("c").alias("c")), group)
+    start, width = F.lit(low), F.lit(high - low)
     share = F.when(width > 0, (F.col("v") - start) / width).otherwise(F.lit(0.0))
     bucket = F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)))
     placed = counts.select(group, "v", "c", bucket.alias("bucket"))
@@ -132,6 +131,25 @@ def group_medians(
     ranked = placed.join(middle, [group, "bucket"]).select(
         group, "v", "r1", "r2", (F.col("before") + inside).alias("upto"), "c"
     )
+    return _middle(ranked, group)
+
+
+def _medians_by_rank(counts: DataFrame, group: str) -> DataFrame:
+    before = running_totals(counts, [group], [F.col("v")], F.col("c"), "before")
+    size = counts.groupBy(group).agg(F.sum("c").alias("n"))
+    ranked = before.join(size, group).select(
+        group,
+        "v",
+        F.floor((F.col("n") + 1) / 2).alias("r1"),
+        F.floor((F.col("n") + 2) / 2).alias("r2"),
+        (F.col("before") + F.col("c")).alias("upto"),
+        "c",
+    )
+    return _middle(ranked, group)
+
+
+def _middle(ranked: DataFrame, group: str) -> DataFrame:
+    """The mean of the values at ranks r1 and r2."""
 
     def at(rank: str) -> Column:
         hit = (F.col("upto") - F.col("c") < F.col(rank)) & (F.col(rank) <= F.col("upto"))

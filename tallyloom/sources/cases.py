@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.schema import NATIVE_CASE
-from tallyloom.validation.checks import split_rows
+from tallyloom.validation.checks import raise_on, split_rows
 
 
 def read_cases(spark: SparkSession, paths: str | list[str], split: str):
@@ -29,15 +29,19 @@ def read_manifest(
 ) -> DataFrame:
     """All rows of the files a manifest lists, each with its (dataset, split).
 
-    The file list becomes the scan's path list, as any Spark read needs; rows find their
-    entry by file name through `_metadata`, so no file is opened by the driver.
+    The release folder is read whole and rows find their entry by file name, so the list does
+    not pass through the driver. A listed file that is not there is an error.
     """
     files = manifest_files(manifest)
-    names = [r["file"] for r in files.select("file").distinct().toLocalIterator()]
-    if not names:
-        raise ValueError("The manifest lists no files")
     base = root.rstrip("/")
-    rows = spark.read.schema(schema).parquet(*[f"{base}/{n}" for n in names])
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    known = there.select(F.element_at(F.split("path", base + "/"), -1).alias("file"))
+    missing = files.join(known, "file", "left_anti").select(
+        F.lit("release file").alias("check"), F.col("file").alias("subject"), F.lit("missing").alias("detail")
+    )
+    raise_on(missing)
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    rows = reader.parquet(base)
     located = rows.withColumn(
         "_path", F.element_at(F.split(F.col("_metadata.file_path"), base + "/"), -1)
     )

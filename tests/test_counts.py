@@ -87,3 +87,12 @@ def test_scorer_refuses_invalid_boxes_and_abstentions(spark):
     )
     rows = {r["case_id"]: r["error"] for r in score_cases(cases, Boxes).collect()}
     assert rows == {"0": None, "1": "ValueError", "2": "ValueError", "3": "ValueError", "4": "ValueError", "5": None}
+
+
+def test_median_with_an_outlier(spark):
+    from tallyloom.operators.baselines import group_medians
+
+    rows = [("g", float(i), 1) for i in range(1000)] + [("g", 1e30, 2), ("h", 2.0, 1), ("h", 5.0, 1)]
+    counts = spark.createDataFrame(rows, "k string, v double, c bigint")
+    found = {r["k"]: r["median"] for r in group_medians(counts, "k", "v").collect()}
+    assert found == {"g": 500.5, "h": 3.5}
