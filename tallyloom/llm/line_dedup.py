@@ -29,7 +29,7 @@ from tallyloom.llm.similarity import SMALL_GROUP, TILE, Join, Tiles, frequent_ke
 from tallyloom.session import shared_path
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 20
 WORDS = 4
 NULL_ID = -(1 << 63)
 NEWLINE = 10
@@ -165,8 +165,8 @@ def _indexed(threshold: int, min_chars: int, tiles: Tiles):
             for _, lines in line_parts(batch.column(1), min_chars):
                 node = lines.nodes()
                 some, known = _first(node, known)
-                for rows in index_rows(lines, node, some, threshold, min_chars):
-                    yield from index_batches(*tiles.deal(*rows))
+                rows = zip(*index_rows(lines, node, some, threshold, min_chars), strict=True)
+                yield from index_batches(*tiles.deal(*(np.concatenate(x) for x in rows)))
 
     return run
 
