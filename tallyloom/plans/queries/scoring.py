@@ -497,6 +497,30 @@ def _(tb):
     return R.outcome_counts(tb.predictions, tb.benchmarks)
 
 
+_KEYS = """(select m, bid, cid from choice_row union all select m, bid, cid from score_row
+  union all select m, bid, cid from noul_row union all select m, bid, cid from box_row)"""
+
+
+@query(
+    "invalid_results",
+    "AG12,V7",
+    f"""select run_id, benchmark_id, cases,
+              case when (run_id = 'run-1' and benchmark_id in (select bid from {_KEYS} where m = 1 and cid % 199 = 0))
+                     or (run_id = 'run-2' and benchmark_id in (select bid from {_KEYS} where m = 2 and cid % 211 = 0))
+                   then 'invalid' else status end status
+       from results""",
+)
+def _(tb):
+    """Run 1 delivers some keys twice, run 2 some that no decision has."""
+    unknown = F.expr("run_id = 'run-2' and cast(case_id as bigint) % 211 = 0")
+    twice = tb.predictions.where("run_id = 'run-1' and cast(case_id as bigint) % 199 = 0")
+    renamed = F.when(unknown, F.concat(F.lit("x"), "case_id")).otherwise(F.col("case_id"))
+    rows = tb.predictions.withColumn("case_id", renamed).unionByName(twice)
+    return R.outcome_counts(rows, tb.benchmarks, tb.decisions).select(
+        "run_id", "benchmark_id", "cases", "status"
+    )
+
+
 @query(
     "result_eligibility",
     "AG13",
