@@ -1,6 +1,7 @@
 """Line dedup: near-equal lines across all documents by a segment-partition edit join; the first one stays.
 
-Lines of `min_chars` or more code points take part; shorter ones are never touched. Equal lines are one class by two
+Lines of `min_chars` or more code points take part in the join. With `exact_chars`, shorter lines of that size or more
+take part as exact copies, unless they are blank; all others are never touched. Equal lines are one class by two
 64-bit hashes. A class's line is cut into threshold + 1 segments, indexed by (length, segment number, substring). At
 most `threshold` edits leave one segment whole, so each line also probes, for its own and each smaller length in
 reach, the substrings that can lie opposite a segment (positions limited by the edits that may stand to the left and
@@ -38,7 +39,9 @@ NEWLINE = 10
 class Lines:
     """The lines of several texts, as code points."""
 
-    def __init__(self, point: np.ndarray, text_start: np.ndarray, text_stop: np.ndarray, min_chars: int):
+    def __init__(
+        self, point: np.ndarray, text_start: np.ndarray, text_stop: np.ndarray, min_chars: int, exact_chars: int | None = None
+    ):
         breaks = np.flatnonzero(point == NEWLINE)
         texts = np.arange(len(text_start))
         row = np.concatenate([texts, np.searchsorted(text_start, breaks, "right") - 1])
@@ -47,6 +50,9 @@ class Lines:
         row = np.sort(row)
         number = np.arange(len(row)) - np.searchsorted(row, texts)[row]
         keep = stop - start >= min_chars
+        if exact_chars is not None:
+            seen = np.concatenate([[0], np.cumsum((point != 32) & ((point < 9) | (point > 13)))])
+            keep |= (stop - start >= exact_chars) & (seen[stop] > seen[start])
         self.row, self.number, self.start, self.size = row[keep], number[keep], start[keep], (stop - start)[keep]
         values = mixed(point.astype(np.uint64) + np.uint64(1))
         self.point = point
@@ -86,7 +92,7 @@ class Lines:
         return out
 
 
-def line_parts(column: pa.Array, min_chars: int) -> Iterator[tuple[int, Lines]]:
+def line_parts(column: pa.Array, min_chars: int, exact_chars: int | None = None) -> Iterator[tuple[int, Lines]]:
     """(first row, lines of the rows from there), in parts of bounded size."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -99,7 +105,7 @@ def line_parts(column: pa.Array, min_chars: int) -> Iterator[tuple[int, Lines]]:
         point = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
         chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
         edge = chars[offsets[at : to + 1] - offsets[at]]
-        yield at, Lines(point, edge[:-1], edge[1:], min_chars)
+        yield at, Lines(point, edge[:-1], edge[1:], min_chars, exact_chars)
         at = to
 
 
@@ -138,13 +144,13 @@ def index_rows(lines: Lines, node: np.ndarray, some: np.ndarray, threshold: int,
                 yield keys((start + p + shift)[fits], length[fits], whole[fits], i), own[fits], (size << 1)[fits]
 
 
-def _listed(min_chars: int):
+def _listed(min_chars: int, exact_chars: int | None):
     """(doc, line, n, h1, h2) of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy()
-            for at, lines in line_parts(batch.column(1), min_chars):
+            for at, lines in line_parts(batch.column(1), min_chars, exact_chars):
                 if len(lines.row):
                     h1, h2 = lines.fingerprints()
                     columns = [doc[at + lines.row], lines.number, lines.size, h1.view(np.int64), h2.view(np.int64)]
@@ -246,6 +252,7 @@ def line_verdicts(
     docs: DataFrame,
     threshold: int = 2,
     min_chars: int = 32,
+    exact_chars: int | None = None,
     folder: str | None = None,
     sample: int = 64,
     tile: int = TILE,
@@ -258,6 +265,8 @@ def line_verdicts(
     """
     if not 0 <= threshold <= 15 or min_chars < 2 * (threshold + 1):
         raise ValueError("threshold is 0 to 15, and min_chars at least 2 * (threshold + 1)")
+    if exact_chars is not None and exact_chars < 1:
+        raise ValueError("exact_chars is at least 1")
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "line-dedup")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -270,7 +279,7 @@ def line_verdicts(
         return spark.read.parquet(f"{folder}/{name}")
 
     shape = "doc bigint, line bigint, n bigint, h1 bigint, h2 bigint"
-    lines = stored(given.mapInArrow(_listed(min_chars), shape), "lines")
+    lines = stored(given.mapInArrow(_listed(min_chars, exact_chars), shape), "lines")
     place = F.min(F.struct("doc", "line")).alias("place")
     classes = stored(lines.groupBy("n", "h1", "h2").agg(place), "classes")
 
@@ -286,7 +295,7 @@ def line_verdicts(
     tiles = Tiles(frequent_keys(few, sample, parts, tile))
     labels = linked_components(
         given.mapInArrow(_indexed(threshold, min_chars, tiles), rows),
-        classes.select(F.col("h1").alias("node"), F.col("h1").alias("rep"), "n"),
+        classes.filter(F.col("n") >= min_chars).select(F.col("h1").alias("node"), F.col("h1").alias("rep"), "n"),
         given.mapInArrow(_texts(min_chars), "doc bigint, text string"),
         Join(fits, most, _verified(threshold), _sketch, WORDS, small_group),
         folder,

@@ -226,7 +226,7 @@ select doc_id, unnest(range(0, (whole + case when upto <= part then 1 else 0 end
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    verdicts = line_dedup.line_verdicts(docs, threshold=2, min_chars=32)
+    verdicts = line_dedup.line_verdicts(docs, threshold=2, min_chars=6, exact_chars=1)
     away = (F.col("doc") != F.col("class_doc")) | (F.col("line") != F.col("class_line"))
     counts = verdicts.groupBy(F.col("doc").alias("doc_id")).agg(
         F.count("*").alias("n_lines"),

@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from llm_helpers import documents, edit_distance, groups
 from tallyloom.llm.line_dedup import banded_distances, line_verdicts, remove_lines
+from tallyloom.llm.queries import QUERIES
 
 SHORT = 12
 
@@ -79,3 +81,24 @@ def test_banded_distances():
     exact = np.array([edit_distance(x, y) for x, y in zip(a, b, strict=True)])
     for threshold in range(4):
         assert (np.minimum(banded_distances(a, b, threshold), threshold + 1) == np.minimum(exact, threshold + 1)).all()
+
+
+def test_short_lines_as_exact_copies(spark):
+    long = "one line that is long enough to take part in this"
+    rows = [(1, f"Home\n\n{long}\nü\n   "), (2, f"Home\nHame\n\nü\n   \n{long}"), (3, "Home\r\nHome\nx"), (4, "x"), (None, "Hame")]
+    kept = remove_lines(documents(spark, rows), threshold=2, min_chars=6, exact_chars=1).collect()
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in kept)
+    assert got == [(0, "Hame"), (1, f"Home\n\n{long}\nü\n   "), (2, "\n   "), (3, "Home\r\nx"), (4, "")]
+
+
+@pytest.mark.parametrize("name", ["op8", "pipeline"])
+def test_operators_take_short_lines(spark, tmp_path, name):
+    rows = [(i, f"menu\nyesterday it rained {'abcdefgh'[i] * 9}\nimprint\nx") for i in range(6)]
+    frame = documents(spark, rows)
+    if name == "op8":
+        frame.write.parquet(f"{tmp_path}/documents.parquet")
+        found = {r["doc_id"]: r["removed_lines"] for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+        assert found == {0: [], **{i: [0, 2, 3] for i in range(1, 6)}}
+    else:
+        found = dict(corpus_pipeline.first_lines(spark, frame, "").select("doc_id", "text").collect())
+        assert found == {i: text if i == 0 else text.split("\n")[1] for i, text, *_ in rows}
