@@ -1,8 +1,9 @@
 """Judge URLs: explicit host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 Everything on the main path is a column expression or Spark ML on DataFrames. The trees learn from labelled URLs
-(`url`, `blocked`); at most about `max_rows` of them are used, taken by a hash of the URL, so that the fit and the
-table of suffix statistics have a fixed size bound. Judging covers every row.
+(`url`, `blocked`); at most about `max_rows` of them are used, taken by a hash of the URL, so that the fit has a fixed
+size bound. The suffix statistics and the overall rate count all labelled URLs; they are a written table with one row
+per suffix. Judging covers every row.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no rule and is scored by its
 features like any other. Repeated rows are judged alike. An empty table gives an empty result. Labels of one kind
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.binding import let
+from tallyloom.session import shared_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,7 +62,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Fitted trees (None: the constant `prior`), and the suffix statistics, of at most `max_rows` rows."""
+    """Fitted trees (None: the constant `prior`), the suffix statistics, and the rate, of all labelled URLs."""
 
     trees: GBTClassificationModel | None
     suffixes: DataFrame | None
@@ -133,8 +135,8 @@ def _with_suffixes(features: DataFrame, suffixes: DataFrame, prior: float) -> Da
     """Adds how often the suffix was seen in training and its smoothed rate of blocked URLs."""
     seen = F.coalesce(F.col("f_seen"), F.lit(0.0))
     bad = F.coalesce(F.col("f_bad"), F.lit(0.0))
-    # One row per suffix of the bounded training sample: its size bound is max_rows.
-    return features.join(F.broadcast(suffixes), "f_suffix", "left").withColumns(
+    # Spark sees the size of the written table; a large one is shuffled, and skewed parts are split.
+    return features.join(suffixes, "f_suffix", "left").withColumns(
         {"f_suffix_urls": F.log1p(seen), "f_suffix_rate": (bad + SUFFIX_PRIOR * prior) / (seen + SUFFIX_PRIOR)}
     )
 
@@ -155,17 +157,17 @@ def fit_url_model(
         return UrlModel(None, None, float(bool(bad)))
     share = min(1.0, max_rows / rows)
     picked = known.filter(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    features = lexical(picked)
-    stats = features.groupBy("f_suffix").agg(
-        F.count("*").cast("double").alias("f_seen"), F.sum("f_label").alias("f_bad")
-    )
-    total = stats.agg(F.sum("f_seen"), F.sum("f_bad")).first()
-    if not total[0] or total[1] in (0, total[0]):
+    kinds = picked.agg(F.min("f_label"), F.max("f_label")).first()
+    if kinds[0] == kinds[1]:
         return UrlModel(None, None, bad / rows)
-    # At most max_rows short rows, held as local data: later plans do not compute them again.
-    suffixes = stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
-    prior = total[1] / total[0]
-    data = _vectors(_with_suffixes(features, suffixes, prior)).select("f_vector", "f_label").coalesce(4)
+    path = shared_path(known.sparkSession, "url-suffixes")
+    suffix = F.substring_index(url_host(F.col("url")), ".", -2).alias("f_suffix")
+    known.groupBy(suffix).agg(
+        F.count("*").cast("double").alias("f_seen"), F.sum("f_label").alias("f_bad")
+    ).write.parquet(path)
+    suffixes = known.sparkSession.read.parquet(path)
+    prior = bad / rows
+    data = _vectors(_with_suffixes(lexical(picked), suffixes, prior)).select("f_vector", "f_label").coalesce(4)
     booster = GBTClassifier(
         featuresCol="f_vector", labelCol="f_label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=seed
     )

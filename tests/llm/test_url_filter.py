@@ -74,3 +74,12 @@ def test_labels_of_pages(spark):
     rows = labelled_urls(pages, labels).orderBy("url").collect()
     assert [tuple(r) for r in rows] == [("http://a.b/en/12.html?x=9", 1), ("http://a5.b/en/13#4", 1)]
     assert labelled_urls(pages, labels).filter(F.col("blocked") == 0).count() == 0
+
+
+def test_suffixes_count_all_labelled_urls(spark):
+    rows = [(f"http://a{i}.site{i % 300}.biz/p{i}", int(i % 300 < 100)) for i in range(3000)]
+    labelled = spark.createDataFrame(rows, "url string, blocked int")
+    model = fit_url_model(labelled, max_rows=100, trees=2)
+    seen = {r["f_suffix"]: (r["f_seen"], r["f_bad"]) for r in model.suffixes.collect()}
+    assert seen == {f"site{k}.biz": (10.0, 10.0 * (k < 100)) for k in range(300)}
+    assert math.isclose(model.prior, 1 / 3)
