@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ball_tree, bpe, jaccard_join, langid, line_dedup, mixing, preferences, quality, suffix_dedup, url_filter
+from tallyloom.llm import (
+    ball_tree,
+    bpe,
+    jaccard_join,
+    langid,
+    lexical,
+    line_dedup,
+    mixing,
+    order_minhash,
+    preferences,
+    quality,
+    suffix_dedup,
+    url_filter,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -269,6 +283,51 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(docs, words=3, num=90, den=100)
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+ORACLES["op11_lexical_search"] = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+p as (select doc_id, term, count(*) as tf from t group by doc_id, term),
+l as (select doc_id, count(*) as n from t group by doc_id),
+g as (select count(*) as docs, sum(n)::bigint as total from l),
+m as (select doc_id, 10 + (90 * n * docs) // total as m from l, g),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+      from (select term, count(*) as df from p group by term), g),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+      from q join p using (term) join w using (term) join m using (doc_id) group by item_id, doc_id),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+      from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+
+
+@query
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = order_minhash.compare_with_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        order_minhash.fingerprint_text(F.col("prints")).alias("fingerprint"),
+        order_minhash.fingerprint_text(F.col("edited_prints")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return whitening.whiten(vectors, count=8).withColumnRenamed("id", "vec_id")
+
+
 _LIST = ", ".join(f"'{p}'" for p in quality.LineRules().boilerplate)
 ORACLES["op5_quality_rules"] = rf"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
