@@ -27,8 +27,12 @@ from tallyloom.operators.ranking import with_position
 from tallyloom.session import shared_path
 
 PIECE = 32
-UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
-UNIT = f"[{UNSPACED}]|[^\\x20\\x09-\\x0D{UNSPACED}]{{1,{PIECE}}}"
+# Thai and Lao, Burmese, Khmer, kana, Han: as ranges, which a regular expression tests far faster than scripts.
+UNSPACED = (
+    "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF"
+    "\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{3FFFF}"
+)
+UNIT = f"[^\\x20\\x09-\\x0D{UNSPACED}]{{1,{PIECE}}}|[{UNSPACED}]"
 
 
 @dataclass(frozen=True)
