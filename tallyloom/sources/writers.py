@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import csv_cell, markdown_cell, markdown_link
+from tallyloom.sources.files import CommitLog, delete
 from tallyloom.validation.checks import conflicting_results, raise_on
 
 PARTITION = ("run_id", "benchmark_id")
@@ -19,30 +20,47 @@ PARTITION = ("run_id", "benchmark_id")
 FILES_PER_RESULT = 16
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if _exists(spark, path) else None
-
-
 def write_results(results: DataFrame, path: str, files_per_result: int = FILES_PER_RESULT) -> None:
-    """Append results that do not exist yet; an existing (run, benchmark) is an error.
+    """Add results that do not exist yet, all or none; an existing (run, benchmark) is an error.
 
-    Rows are spread over `files_per_result` pieces per result, so that a run or benchmark
-    holding most rows is written by several tasks.
+    The rows go to a folder of their own, where no reader looks. They become visible when their name takes the next
+    number of the commit log, which exactly one writer can; another writer then compares its results with those added
+    meanwhile and tries the number after that, so of two writers of one result one wins and the other gets the error.
+    Rows are spread over `files_per_result` pieces per result, so that a run or benchmark holding most rows is written
+    by several tasks.
     """
     spark = results.sparkSession
-    stored = _read_or_none(spark, path)
-    if stored is not None:
-        old = stored.select(*PARTITION).distinct()
-        clash = results.select(*PARTITION).distinct().join(old, list(PARTITION), "left_semi")
-        if not clash.isEmpty():
-            raise ValueError("Result already exists; use a new run id")
-    spread = _in_pieces(results, files_per_result)
-    spread.write.mode("append").partitionBy(*PARTITION).parquet(path)
+    base, token = path.rstrip("/"), uuid.uuid4().hex
+    log = CommitLog(spark, f"{base}/_log")
+    staged, keys_path = f"{base}/write={token}", f"{base}/_keys/write={token}"
+    try:
+        _in_pieces(results, files_per_result).write.partitionBy(*PARTITION).parquet(staged)
+        stored = spark.read.schema(results.schema).parquet(staged)
+        stored.select(*PARTITION).distinct().write.parquet(keys_path)
+        keys = spark.read.parquet(keys_path)
+        seen = 0
+        while True:
+            others = log.entries(seen)
+            if others:
+                old = spark.read.parquet(*[f"{base}/_keys/write={t}" for t in others])
+                if not keys.join(old, list(PARTITION), "left_semi").isEmpty():
+                    raise ValueError("Result already exists; use a new run id")
+            seen += len(others)
+            if log.commit(seen + 1, token):
+                return
+    except BaseException:
+        for own in (staged, keys_path):  # never committed, so no reader has seen them
+            delete(spark, own)
+        raise
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """All committed results; an error if there are none."""
+    base = path.rstrip("/")
+    tokens = CommitLog(spark, f"{base}/_log").entries()
+    if not tokens:
+        raise ValueError(f"No results in {base}")
+    return spark.read.option("basePath", base).parquet(*[f"{base}/write={t}" for t in tokens]).drop("write")
 
 
 def _in_pieces(rows: DataFrame, pieces: int) -> DataFrame:
@@ -71,30 +89,28 @@ def export_results(
 
 def publish_snapshot(
     results: DataFrame, root: str, snapshot_id: str, violations: DataFrame
-) -> None:
-    """Validate, then write a generation, and only then move the pointer to it.
+) -> int:
+    """Validate, then write a generation, and only then point to it; returns the pointer's number.
 
-    A rejected id leaves nothing behind and can be used again. Earlier generations stay where
-    they are, so readers that resolved an older pointer keep working.
+    A pointer is a numbered file that one publisher creates; who comes second takes the next number, so two never share
+    one and the later of them is current. A rejected id leaves nothing behind and can be used again. Earlier generations
+    stay where they are, so readers that resolved an older pointer keep working.
     """
-    spark = results.sparkSession
     base = root.rstrip("/")
     raise_on(violations)
     results.write.mode("errorifexists").parquet(f"{base}/generations/snapshot_id={snapshot_id}")
-    pointers = _read_or_none(spark, f"{base}/pointer")
-    number = 1 if pointers is None else pointers.agg(F.max("number")).first()[0] + 1
-    spark.range(1).select(
-        F.lit(number).cast("bigint").alias("number"), F.lit(snapshot_id).alias("snapshot_id")
-    ).write.mode("append").parquet(f"{base}/pointer")
+    log = CommitLog(results.sparkSession, f"{base}/pointers")
+    number = log.newest() + 1
+    while not log.commit(number, snapshot_id):
+        number += 1
+    return number
 
 
 def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The generation the newest pointer names."""
     base = root.rstrip("/")
-    newest = (
-        spark.read.parquet(f"{base}/pointer").agg(F.max_by("snapshot_id", "number")).first()[0]
-    )
-    return spark.read.parquet(f"{base}/generations/snapshot_id={newest}")
+    log = CommitLog(spark, f"{base}/pointers")
+    return spark.read.parquet(f"{base}/generations/snapshot_id={log.entry(log.newest())}")
 
 
 def write_documents(rows: DataFrame, root: str, name: str, content: str) -> DataFrame:

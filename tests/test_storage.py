@@ -1,5 +1,8 @@
 import json
 import lzma
+import os
+import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from tallyloom.sources import assets as A
 from tallyloom.sources import bundles as B
 from tallyloom.sources import definitions as D
 from tallyloom.sources import writers as W
+from tallyloom.sources.files import CommitLog
 from tallyloom.streaming import ingest as I
 from tallyloom.validation import checks as C
 
@@ -110,7 +114,71 @@ def test_existing_results_stay(spark, tmp_path):
         W.write_results(rows.limit(1), path)
     with pytest.raises(ValueError, match="conflicting"):
         W.export_results(rows.withColumn("benchmark_id", F.lit("b1")), path, ["v"])
-    assert spark.read.parquet(path).count() == 2
+    assert W.read_results(spark, path).count() == 2
+    W.write_results(rows.withColumn("run_id", F.lit("r2")), path)
+    assert W.read_results(spark, path).count() == 4
+
+
+def test_one_of_two_writers_of_a_result_wins(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([(f"r{i}", "b", i) for i in range(4)], "run_id string, benchmark_id string, v int")
+
+    def write(i):
+        try:
+            # All write r0, and one result of their own that must not stay without it.
+            W.write_results(rows.where(F.col("v").isin(0, i)).withColumn("v", F.lit(i)), path)
+            return True
+        except ValueError:
+            return False
+
+    with ThreadPoolExecutor(3) as pool:
+        won = list(pool.map(write, (1, 2, 3)))
+    assert won.count(True) == 1
+    winner = won.index(True) + 1
+    stored = {(r["run_id"], r["v"]) for r in W.read_results(spark, path).collect()}
+    assert stored == {("r0", winner), (f"r{winner}", winner)}
+    assert len([n for n in os.listdir(path) if n.startswith("write=")]) == 1
+
+
+def test_a_writer_looks_again_when_another_was_first(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("r1", "b", 1), ("r2", "b", 2), ("r3", "b", 3)], "run_id string, benchmark_id string, v int")
+    commit, tried = CommitLog.commit, []
+
+    def late(log, number, text):
+        if not tried:  # between this writer's look and its commit, another one commits
+            tried.append(number)
+            W.write_results(rows.where("v <> 1"), path)
+        return commit(log, number, text)
+
+    monkeypatch.setattr(CommitLog, "commit", late)
+    with pytest.raises(ValueError, match="already exists"):
+        W.write_results(rows.where("v <> 3"), path)
+    tried.clear()
+    other = rows.selectExpr("concat('x', run_id) run_id", "benchmark_id", "v")
+    tried.append(0)
+    W.write_results(other, path)
+    assert {r["run_id"] for r in W.read_results(spark, path).collect()} == {"r2", "r3", "xr1", "xr2", "xr3"}
+
+
+def test_publishers_never_share_a_number(spark, tmp_path):
+    none = spark.createDataFrame([], "check string, subject string, detail string")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda i: W.publish_snapshot(spark.range(i), str(tmp_path), f"g{i}", none), range(1, 7)))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    assert W.current_snapshot(spark, str(tmp_path)).count() == numbers.index(6) + 1
+
+
+def test_a_number_is_created_once(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "log"))
+    assert log.newest() == 0 and log.entries() == []
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: log.commit(1, f"writer {i}"), range(8)))
+    assert won.count(True) == 1 and log.entries() == [f"writer {won.index(True)}"]
+    assert log.commit(2, "é") and log.entries(1) == ["é"] and log.entry(2) == "é"
+    assert sorted(os.listdir(tmp_path / "log")) == [f"{n:020d}" for n in (1, 2)] or all(
+        n.isdigit() or n.endswith(".crc") for n in os.listdir(tmp_path / "log")
+    )
 
 
 def test_release_manifest(spark, tmp_path):
@@ -157,25 +225,78 @@ def test_failures_stay_in_their_case(spark):
     assert rows["0"]["probabilities"] == {"a": 0.5, "b": 0.5}
 
 
-def test_ingest_resumes_without_repeating(spark, tmp_path):
-    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+def deliver(spark, source, rows):
+    """(case, p, arrived) rows as one file."""
+    table = spark.createDataFrame(rows, "case_id string, p double, arrived string").coalesce(1)
+    table.selectExpr(
+        "'r' run_id", "'b' benchmark_id", "case_id", "'q' question_id", "map('true', p) probabilities",
+        "cast(null as struct<left:double,top:double,right:double,bottom:double>) box", "cast(null as string) error",
+        "cast(null as string) abstention", "cast(arrived as timestamp) arrived_at",
+    ).write.mode("append").parquet(source)
 
-    def deliver(ids, arrived):
-        rows = spark.createDataFrame([("r", "b", str(i), "q") for i in ids], "run_id string, benchmark_id string, case_id string, question_id string")
-        rows.select("*", F.expr("map('true', 1D)").alias("probabilities"),
-                    F.expr("cast(null as struct<left:double,top:double,right:double,bottom:double>)").alias("box"),
-                    F.expr("cast(null as string)").alias("error"), F.expr("cast(null as string)").alias("abstention"),
-                    F.lit(arrived).cast("timestamp").alias("arrived_at")).write.mode("append").parquet(source)
 
+def test_ingest_resumes_without_repeating(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     # The last rows come two weeks late: the new one is taken, the copy is not.
     days = ("2024-01-20", "2024-01-21", "2024-01-22", "2024-01-06")
     for ids, day in zip((range(5), range(3, 8), range(0), range(7, 9)), days, strict=True):
-        deliver(ids, day)
+        deliver(spark, source, [(str(i), 0.5, day) for i in ids])
         I.ingest(spark, source, target, progress).awaitTermination()
     found = sorted(int(r["case_id"]) for r in spark.read.parquet(target).collect())
     assert found == list(range(9))
 
 
+def test_a_batch_costs_what_it_brings(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    deliver(spark, source, [(str(i), 0.5, "2024-01-01") for i in range(200)])
+    I.ingest(spark, source, target, progress).awaitTermination()
+    shutil.rmtree(target)  # the keys are state; a batch does not look at the table
+    deliver(spark, source, [(str(i), 0.5, "2024-01-02") for i in range(198, 203)])
+    run = I.ingest(spark, source, target, progress)
+    run.awaitTermination()
+    assert sorted(r["case_id"] for r in spark.read.parquet(target).collect()) == ["200", "201", "202"]
+    state = run.lastProgress["stateOperators"][0]
+    assert state["numRowsUpdated"] == 3 and state["numRowsTotal"] == 203
+    assert any("rocksdb" in name.lower() for name in state["customMetrics"])
+
+
+def test_differing_copies_are_settled_by_rule_and_replay(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    first = [("a", 0.9, "2024-01-03"), ("a", 0.7, "2024-01-02"), ("a", 0.3, "2024-01-02"), ("b", 0.2, None), ("b", 0.8, "2024-01-09")]
+    deliver(spark, source, first)
+    I.ingest(spark, source, target, progress).awaitTermination()
+    deliver(spark, source, [("a", 0.1, "2023-01-01"), ("c", 0.6, "2024-01-01"), ("c", 0.4, "2024-01-01")])
+    I.ingest(spark, source, target, progress).awaitTermination()
+    value = lambda: {r["case_id"]: r["probabilities"]["true"] for r in spark.read.parquet(target).collect()}
+    # Earliest arrival, then smallest content; an earlier batch stays.
+    assert value() == {"a": 0.3, "b": 0.8, "c": 0.4}
+    # The last batch is replayed after a crash before its commit.
+    for name in os.listdir(tmp_path / "progress" / "commits"):
+        if name.strip(".").startswith("1"):
+            os.remove(tmp_path / "progress" / "commits" / name)
+    shutil.rmtree(f"{target}/batch=1")
+    I.ingest(spark, source, target, progress).awaitTermination()
+    assert value() == {"a": 0.3, "b": 0.8, "c": 0.4}
+
+
+def test_live_counts_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "COMPACT_EVERY", 3)
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    benchmarks = spark.createDataFrame([("b", 100)], "id string, decision_count bigint")
+    for i in range(11):
+        deliver(spark, source, [(f"{i}-{j}", 0.5, "2024-01-01") for j in range(i + 1)])
+    I.live_counts(spark, source, target, progress, files_per_trigger=1).awaitTermination()
+    folders = sorted(n for n in os.listdir(target) if "=" in n)
+    assert folders == ["batch=10", "batch=6", "batch=7", "batch=8", "batch=9", "snapshot=5", "snapshot=8"]
+    found = I.latest_counts(spark, target, benchmarks).collect()
+    assert [(r["recorded"], r["succeeded"], r["coverage"]) for r in found] == [(66, 66, 0.66)]
+    # A reader falls back to what the unfinished snapshot is made from; making it again gives the same.
+    os.remove(f"{target}/snapshot=8/_SUCCESS")
+    assert I.latest_counts(spark, target, benchmarks).first()["recorded"] == 66
+    I.compact_counts(spark, target, 8)
+    assert I.latest_counts(spark, target, benchmarks).first()["recorded"] == 66
+
+
 def test_raise_on_names_examples(spark):
     none = spark.createDataFrame([], "check string, subject string, detail string")
     C.raise_on(none)
