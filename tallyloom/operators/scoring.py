@@ -24,8 +24,8 @@ def join_decisions(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
     return predictions.join(kept, list(DECISION_KEY), "inner")
 
 
-def row_scores(joined: DataFrame) -> DataFrame:
-    """Per-prediction columns: outcome flags, task value, signed error, IoU, confusion cells.
+def row_scores(joined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per-prediction columns: outcome flags, task value, signed error, IoU, confusion cells; and those in `keep`.
 
     The arrays in candidate order are projected first, because several values use them.
     """
@@ -64,6 +64,7 @@ def row_scores(joined: DataFrame) -> DataFrame:
         graded("score", 1.0, S.score_error(options, p, t)).alias("signed_error"),
         F.when(task == "box", iou).alias("iou"),
         *[F.when(task == "noul", cell).alias(name) for name, cell in cells.items()],
+        *keep,
     )
 
 

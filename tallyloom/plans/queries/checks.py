@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from tallyloom.operators import disclosure as D
 from tallyloom.operators import scoring as J
 from tallyloom.operators.cases import questions_view
+from tallyloom.plans.evaluation import evaluate
 from tallyloom.plans.queries.registry import query
+from tallyloom.session import shared_path
 from tallyloom.validation import checks as C
+from tallyloom.validation import scan
 
 _NO_BOX = "cast(null as struct<left:double,top:double,right:double,bottom:double>)"
 
@@ -520,3 +523,88 @@ def _(tb):
     ).drop("last")
     installed = rows.where("subset not like '5%'")
     return _out(C.changed_subsets(installed, incoming, ["o_orderkey", "o_totalprice"]))
+
+
+def _key_of(run, case="cast(cid as varchar)"):
+    return f"concat('run-{run}/', bid, '/', {case}, '/', q)"
+
+
+@query(
+    "validated_results",
+    "V1,V5,V6,V7,V8,V9,V10,V11,V12,V13",
+    f"""select 'probabilities' "check", {_key_of(0)} subject, 'invalid distribution' detail
+         from (select m, bid, cid, 'status' q, outcome from choice_row union all
+               select m, bid, cid, 'price', outcome from score_row union all
+               select m, bid, cid, 'quality', outcome from noul_row) where m = 0 and outcome = 'ok' and cid % 31 = 0
+       union all select 'box', concat('run-1/', bid, '/', cast(cid as varchar), '/area'), 'edge outside [0, 1]'
+         from box_row where m = 1 and outcome = 'ok' and cid % 7 = 0
+       union all select 'outcome', {_key_of(2)}, 'unknown abstention' from {_ALL} where m = 2 and cid % 37 = 0
+       union all select 'prediction key', {_key_of(3, "'x' || cast(cid as varchar)")}, 'unknown decision'
+         from {_ALL} where m = 3 and cid % 211 = 0
+       union all select 'prediction key', {_key_of(4)}, 'duplicate' from {_ALL} where m = 4 and cid % 199 = 0
+       union all select 'stored metric', concat(run_id, '/', benchmark_id, '/f1'), 'differs'
+         from results where run_id = 'run-1' and task = 'noul' and f1 is not null
+       union all select 'counts', concat(run_id, '/', benchmark_id), 'differ from the predictions'
+         from results where run_id = 'run-2' and task = 'box'
+       union all select 'summary', concat(run_id, '/', benchmark_id), 'status'
+         from results where run_id = 'run-0' and task = 'choice'
+       union all select 'result', 'run-4/price-1-score', 'dummy result not marked as demo'
+       union all select 'model identity', 'run-5', 'inconsistent'
+       union all select 'result', 'run-5/price-2-score', 'conflicting contents'
+       union all select 'result', 'run-0/nowhere', 'unknown benchmark'
+       union all select 'result', 'run-none/price-2-score', 'unknown run'
+       union all select 'stored metric', 'run-1/price-3-score', 'not recomputed'
+       union all select 'stored metric', 'run-2/price-4-score', 'not stored'
+       union all select 'input hash', concat('run-5/', bid, '/', cast(cid as varchar)), 'hash differs'
+         from {_ALL} where m = 5 and cid % 101 = 0""",
+)
+def _(tb):
+    """Each kind of damage in a run of its own; results are stored from the damaged predictions, then damaged as well."""
+    cid, run = "cast(case_id as bigint)", "run_id"
+    bad = f"{run} = 'run-2' and {cid} % 37 = 0"
+    predictions = tb.predictions.selectExpr(
+        "run_id",
+        "benchmark_id",
+        f"case when {run} = 'run-3' and {cid} % 211 = 0 then concat('x', case_id) else case_id end case_id",
+        "question_id",
+        f"case when {bad} then null when {run} = 'run-0' and {cid} % 31 = 0 "
+        "then transform_values(probabilities, (k, v) -> v / 2) else probabilities end probabilities",
+        f"case when {bad} then null when {run} = 'run-1' and {cid} % 7 = 0 and box is not null "
+        "then named_struct('left', box.left, 'top', box.top, 'right', 1.5D, 'bottom', box.bottom) else box end box",
+        f"case when not ({bad}) then error end error",
+        f"case when {bad} then 'tired' else abstention end abstention",
+    )
+    again = predictions.where(f"{run} = 'run-4' and {cid} % 199 = 0")
+    predictions = predictions.unionByName(again)
+    names = tb.results.columns
+    path = shared_path(tb.spark, "damaged-results")
+    evaluate(predictions, tb.decisions, tb.benchmarks, tb.runs).write.parquet(path)
+    made = tb.spark.read.parquet(path)
+    one = f"{run} = 'run-5' and benchmark_id = 'price-2-score'"
+    changed = {
+        "f1": f"case when {run} = 'run-1' then f1 + 0.001 else f1 end",
+        "succeeded": f"case when {run} = 'run-2' and task = 'box' then succeeded - 1 else succeeded end",
+        "abstained": f"case when {run} = 'run-2' and task = 'box' then abstained + 1 else abstained end",
+        "status": f"case when {run} = 'run-0' and task = 'choice' then "
+        "case when status = 'complete' then 'partial' else 'complete' end else status end",
+        "provenance": f"case when {run} = 'run-4' and benchmark_id = 'price-1-score' then 'measured' else provenance end",
+        "model_id": f"case when {run} = 'run-5' and task = 'noul' then 'org/other' else model_id end",
+    }
+    stored = made.selectExpr(*[f"{changed[c]} {c}" if c in changed else c for c in names]).where(
+        "not (run_id = 'run-2' and benchmark_id = 'price-4-score')"
+    )
+    extra = made.where(one).withColumn("succeeded", F.col("succeeded") + 1)
+    lone = made.where("run_id = 'run-0' and benchmark_id = 'price-2-score'")
+    stored = (
+        stored.unionByName(extra)
+        .unionByName(lone.withColumn("benchmark_id", F.lit("nowhere")))
+        .unionByName(lone.withColumn("run_id", F.lit("run-none")))
+    )
+    recorded = tb.predictions.selectExpr(
+        "run_id",
+        "benchmark_id",
+        "case_id",
+        f"case when {run} = 'run-5' and {cid} % 101 = 0 then 'other' else concat('h', case_id) end input_hash",
+    )
+    given = predictions.where("not (run_id = 'run-1' and benchmark_id = 'price-3-score')")
+    return _out(scan.validate_results(stored, given, tb.decisions, tb.benchmarks, tb.runs, recorded).violations)

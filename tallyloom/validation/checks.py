@@ -55,46 +55,49 @@ def raise_on(violations: DataFrame, shown: int = 20) -> None:
         raise ValueError(f"Validation failed: {lines}")
 
 
-def probability_maps(joined: DataFrame, keys=("run_id", *DECISION)) -> DataFrame:
-    """Predicted maps against the option ids of their question."""
+def probability_problem() -> Column:
     bad = F.col("probabilities").isNotNull() & ~valid_probabilities(
         F.col("probabilities"), F.col("options.id")
     )
-    return _found(joined, "probabilities", keys, first_problem(("invalid distribution", bad)))
+    return first_problem(("invalid distribution", bad))
 
 
-def question_rules(questions: DataFrame, keys=DECISION) -> DataFrame:
+def probability_maps(joined: DataFrame, keys=("run_id", *DECISION)) -> DataFrame:
+    """Predicted maps against the option ids of their question."""
+    return _found(joined, "probabilities", keys, probability_problem())
+
+
+def question_problem() -> Column:
     """`options` is an array of (id, value)."""
     options, task = F.col("options"), F.col("task")
     ids = options["id"]
     values = options["value"]
     judged = task != "box"
-    return _found(
-        questions,
-        "question",
-        keys,
-        first_problem(
-            ("unknown task", ~task.isin(*TASKS)),
-            ("box with options", (task == "box") & (F.size(options) > 0)),
-            ("fewer than two options", judged & (F.coalesce(F.size(options), F.lit(0)) < 2)),
-            ("duplicate option", judged & (F.size(F.array_distinct(ids)) != F.size(ids))),
-            (
-                "noul options",
-                (task == "noul")
-                & (F.array_sort(ids) != F.array(F.lit("false"), F.lit("true"))),
-            ),
-            (
-                "score scale",
-                (task == "score")
-                & (
-                    F.exists(values, lambda v: v.isNull())
-                    | (F.size(F.array_distinct(values)) < 2)
-                ),
+    return first_problem(
+        ("unknown task", ~task.isin(*TASKS)),
+        ("box with options", (task == "box") & (F.size(options) > 0)),
+        ("fewer than two options", judged & (F.coalesce(F.size(options), F.lit(0)) < 2)),
+        ("duplicate option", judged & (F.size(F.array_distinct(ids)) != F.size(ids))),
+        (
+            "noul options",
+            (task == "noul")
+            & (F.array_sort(ids) != F.array(F.lit("false"), F.lit("true"))),
+        ),
+        (
+            "score scale",
+            (task == "score")
+            & (
+                F.exists(values, lambda v: v.isNull())
+                | (F.size(F.array_distinct(values)) < 2)
             ),
         ),
     )
 
 
+def question_rules(questions: DataFrame, keys=DECISION) -> DataFrame:
+    return _found(questions, "question", keys, question_problem())
+
+
 def case_rules(cases: DataFrame, keys=("case_id",)) -> DataFrame:
     """`questions` (id, task, options) against `targets` (map of probabilities, box)."""
     ids = F.col("questions.id")
@@ -187,42 +190,40 @@ def split_rows(rows: DataFrame, split: str, keys=("case_id",)) -> DataFrame:
     return _found(rows, "split", keys, first_problem(("row of another split", differs)))
 
 
-def box_edges(rows: DataFrame, column: str = "box", keys=("run_id", *DECISION)) -> DataFrame:
+def box_problem(column: str = "box") -> Column:
     b = F.col(column)
     outside = reduce(
         lambda a, e: a | ~b[e].between(0.0, 1.0) | F.isnan(b[e]),
         ("left", "top", "right", "bottom"),
         F.lit(False),
     )
-    return _found(
-        rows,
-        "box",
-        keys,
-        first_problem(
-            ("edge outside [0, 1]", outside),
-            ("edges out of order", (b["left"] > b["right"]) | (b["top"] > b["bottom"])),
-        ),
+    return first_problem(
+        ("edge outside [0, 1]", outside),
+        ("edges out of order", (b["left"] > b["right"]) | (b["top"] > b["bottom"])),
     )
 
 
-def prediction_outcomes(joined: DataFrame, keys=("run_id", *DECISION)) -> DataFrame:
-    """Exactly one outcome, of a type that fits the task."""
+def box_edges(rows: DataFrame, column: str = "box", keys=("run_id", *DECISION)) -> DataFrame:
+    return _found(rows, "box", keys, box_problem(column))
+
+
+def outcome_problem() -> Column:
     outcomes = ("probabilities", "box", "error", "abstention")
     count = sum((F.col(o).isNotNull().cast("int") for o in outcomes), F.lit(0))
     task = F.col("task")
-    return _found(
-        joined,
-        "outcome",
-        keys,
-        first_problem(
-            ("not exactly one outcome", count != 1),
-            ("unknown abstention", ~F.col("abstention").isin(*ABSTENTIONS)),
-            ("box for a distribution question", F.col("box").isNotNull() & (task != "box")),
-            ("distribution for a box question", F.col("probabilities").isNotNull() & (task == "box")),
-        ),
+    return first_problem(
+        ("not exactly one outcome", count != 1),
+        ("unknown abstention", ~F.col("abstention").isin(*ABSTENTIONS)),
+        ("box for a distribution question", F.col("box").isNotNull() & (task != "box")),
+        ("distribution for a box question", F.col("probabilities").isNotNull() & (task == "box")),
     )
 
 
+def prediction_outcomes(joined: DataFrame, keys=("run_id", *DECISION)) -> DataFrame:
+    """Exactly one outcome, of a type that fits the task."""
+    return _found(joined, "outcome", keys, outcome_problem())
+
+
 def prediction_keys(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Unknown decision keys, and keys recorded more than once within a run.
 
@@ -302,6 +303,13 @@ def _long_metrics(results: DataFrame, metrics: list[str], value: str) -> DataFra
     return results.select(*RESULT, F.explode(pairs).alias("_p")).select(*RESULT, "_p.*")
 
 
+def metric_differs(stored: Column, recomputed: Column, tolerance: float = METRIC_TOLERANCE) -> Column:
+    """NULL matches NULL; numbers match within a tolerance."""
+    one_null = stored.isNull() != recomputed.isNull()
+    bound = F.greatest(F.lit(tolerance), 1e-9 * F.greatest(F.abs(stored), F.abs(recomputed)))
+    return one_null | F.coalesce(F.abs(stored - recomputed) > bound, F.lit(False))
+
+
 def stored_metrics(
     stored: DataFrame, recomputed: DataFrame, metrics: list[str], tolerance=METRIC_TOLERANCE
 ) -> DataFrame:
@@ -317,10 +325,7 @@ def stored_metrics(
     )
 
     def differs(m: str) -> Column:
-        s, r = F.col(f"s_{m}"), F.col(f"r_{m}")
-        one_null = s.isNull() != r.isNull()
-        bound = F.greatest(F.lit(tolerance), 1e-9 * F.greatest(F.abs(s), F.abs(r)))
-        return one_null | F.coalesce(F.abs(s - r) > bound, F.lit(False))
+        return metric_differs(F.col(f"s_{m}"), F.col(f"r_{m}"), tolerance)
 
     rows = both.where(F.col("_s") & F.col("_r")).select(
         *RESULT,
@@ -368,12 +373,8 @@ def model_identity(results: DataFrame, identity: list[str]) -> DataFrame:
     )
 
 
-def summaries(results: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Counts, bounds, status and adjusted score of stored results."""
-    defined = benchmarks.select(
-        F.col("id").alias("benchmark_id"), "case_count", "decision_count", "primary_metric"
-    )
-    rows = results.join(defined, "benchmark_id")
+def summary_problem() -> Column:
+    """Of a stored result beside the definition's case_count, decision_count and primary_metric."""
     task = F.col("task")
     primary = F.lit(None).cast("double")
     for name, metric in PRIMARY_METRIC.items():
@@ -408,33 +409,36 @@ def summaries(results: DataFrame, benchmarks: DataFrame) -> DataFrame:
         & (F.col("cases") == F.col("case_count"))
     )
     bounded = [primary, baseline, adjusted, F.col("balanced_accuracy"), F.col("accuracy_at_iou_0_5")]
-    return _found(
-        rows,
-        "summary",
-        RESULT,
-        first_problem(
-            ("metric outside [0, 1]", reduce(lambda a, v: a | unbounded(v), bounded, F.lit(False))),
-            ("baseline missing", (task != "box") & baseline.isNull()),
-            (
-                "counts do not add up",
-                (F.col("expected") != F.col("decision_count"))
-                | (F.col("cases") > F.col("case_count"))
-                | (kept + F.col("failed") > F.col("expected"))
-                | ((kept == 0) != primary.isNull()),
-            ),
-            ("status", (F.col("status") == "complete") != complete),
-            (
-                "adjusted score",
-                (task != "box")
-                & (
-                    (adjusted.isNull() != expected.isNull())
-                    | F.coalesce(F.abs(adjusted - expected) > METRIC_TOLERANCE, F.lit(False))
-                ),
+    return first_problem(
+        ("metric outside [0, 1]", reduce(lambda a, v: a | unbounded(v), bounded, F.lit(False))),
+        ("baseline missing", (task != "box") & baseline.isNull()),
+        (
+            "counts do not add up",
+            (F.col("expected") != F.col("decision_count"))
+            | (F.col("cases") > F.col("case_count"))
+            | (kept + F.col("failed") > F.col("expected"))
+            | ((kept == 0) != primary.isNull()),
+        ),
+        ("status", (F.col("status") == "complete") != complete),
+        (
+            "adjusted score",
+            (task != "box")
+            & (
+                (adjusted.isNull() != expected.isNull())
+                | F.coalesce(F.abs(adjusted - expected) > METRIC_TOLERANCE, F.lit(False))
             ),
         ),
     )
 
 
+def summaries(results: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """Counts, bounds, status and adjusted score of stored results."""
+    defined = benchmarks.select(
+        F.col("id").alias("benchmark_id"), "case_count", "decision_count", "primary_metric"
+    )
+    return _found(results.join(defined, "benchmark_id"), "summary", RESULT, summary_problem())
+
+
 def definitions(benchmarks: DataFrame, categories: DataFrame) -> DataFrame:
     """Ids, metrics and category members of the definition tables."""
     metric = F.lit(None).cast("string")
