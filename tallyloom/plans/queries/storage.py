@@ -16,6 +16,7 @@ from tallyloom.sources import assets as A
 from tallyloom.sources import bundles as B
 from tallyloom.sources import cases as S
 from tallyloom.sources import definitions as D
+from tallyloom.sources import documents as Q
 from tallyloom.sources import writers as W
 from tallyloom.streaming import ingest as I
 from tallyloom.validation import checks as C
@@ -127,15 +128,11 @@ def _(tb):
     )
 
 
-def _bundles(tb):
-    """Result documents of all benchmarks, with all metrics and predictions inside."""
-    predictions = tb.predictions.groupBy("run_id", "benchmark_id").agg(
-        F.collect_list(
-            F.struct("case_id", "question_id", "probabilities", "box", "error", "abstention")
-        ).alias("predictions")
-    )
-    joined = tb.results.join(predictions, ["run_id", "benchmark_id"], "left")
-    return joined.select(
+def _heads(tb):
+    """Result documents of all benchmarks without their predictions."""
+    return tb.results.select(
+        "run_id",
+        "benchmark_id",
         F.struct(
             F.lit(1).cast("bigint").alias("format_version"),
             "run_id",
@@ -145,11 +142,22 @@ def _bundles(tb):
             "status",
             F.struct("cases", "expected", "succeeded", "failed", "abstained").alias("counts"),
             F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))]).alias("metrics"),
-            "predictions",
-        ).alias("result")
+        ).alias("result"),
     )
 
 
+def _published(tb):
+    """A folder per run with archives and a metadata file, and for half of them plain copies that do not count."""
+    root = shared_path(tb.spark, "documents")
+    heads = _heads(tb)
+    Q.write_result_documents(heads, tb.predictions, root)
+    even = F.substring("run_id", -1, 1).cast("int") % 2 == 0
+    Q.write_result_documents(heads.where(even), tb.predictions.where(even), root, compressed=False)
+    metadata = heads.select(F.concat("run_id", F.lit("/metadata.json")).alias("name"), F.lit("{}").alias("text")).distinct()
+    W.write_documents(metadata, root, "name", "text").write.format("noop").mode("overwrite").save()
+    return root
+
+
 @query(
     "read_bundles",
     "IO5,V18",
@@ -159,15 +167,9 @@ def _bundles(tb):
        from results""",
 )
 def _(tb):
-    root = shared_path(tb.spark, "bundles")
-    W.write_bundles(_bundles(tb), root)
-    rows = B.read_bundles(tb.spark, root)
-    flat = B.flat_results(rows)
-    counted = (
-        B.flat_predictions(rows)
-        .groupBy("run_id", "benchmark_id")
-        .agg(F.count(F.lit(1)).alias("predictions"))
-    )
+    heads, predictions = Q.read_documents(Q.result_files(tb.spark, [_published(tb)]))
+    flat = B.flat_results(heads)
+    counted = predictions.groupBy("run_id", "benchmark_id").agg(F.count(F.lit(1)).alias("predictions"))
     return flat.join(counted, ["run_id", "benchmark_id"], "left").select(
         "run_id",
         "benchmark_id",
@@ -180,6 +182,43 @@ def _(tb):
     )
 
 
+@query(
+    "document_predictions",
+    "IO5",
+    """select 'run-' || cast(m as varchar) run_id, bid benchmark_id, cast(cid as varchar) case_id, q question_id,
+              case outcome when 'ok' then 'answer' when 'failed' then 'error' else 'abstention' end outcome
+       from (select m, bid, cid, 'status' q, outcome from choice_row union all
+             select m, bid, cid, 'price', outcome from score_row union all
+             select m, bid, cid, 'quality', outcome from noul_row union all
+             select m, bid, cid, 'area', outcome from box_row)""",
+)
+def _(tb):
+    """Every prediction comes back from the documents once, with its outcome."""
+    _, predictions = Q.read_documents(Q.result_files(tb.spark, [_published(tb)]))
+    kind = F.when(F.col("error").isNotNull(), "error").when(F.col("abstention").isNotNull(), "abstention")
+    answered = F.col("probabilities").isNotNull() | F.col("box").isNotNull()
+    return predictions.select(
+        "run_id", "benchmark_id", "case_id", "question_id", kind.when(answered, "answer").alias("outcome")
+    )
+
+
+@query(
+    "source_file_counts",
+    "AG27,IO5",
+    """select 'published' source, count(*) files from results
+       union all select 'plain', count(*) from results""",
+)
+def _(tb):
+    """Result files per source: archives of published folders, and plain files elsewhere."""
+    root = shared_path(tb.spark, "sources")
+    heads, none = _heads(tb), tb.predictions.limit(0)
+    for name, compressed in (("published", True), ("published", False), ("plain", False)):
+        Q.write_result_documents(heads, none, f"{root}/{name}", compressed)
+    metadata = heads.select(F.concat("run_id", F.lit("/metadata.json")).alias("name"), F.lit("{}").alias("text")).distinct()
+    W.write_documents(metadata, f"{root}/published", "name", "text").write.format("noop").mode("overwrite").save()
+    return Q.source_counts(Q.result_files(tb.spark, [f"{root}/published", f"{root}/plain"]))
+
+
 @query(
     "bundle_file_names",
     "V18",
@@ -192,7 +231,7 @@ def _(tb):
 )
 def _(tb):
     root = shared_path(tb.spark, "bundles")
-    W.write_bundles(_bundles(tb), root)
+    Q.write_result_documents(_heads(tb), tb.predictions.limit(0), root)
     flat = B.flat_results(B.read_bundles(tb.spark, root))
     described = flat.withColumns(
         {

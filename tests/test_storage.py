@@ -11,6 +11,7 @@ from tallyloom.operators.scorer import UniformScorer, score_cases
 from tallyloom.sources import assets as A
 from tallyloom.sources import bundles as B
 from tallyloom.sources import definitions as D
+from tallyloom.sources import documents as Q
 from tallyloom.sources import writers as W
 from tallyloom.sources.files import CommitLog
 from tallyloom.streaming import ingest as I
@@ -64,6 +65,60 @@ def test_archives_need_metadata(spark, folder):
     assert lone == ["b7.json.xz"]
 
 
+def test_documents_are_split_at_any_place():
+    document = {"a": [1, {"b": "x]}\\\"" }], "n": -12.5e3, "predictions": [{"p": "é,]"}, 17, [], "s", None], "z": {"predictions": [1]}}
+    for text in (json.dumps(document), json.dumps(document, indent=2, ensure_ascii=False) + "\n"):
+        for size in (1, 2, 3, 7, 1000):
+            parts = list(Q.split_document(text[i : i + size] for i in range(0, len(text), size)))
+            assert [json.loads(t) for k, t in parts if k == "prediction"] == document["predictions"]
+            assert parts[-1][0] == "head"
+            assert json.loads(parts[-1][1]) == {k: v for k, v in document.items() if k != "predictions"}
+    assert list(Q.split_document(["{}"])) == [("head", "{}")]
+    for bad in ("", "[]", "{", '{"a":1', '{"a" 1}', '{"predictions":[1 2]}', '{"predictions":[1],"predictions":[2]}', "{} x", '{"a":}'):
+        with pytest.raises(ValueError, match="invalid JSON"):
+            list(Q.split_document([bad]))
+
+
+def test_read_documents_by_the_rule_of_published_folders(spark, folder):
+    (folder / "m1" / "b1.json").write_text(json.dumps(bundle("r1", "b1")))  # a plain copy beside its archive
+    (folder / "m2" / "b8.json").write_text(json.dumps(bundle("r2", "b8", predictions=[1])).replace("[1]", '[{"case_id": "a"}, {"case_id": "a", "case_id": "b"}]'))
+    files = Q.result_files(spark, [str(folder)])
+    heads, predictions = Q.read_documents(files)
+    found = {r["path"].rsplit("/", 2)[-2] + "/" + r["path"].rsplit("/", 1)[-1]: r["problem"] for r in heads.collect()}
+    assert found == {
+        "m1/b1.json.xz": None, "m1/b2.json.xz": "truncated stream or trailing data",
+        "m1/b3.json.xz": "truncated stream or trailing data", "m1/b4.json.xz": "not an XZ stream", "deep/b1.json": None,
+        "m2/b5.json": "invalid JSON", "m2/b6.json": "invalid JSON", "m2/b7.json.xz": "archive without metadata", "m2/b8.json": "invalid JSON",
+    }
+    assert sorted((r["run_id"], r["case_id"], r["probabilities"]["true"]) for r in predictions.collect()) == [("r1", "c", 1.0), ("r2", "c", 1.0)]
+    assert [(r["source"], r["files"]) for r in Q.source_counts(files).collect()] == [(folder.name, 9)]
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_documents_go_out_and_come_back(spark, tmp_path, compressed):
+    heads = spark.createDataFrame([("r", "b", "é"), ("r", "c", "none"), ("s", "b", "x")], "run_id string, benchmark_id string, status string")
+    heads = heads.select("run_id", "benchmark_id", F.struct("run_id", F.struct(F.col("benchmark_id").alias("id")).alias("benchmark"), "status").alias("result"))
+    rows = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 's', 'r') run_id", "'b' benchmark_id", "cast(id as string) case_id", "'q' question_id",
+        "map('true', id / 30000) probabilities", "cast(null as struct<left:double,top:double,right:double,bottom:double>) box",
+        "cast(null as string) error", "if(id = 5, 'a\nb', null) abstention",
+    )
+    for _ in range(2):  # a retried task writes the same documents again
+        Q.write_result_documents(heads, rows, str(tmp_path), compressed)
+    if compressed:
+        for run in "rs":
+            (tmp_path / run / "metadata.json").write_text("{}")
+    suffix = ".json.xz" if compressed else ".json"
+    assert sorted(p.name for p in (tmp_path / "r").glob("*.json*") if p.name != "metadata.json") == ["b" + suffix, "c" + suffix]
+    read, predictions = Q.read_documents(Q.result_files(spark, [str(tmp_path)]))
+    assert {(r["result"]["run_id"], r["result"]["benchmark"]["id"], r["result"]["status"]) for r in read.collect()} == {("r", "b", "é"), ("r", "c", "none"), ("s", "b", "x")}
+    expected = {(r["run_id"], r["case_id"], r["probabilities"]["true"], r["abstention"]) for r in rows.collect()}
+    back = [(r["run_id"], r["case_id"], r["probabilities"]["true"], r["abstention"]) for r in predictions.collect()]
+    assert len(back) == 30_000 and set(back) == expected
+    with pytest.raises(Exception, match="Predictions without a result"):
+        Q.write_result_documents(heads.where("run_id = 'r'"), rows, str(tmp_path / "other"), compressed)
+
+
 def test_documents_of_any_size_are_read():
     large = b"[" + b"1," * (35 << 20) + b"1]"
     assert B.decompress(large, False) == (large.decode(), None)
