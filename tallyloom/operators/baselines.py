@@ -9,6 +9,8 @@ from tallyloom.functions import scoring as S
 from tallyloom.operators.ranking import running_totals
 
 BUCKETS = 16384
+# Cuts of a range around the middle, each between the ends of the values left.
+CUTS = 2
 
 
 def noul_baselines(decisions: DataFrame) -> DataFrame:
@@ -95,43 +97,51 @@ def group_medians(
     """Exact interpolating median per group from (group, value, c), without holding a group.
 
     With known ends the value range is cut into equal-width buckets. At most BUCKETS rows per
-    group tell which bucket(s) hold the middle ranks; only those are ordered value by value.
+    group tell which bucket(s) hold the middle ranks; their values are cut again between their
+    own ends, so values that all lie close together are spread as well, and only the last cut's
+    bucket(s) are ordered value by value.
     Without them, ranks are counted over range pieces of the data, so that no outlier can put
     all other values into one task.
     """
     counts = counts.where(F.col(value).isNotNull()).withColumnRenamed(value, "v")
     if low is None or high is None:
         return _medians_by_rank(counts.groupBy(group, "v").agg(F.sum("c").alias("c")), group)
-    start, width = F.lit(low), F.lit(high - low)
-    share = F.when(width > 0, (F.col("v") - start) / width).otherwise(F.lit(0.0))
+    none = F.lit(0).cast("bigint")
+    # One cell holds everything; each cut keeps the cells of the middle ranks, with their own ends.
+    rows = counts.select(
+        group, "v", "c", none.alias("cell"), F.lit(low).alias("low"), F.lit(high).alias("high"), none.alias("before"),
+        F.lit(None).cast("bigint").alias("r1"), F.lit(None).cast("bigint").alias("r2"),
+    )
+    for _ in range(CUTS):
+        rows = _middle_cells(rows, group)
+    inside = F.sum("c").over(Window.partitionBy(group, "cell").orderBy("v"))
+    ranked = rows.select(group, "v", "r1", "r2", (F.col("before") + inside).alias("upto"), "c")
+    return _middle(ranked, group)
+
+
+def _middle_cells(rows: DataFrame, group: str) -> DataFrame:
+    """Cut each cell into BUCKETS of equal width and keep those with a middle rank, with the ends of their values."""
+    width = F.col("high") - F.col("low")
+    share = F.when(width > 0, (F.col("v") - F.col("low")) / width).otherwise(F.lit(0.0))
     bucket = F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)))
-    placed = counts.select(group, "v", "c", bucket.alias("bucket"))
-    whole = Window.partitionBy(group)
-    # One-based ranks of the two middle values; equal when the group is odd.
-    n = F.sum("size").over(whole)
-    middle = (
-        placed.groupBy(group, "bucket")
-        .agg(F.sum("c").alias("size"))
-        .select(
-            group,
-            "bucket",
-            "size",
-            F.sum("size").over(whole.orderBy("bucket")).alias("upto"),
-            F.floor((n + 1) / 2).alias("r1"),
-            F.floor((n + 2) / 2).alias("r2"),
-        )
-        .withColumn("before", F.col("upto") - F.col("size"))
-        .where(
-            ((F.col("before") < F.col("r1")) & (F.col("r1") <= F.col("upto")))
-            | ((F.col("before") < F.col("r2")) & (F.col("r2") <= F.col("upto")))
-        )
-        .drop("size", "upto")
+    placed = rows.select(group, "v", "c", F.col("cell").alias("parent"), bucket.alias("bucket"), "before", "r1", "r2")
+    sizes = placed.groupBy(group, "parent", "bucket", "before", "r1", "r2").agg(
+        F.sum("c").alias("size"), F.min("v").alias("low"), F.max("v").alias("high")
     )
-    inside = F.sum("c").over(Window.partitionBy(group, "bucket").orderBy("v"))
-    ranked = placed.join(middle, [group, "bucket"]).select(
-        group, "v", "r1", "r2", (F.col("before") + inside).alias("upto"), "c"
+    inside = Window.partitionBy(group, "parent").orderBy("bucket")
+    # One-based ranks of the two middle values, known after the first cut; equal when the group is odd.
+    n = F.sum("size").over(Window.partitionBy(group))
+    upto = F.col("before") + F.sum("size").over(inside)
+    middle = sizes.select(
+        group, "parent", "bucket", "low", "high", upto.alias("upto"), (upto - F.col("size")).alias("before"),
+        F.coalesce("r1", F.floor((n + 1) / 2)).alias("r1"), F.coalesce("r2", F.floor((n + 2) / 2)).alias("r2"),
+    ).where(
+        ((F.col("before") < F.col("r1")) & (F.col("r1") <= F.col("upto")))
+        | ((F.col("before") < F.col("r2")) & (F.col("r2") <= F.col("upto")))
     )
-    return _middle(ranked, group)
+    cell = (F.col("parent") * BUCKETS + F.col("bucket")).alias("cell")
+    kept = placed.select(group, "v", "c", "parent", "bucket").join(middle, [group, "parent", "bucket"])
+    return kept.select(group, "v", "c", cell, "low", "high", "before", "r1", "r2")
 
 
 def _medians_by_rank(counts: DataFrame, group: str) -> DataFrame:

@@ -31,18 +31,53 @@ def one_target_each(decisions: Column, targets: Column) -> Column:
     return unique & same
 
 
+def case_problem(decisions: Column, targets: Column) -> Column:
+    """Why a case has not exactly one target for each decision; NULL for a sound one."""
+    ids, owners = decisions["id"], targets["decision_id"]
+    return (
+        F.when(decisions.isNull() | targets.isNull(), "no decisions or targets")
+        .when(F.size(F.array_distinct(ids)) != F.size(ids), "repeated decision")
+        .when(F.size(F.array_distinct(owners)) != F.size(owners), "repeated target")
+        .when(F.size(F.array_except(ids, owners)) > 0, "decision without a target")
+        .when(F.size(F.array_except(owners, ids)) > 0, "target without a decision")
+    )
+
+
 def _distribution(target: Column) -> Column:
     return F.map_from_arrays(target["ids"], target["probabilities"])
 
 
-def decisions_from_cases(cases: DataFrame) -> DataFrame:
+def decisions_from_cases(cases: DataFrame, strict: bool = False) -> DataFrame:
     """One row per decision of rows with exactly one target each; candidate order is kept.
 
+    Unsound cases are left out, `accounted_decisions` has them with the reason; `strict` ends the
+    job at the first one.
+    """
+    rows = accounted_decisions(cases)
+    if strict:
+        stop = F.raise_error(F.concat_ws(": ", "case_id", "problem"))
+        rows = rows.withColumn("problem", F.when(F.col("problem").isNotNull(), stop))
+    return rows.where(F.col("problem").isNull()).drop("problem")
+
+
+def quarantined_cases(cases: DataFrame) -> DataFrame:
+    """(case_id, problem) of the cases that decisions_from_cases() and questions_view() leave out."""
+    problem = case_problem(F.col("input.decisions"), F.col("targets"))
+    return cases.select("case_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def accounted_decisions(cases: DataFrame) -> DataFrame:
+    """All cases in one pass: the decisions of sound ones, and one row with `problem` for each other case.
+
     Everything stays inside the row: the target is found by id in the case's own target
     array, so exploding needs neither a join nor a shuffle.
     """
-    sound = cases.where(one_target_each(F.col("input.decisions"), F.col("targets")))
-    rows = sound.select(
+    problem = case_problem(F.col("input.decisions"), F.col("targets"))
+    checked = cases.withColumn("problem", problem)
+    # A case with a problem gives one row without a decision.
+    decisions = F.when(F.col("problem").isNull(), F.col("input.decisions"))
+    rows = checked.select(
+        "problem",
         "case_id",
         "group_id",
         "input_hash",
@@ -50,7 +85,7 @@ def decisions_from_cases(cases: DataFrame) -> DataFrame:
         "language",
         F.col("input.state_json").alias("state_json"),
         "targets",
-        F.posexplode("input.decisions").alias("position", "decision"),
+        F.posexplode_outer(decisions).alias("position", "decision"),
     )
     mine = F.get(
         F.filter("targets", lambda t: t["decision_id"] == F.col("decision.id")), F.lit(0)
@@ -79,6 +114,7 @@ def decisions_from_cases(cases: DataFrame) -> DataFrame:
         "input_hash",
         "split",
         "state_json",
+        "problem",
     )
 
 

@@ -58,9 +58,12 @@ def task_means(
     members: DataFrame,
     benchmarks: DataFrame,
     metric: str = "baseline_adjusted_score",
+    eligibility: Column | None = None,
 ) -> DataFrame:
     """Equal-weight mean of a metric per (category, run, task); NULL under the coverage gates.
 
+    `eligibility` says which adjusted scores count, by default those whose own baselines leave room.
+
     The gates compare counts: complete measured results against required benchmarks, NULL
     values against none. So neither a run x benchmark grid nor a second pass is needed.
     """
@@ -71,7 +74,7 @@ def task_means(
 
     def counted(task: str) -> Column:
         gated = metric == "baseline_adjusted_score" and task != "box"
-        return eligible() if gated else F.lit(True)
+        return (eligible() if eligibility is None else eligibility) if gated else F.lit(True)
 
     def cell(task: str) -> Column:
         mine = F.col("task") == task

@@ -10,31 +10,56 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import text_key
 
 
-# Tasks that share the rows of one text in a join; the side with one row per text is repeated as often.
-SALTS = 16
+# Rows of one text that a task takes in a join; a text with more is shared by as many tasks as it needs.
+ROWS_PER_TASK = 1_000_000
 
 
-def _salted_join(rows: DataFrame, per_key: DataFrame, key: str, how: str) -> DataFrame:
-    """Join rows with a table of one row per key, so that a key with many rows is shared by SALTS tasks."""
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", salt).join(repeated, [key, "_salt"], how).drop("_salt")
+def hot_keys(counts: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(key, salts) of the keys with more rows than a task takes, from their exact counts `n`.
 
+    There are at most (all rows / rows_per_task) of them.
+    """
+    salts = F.ceil(F.col("n") / rows_per_task).cast("int")
+    return counts.where(F.col("n") > rows_per_task).select(F.col(key).alias("_hot"), salts.alias("_salts"))
+
+
+def _salted_join(
+    rows: DataFrame, per_key: DataFrame, key: str, how: str, rows_per_task: int = ROWS_PER_TASK, counts: DataFrame | None = None
+) -> DataFrame:
+    """Join rows with a table of one row per key; each frequent key gets its own number of salts.
 
-def reuse_by_content(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
+    Keys are counted with partial aggregation. A row's salt is a hash of its columns, so a repeated task deals it alike;
+    rows that are equal in every column share a salt.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, key, rows_per_task)
+    plain = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*plain), F.coalesce("_salts", F.lit(1))).cast("int")
+    )
+    last = F.coalesce("_salts", F.lit(1)) - 1
+    repeated = per_key.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    sides = dealt.drop("_hot", "_salts"), repeated.drop("_hot", "_salts")
+    return sides[0].join(sides[1], [key, "_salt"], how).drop("_salt")
+
+
+def reuse_by_content(
+    rows: DataFrame, text: str, order: list[str], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Marks every row whose exact text occurred earlier, with the row it can reuse.
 
     The first row per text is a minimum, so copies collapse before the shuffle and no task
-    holds a group of copies. The join back is salted, so that copies of one text are dealt
-    over several tasks. A single numeric order column keeps the minimum in a hash aggregate.
+    holds a group of copies. The same aggregation counts them, which tells how many tasks share
+    a text in the join back. A single numeric order column keeps the minimum in a hash aggregate.
     """
     keyed = rows.withColumn("content_key", F.sha2(text, 256))
     if len(order) == 1:
-        lowest = keyed.groupBy("content_key").agg(F.min(order[0]).alias("_lowest"))
-        first = lowest.select("content_key", F.struct(F.col("_lowest").alias(order[0])).alias("source"))
+        lowest = keyed.groupBy("content_key").agg(F.min(order[0]).alias("_lowest"), F.count(F.lit(1)).alias("n"))
+        first = lowest.select("content_key", F.struct(F.col("_lowest").alias(order[0])).alias("source"), "n")
     else:
-        first = keyed.groupBy("content_key").agg(F.min(F.struct(*order)).alias("source"))
-    joined = _salted_join(keyed, first, "content_key", "inner")
+        first = keyed.groupBy("content_key").agg(F.min(F.struct(*order)).alias("source"), F.count(F.lit(1)).alias("n"))
+    joined = _salted_join(keyed, first.drop("n"), "content_key", "inner", rows_per_task, first.select("content_key", "n"))
     mine = F.struct(*order)
     return joined.withColumn("reused", mine != F.col("source"))
 
@@ -80,11 +105,13 @@ def overlap_audit(training: DataFrame, inputs: DataFrame, text: str) -> DataFram
     )
 
 
-def decontaminated(training: DataFrame, inputs: DataFrame, text: str) -> DataFrame:
+def decontaminated(
+    training: DataFrame, inputs: DataFrame, text: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Training rows whose normalised text is no evaluation input."""
     known = inputs.select(text_key(F.col(text)).alias("content_key")).distinct()
     keyed = training.withColumn("content_key", text_key(F.col(text)))
-    return _salted_join(keyed, known, "content_key", "left_anti").drop("content_key")
+    return _salted_join(keyed, known, "content_key", "left_anti", rows_per_task).drop("content_key")
 
 
 def decontamination_receipt(training: DataFrame, inputs: DataFrame, text: str) -> DataFrame:
@@ -106,11 +133,13 @@ def decontamination_receipt(training: DataFrame, inputs: DataFrame, text: str) -
     )
 
 
-def removed_ids(training: DataFrame, inputs: DataFrame, text: str) -> DataFrame:
+def removed_ids(
+    training: DataFrame, inputs: DataFrame, text: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """The training rows the receipt names."""
     known = inputs.select(text_key(F.col(text)).alias("content_key")).distinct()
     keyed = training.withColumn("content_key", text_key(F.col(text)))
-    return _salted_join(keyed, known, "content_key", "left_semi")
+    return _salted_join(keyed, known, "content_key", "left_semi", rows_per_task)
 
 
 def word_count(text: Column) -> Column:

@@ -118,6 +118,16 @@ def eligible(task: Column | None = None) -> Column:
     )
 
 
+def default_eligibility(results: DataFrame, defaults: DataFrame, own: str = "own_eligible") -> DataFrame:
+    """Adds `eligible`: what a result says itself, else the snapshot's default for its benchmark, else false.
+
+    `defaults` has one row (benchmark_id, eligible) per benchmark of the snapshot that has a default.
+    """
+    stated = defaults.select("benchmark_id", F.col("eligible").alias("_default"))
+    joined = results.join(stated, "benchmark_id", "left")
+    return joined.withColumn("eligible", F.coalesce(own, "_default", F.lit(False))).drop("_default")
+
+
 def with_eligibility(results: DataFrame) -> DataFrame:
     reason = F.lit(None).cast("string")
     for task, text in INELIGIBLE_REASON.items():

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ranking import with_position
+from tallyloom.validation.checks import raise_on
 
 KEY = ("run_id", "benchmark_id")
 
@@ -36,6 +37,37 @@ def encode(results: DataFrame, benchmark_columns: list[str], model_columns: list
     return benchmarks, models, facts.select(*kept)
 
 
+PARTS = ("benchmarks", "models", "facts")
+
+
+def digests(benchmarks: DataFrame, models: DataFrame, facts: DataFrame) -> DataFrame:
+    """(part, rows, digest) of the three tables of a snapshot; stored beside them."""
+    rows = [
+        content_digest(table, sorted(table.columns)).withColumn("part", F.lit(part))
+        for part, table in zip(PARTS, (benchmarks, models, facts), strict=True)
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("part", "rows", "digest")
+
+
+def digest_problems(benchmarks: DataFrame, models: DataFrame, facts: DataFrame, stored: DataFrame) -> DataFrame:
+    """Violations (check, subject, detail): parts whose content is not what `stored` says, or of which it says nothing."""
+    said = stored.select("part", F.col("rows").alias("s_rows"), F.col("digest").alias("s_digest"))
+    both = digests(benchmarks, models, facts).join(said, "part", "left")
+    detail = (
+        F.when(F.col("s_digest").isNull(), "no digest")
+        .when(F.col("rows") != F.col("s_rows"), "row count differs")
+        .when(F.col("digest") != F.col("s_digest"), "content differs")
+    )
+    found = both.select(F.lit("snapshot").alias("check"), F.col("part").alias("subject"), detail.alias("detail"))
+    return found.where(F.col("detail").isNotNull())
+
+
+def decode_verified(benchmarks: DataFrame, models: DataFrame, facts: DataFrame, stored: DataFrame) -> DataFrame:
+    """decode() after the digests of all three tables were recomputed; a difference is an error."""
+    raise_on(digest_problems(benchmarks, models, facts, stored))
+    return decode(benchmarks, models, facts)
+
+
 def decode(benchmarks: DataFrame, models: DataFrame, facts: DataFrame) -> DataFrame:
     return facts.join(benchmarks, "benchmark").join(models, "model").drop("benchmark", "model")
 
@@ -120,9 +152,9 @@ def reduction_warnings(
     benchmark_id.
     """
     texts = {
-        "removed": "Removed result",
-        "regressed": "Completion regressed",
-        "fewer": "Fewer successful decisions",
+        "removed": "result_removed",
+        "regressed": "completion_lost",
+        "fewer": "fewer_succeeded",
     }
     diff = snapshot_diff(before, after)
     lost = F.lit(None).cast("string")
@@ -147,9 +179,9 @@ def reduction_warnings(
         definitions[1].select("id"), "id", "left_anti"
     )
     return (
-        rows.unionByName(_warning(lost_definitions, "Removed definition", "id"))
-        .unionByName(_warning(gone, "Removed category", "category"))
-        .unionByName(_warning(lost_members, "Removed category member", "category", "benchmark_id"))
+        rows.unionByName(_warning(lost_definitions, "definition_removed", "id"))
+        .unionByName(_warning(gone, "category_removed", "category"))
+        .unionByName(_warning(lost_members, "member_removed", "category", "benchmark_id"))
         .unionByName(shrink_warning(before, after))
     )
 
@@ -170,7 +202,7 @@ def shrink_warning(before: DataFrame, after: DataFrame, keep: float = 0.8) -> Da
         )
     )
     return both.where(F.col("n") < F.col("o") * keep).select(
-        F.lit("Summary content shrank by more than 20%").alias("warning"),
+        F.lit("content_shrank").alias("warning"),
         F.concat_ws(" -> ", F.col("o").cast("string"), F.col("n").cast("string")).alias("subject"),
     )
 

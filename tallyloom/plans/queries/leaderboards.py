@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.constants import PRIMARY_METRIC
 from tallyloom.operators import comparison as C
 from tallyloom.operators import leaderboard as L
 from tallyloom.operators import ranking as K
@@ -314,19 +318,29 @@ def _(tb):
     return C.comparison_positions(spreads).select("category", "task", "benchmark_id", "position")
 
 
+_BETTER_HIGH = {"choice": True, "noul": False, "score": False, "box": True}
+
+
 @query(
     "metric_ranks",
     "W3",
-    """select benchmark_id, run_id, case when binary_brier is not null then
-                rank() over (partition by benchmark_id, binary_brier is null
-                             order by binary_brier) end metric_rank
-       from results where task = 'noul'""",
+    " union all ".join(
+        f"""select benchmark_id, run_id, case when {PRIMARY_METRIC[t]} is not null then
+                rank() over (partition by benchmark_id, {PRIMARY_METRIC[t]} is null
+                             order by {PRIMARY_METRIC[t]} {"desc" if high else "asc"}) end metric_rank
+            from results where task = '{t}'"""
+        for t, high in _BETTER_HIGH.items()
+    ),
 )
 def _(tb):
-    noul = tb.results.where(F.col("task") == "noul")
-    return C.metric_ranks(noul, ["benchmark_id"], "binary_brier").select(
-        "benchmark_id", "run_id", F.col("rank").alias("metric_rank")
-    )
+    """Every task by its primary metric."""
+    ranked = [
+        C.metric_ranks(tb.results.where(F.col("task") == t), ["benchmark_id"], PRIMARY_METRIC[t]).select(
+            "benchmark_id", "run_id", F.col("rank").alias("metric_rank")
+        )
+        for t in _BETTER_HIGH
+    ]
+    return reduce(DataFrame.unionByName, ranked)
 
 
 @query(
@@ -364,16 +378,45 @@ def _(tb):
 @query(
     "result_positions",
     "W8",
-    """select benchmark_id, run_id, row_number() over (partition by benchmark_id
-         order by not (status = 'complete' and provenance = 'measured'),
-           normalized_score_rmse is null, normalized_score_rmse, run_id) position
-       from results where task = 'score'""",
+    " union all ".join(
+        f"""select benchmark_id, run_id, row_number() over (partition by benchmark_id
+              order by not (status = 'complete' and provenance = 'measured'),
+                {PRIMARY_METRIC[t]} is null, {PRIMARY_METRIC[t]} {"desc" if high else "asc"}, run_id) position
+            from results where task = '{t}'"""
+        for t, high in _BETTER_HIGH.items()
+    ),
+)
+def _(tb):
+    """Every task by its primary metric."""
+    placed = [
+        C.result_positions(tb.results.where(F.col("task") == t), PRIMARY_METRIC[t]).select("benchmark_id", "run_id", "position")
+        for t in _BETTER_HIGH
+    ]
+    return reduce(DataFrame.unionByName, placed)
+
+
+@query(
+    "default_eligibility_scores",
+    "AG14,AG13",
+    """select category, run_id, task, case when complete = required and counted > 0 and undefined = 0 then round(mean, 6) end value
+       from (select m.category, r.run_id, m.task, count(*) filter (status = 'complete' and provenance = 'measured') complete,
+                    count(*) filter (e) counted, count(*) filter (e and baseline_adjusted_score is null) undefined,
+                    avg(case when e then baseline_adjusted_score end) mean
+             from members m join (select *, case when run_id in ('run-0', 'run-2', 'run-4') then eligible
+                else coalesce(case when benchmark_id like '%-O-choice' then null else benchmark_id <> 'price-1-score' end, false) end e
+                from results) r on r.benchmark_id = m.bid
+             where m.task <> 'box' group by m.category, r.run_id, m.task)
+       join (select category, task, count(*) required from members group by category, task) using (category, task)""",
 )
 def _(tb):
-    scored = tb.results.where(F.col("task") == "score")
-    return C.result_positions(scored, "normalized_score_rmse").select(
-        "benchmark_id", "run_id", "position"
+    """Odd runs say nothing of their eligibility; the snapshot has defaults for all benchmarks but one."""
+    even = F.substring("run_id", -1, 1).cast("int") % 2 == 0
+    own = R.with_eligibility(tb.results).withColumn("own_eligible", F.when(even, F.col("eligible"))).drop("eligible", "reason")
+    defaults = tb.benchmarks.where("id not like '%-O-choice'").select(
+        F.col("id").alias("benchmark_id"), (F.col("id") != "price-1-score").alias("eligible")
     )
+    means = L.task_means(R.default_eligibility(own, defaults), tb.members, tb.benchmarks, eligibility=F.col("eligible"))
+    return means.where("task <> 'box'").select("category", "run_id", "task", r6("value"))
 
 
 @query(

@@ -12,6 +12,9 @@ from tallyloom.operators import results as R
 from tallyloom.operators import scoring as J
 from tallyloom.plans.evaluation import metric_table
 from tallyloom.plans.queries.registry import query, r6
+from tallyloom.plans.testbed import RUNS
+from tallyloom.session import shared_path
+from tallyloom.sources import writers as W
 
 _RUN = "concat('run-', cast(m as varchar)) run_id, bid benchmark_id"
 _KEY = _RUN + ", cast(cid as varchar) case_id"
@@ -21,15 +24,18 @@ def _rows(tb, task):
     return J.row_scores(J.join_decisions(tb.predictions_of(task), tb.decisions_of(task)))
 
 
-@query(
-    "prediction_decision_join",
-    "J2",
-    """select concat('run-', cast(m as varchar)) run_id, bid benchmark_id, task,
+_JOINED = """select concat('run-', cast(m as varchar)) run_id, bid benchmark_id, task,
               count(*) decisions, count(*) filter (outcome = 'ok') answered
        from (select m, bid, 'noul' task, outcome from noul_row
              union all select m, bid, 'choice', outcome from choice_row
              union all select m, bid, 'score', outcome from score_row
-             union all select m, bid, 'box', outcome from box_row) group by m, bid, task""",
+             union all select m, bid, 'box', outcome from box_row) group by m, bid, task"""
+
+
+@query(
+    "prediction_decision_join",
+    "J2",
+    _JOINED,
 )
 def _(tb):
     joined = J.join_decisions(tb.predictions, tb.decisions)
@@ -39,6 +45,26 @@ def _(tb):
     )
 
 
+@query(
+    "colocated_join",
+    "J2",
+    _JOINED,
+)
+def _(tb):
+    """Both tables are stored in buckets of the decision key; the join reads them side by side."""
+    spark = tb.spark
+    path = shared_path(spark, "colocated")
+    buckets = spark.sparkContext.defaultParallelism
+    name = path.rsplit("-", 1)[-1]
+    decisions = W.save_colocated(tb.decisions, f"decisions_{name}", buckets, f"{path}/decisions")
+    predictions = W.save_colocated(tb.predictions, f"predictions_{name}", buckets, f"{path}/predictions")
+    joined = J.join_decisions(predictions, decisions.hint("merge"))
+    answered = F.col("probabilities").isNotNull() | F.col("box").isNotNull()
+    return joined.groupBy("run_id", "benchmark_id", "task").agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_if(answered).alias("answered")
+    )
+
+
 @query(
     "choice_argmax",
     "RS1",
@@ -158,16 +184,17 @@ def _(tb):
 @query(
     "rounded_answers",
     "RS9",
-    """select bid benchmark_id, cast(cid as varchar) case_id,
+    """select 'run-' || cast(m as varchar) run_id, bid benchmark_id, cast(cid as varchar) case_id,
               sum(rp) > 0 and abs(sum(rp) - 1) <= count(*) * 0.0051 ok,
               case when sum(rp) > 0 and abs(sum(rp) - 1) <= count(*) * (0.005 + 1e-6)
                    then round(max(rp) / sum(rp), 6) end top
-       from (select bid, cid, round(p, 2) + case when cid % 11 = 0 then 0.04 else 0 end rp
-             from choice_p where m = 0) group by bid, cid""",
+       from (select m, bid, cid, round(p, 2) + case when cid % 11 = 0 then 0.04 else 0 end rp
+             from choice_p) group by m, bid, cid""",
 )
 def _(tb):
-    base = tb.choice_base.withColumn("m", F.lit(0)).withColumn(
-        "w", F.expr("transform(sequence(0L, k - 1), pos -> 1 + (cid * 13 + pos * 29) % 10)")
+    runs = tb.choice_base.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
+    base = runs.withColumn(
+        "w", F.expr("transform(sequence(0L, k - 1), pos -> 1 + (cid * 13 + pos * 29 + m * 7) % 10)")
     )
     noisy = base.withColumn(
         "rounded",
@@ -178,6 +205,7 @@ def _(tb):
     )
     kept = D.renormalized(F.col("rounded"), decimals=2)
     return noisy.select(
+        F.concat(F.lit("run-"), F.col("m").cast("string")).alias("run_id"),
         F.col("bid").alias("benchmark_id"),
         F.col("cid").cast("string").alias("case_id"),
         kept.isNotNull().alias("ok"),
@@ -188,22 +216,23 @@ def _(tb):
 @query(
     "answer_decoding",
     "RS10",
-    """select 'choice' task, bid benchmark_id, cast(cid as varchar) case_id, pos,
-              oid option_id, round(p, 6) p from choice_p where m = 1
-       union all select 'score', bid, cast(cid as varchar), pos,
-              concat('l', cast(4 - pos as varchar)), round(p, 6) from score_p where m = 1
-       union all select 'noul', bid, cast(cid as varchar), v.pos, v.oid,
+    """select 'choice' task, 'run-' || cast(m as varchar) run_id, bid benchmark_id, cast(cid as varchar) case_id, pos,
+              oid option_id, round(p, 6) p from choice_p
+       union all select 'score', 'run-' || cast(m as varchar), bid, cast(cid as varchar), pos,
+              concat('l', cast(4 - pos as varchar)), round(p, 6) from score_p
+       union all select 'noul', 'run-' || cast(m as varchar), bid, cast(cid as varchar), v.pos, v.oid,
               round(case when v.pos = 1 then p else 1 - p end, 6)
-       from noul_p, (values (cast(0 as bigint), 'false'), (cast(1 as bigint), 'true')) v(pos, oid)
-       where m = 1""",
+       from noul_p, (values (cast(0 as bigint), 'false'), (cast(1 as bigint), 'true')) v(pos, oid)""",
 )
 def _(tb):
     """Wire answers are rebuilt from the testbed: anonymous choices, level indexes over the
     ascending scale (the stored options are reversed), and a bare p(true)."""
 
+    every_run = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1)))
+
     def weights(base):
-        raw = base.withColumn("m", F.lit(1)).withColumn(
-            "w", F.expr("transform(sequence(0L, k - 1), pos -> 1 + (cid * 13 + pos * 29 + 7) % 10)")
+        raw = base.withColumn("m", every_run).withColumn(
+            "w", F.expr("transform(sequence(0L, k - 1), pos -> 1 + (cid * 13 + pos * 29 + m * 7) % 10)")
         )
         return raw.withColumn(
             "p", F.expr("transform(w, x -> x / aggregate(w, 0L, (a, y) -> a + y))")
@@ -220,11 +249,13 @@ def _(tb):
         )
         return rows.select(
             F.lit(task).alias("task"),
+            F.concat(F.lit("run-"), F.col("m").cast("string")).alias("run_id"),
             F.col("bid").alias("benchmark_id"),
             F.col("cid").cast("string").alias("case_id"),
             F.posexplode(pairs).alias("pos", "o"),
         ).select(
             "task",
+            "run_id",
             "benchmark_id",
             "case_id",
             F.col("pos").cast("bigint").alias("pos"),
@@ -246,7 +277,9 @@ def _(tb):
     )
     answer = D.level_answer(F.col("flipped"), keyed(""), ascending=True)
     two = exploded(score, "score", F.col("flipped"), answer)
-    noul = tb.noul_base.withColumn("p_true", F.expr("((cid * 31 + 17) % 101) / 100D")).withColumn(
+    noul = tb.noul_base.withColumn("m", every_run).withColumn(
+        "p_true", F.expr("((cid * 31 + m * 17) % 101) / 100D")
+    ).withColumn(
         "options", F.expr("array(named_struct('id', 'false'), named_struct('id', 'true'))")
     )
     three = exploded(noul, "noul", F.col("options"), D.binary_answer(F.col("p_true")))

@@ -63,12 +63,14 @@ def _(tb):
        from orders where o_orderpriority not like '5%' group by o_orderpriority""",
 )
 def _(tb):
-    """One file set per order priority; one set is not listed, one declares a row too many."""
+    """One file set per order priority; one set is not listed and unreadable, one declares a row too many."""
     root = shared_path(tb.spark, "release")
     priority = tb.table("orders").selectExpr("cast(o_orderkey as string) case_id", "o_orderpriority p")
     named = _native(tb).join(priority, "case_id")
     named.withColumn("folder", F.substring("p", 1, 1)).write.partitionBy("folder").parquet(root)
     written = tb.spark.read.parquet(root).select("p", F.col("_metadata.file_path").alias("f"))
+    broken = tb.spark.range(1).selectExpr("'folder=5/broken.parquet' name", "'no table' text")
+    W.write_documents(broken, root, "name", "text").write.format("noop").mode("overwrite").save()
     manifest = (
         written.where("p not like '5%'")
         .groupBy(F.col("p").alias("dataset"))
@@ -112,11 +114,11 @@ def _(tb):
     "read_definitions",
     "IO4",
     """select bid benchmark_id, decision_count, bid <> 'price-1-score' name_matches
-       from defs where task <> 'box'""",
+       from defs""",
 )
 def _(tb):
     root = shared_path(tb.spark, "definitions")
-    files = tb.benchmarks.where("task <> 'box'").select(
+    files = tb.benchmarks.select(
         F.expr("concat(case when id = 'price-1-score' then 'other' else id end, '.json')").alias(
             "name"
         ),
@@ -128,6 +130,62 @@ def _(tb):
     )
 
 
+def _written(tb, rows, purpose):
+    """(name, text) rows as files below a new folder."""
+    root = shared_path(tb.spark, purpose)
+    W.write_documents(rows, root, "name", "text").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query(
+    "read_categories",
+    "IO4",
+    """select category id, count(*) benchmarks, string_agg(bid, ',' order by bid) listed,
+              category <> 'text-v1' name_matches from members group by category""",
+)
+def _(tb):
+    name = F.expr("concat(case when id = 'text-v1' then 'other' else id end, '.json') name")
+    root = _written(tb, tb.categories.select(name, F.to_json(F.struct("*")).alias("text")), "categories")
+    return D.read_categories(tb.spark, root).select(
+        "id",
+        F.size("benchmarks").cast("bigint").alias("benchmarks"),
+        F.array_join("benchmarks", ",").alias("listed"),
+        "name_matches",
+    )
+
+
+_MODEL_KEY = "concat('org__', replace(lower(s_name), '#', '-'))"
+
+
+@query(
+    "read_metadata",
+    "IO4",
+    f"""select {_MODEL_KEY} folder, replace({_MODEL_KEY}, '__', '/') model_id,
+               case when s_suppkey % 3 <> 2 then (s_suppkey * 370000007) % 41000000000 end total_params from supplier""",
+)
+def _(tb):
+    """One metadata file per model, in the model's folder."""
+    fields = ["model_id", "display_name", "short_name", "total_params", "active_params", "parameter_count_method"]
+    rows = tb.models.select(F.concat("model_key", F.lit("/metadata.json")).alias("name"), F.to_json(F.struct(*fields)).alias("text"))
+    return D.read_metadata(tb.spark, _written(tb, rows, "models") + "/*").select("folder", "model_id", "total_params")
+
+
+@query(
+    "read_registry",
+    "IO4",
+    f"""select {_MODEL_KEY} model_key, b.v benchmark_id from supplier,
+               (values ('quality-en-noul', 2), ('status-F-choice', 3), ('price-9-score', 7)) b(v, n) where s_suppkey % b.n = 0""",
+)
+def _(tb):
+    """A registry of several files, each with the disclosures of one model."""
+    group = F.struct(F.array("model_key").alias("model_ids"), "training_exposure")
+    disclosed = tb.exposed_models.where("training_exposure is not null")
+    text = F.to_json(F.struct(F.array(group).alias("disclosures"))).alias("text")
+    root = _written(tb, disclosed.select(F.concat("model_key", F.lit(".json")).alias("name"), text), "registry")
+    listed = D.read_registry(tb.spark, root).withColumn("model_key", F.explode("model_ids"))
+    return listed.select("model_key", F.explode("training_exposure").alias("e")).select("model_key", "e.benchmark_id")
+
+
 def _heads(tb):
     """Result documents of all benchmarks without their predictions."""
     return tb.results.select(
@@ -377,7 +435,10 @@ def _(tb):
 @query(
     "snapshot_digest",
     "IO11",
-    "select count(*) as \"rows\", 1 as digests from results",
+    """select count(*) as "rows", sha256(concat_ws(':', count(*), sum(a), sum(b))) digest
+       from (select cast('0x' || substr(h, 1, 15) as hugeint) a, cast('0x' || substr(h, 16, 15) as hugeint) b
+             from (select sha256(concat('{"run_id":"', run_id, '","benchmark_id":"', benchmark_id, '","status":"', status,
+                     '","succeeded":', cast(succeeded as bigint), '}')) h from results))""",
 )
 def _(tb):
     """The digest does not depend on how rows are distributed."""
@@ -386,7 +447,7 @@ def _(tb):
     both = Z.content_digest(rows, columns).unionByName(
         Z.content_digest(rows.repartition(7, "status"), columns)
     )
-    return both.groupBy("rows").agg(F.count_distinct("digest").cast("int").alias("digests"))
+    return both.distinct()
 
 
 @query(
@@ -395,7 +456,23 @@ def _(tb):
     "select run_id, model_id, provenance, benchmark_id, task, status from results",
 )
 def _(tb):
-    return Z.decode(*_encoded(tb))
+    parts = _encoded(tb)
+    return Z.decode_verified(*parts, Z.digests(*parts))
+
+
+@query(
+    "changed_snapshot",
+    "IO12",
+    """select 'snapshot' "check", 'facts' subject, 'content differs' detail
+       where exists (select 1 from results where status = 'complete')
+       union all select 'snapshot', 'models', 'row count differs'""",
+)
+def _(tb):
+    """A status in the facts and a model were changed after the digests were stored."""
+    benchmarks, models, facts = _encoded(tb)
+    stored = Z.digests(benchmarks, models, facts)
+    status = F.when(F.col("status") == "complete", "partial").otherwise(F.col("status"))
+    return Z.digest_problems(benchmarks, models.where("model > 0"), facts.withColumn("status", status), stored)
 
 
 @query(

@@ -566,15 +566,15 @@ def _(tb):
 @query(
     "reduction_warnings",
     "V19",
-    f"""select 'Removed result' warning, concat(run_id, ' / ', benchmark_id) subject
+    f"""select 'result_removed' warning, concat(run_id, ' / ', benchmark_id) subject
         from results where benchmark_id = 'price-1-score'
-        union all select 'Completion regressed', concat(run_id, ' / ', benchmark_id)
+        union all select 'completion_lost', concat(run_id, ' / ', benchmark_id)
         from results where benchmark_id = 'price-2-score' and status = 'complete'
-        union all select 'Fewer successful decisions', concat(run_id, ' / ', benchmark_id)
+        union all select 'fewer_succeeded', concat(run_id, ' / ', benchmark_id)
         from results where benchmark_id = 'price-3-score'
-        union all select 'Removed definition', 'price-1-score'
-        union all select 'Removed category', 'general-v1'
-        union all select 'Removed category member', concat(category, ' / price-1-score')
+        union all select 'definition_removed', 'price-1-score'
+        union all select 'category_removed', 'general-v1'
+        union all select 'member_removed', concat(category, ' / price-1-score')
         from members where bid = 'price-1-score' and category <> 'general-v1'""",
 )
 def _(tb):
@@ -594,12 +594,15 @@ def _(tb):
 @query(
     "content_shrinkage",
     "V19",
-    "select 'Summary content shrank by more than 20%' warning",
+    """select 'content_shrank' warning, concat(cast(o as bigint), ' -> ', cast(n as bigint)) subject
+       from (select sum(b) o, sum(case when kept then b else 0 end) n from (
+         select length(concat('{"o_orderkey":', o_orderkey, ',"o_orderpriority":"', o_orderpriority, '"}')) b,
+                o_orderpriority like '1%' or o_orderpriority like '2%' kept from orders)) where n < 0.8 * o""",
 )
 def _(tb):
     orders = tb.table("orders").select("o_orderkey", "o_orderpriority")
     kept = orders.where("o_orderpriority like '1%' or o_orderpriority like '2%'")
-    return Z.shrink_warning(orders, kept).select("warning")
+    return Z.shrink_warning(orders, kept)
 
 
 @query(
@@ -900,3 +903,37 @@ def _(tb):
 
     docs = tb.table("documents").select("doc_id", "text", "source")
     return O.measured_lengths(docs, ["doc_id"], ["text", "source"], 2000, characters)
+
+
+@query(
+    "accounted_cases",
+    "PF1,PF2",
+    """select cast(o_orderkey as varchar) case_id,
+              case when o_orderkey % 13 = 0 then 'repeated decision' when o_orderkey % 17 = 0 then 'repeated target'
+                   when o_orderkey % 19 = 0 then 'decision without a target'
+                   when o_orderkey % 23 = 0 then 'target without a decision'
+                   when o_orderkey % 29 = 0 then 'no decisions or targets' end problem,
+              case when o_orderkey % 13 = 0 or o_orderkey % 17 = 0 or o_orderkey % 19 = 0 or o_orderkey % 23 = 0
+                     or o_orderkey % 29 = 0 then 0 else 2 end decisions
+       from orders""",
+)
+def _(tb):
+    """Every case is there in one pass: with its decisions, or with the reason why it has none."""
+    damaged = tb.native_cases.withColumns(
+        {
+            "input": F.col("input").withField(
+                "decisions",
+                F.expr(
+                    "case when cid % 13 = 0 then concat(input.decisions, input.decisions) when cid % 17 = 0 then input.decisions "
+                    "when cid % 19 <> 0 and cid % 23 = 0 then slice(input.decisions, 1, 1) else input.decisions end"
+                ),
+            ),
+            "targets": F.expr(
+                "case when cid % 13 = 0 then targets when cid % 17 = 0 then concat(targets, targets) "
+                "when cid % 19 = 0 then slice(targets, 1, 1) when cid % 23 <> 0 and cid % 29 = 0 then null else targets end"
+            ),
+        }
+    )
+    return N.accounted_decisions(damaged).groupBy("case_id", "problem").agg(
+        F.count("question_id").cast("int").alias("decisions")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.schema import NATIVE_CASE
+from tallyloom.sources.definitions import plain
 from tallyloom.validation.checks import raise_on, split_rows
 
 
@@ -29,8 +30,8 @@ def read_manifest(
 ) -> DataFrame:
     """All rows of the files a manifest lists, each with its (dataset, split).
 
-    The release folder is read whole and rows find their entry by file name, so the list does
-    not pass through the driver. A listed file that is not there is an error.
+    Only listed files are opened; what else lies in the folder may be of any kind. Their names pass through the driver,
+    as Spark's own listing of a scan does. A listed file that is not there is an error.
     """
     files = manifest_files(manifest)
     base = root.rstrip("/")
@@ -40,10 +41,12 @@ def read_manifest(
         F.lit("release file").alias("check"), F.col("file").alias("subject"), F.lit("missing").alias("detail")
     )
     raise_on(missing)
-    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    rows = reader.parquet(base)
+    paths = [f"{base}/{r['file']}" for r in files.select("file").distinct().toLocalIterator()]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if not paths:
+        return rows.select("*", F.lit(None).cast("string").alias("entry_dataset"), F.lit(None).cast("string").alias("entry_split"))
     located = rows.withColumn(
-        "_path", F.element_at(F.split(F.col("_metadata.file_path"), base + "/"), -1)
+        "_path", F.element_at(F.split(plain(F.col("_metadata.file_path")), base + "/"), -1)
     )
     owner = files.select(F.col("file").alias("_path"), F.col("dataset").alias("entry_dataset"),
                          F.col("split").alias("entry_split"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,14 @@ REGISTRY = T.StructType(
 )
 
 
+def plain(path: Column) -> Column:
+    """A path or name of Spark's metadata columns, which are URI-encoded, as it is written."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name"))
+    return rows.select("*", plain(F.col("_metadata.file_name")).alias("file_name"))
 
 
 def _named(rows: DataFrame, key: str) -> DataFrame:
@@ -46,7 +51,7 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(MODEL_METADATA).option("multiLine", True).json(path)
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    folder = F.element_at(F.split(plain(F.col("_metadata.file_path")), "/"), -2)
     return rows.select("*", folder.alias("folder"))
 
 

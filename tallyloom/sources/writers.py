@@ -215,7 +215,13 @@ def write_lines(lines: DataFrame, order: list[str], path: str, separator: str =
     )
 
 
-def save_colocated(table: DataFrame, name: str, buckets: int) -> None:
-    """A bucketed table: joins of decisions and predictions on the key need no shuffle."""
+def save_colocated(table: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A table bucketed and sorted on the decision key, and read back; `path` keeps it out of the warehouse folder.
+
+    Decisions and predictions stored with the same number of buckets are joined, and their keys counted, without a
+    shuffle of either.
+    """
     key = ("benchmark_id", "case_id", "question_id")
-    table.write.mode("errorifexists").bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
+    writer = table.repartition(buckets, *key).write.mode("errorifexists").bucketBy(buckets, *key).sortBy(*key)
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+    return table.sparkSession.table(name)
