@@ -425,8 +425,10 @@ def _(tb):
         from noul_d""",
 )
 def _(tb):
-    metrics = J.score_predictions(tb.predictions_of("noul"), tb.decisions_of("noul"))
-    return J.adjusted_metrics(metrics, B.baselines(tb.decisions)).select(
+    decisions = tb.decisions_of("noul")
+    metrics = J.score_predictions(tb.predictions_of("noul"), decisions)
+    others = {c: F.lit(None).cast("double") for c in ("fixed_answer_accuracy_baseline", "constant_mae_baseline")}
+    return J.adjusted_metrics(metrics, B.noul_baselines(decisions).withColumns(others)).select(
         "run_id", "benchmark_id", r6("brier_skill")
     )
 

@@ -281,7 +281,7 @@ def _(tb):
 def _(tb):
     groups = (
         tb.models.where("suppkey % 3 = 1")
-        .groupBy(F.expr("suppkey % 10").alias("g"))
+        .groupBy(F.expr("suppkey div 10").alias("g"))
         .agg(F.collect_list("model_key").alias("model_ids"))
     )
     entry = tb.exposed_models.schema["training_exposure"].dataType.simpleString()
@@ -478,17 +478,17 @@ def _(tb):
     """select c_name subset, case when c_custkey % 5 = 1 then 2 when c_custkey % 5 = 2 then 0
               else 1 end owners,
               case when c_custkey % 5 = 1 then null when c_custkey % 5 = 2 then 'unscoped'
-                   else concat(c_mktsegment, cast(c_custkey % 50 as varchar)) end source
+                   else concat(c_mktsegment, cast(c_custkey // 20 as varchar)) end source
        from customer""",
 )
 def _(tb):
     """Receipts list the subsets they own; some subsets have two owners, some none."""
     customers = tb.table("customer")
     claims = customers.where("c_custkey % 5 <> 2").selectExpr(
-        "concat(c_mktsegment, c_custkey % 50) source", "c_name"
+        "concat(c_mktsegment, c_custkey div 20) source", "c_name"
     ).unionByName(
         customers.where("c_custkey % 5 = 1").selectExpr(
-            "concat('second', c_custkey % 50) source", "c_name"
+            "concat('second', c_custkey div 20) source", "c_name"
         )
     )
     receipts = claims.groupBy("source").agg(F.collect_set("c_name").alias("subsets"))

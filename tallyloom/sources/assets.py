@@ -60,19 +60,11 @@ def subset_owner(subsets: DataFrame, receipts: DataFrame) -> DataFrame:
         .groupBy("subset")
         .agg(F.count(F.lit(1)).alias("owners"), F.min("source").alias("owner"))
     )
-    # One row; a receipt list is bounded by the number of installed sources.
-    unscoped = receipts.where(F.col("subsets").isNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.min("source").alias("fallback")
-    ).select(F.lit(1).alias("_k"), F.when(F.col("n") == 1, F.col("fallback")).alias("fallback"))
-    return (
-        subsets.join(owners, "subset", "left")
-        .withColumn("_k", F.lit(1))
-        .join(unscoped, "_k", "left")
-        .select(
-            "subset",
-            F.coalesce("owners", F.lit(0)).alias("owners"),
-            F.when(F.col("owners") == 1, F.col("owner"))
-            .when(F.col("owners").isNull(), F.col("fallback"))
-            .alias("source"),
-        )
+    # One value for all subsets, so it needs no join.
+    unscoped = receipts.where(F.col("subsets").isNull()).agg(F.count(F.lit(1)), F.min("source")).first()
+    fallback = F.lit(unscoped[1] if unscoped[0] == 1 else None).cast("string")
+    return subsets.join(owners, "subset", "left").select(
+        "subset",
+        F.coalesce("owners", F.lit(0)).alias("owners"),
+        F.when(F.col("owners") == 1, F.col("owner")).when(F.col("owners").isNull(), fallback).alias("source"),
     )
