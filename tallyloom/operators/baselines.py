@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scoring as S
 from tallyloom.operators.ranking import running_totals
+from tallyloom.session import shared_path
 
 BUCKETS = 16384
 # Cuts of a range around the middle, each between the ends of the values left.
@@ -171,8 +172,9 @@ def _middle(ranked: DataFrame, group: str) -> DataFrame:
 def score_baselines(decisions: DataFrame) -> DataFrame:
     """Median normalised target and the mean absolute error around it.
 
-    Equal targets are counted first; both the median and the error work on the counts.
+    Equal targets are counted and stored first; the cuts for the median and the error read the counts.
     """
+    path = shared_path(decisions.sparkSession, "target-counts")
     options = F.col("options")
     counts = (
         decisions.where(F.col("task") == "score")
@@ -183,6 +185,8 @@ def score_baselines(decisions: DataFrame) -> DataFrame:
         .groupBy("benchmark_id", "value")
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    counts.write.parquet(path)
+    counts = decisions.sparkSession.read.parquet(path)
     medians = group_medians(counts, "benchmark_id", "value", 0.0, 1.0)
     gap = F.abs(F.col("value") - F.col("median")) * F.col("c")
     return (
