@@ -6,10 +6,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+NULL_ID = -(1 << 63)
 
 _POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row goes by inside: 64 bits of id and whole text, so that rows of one id, or of none, are told apart."""
+    return F.xxhash64(F.col(doc_id).cast("bigint"), F.lit(1), F.coalesce(text, F.lit("")))
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(row, doc, text) of (doc_id, text) rows; null texts are empty, null ids the smallest number."""
+    doc = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("bigint").alias("doc")
+    return docs.select(row_key().alias("row"), doc, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with as many underscores as keep it apart from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Tables of about `rows` rows from batches sorted by integer `keys`; equal keys stay together."""
     held: list[pa.RecordBatch] = []

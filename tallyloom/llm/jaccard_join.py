@@ -17,9 +17,9 @@ only routes work), are compared tile by tile.
 A shingle stands for itself as a 64-bit hash of its words.
 
 Defined results: a text without words has an empty set and links with nothing; fewer words than `words` are one
-shingle. A null doc_id comes before all others. Rows with equal doc_id and equal text are one; with different texts
-each has its own set, and the component is shared only if the sets are linked. An empty table gives an empty result.
-Extra columns are not carried.
+shingle. A null doc_id comes before all others. Inside, a row goes by a hash of id and text: rows with equal id and
+text are one, rows with equal ids (or none) and different texts have their own sets and components, which are one only
+if the sets are linked. An empty table gives an empty result. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.arrow import Hashes, mixed, ranges, whole_groups
+from tallyloom.llm.arrow import NULL_ID, Hashes, free_name, keyed_texts, mixed, ranges, row_key, whole_groups
 from tallyloom.llm.similarity import SMALL_GROUP, TILE, Join, Tiles, frequent_keys, index_batches, linked_components
 from tallyloom.session import shared_path
 
@@ -43,7 +43,6 @@ WORDS = 8  # 64-bit words of a sketch
 LARGEST_SET = 1 << 40
 # What a shingle costs in the comparison of two sets, against an index row, in the choice of weights.
 MEETING_COST = 0.7
-NULL_ID = -(1 << 63)
 CHUNK_BYTES = 1 << 19
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -189,20 +188,21 @@ def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Sets:
 
 
 def _described(words: int):
-    """(doc, n, h1, h2) of every document."""
+    """(row, doc, n, h1, h2) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, sets in shingle_sets(batch.column(1), words):
+            for at, sets in shingle_sets(batch.column(2), words):
                 h1, h2 = sets.fingerprints()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(h1)),
+                        batch.column(1).slice(at, len(h1)),
                         pa.array(sets.size.astype(np.int64)),
                         pa.array(h1.view(np.int64)),
                         pa.array(h2.view(np.int64)),
                     ],
-                    ["doc", "n", "h1", "h2"],
+                    ["row", "doc", "n", "h1", "h2"],
                 )
 
     return run
@@ -259,7 +259,7 @@ def _indexed(words: int, bands: Bands, tiles: Tiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = np.zeros(0, np.uint64)
-            for _, sets in shingle_sets(batch.column(1), words):
+            for _, sets in shingle_sets(batch.column(2), words):
                 node = sets.fingerprints()[0]
                 first = np.zeros(len(node), bool)
                 first[np.unique(node, return_index=True)[1]] = True
@@ -313,7 +313,7 @@ def _verified(words: int, num: int, den: int):
     return run
 
 
-def linked_documents(
+def grouped_rows(
     docs: DataFrame,
     words: int = 3,
     num: int = 90,
@@ -323,23 +323,24 @@ def linked_documents(
     tile: int = TILE,
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text); links: Jaccard >= num / den."""
+    """(row, doc, n, first_row, first_doc) of every row of (doc_id, text); links: Jaccard >= num / den.
+
+    `row` is `arrow.row_key`; first is the row of the component with the smallest id. A null id is the smallest number.
+    """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "jaccard-join")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    given = docs.select(
-        F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    given = keyed_texts(docs)
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     described = stored(
-        given.mapInArrow(_described(words), "doc bigint, n bigint, h1 bigint, h2 bigint"), "sets"
+        given.mapInArrow(_described(words), "row bigint, doc bigint, n bigint, h1 bigint, h2 bigint"), "sets"
     )
     full = described.filter("n > 0")
-    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep")), "classes")
+    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc", "row")).alias("place")), "classes")
 
     largest = classes.agg(F.max("n")).first()[0] or 1
     edge = edges(num, den, largest)
@@ -360,22 +361,56 @@ def linked_documents(
         return (m + n) * gap // whole
 
     shape = "key bigint, node bigint, info bigint"
-    part = given.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0)
+    part = given.filter(F.pmod(F.xxhash64("row"), F.lit(sample)) == 0)
     tiles = Tiles(frequent_keys(part.mapInArrow(_indexed(words, bands, Tiles({})), shape), sample, parts, tile))
     labels = linked_components(
         given.mapInArrow(_indexed(words, bands, tiles), shape),
-        classes.select(F.col("h1").alias("node"), "rep", "n"),
-        given,
+        classes.select(F.col("h1").alias("node"), F.col("place.row").alias("rep"), "n"),
+        given.select(F.col("row").alias("doc"), "text"),
         Join(fits, most, _verified(words, num, den), _sketch(words), WORDS, small_group),
         folder,
     )
-    mine = full.select("doc", "n", "h1", "h2").join(classes, ["n", "h1", "h2"])
-    found = mine.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc", "n", F.coalesce("label", "rep").alias("component")
-    )
-    alone = described.filter("n = 0").select("doc", "n", F.col("doc").alias("component"))
+    named = classes.withColumn("rep", F.col("place.row")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = named.filter("label is not null")
+    firsts = linked.groupBy("label").agg(F.min("place").alias("first"))
+    # Most sets are linked with nothing; theirs is the first row of equal sets.
+    joined = linked.join(firsts, "label").select("n", "h1", "h2", F.col("first").alias("place"))
+    placed = joined.unionByName(named.filter("label is null").select("n", "h1", "h2", "place"))
+    found = full.join(placed, ["n", "h1", "h2"]).select("row", "doc", "n", "place")
+    alone = described.filter("n = 0").select("row", "doc", "n", F.struct("doc", "row").alias("place"))
     return found.unionByName(alone).select(
+        "row", "doc", "n", F.col("place.row").alias("first_row"), F.col("place.doc").alias("first_doc")
+    )
+
+
+def linked_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **parameters) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text); links: Jaccard >= num / den."""
+    return grouped_rows(docs, words, num, den, **parameters).select(
         F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.nullif("component", F.lit(NULL_ID)).alias("component_id"),
+        F.nullif("first_doc", F.lit(NULL_ID)).alias("component_id"),
     )
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, folder: str | None = None) -> DataFrame:
+    """The rows of `docs` without near duplicates: the one with the smallest doc_id of each group stays, whole.
+
+    Rows without words are in no group and all stay. Of rows with equal id and text one stays. The rows to leave out,
+    and those that occur more than once, are written first: Spark sees their size and shuffles `docs` only if it is large.
+    """
+    spark = docs.sparkSession
+    folder = folder or shared_path(spark, "one-of-each-group")
+    grouped_rows(docs.select("doc_id", "text"), words, num, den).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows").filter("n > 0")
+    rows.filter("row <> first_row").select("row").distinct().write.parquet(f"{folder}/gone")
+    rows.filter("row = first_row").groupBy("row").count().filter("count > 1").select("row").write.parquet(f"{folder}/repeated")
+    key = free_name(docs, "j_row")
+    keyed = docs.withColumn(key, row_key())
+
+    def joined(some: DataFrame, name: str, how: str) -> DataFrame:
+        listed = spark.read.parquet(f"{folder}/{name}").select(F.col("row").alias(key))
+        return some.join(listed, key, how)
+
+    kept = joined(keyed, "gone", "left_anti")
+    once = joined(kept, "repeated", "left_semi").dropDuplicates([key])
+    return joined(kept, "repeated", "left_anti").unionByName(once).drop(key)

@@ -10,9 +10,10 @@ compared by parity sketches of character pairs, of which an edit changes four at
 
 Links make components of lines; all occurrences but the first (smallest doc_id, then line number) are removed.
 
-Defined results: a null text is empty. A null doc_id comes before all others. Rows with equal doc_id are versions of
-one document: lines at the same place stay or go together. An empty table gives an empty result. In `remove_lines`
-extra columns stay; a text of which nothing is left becomes the empty text.
+Defined results: a null text is empty. A null doc_id comes before all others. Rows with equal id and text are one
+document and are cut alike; rows with equal ids (or none) and different texts are documents of their own, in an order
+by a hash of the text. An empty table gives an empty result. In `remove_lines` extra columns of any name stay; a text
+of which nothing is left becomes the empty text.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.binding import let
-from tallyloom.llm.arrow import Hashes, mixed, ranges, whole_groups
+from tallyloom.llm.arrow import Hashes, free_name, keyed_texts, mixed, ranges, row_key, whole_groups
 from tallyloom.llm.similarity import SMALL_GROUP, TILE, Join, Tiles, frequent_keys, index_batches, linked_components
 from tallyloom.session import shared_path
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+VERIFIED_CHARS = 1 << 21  # of pairs that are verified in step, at their longest line
 WORDS = 4
-NULL_ID = -(1 << 63)
 NEWLINE = 10
 
 
@@ -144,49 +145,44 @@ def index_rows(lines: Lines, node: np.ndarray, some: np.ndarray, threshold: int,
                 yield keys((start + p + shift)[fits], length[fits], whole[fits], i), own[fits], (size << 1)[fits]
 
 
-def _listed(min_chars: int, exact_chars: int | None):
-    """(doc, line, n, h1, h2) of every line that takes part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = batch.column(0).to_numpy()
-            for at, lines in line_parts(batch.column(1), min_chars, exact_chars):
-                if len(lines.row):
-                    h1, h2 = lines.fingerprints()
-                    columns = [doc[at + lines.row], lines.number, lines.size, h1.view(np.int64), h2.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc", "line", "n", "h1", "h2"])
-
-    return run
-
-
 def _first(node: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     some = np.unique(node, return_index=True)[1]
     return np.sort(some[~np.isin(node[some], known)]), np.union1d(known, node)
 
 
-def _indexed(threshold: int, min_chars: int, tiles: Tiles):
+def _listed(min_chars: int, exact_chars: int | None):
+    """(row, doc, line, n, h1, h2, text) of every line that takes part; a batch has the text of each once, if edits count."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "doc", "line", "n", "h1", "h2", "text"]
         for batch in batches:
+            row, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             known = np.zeros(0, np.uint64)
-            for _, lines in line_parts(batch.column(1), min_chars):
-                node = lines.nodes()
-                some, known = _first(node, known)
-                rows = zip(*index_rows(lines, node, some, threshold, min_chars), strict=True)
-                yield from index_batches(*tiles.deal(*(np.concatenate(x) for x in rows)))
+            for at, lines in line_parts(batch.column(2), min_chars, exact_chars):
+                if not len(lines.row):
+                    continue
+                h1, h2 = lines.fingerprints()
+                some, known = _first(h1, known)
+                some = some[lines.size[some] >= min_chars]
+                place = np.full(len(h1), -1)
+                place[some] = np.arange(len(some))
+                text = lines.texts(some).take(pa.array(place, mask=place < 0))
+                own = at + lines.row
+                columns = [row[own], doc[own], lines.number, lines.size, h1.view(np.int64), h2.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), text], names)
 
     return run
 
 
-def _texts(min_chars: int):
-    """(doc, text): each distinct line of a batch under its hash."""
-
+def _indexed(threshold: int, min_chars: int, tiles: Tiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = np.zeros(0, np.uint64)
-            for _, lines in line_parts(batch.column(1), min_chars):
+            for _, lines in line_parts(batch.column(2), min_chars):
                 node = lines.nodes()
                 some, known = _first(node, known)
-                yield pa.RecordBatch.from_arrays([pa.array(node[some].view(np.int64)), lines.texts(some)], ["doc", "text"])
+                rows = zip(*index_rows(lines, node, some, threshold, min_chars), strict=True)
+                yield from index_batches(*tiles.deal(*(np.concatenate(x) for x in rows)))
 
     return run
 
@@ -240,7 +236,13 @@ def _verified(threshold: int):
             size = np.array([len(text[i]) for i in at[:, 0]])
             order = np.argsort(size)
             linked = np.zeros(len(at), bool)
-            for part in np.array_split(order, max(1, len(order) // 128)):
+            done = 0
+            while done < len(order):
+                # As many pairs in step as their longest line allows.
+                to = min(done + 128, len(order))
+                while to > done + 1 and (to - done) * size[order[to - 1]] > VERIFIED_CHARS:
+                    to = done + (to - done) // 2
+                part, done = order[done:to], to
                 a, b = [text[i] for i in at[part, 0]], [text[i] for i in at[part, 1]]
                 linked[part] = banded_distances(a, b, threshold) <= threshold
             yield pa.RecordBatch.from_arrays([pa.array(x[at[:, 0]]), pa.array(y[at[:, 0]]), pa.array(linked)], ["x", "y", "linked"])
@@ -258,10 +260,10 @@ def line_verdicts(
     tile: int = TILE,
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """(doc, line, n, class_doc, class_line, linked) of every line that takes part in (doc_id, text) rows.
+    """(row, doc, line, n, class_row, class_doc, class_line, linked) of every line that takes part in (doc_id, text) rows.
 
     The class is the first occurrence of the line's component; `linked`: the component has other texts than this one.
-    The line stays if it is its class. A null doc_id is shown as the smallest number.
+    The line stays if it is its class. `row` is `arrow.row_key`; a null doc_id is shown as the smallest number.
     """
     if not 0 <= threshold <= 15 or min_chars < 2 * (threshold + 1):
         raise ValueError("threshold is 0 to 15, and min_chars at least 2 * (threshold + 1)")
@@ -270,17 +272,15 @@ def line_verdicts(
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "line-dedup")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    given = docs.select(
-        F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    given = keyed_texts(docs)
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    shape = "doc bigint, line bigint, n bigint, h1 bigint, h2 bigint"
+    shape = "row bigint, doc bigint, line bigint, n bigint, h1 bigint, h2 bigint, text string"
     lines = stored(given.mapInArrow(_listed(min_chars, exact_chars), shape), "lines")
-    place = F.min(F.struct("doc", "line")).alias("place")
+    place = F.min(F.struct("doc", "row", "line")).alias("place")
     classes = stored(lines.groupBy("n", "h1", "h2").agg(place), "classes")
 
     def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -290,13 +290,13 @@ def line_verdicts(
         return F.lit(4 * threshold) if isinstance(m, Column) else 4 * threshold + 0 * (m + n)
 
     rows = "key bigint, node bigint, info bigint"
-    part = given.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0)
+    part = given.filter(F.pmod(F.xxhash64("row"), F.lit(sample)) == 0)
     few = part.mapInArrow(_indexed(threshold, min_chars, Tiles({})), rows)
     tiles = Tiles(frequent_keys(few, sample, parts, tile))
     labels = linked_components(
         given.mapInArrow(_indexed(threshold, min_chars, tiles), rows),
         classes.filter(F.col("n") >= min_chars).select(F.col("h1").alias("node"), F.col("h1").alias("rep"), "n"),
-        given.mapInArrow(_texts(min_chars), "doc bigint, text string"),
+        lines.filter("text is not null").select(F.col("h1").alias("doc"), "text"),
         Join(fits, most, _verified(threshold), _sketch, WORDS, small_group),
         folder,
     )
@@ -307,28 +307,29 @@ def line_verdicts(
     joined = linked.join(firsts, "label").select("n", "h1", "h2", F.col("first").alias("place"), F.lit(True).alias("linked"))
     alone = named.filter("label is null").select("n", "h1", "h2", "place", F.lit(False).alias("linked"))
     return (
-        lines.select("doc", "line", "n", "h1", "h2")
+        lines.select("row", "doc", "line", "n", "h1", "h2")
         .join(joined.unionByName(alone), ["n", "h1", "h2"])
-        .select("doc", "line", "n", F.col("place.doc").alias("class_doc"), F.col("place.line").alias("class_line"), "linked")
+        .select("row", "doc", "line", "n", *[F.col(f"place.{c}").alias(f"class_{c}") for c in ("row", "doc", "line")], "linked")
     )
 
 
 def removed_lines(verdicts: DataFrame) -> DataFrame:
-    """(doc, removed: sorted line numbers, from 0) of documents that lose lines."""
-    gone = verdicts.filter((F.col("doc") != F.col("class_doc")) | (F.col("line") != F.col("class_line")))
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    """(row, removed: sorted line numbers, from 0) of rows that lose lines."""
+    gone = verdicts.filter((F.col("row") != F.col("class_row")) | (F.col("line") != F.col("class_line")))
+    return gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def remove_lines(docs: DataFrame, **parameters) -> DataFrame:
     """`docs` with the removed lines taken out of `text`; all other columns, n_chars too, stay as they are."""
     gone = removed_lines(line_verdicts(docs.select("doc_id", "text"), **parameters))
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("bigint")
+    key, removed = free_name(docs, "l_row"), free_name(docs, "l_removed")
 
     def left(lines: Column) -> Column:
         numbers = F.sequence(F.lit(0).cast("bigint"), F.size(lines).cast("bigint") - 1)
-        return F.transform(F.array_except(numbers, F.col("removed")), lambda i: F.get(lines, i.cast("int")))
+        return F.transform(F.array_except(numbers, F.col(removed)), lambda i: F.get(lines, i.cast("int")))
 
     kept = F.array_join(let(F.split("text", "\n"), left), "\n")
-    joined = docs.join(gone.select(F.col("doc").alias("l_doc"), "removed"), key == F.col("l_doc"), "left")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    listed = gone.select(F.col("row").alias(key), F.col("removed").alias(removed))
+    joined = docs.withColumn(key, row_key()).join(listed, key, "left")
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept)
     return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,8 @@ no leaf is sorted, however large, and texts of other buckets are not shuffled.
 
 Defined results: a null or blank text has no tokens and is never taken. Nulls in the tree columns count as the value
 `(none)`. Repeated rows are documents of their own, and which of several equal rows is taken at the cut is open. An
-empty table or a budget of 0 gives an empty result. A weight of 0 or less gives nothing to a node. Extra columns are
+empty table or a budget of 0 gives an empty result. A weight of 0 or less gives nothing to a node, and the tokens
+below it count in no budget above. Extra columns are
 kept, except `epoch` and `n_tokens`, which are replaced.
 """
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,7 +85,10 @@ def _shared_out(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame
 
 def budgets(supply: DataFrame, tree: Sequence[str], mix: Mix) -> DataFrame:
     """(tree columns, supply, given) per leaf, from (tree columns, supply)."""
-    leaves = supply.withColumn("most", (F.col("supply") * mix.epochs).cast(WIDE))
+    # What a leaf without weight, or below a node without weight, holds can be spent by no one.
+    barred = reduce(or_, [_weight(list(tree[:depth]), mix) <= 0 for depth in range(1, len(tree) + 1)])
+    most = F.when(barred, F.lit(0)).otherwise(F.col("supply") * mix.epochs)
+    leaves = supply.withColumn("most", most.cast(WIDE))
     total = leaves.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("all"))
     asked = F.lit(mix.budget) if mix.budget is not None else F.floor(F.col("all") * F.lit(mix.share))
     given = total.select(asked.cast(WIDE).alias("budget"))

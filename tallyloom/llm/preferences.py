@@ -128,23 +128,27 @@ def spans_text(spans: Column) -> Column:
 def with_other_answer(talks: DataFrame, conversation: str = "conv_id", trained: str = "assistant") -> DataFrame:
     """(pair_id, chosen, rejected): the last answer of a conversation against that of its neighbour by id.
 
-    Neighbours are the ids 2n and 2n + 1. A conversation without an answer, or without such a neighbour, has no pair.
+    Neighbours are the ids 2n and 2n + 1. Turns up to the last answer are the two sides; later ones belong to neither.
+    Without an answer, all turns are the chosen side. Without an answer, or a neighbour with one, the rejected side is null.
     """
 
     def last(turns: Column) -> Column:
         answers = F.filter(F.sequence(F.lit(1), F.size(turns)), lambda i: F.get(turns, i - 1)["role"] == trained)
         return F.when(F.size(turns) > 0, F.array_max(answers))
 
-    ready = talks.filter(F.col(conversation).isNotNull()).withColumn("p_last", last(F.col("turns"))).filter("p_last > 0")
-    other = ready.select(
-        F.col(conversation).bitwiseXOR(F.lit(1)).alias("pair_id"),
+    ready = talks.select(F.col(conversation).alias("pair_id"), "turns").filter("pair_id is not null")
+    own = ready.withColumn("p_last", last(F.col("turns")))
+    other = own.filter("p_last > 0").select(
+        F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"),
         F.element_at(F.col("turns"), F.col("p_last"))["text"].alias("p_other"),
+        F.lit(True).alias("p_found"),
     )
-    own = ready.select(F.col(conversation).alias("pair_id"), "turns", "p_last")
     answered = F.concat(
         F.slice("turns", F.lit(1), F.col("p_last") - 1),
         F.array(F.struct(F.lit(trained).alias("role"), F.col("p_other").alias("text"))),
     )
-    return own.join(other, "pair_id").select(
-        "pair_id", F.slice("turns", F.lit(1), F.col("p_last")).alias("chosen"), answered.alias("rejected")
+    return own.join(other, "pair_id", "left").select(
+        "pair_id",
+        F.when(F.col("p_last") > 0, F.slice("turns", F.lit(1), F.col("p_last"))).otherwise(F.col("turns")).alias("chosen"),
+        F.when((F.col("p_last") > 0) & F.col("p_found"), answered).alias("rejected"),
     )

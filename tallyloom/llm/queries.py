@@ -23,6 +23,7 @@ from tallyloom.llm import (
     url_filter,
     whitening,
 )
+from tallyloom.llm.arrow import row_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,16 +102,17 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_chat_format"] = """
 with t as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as i,
              coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null),
-l as (select conv_id, max(i) as n from t where role = 'assistant' group by conv_id),
+l as (select conv_id, max(i) as last, max(i) filter (where role = 'assistant') as n from t group by conv_id),
 o as (select xor(l.conv_id, 1) as conv_id, t.text from l join t on t.conv_id = l.conv_id and t.i = l.n),
-p as (select l.conv_id, l.n, o.text from l join o using (conv_id)),
-a as (select t.conv_id, t.i, t.role, t.text, p.n,
-        case when t.i = p.n then p.text else t.text end as other
-      from t join p on p.conv_id = t.conv_id and t.i <= p.n),
-c as (select conv_id, coalesce(min(i) filter (where text <> other) - 1, max(n)) as common from a group by conv_id),
+p as (select l.conv_id, l.n, coalesce(l.n, l.last) as upto, o.text, l.n is not null and o.conv_id is not null as paired
+      from l left join o using (conv_id)),
+a as (select t.conv_id, t.i, t.role, t.text,
+        case when not paired then null when t.i = p.n then p.text else t.text end as other
+      from t join p on p.conv_id = t.conv_id and t.i <= p.upto),
+c as (select conv_id, coalesce(min(i) filter (where other is null or text <> other) - 1, max(i)) as common from a group by conv_id),
 r as (select a.conv_id, i, role, common,
         '<|' || replace(role, '<|', '< |') || '|>' || chr(10) as head,
-        replace(text, '<|', '< |') || '<|end|>' as x, replace(other, '<|', '< |') || '<|end|>' as y
+        replace(text, '<|', '< |') || '<|end|>' as x, replace(other, '<|', '< |') || '<|end|>' as y, other is not null as two
       from a join c using (conv_id)),
 s as (select *,
         coalesce(sum(length(head) + length(x) + 1) over (partition by conv_id order by i
@@ -123,7 +125,7 @@ g as (select conv_id,
         string_agg((ax + length(head))::bigint || '-' || (ax + length(head) + length(x))::bigint, ',' order by i)
           filter (where role = 'assistant') as cs,
         string_agg((ay + length(head))::bigint || '-' || (ay + length(head) + length(y))::bigint, ',' order by i)
-          filter (where role = 'assistant') as rs
+          filter (where role = 'assistant' and two) as rs
       from s group by conv_id),
 q as (select conv_id, string_agg(head || x || chr(10), '' order by i) as prompt from r where i <= common group by conv_id)
 select c.conv_id as pair_id, cast(common as integer) as n_prompt_turns, md5(coalesce(prompt, '')) as prompt_md5,
@@ -241,17 +243,20 @@ select doc_id, unnest(range(0, (whole + case when upto <= part then 1 else 0 end
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     verdicts = line_dedup.line_verdicts(docs, threshold=2, min_chars=6, exact_chars=1)
-    away = (F.col("doc") != F.col("class_doc")) | (F.col("line") != F.col("class_line"))
-    counts = verdicts.groupBy(F.col("doc").alias("doc_id")).agg(
+    away = (F.col("row") != F.col("class_row")) | (F.col("line") != F.col("class_line"))
+    counts = verdicts.groupBy("row").agg(
         F.count("*").alias("n_lines"),
         F.sum(away.cast("bigint")).alias("n_removed"),
         F.sum(F.col("linked").cast("bigint")).alias("n_linked"),
         F.array_sort(F.collect_set(F.when(away, F.col("line")))).alias("removed_lines"),
     )
     none = F.lit(0).cast("bigint")
-    return docs.select("doc_id").join(counts, "doc_id", "left").select(
+    # Equal rows have one key: their lines were counted together.
+    copies = docs.groupBy("doc_id", row_key().alias("row")).agg(F.count("*").alias("copies"))
+    each = copies.join(counts, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    return each.select(
         "doc_id",
-        *[F.coalesce(c, none).alias(c) for c in ("n_lines", "n_removed", "n_linked")],
+        *[F.coalesce((F.col(c) / F.col("copies")).cast("bigint"), none).alias(c) for c in ("n_lines", "n_removed", "n_linked")],
         F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"),
     )
 

@@ -16,9 +16,10 @@ factor is at least `length`.
 
 Equal runs in 1 and windows in 3 are compared by two independent 64-bit hashes, all else by bytes.
 
-Defined results: a null text is empty. A null doc_id comes before all others. Rows with the same doc_id are versions
-of one document: what is removed from one is removed at the same place of the others. An empty table gives an empty
-result. Extra columns are not carried; the result has doc_id, n_bytes, removed and kept.
+Defined results: a null text is empty. A null doc_id comes before all others. Rows with the same doc_id, or none, and
+different texts are documents of their own, in an order by a hash of the text; rows with equal id and text are one
+document and are cut alike. An empty table gives an empty result. Extra columns are not carried; the result has
+doc_id, n_bytes, removed and kept.
 """
 
 from __future__ import annotations
@@ -30,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.arrow import Hashes, mixed, ranges, whole_groups
+from tallyloom.llm.arrow import NULL_ID, Hashes, keyed_texts, mixed, ranges, whole_groups
 from tallyloom.session import shared_path
 
 CHUNK_BYTES = 1 << 21
 PLACE_BITS = 22  # of a position in a chunk; the rest of a sort key is hash
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-NULL_ID = -(1 << 63)
 
 FIRST, REPEAT, FREQUENT = 0, 1, 2
 
@@ -110,15 +110,17 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _later(
+    keys: tuple[np.ndarray, ...], doc: np.ndarray, row: np.ndarray, start: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """For rows in any order: whether an equal key is at an earlier position, and which rows are a key's first."""
-    order = np.lexsort((start, doc, *keys[::-1]))
+    order = np.lexsort((start, row, doc, *keys[::-1]))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    later = (doc[order] != doc[head]) | (start[order] != start[head])
+    later = (row[order] != row[head]) | (start[order] != start[head])
     out, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
     out[order], first[order] = later, new
     return out, first
@@ -133,41 +135,42 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _runs(docs: DataFrame, length: int, gram: int, frequent: np.ndarray) -> DataFrame:
-    """(a, s, doc, at): firsts of each task keyed by anchor; its repeats and frequent anchors spread."""
+    """(a, s, doc, row, at): firsts of each task keyed by anchor; its repeats and frequent anchors spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, n, a, s = anchor_runs(*_texts(batch.column(1)), length, gram)
-            if not len(row):
+            place, start, n, a, s = anchor_runs(*_texts(batch.column(2)), length, gram)
+            if not len(place):
                 continue
-            doc = batch.column(0).to_numpy()[row]
-            later, first = _later((a, s), doc, start)
+            row, doc = batch.column(0).to_numpy()[place], batch.column(1).to_numpy()[place]
+            later, first = _later((a, s), doc, row, start)
             keep = later | first  # a further row at the position of the first adds nothing
             kind = np.where(later, REPEAT, FIRST)
             hot = ~later & np.isin(a, frequent)
             kind[hot] = FREQUENT
             a[hot] = mixed(a[hot] ^ s[hot])
-            a[later] = mixed((doc[later] * 1_000_003 + start[later]).view(np.uint64))
+            a[later] = mixed((row[later] * 1_000_003 + start[later]).view(np.uint64))
             s[later] = 0
-            columns = [_signed(a[keep]), _signed(s[keep]), pa.array(doc[keep]), pa.array(_packed(start, n, kind)[keep])]
+            own = [pa.array(doc[keep]), pa.array(row[keep]), pa.array(_packed(start, n, kind)[keep])]
+            columns = [_signed(a[keep]), _signed(s[keep]), *own]
             for at in range(0, len(columns[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 17) for c in columns], ["a", "s", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 17) for c in columns], ["a", "s", "doc", "row", "at"])
 
-    return docs.mapInArrow(run, "a bigint, s bigint, doc bigint, at bigint")
+    return docs.mapInArrow(run, "a bigint, s bigint, doc bigint, row bigint, at bigint")
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, s, doc, at): repeats, and firsts whose anchor has other surroundings as well."""
-    last = None  # (a, s, doc, start) of the first row of the present (a, s)
-    waiting = None  # the last first: (a, doc, at, whether an earlier first has its anchor)
+    """Rows sorted by (a, s, doc, row, at): repeats, and firsts whose anchor has other surroundings as well."""
+    last = None  # (a, s, row, start) of the first row of the present (a, s)
+    waiting = None  # the last first: (a, doc, row, at, whether an earlier first has its anchor)
 
-    def out(a: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(doc), pa.array(at)], ["a", "doc", "at"])
+    def out(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "doc", "row", "at"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, s, doc, at = (batch.column(i).to_numpy() for i in range(4))
+        a, s, doc, row, at = (batch.column(i).to_numpy() for i in range(5))
         kind, start = at & 3, at >> 12
         done = kind == REPEAT
         new = np.ones(len(a), bool)
@@ -176,45 +179,44 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[0] = (a[0], s[0]) != last[:2]
         head = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
         known = head >= 0
-        head_doc = np.where(known, doc[head], last[2] if last else 0)
+        head_row = np.where(known, row[head], last[2] if last else 0)
         head_start = np.where(known, start[head], last[3] if last else 0)
-        later = done | (~new & ((doc != head_doc) | (start != head_start)))
+        later = done | (~new & ((row != head_row) | (start != head_start)))
         i = head[-1]
-        last = (a[i], s[i], doc[i], start[i]) if i >= 0 else last
-        yield out(a[later], doc[later], at[later] & ~np.int64(3) | REPEAT)
+        last = (a[i], s[i], row[i], start[i]) if i >= 0 else last
+        yield out(a[later], doc[later], row[later], at[later] & ~np.int64(3) | REPEAT)
         hot = new & (kind == FREQUENT)
-        yield out(a[hot], doc[hot], at[hot])
+        yield out(a[hot], doc[hot], row[hot], at[hot])
         pick = np.flatnonzero(new & (kind == FIRST))
         if len(pick):
-            fa, fdoc, fat = a[pick], doc[pick], at[pick]
+            firsts = [x[pick] for x in (a, doc, row, at)]
             if waiting is not None:
-                fa, fdoc, fat = np.append(waiting[0], fa), np.append(waiting[1], fdoc), np.append(waiting[2], fat)
-            same = fa[1:] == fa[:-1]
-            wanted = np.append(waiting[3] if waiting is not None else False, same)
+                firsts = [np.append(old, x) for old, x in zip(waiting, firsts, strict=False)]
+            same = firsts[0][1:] == firsts[0][:-1]
+            wanted = np.append(waiting[4] if waiting is not None else False, same)
             wanted[:-1] |= same
-            waiting = (fa[-1], fdoc[-1], fat[-1], bool(wanted[-1]))
-            ask = wanted[:-1]
-            yield out(fa[:-1][ask], fdoc[:-1][ask], fat[:-1][ask])
-    if waiting is not None and waiting[3]:
-        yield out(*(np.array([x], np.int64) for x in waiting[:3]))
+            waiting = (*(x[-1] for x in firsts), bool(wanted[-1]))
+            yield out(*(x[:-1][wanted[:-1]] for x in firsts))
+    if waiting is not None and waiting[4]:
+        yield out(*(np.array([x], np.int64) for x in waiting[:4]))
 
 
 def _fetch(length: int):
     """Documents with their wanted runs -> bytes of the runs, or the single windows of frequent anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "s", "doc", "at", "bytes"]
+        names = ["a", "s", "doc", "row", "at", "bytes"]
         for batch in batches:
-            data, offsets = _texts(batch.column(1))
-            asked = batch.column(2)
+            data, offsets = _texts(batch.column(2))
+            asked = batch.column(3)
             count = np.diff(np.frombuffer(asked.buffers()[1], np.int32)[asked.offset : asked.offset + len(asked) + 1])
             flat = asked.flatten()
             a, at = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            row = np.repeat(np.arange(len(asked)), count)
-            doc, start, n = batch.column(0).to_numpy()[row], at >> 12, at >> 2 & 1023
-            begin = offsets[row] + start
-            fits = begin + n + length - 1 <= offsets[row + 1]  # another version of the document may be shorter
-            some = np.flatnonzero(fits & (at & 3 == FIRST))
+            place = np.repeat(np.arange(len(asked)), count)
+            row, doc = batch.column(0).to_numpy()[place], batch.column(1).to_numpy()[place]
+            start, n = at >> 12, at >> 2 & 1023
+            begin = offsets[place] + start
+            some = np.flatnonzero(at & 3 == FIRST)
             for i in range(0, len(some), 1 << 14):
                 p = some[i : i + (1 << 14)]
                 size = n[p] + length - 1
@@ -228,9 +230,9 @@ def _fetch(length: int):
                     ],
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[p]), pa.array(np.zeros(len(p), np.int64)), pa.array(doc[p]), pa.array(at[p]), around], names
+                    [*map(pa.array, (a[p], np.zeros(len(p), np.int64), doc[p], row[p], at[p])), around], names
                 )
-            many = np.flatnonzero(fits & (at & 3 == FREQUENT))
+            many = np.flatnonzero(at & 3 == FREQUENT)
             for i in range(0, len(many), 1 << 12):
                 p = many[i : i + (1 << 12)]
                 size = n[p] + length - 1
@@ -238,15 +240,16 @@ def _fetch(length: int):
                 window = ranges(np.cumsum(size) - size, n[p])
                 one, two = (Hashes(values, base).of(window, length) for base in BASES)
                 each = np.repeat(np.arange(len(p)), n[p])
-                w_doc, w_start = doc[p][each], ranges(start[p], n[p])
-                later, first = _later((one, two), w_doc, w_start)
+                w_doc, w_row, w_start = doc[p][each], row[p][each], ranges(start[p], n[p])
+                later, first = _later((one, two), w_doc, w_row, w_start)
                 keep = later | first
                 kind = np.where(later, REPEAT, FREQUENT)
-                one[later] = mixed((w_doc[later] * 1_000_003 + w_start[later]).view(np.uint64))
+                one[later] = mixed((w_row[later] * 1_000_003 + w_start[later]).view(np.uint64))
                 columns = [
                     _signed(one[keep]),
                     _signed(two[keep]),
                     pa.array(w_doc[keep]),
+                    pa.array(w_row[keep]),
                     pa.array(_packed(w_start, np.ones(len(each), np.int64), kind)[keep]),
                     pa.nulls(int(keep.sum()), pa.binary()),
                 ]
@@ -273,27 +276,27 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank.astype(np.int64)
 
 
-def _earlier(rank: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _earlier(rank: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether the suffix at a position has a longest previous factor that covers the ranked prefix.
 
     In suffix order, equal ranks are a run. Its smallest position has only smaller ones outside the run, with a
     shorter common prefix; to every other one the smallest is a previous or next smaller position inside.
     """
-    return _later((rank,), doc, start)[0]
+    return _later((rank,), doc, row, start)[0]
 
 
 def _factors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["a"], 1 << 14):
-            at, doc = table["at"].to_numpy(), table["doc"].to_numpy()
+            at, doc, row = (table[c].to_numpy() for c in ("at", "doc", "row"))
             kind, start, n = at & 3, at >> 12, at >> 2 & 1023
             done = kind == REPEAT
-            found = [(doc[done], at[done])]
+            found = [(row[done], at[done])]
             hot = np.flatnonzero(kind == FREQUENT)
             if len(hot):
                 a, s = table["a"].to_numpy()[hot], table["s"].to_numpy()[hot]
-                later = hot[_later((a, s), doc[hot], start[hot])[0]]
-                found.append((doc[later], at[later]))
+                later = hot[_later((a, s), doc[hot], row[hot], start[hot])[0]]
+                found.append((row[later], at[later]))
             some = np.flatnonzero(kind == FIRST)
             if len(some):
                 around = table["bytes"].take(pa.array(some)).combine_chunks()
@@ -302,41 +305,41 @@ def _factors(length: int):
                 text = data[offsets[0] : offsets[-1]]
                 window = ranges(offsets[:-1] - offsets[0], n[some])
                 each = np.repeat(some, n[some])
-                w_doc, w_start = doc[each], ranges(start[some], n[some])
-                later = _earlier(suffix_ranks(text, length)[window], w_doc, w_start)
+                w_row, w_start = row[each], ranges(start[some], n[some])
+                later = _earlier(suffix_ranks(text, length)[window], doc[each], w_row, w_start)
                 one = np.ones(int(later.sum()), np.int64)
-                found.append((w_doc[later], _packed(w_start[later], one, one * REPEAT)))
-            doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            doc, start, n = _joined(doc, at >> 12, at >> 2 & 1023)
+                found.append((w_row[later], _packed(w_start[later], one, one * REPEAT)))
+            row, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            row, start, n = _joined(row, at >> 12, at >> 2 & 1023)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(_packed(start, n, np.full(len(doc), REPEAT)))], ["doc", "at"]
+                [pa.array(row), pa.array(_packed(start, n, np.full(len(row), REPEAT)))], ["row", "at"]
             )
 
     return run
 
 
-def _joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+def _joined(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Windows that follow each other become one row, of at most 1,000 windows."""
-    if not len(doc):
-        return doc, start, n
-    order = np.lexsort((start, doc))
-    doc, start, n = doc[order], start[order], n[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    if not len(row):
+        return row, start, n
+    order = np.lexsort((start, row))
+    row, start, n = row[order], start[order], n[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + n[:-1])
     head = np.flatnonzero(new)
     size = np.add.reduceat(n, head)
     parts = -(-size // 1000)
     each = np.repeat(np.arange(len(head)), parts)
     inner = ranges(np.zeros(len(head), np.int64), parts) * 1000
-    return doc[head][each], start[head][each] + inner, np.minimum(1000, size[each] - inner)
+    return row[head][each], start[head][each] + inner, np.minimum(1000, size[each] - inner)
 
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _texts(batch.column(1))
+            data, offsets = _texts(batch.column(2))
             removed, kept, sizes = [], [], np.diff(offsets)
-            for i, listed in enumerate(batch.column(2)):
+            for i, listed in enumerate(batch.column(3)):
                 text = data[offsets[i] : offsets[i + 1]]
                 at = listed.values.to_numpy() if listed.is_valid else np.zeros(0, np.int64)
                 if not len(at) or not len(text):
@@ -352,7 +355,7 @@ def _cut(length: int):
                 kept.append(text[~gone].tobytes())
             spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(removed, spans), pa.array(kept, pa.binary())],
+                [batch.column(1), pa.array(sizes), pa.array(removed, spans), pa.array(kept, pa.binary())],
                 ["doc", "n_bytes", "removed", "kept"],
             )
 
@@ -371,35 +374,33 @@ def remove_repeats(
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "suffix-dedup")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    given = docs.select(
-        F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    given = keyed_texts(docs)
     none = np.zeros(0, np.uint64)
-    seen = _runs(given.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0), length, gram, none)
+    seen = _runs(given.filter(F.pmod(F.xxhash64("row"), F.lit(sample)) == 0), length, gram, none)
     # Beyond the 8 most frequent anchors per partition, none can have more than an eighth of a partition's share.
     counts = seen.filter(F.col("at").bitwiseAND(3) == FIRST).groupBy("a").count().filter(F.col("count") >= often)
     hot = [r["a"] for r in counts.orderBy(F.desc("count"), "a").limit(8 * parts).collect()]
     frequent = np.array(sorted(hot), np.int64).view(np.uint64)
     sorted_runs = (
-        _runs(given, length, gram, frequent).repartition(parts, "a").sortWithinPartitions("a", "s", "doc", "at")
+        _runs(given, length, gram, frequent).repartition(parts, "a").sortWithinPartitions("a", "s", "doc", "row", "at")
     )
-    settled = "a bigint, doc bigint, at bigint"
+    settled = "a bigint, doc bigint, row bigint, at bigint"
     sorted_runs.mapInArrow(_settle, settled).write.parquet(f"{folder}/runs")
     runs = spark.read.parquet(f"{folder}/runs")
     kind = F.col("at").bitwiseAND(3)
     # The same exchange of the texts serves both joins below.
-    texts = given.repartition(parts, "doc")
-    wanted = runs.filter(kind != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("a", "at")).alias("asked"))
-    around = texts.join(wanted, "doc").mapInArrow(
-        _fetch(length), "a bigint, s bigint, doc bigint, at bigint, bytes binary"
+    texts = given.repartition(parts, "row")
+    wanted = runs.filter(kind != REPEAT).groupBy("row").agg(F.collect_list(F.struct("a", "at")).alias("asked"))
+    around = texts.join(wanted, "row").mapInArrow(
+        _fetch(length), "a bigint, s bigint, doc bigint, row bigint, at bigint, bytes binary"
     )
     factors = (
-        around.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_factors(length), "doc bigint, at bigint")
+        around.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_factors(length), "row bigint, at bigint")
     )
-    repeats = runs.filter(kind == REPEAT).select("doc", "at").unionByName(factors)
-    per_doc = repeats.groupBy("doc").agg(F.collect_list("at").alias("gone"))
+    repeats = runs.filter(kind == REPEAT).select("row", "at").unionByName(factors)
+    per_doc = repeats.groupBy("row").agg(F.collect_list("at").alias("gone"))
     spans = "removed array<struct<start:bigint,stop:bigint>>"
-    cut = texts.join(per_doc, "doc", "left").mapInArrow(
+    cut = texts.join(per_doc, "row", "left").mapInArrow(
         _cut(length), f"doc bigint, n_bytes bigint, {spans}, kept binary"
     )
     return cut.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "removed", "kept")

@@ -4,6 +4,8 @@ import random
 import re
 import string
 
+from tallyloom.llm.arrow import row_key
+
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -21,6 +23,18 @@ def prose(seed, words, vocabulary=300):
     return " ".join(r.choice(known) for _ in range(words))
 
 
+def shared_ids(rows):
+    """Distinct texts of which every third has no id and every third the id of another one."""
+    texts = sorted({t for _, t in rows if t})
+    return [(None if i % 3 == 0 else i // 3 if i % 3 == 1 else 1000 - i // 6, t) for i, t in enumerate(texts)]
+
+
+def row_keys(spark, rows):
+    """(doc_id, text) -> what a row goes by inside the operators."""
+    found = documents(spark, rows).select("doc_id", "text", row_key().alias("k")).collect()
+    return {(r["doc_id"], r["text"]): r["k"] for r in found}
+
+
 def shingles(text, n):
     w = WORD.findall((text or "").translate(LOWER))
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()

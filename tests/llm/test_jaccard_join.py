@@ -3,9 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from llm_helpers import documents, groups, prose, shingles
+from llm_helpers import documents, groups, prose, row_keys, shared_ids, shingles
 from tallyloom.llm.components import components
-from tallyloom.llm.jaccard_join import Bands, Sets, choose_bands, edges, index_rows, linked_documents
+from tallyloom.llm.jaccard_join import Bands, Sets, choose_bands, edges, grouped_rows, index_rows, linked_documents, one_of_each_group
 from tallyloom.session import shared_path
 
 
@@ -41,6 +41,37 @@ def test_equals_brute_force(spark, n, num, parameters):
         assert ((-1 if own is None else own), got[doc]["n_shingles"]) == (component, len(sets[doc])), doc
 
 
+@pytest.mark.parametrize("parameters", [{}, {"sample": 1, "tile": 3, "small_group": 2}])
+def test_rows_of_one_id_or_none_have_their_own_sets(spark, parameters):
+    rows = shared_ids(corpus())
+    keys = row_keys(spark, rows)
+    place = {((d is not None, d or 0), keys[d, t]): (d, t) for d, t in rows}
+    sets = {p: shingles(t, 3) for p, (_, t) in place.items()}
+    link = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])
+    expected = {p[1]: q for p, q in groups(list(sets), link).items()}
+    found = grouped_rows(documents(spark, rows), **parameters).collect()
+    assert len(found) == len(rows)
+    assert {r["row"]: r["first_row"] for r in found} == {row: first[1] for row, first in expected.items()}
+
+
+def test_near_copies_of_texts_that_share_an_id(spark):
+    texts = [prose(70 + i, 200) for i in range(3)]
+    for doc in (1, None):
+        rows = [(doc, t) for t in texts] + [(5 + i, t + " more") for i, t in enumerate(texts)]
+        frame = documents(spark, rows)
+        assert all(r["component_id"] == doc for r in linked_documents(frame).collect())
+        kept = one_of_each_group(frame.selectExpr("*", "'x' as j_row", "'y' as other_id"))
+        assert sorted(r["text"] for r in kept.collect()) == sorted(texts)
+        assert kept.columns == [*frame.columns, "j_row", "other_id"]
+
+
+def test_rows_that_stay_of_repeated_and_empty_ones(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, ""), (None, ""), (None, "u v w x y"), (None, "p q r s t")]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in one_of_each_group(documents(spark, rows)).collect())
+    assert kept == [(0, ""), (0, ""), (0, "p q r s t"), (0, "u v w x y"), (1, "a b c d e f")]
+    assert one_of_each_group(documents(spark, [])).collect() == []
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (4, "a b c d"), (6, "x y z")]
     found = sorted(tuple(r) for r in linked_documents(documents(spark, rows)).collect())

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from llm_helpers import documents, edit_distance, groups
+from llm_helpers import documents, edit_distance, groups, row_keys, shared_ids
 from tallyloom.llm.line_dedup import banded_distances, line_verdicts, remove_lines
 from tallyloom.llm.queries import QUERIES
 
@@ -60,10 +60,52 @@ def test_equals_brute_force(spark, threshold, parameters):
 def test_removal_keeps_first_lines_and_other_columns(spark):
     line, other = "a line of a good length, first seen here", "a line of a good length, first seen hera"
     rows = [(1, f"x\n{line}\ny"), (2, f"{other}\nx\n{line}"), (3, "x\nx"), (4, None), (5, "")]
-    frame = documents(spark, rows).selectExpr("*", "1 as removed", "'k' as line", "'l' as l_doc")
-    kept = {r["doc_id"]: r for r in remove_lines(frame.drop("l_doc", "removed"), threshold=1).collect()}
+    frame = documents(spark, rows).selectExpr("*", "1 as removed", "'k' as line", "'l' as l_row", "2 as row", "3 as L_REMOVED")
+    kept = {r["doc_id"]: r for r in remove_lines(frame, threshold=1).collect()}
     assert {k: r["text"] for k, r in kept.items()} == {1: f"x\n{line}\ny", 2: "x", 3: "x\nx", 4: None, 5: ""}
-    assert kept[2]["line"] == "k"
+    assert [kept[2][c] for c in ("removed", "line", "l_row", "row", "L_REMOVED")] == [1, "k", "l", 2, 3]
+
+
+def test_rows_of_one_id_or_none_keep_their_own_lines(spark):
+    a, b, c = "z" * 40, "yet another line of its own, long enough", "precious second line, found nowhere else"
+    rows = [(5, a + "qq"), (7, b + "\n" + a), (7, "a beginning that is nowhere else in the table\n" + c)]
+    rows += [(None, a), (None, "first of a text without an id, and alone\n" + b)]
+    kept = sorted(r["text"] for r in remove_lines(documents(spark, rows)).collect())
+    assert kept == sorted([a, "", "", rows[2][1], rows[4][1]])
+
+
+@pytest.mark.parametrize("parameters", [{}, {"sample": 1, "tile": 2, "small_group": 2}])
+def test_shared_ids_equal_brute_force(spark, parameters):
+    rows = shared_ids(corpus())
+    keys = row_keys(spark, rows)
+    first, texts = {}, {}
+    places = sorted(((d is not None, d or 0), keys[d, t], n, x) for d, t in rows for n, x in enumerate(t.split("\n")) if len(x) >= SHORT)
+    for doc, row, number, text in places:
+        texts.setdefault(first.setdefault(text, (doc, row, number)), text)
+    root = groups(list(texts), lambda a, b: abs(len(texts[a]) - len(texts[b])) <= 2 and edit_distance(texts[a], texts[b]) <= 2)
+    found = line_verdicts(documents(spark, rows), 2, SHORT, **parameters).collect()
+    assert {(r["row"], r["line"]): (r["class_row"], r["class_line"]) for r in found} == {
+        (row, number): root[first[x]][1:] for _, row, number, x in places
+    }
+
+
+def test_query_counts_rows_without_an_id(spark, tmp_path):
+    line = "one line that is long enough to take part in this"
+    rows = [(None, line), (None, line + "\nand one more line"), (3, line), (3, line), (4, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"], r["removed_lines"]) for r in found)
+    assert [x[:2] for x in got] == [(0, 1), (0, 2), (3, 1), (3, 1), (4, 0)]
+    assert sum(x[2] for x in got[:2]) == 1 and got[2:] == [(3, 1, 1, [0]), (3, 1, 1, [0]), (4, 0, 0, [])]
+
+
+def test_long_lines_are_verified_a_few_at_a_time(spark, monkeypatch):
+    from tallyloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "VERIFIED_CHARS", 100)
+    rows = corpus()
+    found = line_verdicts(documents(spark, rows), 2, SHORT, small_group=2).count()
+    assert found == len(verdicts(rows, 2))
 
 
 def test_repeated_rows_and_empty_tables(spark):

@@ -37,8 +37,9 @@ def expected(rows, mix):
     supply = {k: sum(x for _, x in v) for k, v in leaf.items()}
     budget = mix.budget if mix.budget is not None else int(sum(supply.values()) * mix.share)
     langs = defaultdict(int)
-    for (lang, _), x in supply.items():
-        langs[lang] += x * mix.epochs
+    for (lang, source), x in supply.items():
+        if mix.weights.get((lang, source), 1) > 0:
+            langs[lang] += x * mix.epochs
     out = []
     for lang, share in fill(budget, [(k, mix.weights.get((k,), 1), m) for k, m in langs.items()]).items():
         nodes = [(s, mix.weights.get((k, s), 1), x * mix.epochs) for (k, s), x in supply.items() if k == lang]
@@ -68,6 +69,16 @@ def test_equals_stepwise_filling(spark):
         assert all(r["m_extra"] == "y" for r in found)
 
 
+def test_shortage_beside_a_weight_of_zero_goes_to_others(spark):
+    rows = [(i, "w " * 10, "d0", "en") for i in range(100)] + [(200, "w " * 10, "d0", "de")]
+    rows += [(300 + i, "w " * 10, "d1", "en") for i in range(100)]
+    found = mix_sources(documents(spark, rows), tree(), Mix(budget=600, weights={("d0", "en"): 0})).collect()
+    spent = defaultdict(int)
+    for r in found:
+        spent[r["lang"], r["source"]] += r["n_tokens"]
+    assert spent == {("d0", "de"): 10, ("d1", "en"): 590}
+
+
 def test_no_tokens_and_no_budget(spark):
     frame = documents(spark, [(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (2, None, "en", "s")])
     assert mix_sources(frame, tree(), Mix(budget=0)).collect() == []

@@ -40,7 +40,11 @@ def test_conversations_and_pairs(spark):
     talks = conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
     assert talks.count() == 5
     pairs = {r["pair_id"]: r for r in with_other_answer(talks).collect()}
-    assert set(pairs) == {4, 5}
+    assert set(pairs) == {4, 5, 6, 8, 9}
+    assert all(pairs[i]["rejected"] is None for i in (6, 8, 9))
+    assert [t["text"] for t in pairs[6]["chosen"]] == ["alone"] and [t["text"] for t in pairs[9]["chosen"]] == ["no answer"]
+    formatted = {r["pair_id"]: r for r in format_pairs(with_other_answer(talks)).collect()}
+    assert formatted[6]["rejected_text"] == "" and not formatted[6]["usable"] and formatted[5]["usable"]
     assert [t["text"] for t in pairs[5]["chosen"]] == ["q", "b"]
     assert [t["text"] for t in pairs[5]["rejected"]] == ["q", "a"]
 

@@ -2,22 +2,22 @@ import random
 
 import pytest
 
-from llm_helpers import documents
+from llm_helpers import documents, row_keys, shared_ids
 from tallyloom.llm.suffix_dedup import remove_repeats
 
 LENGTH = 30
 
 
-def brute(rows, length):
+def brute(rows, length, keys=None):
     """Row index -> kept bytes, over rows in order of (doc_id, start)."""
     seen, kept = {}, {}
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, keys[rows[i]] if keys else 0))
     for i in order:
         doc, data = rows[i][0], (rows[i][1] or "").encode()
         gone = bytearray(len(data))
         for p in range(len(data) - length + 1):
-            first = seen.setdefault(data[p : p + length], (doc, p))
-            if first != (doc, p):
+            first = seen.setdefault(data[p : p + length], (i, p))
+            if first != (i, p):
                 gone[p : p + length] = b"\1" * length
         kept[i] = bytes(b for b, g in zip(data, gone, strict=True) if not g)
     return kept
@@ -48,6 +48,23 @@ def test_equals_brute_force(spark, parameters):
         assert rest == expected[i]
 
 
+@pytest.mark.parametrize("parameters", [{}, {"sample": 1, "often": 1}], ids=["plain", "frequent anchors"])
+def test_rows_of_one_id_or_none_are_cut_by_their_own_text(spark, parameters):
+    rows = shared_ids(corpus())
+    expected = brute(rows, LENGTH, row_keys(spark, rows))
+    found = remove_repeats(documents(spark, rows), LENGTH, 10, **parameters).collect()
+    key = lambda d, x: (d is not None, d or 0, x)
+    got = sorted(key(r["doc_id"], bytes(r["kept"])) for r in found)
+    assert got == sorted(key(rows[i][0], x) for i, x in expected.items())
+
+
+def test_nothing_goes_that_is_new(spark):
+    one, other = "y" * 7 + "abcdefghijklmnopqrstuvwxyz" * 4, "0123456789 + " * 3 + "zyxwvutsrqponmlkjihgfedcba" * 3
+    found = remove_repeats(documents(spark, [(1, one), (2, one), (2, other)]), 100, 40).collect()
+    new = remove_repeats(documents(spark, [(2, other)]), 100, 40).first()["kept"]
+    assert sorted((r["doc_id"], len(r["kept"])) for r in found) == sorted([(1, len(one)), (2, len(one) - 111), (2, len(new))])
+
+
 def test_repeated_rows_and_empty_tables(spark):
     text = "one document that stands in the table twice, long enough to count"
     found = remove_repeats(documents(spark, [(1, text), (1, text), (2, text)]), LENGTH, 10).collect()
