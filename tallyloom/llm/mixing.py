@@ -122,13 +122,16 @@ def mix_sources(
     levels = [f"m_{name}" for name in tree]
     measured = F.coalesce(tokens if tokens is not None else word_tokens(F.col("text")), F.lit(0)).cast("bigint")
     leaf_of = {f"m_{k}": F.coalesce(v.cast("string"), F.lit(NONE)) for k, v in tree.items()}
-    keyed = docs.select(*[docs[f"`{c}`"] for c in own]).withColumns(leaf_of)
+    # The caller's row is one struct, so that no name of its columns meets a working name.
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc")
+    ident = F.col(f"`{doc_id}`").alias("id")
+    keyed = docs.select(row, ident, measured.alias("n_tokens"), *[c.alias(name) for name, c in leaf_of.items()])
 
     def order_key(epoch: Column) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.col(f"`{doc_id}`").cast("string")))
+        return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.col("id").cast("string")))
 
     supply_path, cut_path = f"{folder}/supply", f"{folder}/cuts"
-    keyed.groupBy(*levels).agg(F.sum(measured).alias("supply"), F.count("*").alias("rows")).filter(
+    keyed.groupBy(*levels).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("rows")).filter(
         "supply > 0"
     ).write.parquet(supply_path)
     given = budgets(spark.read.parquet(supply_path).drop("rows"), levels, mix).select(
@@ -139,45 +142,45 @@ def mix_sources(
     given.write.parquet(f"{folder}/given")
     given = spark.read.parquet(f"{folder}/given")
     # A small table of written size: Spark sees that size before it plans the joins with the documents.
-    bucket = F.substring("m_key", 1, HEX_DIGITS)
-    ordered = keyed.join(given, levels).withColumn("m_key", order_key(F.col("whole"))).withColumn("m_bucket", bucket)
+    bucket = F.substring("key", 1, HEX_DIGITS)
+    ordered = keyed.join(given, levels).withColumn("key", order_key(F.col("whole"))).withColumn("bucket", bucket)
     sums = (
         ordered.filter("part > 0")
-        .groupBy(*levels, "m_bucket", "part")
-        .agg(F.sum(measured).alias("n"))
+        .groupBy(*levels, "bucket", "part")
+        .agg(F.sum("n_tokens").alias("n"))
         .withColumn(
             "upto",
-            F.sum("n").over(Window.partitionBy(*levels).orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, 0)),
+            F.sum("n").over(Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)),
         )
     )
     cuts = (
         sums.filter("upto > part")
         .groupBy(*levels)
-        .agg(F.min(F.struct("m_bucket", (F.col("upto") - F.col("n")).alias("used"))).alias("c"))
-        .select(*levels, F.col("c.m_bucket").alias("cut"), F.col("c.used").alias("used"))
+        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("used"))).alias("c"))
+        .select(*levels, F.col("c.bucket").alias("cut"), F.col("c.used").alias("used"))
     )
     given.join(cuts, levels, "left").write.parquet(cut_path)
     marked = (
         keyed.join(spark.read.parquet(cut_path), levels)
-        .withColumns({"m_key": order_key(F.col("whole")), "n_tokens": measured})
-        .withColumn("m_bucket", bucket)
+        .withColumn("key", order_key(F.col("whole")))
+        .withColumn("bucket", bucket)
         .filter("n_tokens > 0")
     )
-    here = F.col("m_bucket") == F.col("cut")
+    here = F.col("bucket") == F.col("cut")
     sure = marked.filter(F.col("cut").isNull() | ~here).withColumn(
-        "m_times", F.col("whole") + ((F.col("part") > 0) & (F.col("m_bucket") < F.col("cut"))).cast("bigint")
+        "times", F.col("whole") + ((F.col("part") > 0) & (F.col("bucket") < F.col("cut"))).cast("bigint")
     )
     running = F.sum("n_tokens").over(
         Window.partitionBy(*levels)
-        .orderBy("m_key", doc_id, "n_tokens")
+        .orderBy("key", "id", "n_tokens")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     last = (
         marked.filter(here)
-        .withColumn("m_upto", running)
-        .withColumn("m_times", F.col("whole") + (F.col("used") + F.col("m_upto") <= F.col("part")).cast("bigint"))
-        .drop("m_upto")
+        .withColumn("upto", running)
+        .withColumn("times", F.col("whole") + (F.col("used") + F.col("upto") <= F.col("part")).cast("bigint"))
+        .drop("upto")
     )
-    taken = sure.unionByName(last).filter("m_times > 0")
-    epochs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m_times") - 1)).alias("epoch")
-    return taken.select(*[F.col(f"`{c}`") for c in own], "n_tokens", epochs)
+    taken = sure.unionByName(last).filter("times > 0")
+    epochs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)).alias("epoch")
+    return taken.select(*[F.col("doc").getField(c).alias(c) for c in own], "n_tokens", epochs)

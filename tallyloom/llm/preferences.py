@@ -97,7 +97,9 @@ def format_pairs(pairs: DataFrame, template: Template = Template()) -> DataFrame
         )
 
     own = [c for c in pairs.columns if c not in added]
-    both = pairs.select(*[F.col(f"`{c}`") for c in own], sound("chosen").alias("p_a"), sound("rejected").alias("p_b"))
+    # The caller's row is one struct, so that no name of its columns meets a working name.
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("p_row")
+    both = pairs.select(row, sound("chosen").alias("p_a"), sound("rejected").alias("p_b"))
     cut = both.withColumn("n_prompt_turns", common_turns(F.col("p_a"), F.col("p_b")))
 
     def rest(turns: str) -> Column:
@@ -109,7 +111,7 @@ def format_pairs(pairs: DataFrame, template: Template = Template()) -> DataFrame
         {"chosen_spans": trained_spans(F.col("p_x"), template), "rejected_spans": trained_spans(F.col("p_y"), template)}
     )
     return spans.select(
-        *[F.col(f"`{c}`") for c in own],
+        *[F.col("p_row").getField(c).alias(c) for c in own],
         "n_prompt_turns",
         render(F.slice("p_a", F.lit(1), F.col("n_prompt_turns")), template).alias("prompt"),
         render(F.col("p_x"), template).alias("chosen_text"),

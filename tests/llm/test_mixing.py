@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from llm_helpers import documents
 from tallyloom.llm.mixing import Mix, mix_sources
 
+CLASHING = ("whole", "part", "cut", "used", "id", "doc", "key", "bucket", "times", "upto", "m_lang")
+
+
 def tree():
     return {"lang": F.col("lang"), "source": F.col("source")}
 
@@ -57,7 +60,7 @@ def expected(rows, mix):
 def test_equals_stepwise_filling(spark):
     rows = [(i, "w " * (1 + i * 7 % 13), "en" if i % 3 else "de", f"src{i % 5 if i % 2 else 0}") for i in range(200)]
     rows += [(900, None, "en", "src0"), (901, " \n", "de", "src1"), (902, "a b", None, None)]
-    frame = documents(spark, rows).selectExpr("*", "'x' as epoch", "'y' as m_extra")
+    frame = documents(spark, rows).selectExpr("*", "'x' as epoch", "'y' as m_key", *[f"'z' as {c}" for c in CLASHING])
     for mix in (
         Mix(share=0.5, epochs=1, seed=3),
         Mix(share=1.7, epochs=2, seed=4, weights={("en",): 5, ("en", "src3"): 9, ("de", "src0"): 0}),
@@ -66,7 +69,7 @@ def test_equals_stepwise_filling(spark):
     ):
         found = mix_sources(frame, tree(), mix).collect()
         assert sorted((r["doc_id"], r["epoch"]) for r in found) == expected(rows, mix)
-        assert all(r["m_extra"] == "y" for r in found)
+        assert all(r["m_key"] == "y" and all(r[c] == "z" for c in CLASHING) for r in found)
 
 
 def test_shortage_beside_a_weight_of_zero_goes_to_others(spark):

@@ -16,10 +16,11 @@ def test_prefix_masks_and_edges(spark):
         (6, [yes], [no]),
         (6, [yes], [no]),
     ]
-    frame = spark.createDataFrame(rows, PAIR).selectExpr("*", "'old' as prompt", "1 as extra")
+    frame = spark.createDataFrame(rows, PAIR).selectExpr("*", "'old' as prompt", "1 as extra", "2 as p_a", "3 as p_row")
     found = {r["pair_id"]: r for r in format_pairs(frame).collect()}
     one = found[1]
     assert one["prompt"] == "<|user|>\nWell?<|end|>\n" and one["n_prompt_turns"] == 1 and one["extra"] == 1
+    assert one["p_a"] == 2 and one["p_row"] == 3
     assert one["chosen_text"] == "<|assistant|>\nYes < |end|><|end|>\n"
     for side in ("chosen", "rejected"):
         (span,) = one[f"{side}_spans"]
