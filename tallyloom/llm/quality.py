@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.binding import let
+from tallyloom.llm.arrow import free_name
 
 SPACES = "[\\x20\\x09-\\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -155,29 +156,30 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("repeated"),
         ),
     )
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in added and not c.startswith("q_")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    words, cuts, left = (free_name(docs, name) for name in ("q_words", "q_cut", "q_left"))
     counted = docs.select(
         *own,
-        word_counts(t).alias("q_words"),
-        cut.alias("q_cut"),
+        word_counts(t).alias(words),
+        cut.alias(cuts),
         word_chars(t).cast("bigint").alias("word_chars"),
         (F.length(t) - F.length(without(t, SYMBOLS))).cast("bigint").alias("n_symbols"),
     )
     measured = counted.withColumns(
         {
-            "n_words": F.col("q_words.n_words"),
-            "n_repeat_words": F.col("q_words.n_repeat_words"),
-            "n_dup_lines": F.col("q_cut.repeated"),
-            "clean_text": F.array_join("q_cut.ok", "\n"),
-            "n_lines": F.col("q_cut.n"),
-            "n_lines_removed": F.col("q_cut.n") - F.size("q_cut.ok"),
-            "q_left": F.aggregate("q_cut.ok", F.lit(0), lambda a, x: a + word_chars(x)),
+            "n_words": F.col(f"{words}.n_words"),
+            "n_repeat_words": F.col(f"{words}.n_repeat_words"),
+            "n_dup_lines": F.col(f"{cuts}.repeated"),
+            "clean_text": F.array_join(f"{cuts}.ok", "\n"),
+            "n_lines": F.col(f"{cuts}.n"),
+            "n_lines_removed": F.col(f"{cuts}.n") - F.size(f"{cuts}.ok"),
+            left: F.aggregate(f"{cuts}.ok", F.lit(0), lambda a, x: a + word_chars(x)),
         }
     )
-    lost = F.when(F.col("word_chars") == 0, 0.0).otherwise(1 - F.col("q_left") / F.col("word_chars"))
+    lost = F.when(F.col("word_chars") == 0, 0.0).otherwise(1 - F.col(left) / F.col("word_chars"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         measured.withColumns({"lost": lost, "base_failed": failed})
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.max_lost))
-        .drop("q_cut", "q_words", "q_left")
+        .drop(cuts, words, left)
     )

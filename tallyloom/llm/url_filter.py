@@ -174,10 +174,23 @@ def fit_url_model(
     return UrlModel(booster.fit(data), suffixes, prior)
 
 
+def _inner_names(columns: Sequence[str]) -> dict[str, str]:
+    """What the caller's columns are called beside the features: those with a feature's prefix get another name."""
+    taken, names = {c.lower() for c in columns}, {}
+    for c in columns:
+        name = c
+        while name.lower().startswith("f_") or (name != c and name.lower() in taken):
+            name = f"_{name}"
+        taken.add(name.lower())
+        names[c] = name
+    return names
+
+
 def judge_urls(urls: DataFrame, rules: Sequence[Rule], model: UrlModel, threshold: float = 0.5) -> DataFrame:
     """Every row with host, path, rule, verdict (`allow` or `block`) and the trees' score of being blocked."""
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score") and not c.startswith("f_")]
-    given = urls.select(*[F.col(f"`{c}`") for c in kept])
+    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score")]
+    inner = _inner_names(kept)
+    given = urls.select(*[F.col(f"`{c}`").alias(inner[c]) for c in kept])
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     if model.trees is None:
         scored = given.withColumn("score", F.lit(model.prior))
@@ -188,7 +201,7 @@ def judge_urls(urls: DataFrame, rules: Sequence[Rule], model: UrlModel, threshol
     by_rule = matching_rule(host, path, rules, lambda r: r.verdict)
     by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return scored.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(f"`{inner[c]}`").alias(c) for c in kept],
         host.alias("host"),
         path.alias("path"),
         matching_rule(host, path, rules, lambda r: r.text).alias("rule"),

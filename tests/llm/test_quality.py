@@ -21,12 +21,12 @@ def test_base_counts(spark):
     texts = [None, "", " \n ", "a b", "a b c", "a b c a b c", "a a a a", "x\ny\nx\n x\n", "tab\tand\x0bvt\x0cff\rcr z", "\u00a0 \u2003 é🙂 # | <>"]
     texts += [" ".join(r.choice("abc") + r.choice("\n ") for _ in range(r.randint(0, 300))) for _ in range(60)]
     texts += [prose(1, 60), "word " * 30_000, prose(2, 20_000, 5000)]
-    rows = clean_lines(documents(spark, list(enumerate(texts))).selectExpr("*", "1 as kept", "2 as n_words")).collect()
+    rows = clean_lines(documents(spark, list(enumerate(texts))).selectExpr("*", "1 as kept", "2 as n_words", "3 as q_words", "4 as Q_left")).collect()
     for x in rows:
         found = (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"])
         assert found == counts(texts[x["doc_id"]]), x["doc_id"]
         assert x["base_failed"] == (found[0] < 50 or 100 * found[4] > 50 * found[0])
-        assert not (x["kept"] and x["base_failed"])
+        assert not (x["kept"] and x["base_failed"]) and (x["q_words"], x["Q_left"]) == (3, 4)
 
 
 def test_line_rules(spark):

@@ -32,7 +32,8 @@ def test_hosts_paths_and_rules(spark):
     frame = spark.createDataFrame(list(enumerate(URLS)) + [(0, None)], "page_id bigint, url string")
     for score, other in ((0.0, "allow"), (1.0, "block")):
         model = UrlModel(None, None, score)
-        rows = judge_urls(frame.selectExpr("*", "'x' as host"), URL_RULES, model).collect()
+        rows = judge_urls(frame.selectExpr("*", "'x' as host", "1 as f_host", "2 as _f_host", "3 as F_seen"), URL_RULES, model).collect()
+        assert all((r["f_host"], r["_f_host"], r["F_seen"]) == (1, 2, 3) for r in rows)
         assert len(rows) == len(URLS) + 1
         for r in rows:
             host, path = parts(URLS[r["page_id"]])
