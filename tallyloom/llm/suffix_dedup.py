@@ -8,13 +8,14 @@ factor is at least `length`.
    pick the same one at the same place. Neighbouring windows share anchors, so a document has few runs of windows, one
    per anchor. Of runs with equal anchor and equal bytes, all but the first are repeats; a task settles its own first.
 2. Anchors that occur with different surroundings are left. The bytes around them are fetched, and groups of anchors
-   are dealt to tasks. Each task sorts the windows of its groups in suffix order (prefix doubling up to `length`). In
-   a run of suffixes with a common prefix of `length`, previous or next smaller positions give each but the first an
-   earlier match: its longest previous factor is `length` or more.
+   are dealt to tasks. Each task builds the suffix order of its windows (prefix doubling up to `length`) and the common
+   prefixes of neighbours in it. The previous and the next smaller position in suffix order give each window its
+   longest previous factor; where that is `length`, the window has an earlier match and goes.
 3. The most frequent anchors, found in a sample of documents (this only routes work), could fill a task. Their windows
    are dealt out one by one instead, by 128 bits of hash, after each task has settled its own.
 
-Equal runs in 1 and windows in 3 are compared by two independent 64-bit hashes, all else by bytes.
+Whole copies of runs (1) and of single windows of frequent anchors (3) are set aside by two independent 64-bit hashes,
+so that no group holds them all; all else is compared by bytes.
 
 Defined results: a null text is empty. A null doc_id comes before all others. Rows with the same doc_id, or none, and
 different texts are documents of their own, in an order by a hash of the text; rows with equal id and text are one
@@ -258,31 +259,97 @@ def _fetch(length: int):
     return run
 
 
-def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position by its next `length` bytes, by prefix doubling; zeros follow the end."""
+def suffix_levels(text: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(size, rank of each position by its next `size` bytes) by prefix doubling, `length` last; zeros follow the end."""
     words = np.zeros(len(text) + 8, np.uint64)
     words[: len(text)] = text
     key = np.zeros(len(text), np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | words[i : i + len(text)]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    size = 8
+    rank = np.unique(key, return_inverse=True)[1]
+    size, levels = 8, [(8, rank.astype(np.int32))]
     while size < length:
         step = min(size, length - size)
-        ahead = np.zeros(len(text), np.uint64)
+        ahead = np.zeros(len(text), np.int64)
         ahead[:-step] = rank[step:]
-        rank = np.unique(rank * np.uint64(len(text) + 1) + ahead, return_inverse=True)[1].astype(np.uint64)
+        rank = np.unique(rank * (len(text) + 1) + ahead, return_inverse=True)[1]
         size += step
-    return rank.astype(np.int64)
-
-
-def _earlier(rank: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether the suffix at a position has a longest previous factor that covers the ranked prefix.
-
-    In suffix order, equal ranks are a run. Its smallest position has only smaller ones outside the run, with a
-    shorter common prefix; to every other one the smallest is a previous or next smaller position inside.
+        levels.append((size, rank.astype(np.int32)))
+    return levels
+
+
+def common_prefixes(
+    text: np.ndarray, levels: list[tuple[int, np.ndarray]], one: np.ndarray, two: np.ndarray
+) -> np.ndarray:
+    """Bytes that the suffixes at two positions have in common, up to the size of the last level."""
+    length, rank = levels[-1]
+    whole = rank[one] == rank[two]
+    found = np.where(whole, length, 0)
+    open_ = np.flatnonzero(~whole)
+    p, q, last = one[open_].copy(), two[open_].copy(), len(text) - 1
+    for size, rank in reversed(levels[:-1]):
+        step = size * (rank[np.minimum(p, last)] == rank[np.minimum(q, last)])
+        p += step
+        q += step
+    alive = np.ones(len(open_), bool)
+    for _ in range(7):
+        alive &= text[np.minimum(p, last)] == text[np.minimum(q, last)]
+        p += alive
+        q += alive
+    found[open_] = p - one[open_]
+    return found
+
+
+def _before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with the nearest one before it, in suffix order, at a smaller position; 0 for none.
+
+    `common` is that of each suffix with the one right before it. Minima over 2^k entries let all suffixes walk to
+    their previous smaller position together.
+    """
+    low = [np.append(-1, position).astype(np.int32)]
+    shared = [np.append(0, common).astype(np.int32)]
+    if len(position):
+        shared[0][1] = 0
+    while 1 << len(low) <= len(position):
+        half = 1 << (len(low) - 1)
+        for table in (low, shared):
+            table.append(table[-1].copy())
+            np.minimum(table[-2][half:], table[-2][:-half], out=table[-1][half:])
+    own = low[0][1:]
+    at, found = np.arange(len(position)), shared[0][1:].copy()
+    for k in reversed(range(len(low))):
+        skip = np.flatnonzero(low[k][at] >= own)
+        found[skip] = np.minimum(found[skip], shared[k][at[skip]])
+        at[skip] -= 1 << k
+    return found
+
+
+def previous_factors(text: np.ndarray, at: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
+    """Longest previous factor, up to `length`, of the suffix at each of `at`: what it shares with one at a smaller `position`.
+
+    No suffix at a smaller position shares more than the previous or the next smaller one in suffix order.
     """
-    return _later((rank,), doc, row, start)[0]
+    levels = suffix_levels(text, length)
+    order = np.lexsort((position, levels[-1][1][at]))
+    place, own = at[order], position[order]
+    common = np.zeros(len(order), np.int64)
+    common[1:] = common_prefixes(text, levels, place[:-1], place[1:])
+    back = np.zeros(len(order), np.int64)
+    back[1:] = common[:0:-1]
+    factor = np.zeros(len(order), np.int64)
+    factor[order] = np.maximum(_before(own, common), _before(own[::-1], back)[::-1])
+    return factor
+
+
+def _positions(doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rank of each (doc, row, start); equal ones have one rank."""
+    order = np.lexsort((start, row, doc))
+    new = np.zeros(len(order), np.int64)
+    for x in (doc, row, start):
+        new[1:] |= x[order][1:] != x[order][:-1]
+    position = np.empty(len(order), np.int64)
+    position[order] = np.cumsum(new)
+    return position
 
 
 def _factors(length: int):
@@ -306,7 +373,8 @@ def _factors(length: int):
                 window = ranges(offsets[:-1] - offsets[0], n[some])
                 each = np.repeat(some, n[some])
                 w_row, w_start = row[each], ranges(start[some], n[some])
-                later = _earlier(suffix_ranks(text, length)[window], doc[each], w_row, w_start)
+                position = _positions(doc[each], w_row, w_start)
+                later = previous_factors(text, window, position, length) >= length
                 one = np.ones(int(later.sum()), np.int64)
                 found.append((w_row[later], _packed(w_start[later], one, one * REPEAT)))
             row, at = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from llm_helpers import documents, row_keys, shared_ids
-from tallyloom.llm.suffix_dedup import remove_repeats
+from tallyloom.llm.suffix_dedup import common_prefixes, previous_factors, remove_repeats, suffix_levels
 
 LENGTH = 30
 
@@ -79,3 +80,33 @@ def test_long_texts_are_cut_into_overlapping_pieces(spark, monkeypatch):
     rows = corpus()
     found = {r["doc_id"]: bytes(r["kept"]) for r in remove_repeats(documents(spark, rows), LENGTH, 10).collect()}
     assert found == {rows[i][0]: kept for i, kept in brute(rows, LENGTH).items()}
+
+
+def shared(text, p, q, length):
+    n = 0
+    while n < length and max(p, q) + n < len(text) and text[p + n] == text[q + n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("length", [9, 30, 64, 100])
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_longest_previous_factors_equal_a_quadratic_version(length, letters):
+    r = np.random.default_rng(length + letters)
+    text = r.integers(0, letters, 500).astype(np.uint8)
+    text[300:420] = text[40:160]
+    at = np.arange(len(text) - length + 1)
+    for position in (at, r.permutation(len(at)), r.integers(0, 60, len(at))):  # as in the text, in any order, with ties
+        expected = [
+            max((shared(text, p, q, length) for q in at if position[q] < position[p]), default=0) for p in at[::7]
+        ]
+        assert previous_factors(text, at, position, length)[::7].tolist() == expected
+    levels = suffix_levels(text, length)
+    one, two = r.choice(at, 300), r.choice(at, 300)
+    assert common_prefixes(text, levels, one, two).tolist() == [shared(text, p, q, length) for p, q in zip(one, two, strict=True)]
+
+
+def test_no_windows_have_no_factors():
+    none = np.zeros(0, np.int64)
+    assert previous_factors(np.zeros(40, np.uint8), none, none, 30).tolist() == []
+    assert previous_factors(np.zeros(40, np.uint8), np.array([3]), np.array([7]), 30).tolist() == [0]
