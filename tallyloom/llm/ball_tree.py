@@ -2,13 +2,14 @@
 
 Vectors are dealt to shards of a bounded size and queries to blocks of a bounded size; each (shard, block) pair is one
 group, so a task holds one shard and one block. A node's inner products with q are at most q.c + |q| r. Nodes are
-opened in the order of that bound; a node below the query's current kth score is left closed. The kth score found in
-one pilot shard goes along with the queries to all other shards as their first bound.
+opened in the order of that bound; a node below the query's current kth score is left closed. Shards are searched in
+rounds, each of eight times as many as before; the kth score of all rounds so far goes along with the queries.
 
 Defined results: vectors that are null, hold null or non-finite components, or have a null id take no part, nor do
 empty ones. A query meets only vectors of its own length, and no row with its own id. Of queries with equal ids the
 one with the smallest vector counts; repeated candidate rows count each. Fewer than k candidates give them all.
-Equal scores go to the smaller id. Empty tables give an empty result. Scores must fit a 64-bit integer.
+Equal scores go to the smaller id. Empty tables give an empty result. Scores are exact 64-bit integers and must fit
+one, as must all partial sums; components are whole numbers.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import shared_path
+
 SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
 LEAF_ROWS = 64
+ROUND_GROWTH = 8
 EXACT = float(2**53)
+NONE = np.iinfo(np.int64).min  # below all scores
 
 
 @dataclass
@@ -72,7 +77,7 @@ class Search:
     def __init__(self, tree: Tree, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int):
         self.tree, self.queries, self.own, self.k = tree, queries, own, k
         self.norm = np.sqrt((queries**2).sum(axis=1))
-        self.score = np.full((len(queries), k), -np.inf)
+        self.score = np.full((len(queries), k), NONE)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.kth = floor.copy()
         most = np.abs(queries).max(initial=0) * np.abs(tree.points).max(initial=0) * queries.shape[1]
@@ -90,18 +95,18 @@ class Search:
         t = self.tree
         rows = slice(t.start[leaf], t.stop[leaf])
         if self.exact:
-            score = self.queries[q] @ t.points[rows].T
+            score = (self.queries[q] @ t.points[rows].T).astype(np.int64)
         else:
-            score = (self.queries[q].astype(np.int64) @ t.points[rows].T.astype(np.int64)).astype(float)
+            score = self.queries[q].astype(np.int64) @ t.points[rows].T.astype(np.int64)
         ids = np.broadcast_to(t.ids[rows], score.shape)
-        score = np.where((ids == self.own[q][:, None]) | (score < self.kth[q][:, None]), -np.inf, score)
-        hit = np.flatnonzero((score > -np.inf).any(axis=1))
+        score = np.where((ids == self.own[q][:, None]) | (score < self.kth[q][:, None]), NONE, score)
+        hit = np.flatnonzero((score > NONE).any(axis=1))
         if not len(hit):
             return
         q = q[hit]
         score = np.hstack([self.score[q], score[hit]])
         ids = np.hstack([self.found[q], ids[hit]])
-        best = np.lexsort((ids, -score), axis=1)[:, : self.k]
+        best = np.lexsort((ids, ~score), axis=1)[:, : self.k]
         self.score[q] = np.take_along_axis(score, best, 1)
         self.found[q] = np.take_along_axis(ids, best, 1)
         self.kth[q] = np.maximum(self.kth[q], self.score[q][:, -1])
@@ -186,13 +191,13 @@ def top_k(
             return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
         tree = build_tree(_matrix(left["vector"]), left["id"].to_numpy())
         own = right["query_id"].to_numpy()
-        result = Search(tree, _matrix(right["q"]), own, right["floor"].to_numpy().astype(float), k).run()
-        q, slot = np.nonzero(result.score > -np.inf)
+        result = Search(tree, _matrix(right["q"]), own, right["floor"].to_numpy(), k).run()
+        q, slot = np.nonzero(result.score > NONE)
         return pa.table(
             {
                 "query_id": pa.array(own[q], pa.int64()),
                 "vec_id": pa.array(result.found[q, slot], pa.int64()),
-                "score": pa.array(result.score[q, slot].astype(np.int64), pa.int64()),
+                "score": pa.array(result.score[q, slot], pa.int64()),
             }
         )
 
@@ -201,19 +206,34 @@ def top_k(
             some_points.groupBy(*keys).cogroup(some_queries.groupBy(*keys)).applyInArrow(search, schema)
         )
 
-    low_id = F.lit(0).cast("bigint")
-    every_block = F.explode(F.sequence(low_id, F.lit(blocks - 1).cast("bigint"))).alias("block")
-    every_shard = F.explode(F.sequence(low_id, F.lit(shards - 1).cast("bigint"))).alias("shard")
-    dealt = points.select("*", every_block)
-    low = F.lit(float("-inf"))
-    pilot = over(dealt.filter("shard = 0"), asked.select("*", F.lit(0).cast("bigint").alias("shard"), low.alias("floor")))
-    per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = pilot.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
-    kth = kth.filter(F.col("n") >= k).select("query_id", "kth")
-    bounded = asked.join(kth, "query_id", "left").select(
-        "query_id", "dim", "q", "block", every_shard, F.coalesce(F.col("kth").cast("double"), low).alias("floor")
-    )
-    found = over(dealt, bounded)
-    return (
-        found.select("query_id", F.row_number().over(per_query).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
-    )
+    folder = shared_path(vectors.sparkSession, "top-k")
+    every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    done, found = 0, None
+    for number, stop in enumerate(rounds(shards)):
+        floor = F.lit(NONE)
+        now = asked
+        if found is not None:
+            kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).filter(F.col("n") >= k)
+            now, floor = asked.join(kth.drop("n"), "query_id", "left"), F.coalesce("kth", floor)
+        these = F.explode(F.sequence(F.lit(done).cast("bigint"), F.lit(stop - 1).cast("bigint"))).alias("shard")
+        part = over(
+            points.filter(F.col("shard").between(done, stop - 1)).select("*", every_block),
+            now.select("query_id", "dim", "q", "block", these, floor.alias("floor")),
+        )
+        found = part if found is None else found.drop("rank").unionByName(part)
+        found = found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+        done = stop
+        if done < shards:
+            found.write.parquet(f"{folder}/{number}")
+            found = vectors.sparkSession.read.parquet(f"{folder}/{number}")
+    return found
+
+
+def rounds(shards: int) -> list[int]:
+    """Where each round of shards ends: after 1, 1 + 8, 1 + 8 + 64 of them and so on, and after the last."""
+    ends, size = [1], ROUND_GROWTH
+    while ends[-1] < shards:
+        ends.append(min(ends[-1] + size, shards))
+        size *= ROUND_GROWTH
+    return ends

@@ -2,14 +2,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm.ball_tree import Search, build_tree, quantised, top_k
+from tallyloom.llm.ball_tree import NONE, Search, build_tree, quantised, rounds, top_k
 
 
 def table(spark, rows):
     return spark.createDataFrame(rows, "id bigint, vector array<float>")
 
 
-@pytest.mark.parametrize("sizes", [(8192, 4096), (60, 7)])
+@pytest.mark.parametrize("sizes", [(8192, 4096), (60, 7), (20, 5)])
 def test_equals_brute_force(spark, sizes):
     r = np.random.default_rng(1)
     points = r.normal(size=(400, 6)).astype(np.float32)
@@ -37,7 +37,7 @@ def test_bounds_hold_and_prune():
     for node in range(len(tree.start)):
         own = tree.points[tree.start[node] : tree.stop[node]]
         assert (np.sqrt(((own - tree.center[node]) ** 2).sum(axis=1)) <= tree.radius[node] + 1e-6).all()
-    search = Search(tree, points[:50], np.arange(50), np.full(50, -np.inf), 3)
+    search = Search(tree, points[:50], np.arange(50), np.full(50, NONE), 3)
     scanned = []
     scan = search.scan
     search.scan = lambda q, leaf: (scanned.append(len(q)), scan(q, leaf))
@@ -51,3 +51,28 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in found] == [(0, 1, 1, 256 * 512), (0, 2, 1, 256 * 512)]
     assert top_k(vectors.limit(0), vectors, 5).collect() == []
     assert top_k(vectors, vectors.filter(F.lit(False)), 5).collect() == []
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    big = 2.0**28
+    rows = [(0, [big, 1.0, big]), *((i, [big, float(i % 7), big]) for i in range(1, 120)), (200, [-big, 3.0, -big])]
+    vectors = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    found = top_k(vectors, vectors.filter("id in (0, 200)"), 5, 30, 4).collect()
+    expected = set()
+    for q in (0, 200):
+        own = [int(x) for x in dict(rows)[q]]
+        score = {i: sum(a * int(b) for a, b in zip(own, v, strict=True)) for i, v in rows if i != q}
+        best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+        expected |= {(q, rank, i, s) for rank, (i, s) in enumerate(best, 1)}
+    assert {tuple(x) for x in found} == expected
+
+
+def test_rounds_cover_all_shards():
+    assert [rounds(n) for n in (1, 2, 9, 10, 80)] == [[1], [1, 2], [1, 9], [1, 9, 10], [1, 9, 73, 80]]
+
+
+def test_columns_of_other_names_do_no_harm(spark):
+    more = "id bigint, vector array<double>, shard string, block string, dim string, floor string, q string, score string"
+    vectors = spark.createDataFrame([(i, [float(i)], *"abcdef") for i in range(4)], more)
+    found = top_k(vectors, vectors.filter("id = 0"), 2).collect()
+    assert [tuple(r) for r in found] == [(0, 1, 1, 0), (0, 2, 2, 0)]
