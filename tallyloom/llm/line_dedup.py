@@ -36,12 +36,20 @@ VERIFIED_CHARS = 1 << 21  # of pairs that are verified in step, at their longest
 WORDS = 4
 NEWLINE = 10
 
+_VALUES = mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64))  # of the code points of the first plane
+
 
 class Lines:
-    """The lines of several texts, as code points."""
+    """The lines of several texts, as code points; `data` has the same in UTF-8."""
 
     def __init__(
-        self, point: np.ndarray, text_start: np.ndarray, text_stop: np.ndarray, min_chars: int, exact_chars: int | None = None
+        self,
+        data: np.ndarray,
+        point: np.ndarray,
+        text_start: np.ndarray,
+        text_stop: np.ndarray,
+        min_chars: int,
+        exact_chars: int | None = None,
     ):
         breaks = np.flatnonzero(point == NEWLINE)
         texts = np.arange(len(text_start))
@@ -52,11 +60,16 @@ class Lines:
         number = np.arange(len(row)) - np.searchsorted(row, texts)[row]
         keep = stop - start >= min_chars
         if exact_chars is not None:
-            seen = np.concatenate([[0], np.cumsum((point != 32) & ((point < 9) | (point > 13)))])
-            keep |= (stop - start >= exact_chars) & (seen[stop] > seen[start])
+            short = np.flatnonzero(~keep & (stop - start >= exact_chars))
+            if len(short):
+                size = (stop - start)[short]
+                inner = point[ranges(start[short], size)]
+                seen = (inner != 32) & ((inner < 9) | (inner > 13))
+                keep[short] = np.logical_or.reduceat(seen, np.cumsum(size) - size)
         self.row, self.number, self.start, self.size = row[keep], number[keep], start[keep], (stop - start)[keep]
-        values = mixed(point.astype(np.uint64) + np.uint64(1))
-        self.point = point
+        few = len(point) == 0 or point.max() < len(_VALUES)
+        values = _VALUES[point] if few else mixed(point.astype(np.uint64) + np.uint64(1))
+        self.data = data
         self.one = Hashes(values, BASES[0])
         self.values = values
 
@@ -70,8 +83,7 @@ class Lines:
 
     def texts(self, some: np.ndarray) -> pa.Array:
         """The lines at `some` as strings, copied in one go."""
-        data = self.point.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
-        data = np.frombuffer(data, np.uint8)
+        data = self.data
         first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         start, stop = first[self.start[some]], first[self.start[some] + self.size[some]]
         offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
@@ -106,7 +118,7 @@ def line_parts(column: pa.Array, min_chars: int, exact_chars: int | None = None)
         point = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
         chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
         edge = chars[offsets[at : to + 1] - offsets[at]]
-        yield at, Lines(point, edge[:-1], edge[1:], min_chars, exact_chars)
+        yield at, Lines(part, point, edge[:-1], edge[1:], min_chars, exact_chars)
         at = to
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from tallyloom.llm.components import components
 
 SMALL_GROUP = 8
 TILE = 2048
+WIDE = 4096  # members whose distances are held all at once (32 MB)
 
 
 @dataclass(frozen=True)
@@ -84,12 +86,18 @@ def index_batches(key: np.ndarray, node: np.ndarray, info: np.ndarray, rows: int
 
 
 def _grouped(join: Join):
-    """Sorted by (key, node): pairs of small groups as (0, x, y, 0), members of larger ones as (key, node, 0, info)."""
+    """Sorted by key: pairs of small groups as (0, x, y, 0), members of larger ones as (key, node, 0, info)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "x", "y", "info"]
         for table in whole_groups(batches, ["key"], 1 << 17):
-            key, node, info = (table[c].to_numpy() for c in ("key", "node", "info"))
+            key = table["key"].to_numpy()
+            same = key[1:] == key[:-1]
+            # Most keys have one row and no partner.
+            some = np.flatnonzero(np.append(same, False) | np.append(False, same))
+            key, node, info = key[some], table["node"].to_numpy()[some], table["info"].to_numpy()[some]
+            order = np.lexsort((info, node, key))
+            key, node, info = key[order], node[order], info[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (info[1:] != info[:-1])
             key, node, info = key[new], node[new], info[new]
@@ -125,23 +133,26 @@ def _grouped(join: Join):
     return run
 
 
-def _possible(sketch: np.ndarray, info: np.ndarray, join: Join) -> np.ndarray:
-    """Sketch distance of all members of a group, and -1 where a link is impossible."""
-    n = info >> 1
-    out = np.empty((len(n), len(n)), np.int16)
-    for at in range(0, len(n), 128):
-        rows = slice(at, at + 128)
-        apart = np.zeros((len(n[rows]), len(n)), np.int64)
-        for w in range(join.words):
-            apart += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[:, w][None, :])
-        good = (apart <= join.most(n[rows][:, None], n[None, :])) & join.fits(info[rows][:, None], info[None, :])
-        out[rows] = np.where(good, np.minimum(apart, 32000), -1)
+def _possible(sketch: np.ndarray, info: np.ndarray, join: Join, start: int, stop: int) -> np.ndarray:
+    """Sketch distance of some members of a group to all, and -1 where a link is impossible."""
+    rows, n = slice(start, stop), info >> 1
+    apart = np.zeros((len(n[rows]), len(n)), np.int64)
+    for w in range(join.words):
+        apart += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[:, w][None, :])
+    good = (apart <= join.most(n[rows][:, None], n[None, :])) & join.fits(info[rows][:, None], info[None, :])
+    out = np.where(good, np.minimum(apart, 32000), -1).astype(np.int16)
+    out[np.arange(len(out)), start + np.arange(len(out))] = -1
     return out
 
 
-def _spanning(apart: np.ndarray) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the possible links."""
-    n = len(apart)
+def _spanning(n: int, possible: Callable[[int, int], np.ndarray]) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the possible links of n members.
+
+    A group of up to WIDE members has its distances worked out at once, a larger one row by row as they are needed, so
+    memory grows with the members and not with their pairs.
+    """
+    if n <= WIDE:
+        known = np.concatenate([possible(at, min(at + 128, n)) for at in range(0, n, 128)])
     open_, found = np.ones(n, bool), []
     nearest, parent = np.full(n, 32767, np.int16), np.full(n, -1)
     for _ in range(n):
@@ -152,8 +163,9 @@ def _spanning(apart: np.ndarray) -> list[tuple[int, int]]:
         else:
             found.append((int(parent[at]), at))
         open_[at] = False
-        closer = open_ & (apart[at] >= 0) & (apart[at] < nearest)
-        nearest[closer], parent[closer] = apart[at][closer], at
+        apart = known[at] if n <= WIDE else possible(at, at + 1)[0]
+        closer = open_ & (apart >= 0) & (apart < nearest)
+        nearest[closer], parent[closer] = apart[closer], at
     return found
 
 
@@ -161,6 +173,12 @@ def _compared(join: Join):
     """Larger groups, sorted by key, with sketches and labels: (key, x, y) of a spanning forest of possible links, or,
     where labels are given, of all possible links between different labels."""
 
+    def linked(key: np.ndarray, node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j = i[node[i] != node[j]], j[node[i] != node[j]]
+        x, y = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(x), pa.array(y)], ["key", "x", "y"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"], 1 << 13):
             key, node, info = (table[c].to_numpy() for c in ("key", "node", "info"))
@@ -169,17 +187,22 @@ def _compared(join: Join):
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             found = []
             for a, b in zip(head, np.append(head[1:], len(key)), strict=True):
-                apart = _possible(sketch[a:b], info[a:b], join)
-                np.fill_diagonal(apart, -1)
+                possible = partial(_possible, sketch[a:b], info[a:b], join)
                 if table["whole"][int(a)].as_py():
-                    i, j = np.nonzero(np.triu(apart >= 0, 1) & (label[a:b][:, None] != label[a:b][None, :]))
+                    own = label[a:b]
+                    for at in range(0, b - a, 128):
+                        block = possible(at, min(at + 128, b - a))
+                        i, j = np.nonzero((block >= 0) & (own[at : at + 128][:, None] != own[None, :]))
+                        i += at
+                        found.append((a + i[i < j], a + j[i < j]))
+                        if sum(len(i) for i, _ in found) > 1 << 20:
+                            yield linked(key, node, found)
+                            found = []
                 else:
-                    i, j = np.array(_spanning(apart), np.int64).reshape(-1, 2).T
-                x, y = node[a + i], node[a + j]
-                found.append(np.stack([np.full(len(x), key[a]), np.minimum(x, y), np.maximum(x, y)], 1))
-            rows = np.concatenate(found)
-            rows = rows[rows[:, 1] != rows[:, 2]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["key", "x", "y"])
+                    i, j = np.array(_spanning(b - a, possible), np.int64).reshape(-1, 2).T
+                    found.append((a + i, a + j))
+            if found:
+                yield linked(key, node, found)
 
     return run
 
@@ -213,7 +236,7 @@ def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, joi
 
     groups = stored(
         rows.repartition(parts, "key")
-        .sortWithinPartitions("key", "node", "info")
+        .sortWithinPartitions("key")
         .mapInArrow(_grouped(join), "key bigint, x bigint, y bigint, info bigint"),
         "groups",
     )

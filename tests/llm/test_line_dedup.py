@@ -144,3 +144,23 @@ def test_operators_take_short_lines(spark, tmp_path, name):
     else:
         found = dict(corpus_pipeline.first_lines(spark, frame, "").select("doc_id", "text").collect())
         assert found == {i: text if i == 0 else text.split("\n")[1] for i, text, *_ in rows}
+
+
+def test_a_wide_group_has_the_forest_of_a_narrow_one(monkeypatch):
+    from functools import partial
+
+    import numpy as np
+
+    from tallyloom.llm import similarity
+    from tallyloom.llm.line_dedup import WORDS
+
+    r = np.random.default_rng(3)
+    kinds = r.integers(0, 2**62, (6, WORDS)).astype(np.uint64)
+    sketch = kinds[r.integers(0, 6, 300)] ^ (np.uint64(1) << r.integers(0, 60, (300, WORDS)).astype(np.uint64))
+    info = r.integers(20, 23, 300) << 1 | 1
+    join = similarity.Join(lambda a, b: abs((a >> 1) - (b >> 1)) <= 1, lambda m, n: 8 + 0 * (m + n), None, None, WORDS)
+    possible = partial(similarity._possible, sketch, info, join)
+    narrow = similarity._spanning(300, possible)
+    monkeypatch.setattr(similarity, "WIDE", 10)
+    assert similarity._spanning(300, possible) == narrow
+    assert len(narrow) == 294
