@@ -7,36 +7,49 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.binding import let
 
+# Generated keys that are constants of the plan; those of longer lists are made row by row.
+LISTED = 16
+
 
 def binary_answer(p_true: Column) -> Column:
     return F.create_map(F.lit("false"), 1 - p_true, F.lit("true"), p_true)
 
 
 def _ascending(options: Column) -> Column:
-    """Options by value; equal values keep their order."""
+    """Ids of the options by value; equal values keep their order. Options that lie so already are not sorted."""
     keyed = F.transform(
         options, lambda o, i: F.struct(o["value"].alias("value"), i.alias("i"), o["id"].alias("id"))
     )
-    return F.array_sort(keyed)
+    values = options["value"]
+    return F.when(F.sort_array(values) == values, options["id"]).otherwise(F.array_sort(keyed)["id"])
+
+
+def _generated(ids: Column, prefix: str) -> Column:
+    """The keys 0..k-1 behind a prefix; up to LISTED of them are constants, which stays in generated code."""
+    made = F.transform(ids, lambda _, i: F.concat(F.lit(prefix), i.cast("string")))
+    listed = F.array(*[F.lit(f"{prefix}{i}") for i in range(LISTED)])
+    return F.when(F.array_size(ids) <= LISTED, F.slice(listed, 1, F.array_size(ids))).otherwise(made)
+
 
+def _pick(ids: Column, raw: Column, prefix: str) -> Column:
+    """Raw values by generated key, or NULL when the keys are not exactly 0..k-1.
 
-def _pick(options: Column, raw: Column, prefix: str) -> Column:
-    """Raw values by generated key, or NULL when the keys are not exactly 0..k-1."""
-    wanted = F.transform(options, lambda o, i: F.concat(F.lit(prefix), i.cast("string")))
-    keys = F.map_keys(raw)
+    Answers usually list the keys in order already; then their values are taken as they are.
+    """
+    wanted, keys = _generated(ids, prefix), F.map_keys(raw)
     exact = (F.size(F.array_except(wanted, keys)) == 0) & (F.size(wanted) == F.size(keys))
-    values = F.transform(wanted, lambda k: F.try_element_at(raw, k))
-    return F.when(exact, F.map_from_arrays(options["id"], values))
+    looked_up = F.transform(wanted, lambda k: F.try_element_at(raw, k))
+    return F.map_from_arrays(ids, F.when(keys == wanted, F.map_values(raw)).when(exact, looked_up))
 
 
 def level_answer(options: Column, raw: Column, ascending: bool = False) -> Column:
     """Score answers keyed by level index."""
-    return _pick(_ascending(options) if ascending else options, raw, "")
+    return _pick(_ascending(options) if ascending else options["id"], raw, "")
 
 
 def anonymous_answer(options: Column, raw: Column) -> Column:
     """Choice answers keyed `option_0`, `option_1`, ..."""
-    return _pick(options, raw, "option_")
+    return _pick(options["id"], raw, "option_")
 
 
 def _sum(values: Column) -> Column:

@@ -12,7 +12,7 @@ from tallyloom.operators import results as R
 from tallyloom.operators import scoring as J
 from tallyloom.plans.evaluation import metric_table
 from tallyloom.plans.queries.registry import query, r6
-from tallyloom.plans.testbed import RUNS
+from tallyloom.plans.testbed import _WEIGHT, RUNS, per_position, weight_total
 from tallyloom.session import shared_path
 from tallyloom.sources import writers as W
 
@@ -230,59 +230,45 @@ def _(tb):
 
     every_run = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1)))
 
-    def weights(base):
-        raw = base.withColumn("m", every_run).withColumn(
-            "w", F.expr("transform(sequence(0L, k - 1), pos -> 1 + (cid * 13 + pos * 29 + m * 7) % 10)")
-        )
-        return raw.withColumn(
-            "p", F.expr("transform(w, x -> x / aggregate(w, 0L, (a, y) -> a + y))")
-        )
-
-    def keyed(prefix):
-        return F.map_from_arrays(
-            F.transform("p", lambda _, i: F.concat(F.lit(prefix), i.cast("string"))), F.col("p")
-        )
+    def answers(base, prefix):
+        """The weights of every run over their sum as `p`, and as `raw` keyed by position."""
+        total = base.withColumn("m", every_run).selectExpr("*", f"{weight_total()} total")
+        shares = total.selectExpr("*", f"{per_position(f'({_WEIGHT}) / total')} p")
+        keys = per_position(f"'{prefix}{{pos}}'")
+        return shares.selectExpr("*", f"map_from_arrays({keys}, p) raw")
 
     def exploded(rows, task, options, answer):
-        pairs = F.transform(
-            options, lambda o: F.struct(o["id"].alias("id"), F.try_element_at(answer, o["id"]).alias("p"))
-        )
-        return rows.select(
+        # A column of its own: several expressions read it, so it is worked out once per row.
+        told = rows.withColumn("answer", answer).withColumn("told", S.aligned(F.col(options), F.col("answer")))
+        return told.select(
             F.lit(task).alias("task"),
             F.concat(F.lit("run-"), F.col("m").cast("string")).alias("run_id"),
             F.col("bid").alias("benchmark_id"),
             F.col("cid").cast("string").alias("case_id"),
-            F.posexplode(pairs).alias("pos", "o"),
+            "told",
+            F.posexplode(F.col(options)["id"]).alias("pos", "option_id"),
         ).select(
             "task",
             "run_id",
             "benchmark_id",
             "case_id",
             F.col("pos").cast("bigint").alias("pos"),
-            F.col("o.id").alias("option_id"),
-            F.round("o.p", 6).alias("p"),
+            "option_id",
+            F.round(F.get("told", "pos"), 6).alias("p"),
         )
 
-    choice = weights(tb.choice_base)
-    one = exploded(
-        choice, "choice", F.col("options"), D.anonymous_answer(F.col("options"), keyed("option_"))
-    )
+    choice = answers(tb.choice_base, "option_")
+    one = exploded(choice, "choice", "options", D.anonymous_answer(F.col("options"), F.col("raw")))
     # Levels reversed in id and value: index i of the ascending scale is option 4 - i.
-    score = weights(tb.score_base).withColumn(
-        "flipped",
-        F.transform(
-            F.reverse("options"),
-            lambda o: F.struct(o["id"].alias("id"), (60 - o["value"]).alias("value")),
-        ),
-    )
-    answer = D.level_answer(F.col("flipped"), keyed(""), ascending=True)
-    two = exploded(score, "score", F.col("flipped"), answer)
+    reversed_level = "named_struct('id', get(options, 4 - {pos}).id, 'value', 60 - get(options, 4 - {pos}).value)"
+    score = answers(tb.score_base, "").selectExpr("*", f"{per_position(reversed_level, '5')} flipped")
+    two = exploded(score, "score", "flipped", D.level_answer(F.col("flipped"), F.col("raw"), ascending=True))
     noul = tb.noul_base.withColumn("m", every_run).withColumn(
         "p_true", F.expr("((cid * 31 + m * 17) % 101) / 100D")
     ).withColumn(
         "options", F.expr("array(named_struct('id', 'false'), named_struct('id', 'true'))")
     )
-    three = exploded(noul, "noul", F.col("options"), D.binary_answer(F.col("p_true")))
+    three = exploded(noul, "noul", "options", D.binary_answer(F.col("p_true")))
     return one.unionByName(two).unionByName(three)
 
 
