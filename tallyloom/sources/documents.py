@@ -25,6 +25,8 @@ from tallyloom.session import shared_path
 from tallyloom.sources.bundles import MAX_DECODER_MEMORY, list_bundles, strict_json
 
 CHUNK = 1 << 20
+# Tasks per core that documents are read in at most, so that long ones and short ones even out.
+FILES_AT_ONCE = 32
 SPACE = " \t\n\r"
 
 
@@ -186,8 +188,11 @@ def read_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = files.sparkSession
     folder = shared_path(spark, "documents")
+    # The list of files is a small table, the files are not: they are dealt out evenly.
+    sound_files = files.where("problem is null").select("path")
+    tasks = min(sound_files.count(), FILES_AT_ONCE * spark.sparkContext.defaultParallelism)
     # A task holds one piece of one document, whatever number of files it gets.
-    split = files.where("problem is null").select("path").mapInArrow(_split_files, "path string, kind string, text string")
+    split = sound_files.repartition(max(tasks, 1)).mapInArrow(_split_files, "path string, kind string, text string")
     split.write.partitionBy("kind").parquet(folder)
     texts = spark.read.schema("path string, text string, kind string").parquet(folder)
     sound = strict_json(F.col("text")).isNotNull()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import decoding as D
 from tallyloom.plans.queries import QUERIES
+from tallyloom.sources import documents as Q
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,3 +47,11 @@ def test_answers_of_many_options_and_of_any_order(spark):
     assert found["a"] == found["b"] == {x: i / k for i, x in enumerate(ids)}
     assert found["c"] == {x: (k - 1 - i) / k for i, x in enumerate(ids)}
     assert found["d"] == {"o0": 0.1, "o1": 0.2, "o2": 0.7} and found["e"] is None
+
+
+def test_documents_are_read_by_more_than_one_task(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.json").write_text('{"run_id":"r%d","benchmark":{"id":"b"},"predictions":[{"case_id":"%d"}]}' % (i, i))
+    heads, predictions = Q.read_documents(Q.result_files(spark, [str(tmp_path)]))
+    assert sorted(r["case_id"] for r in predictions.collect()) == sorted(str(i) for i in range(12))
+    assert len([f for f in heads.inputFiles() if "kind=head" in f]) > 4
