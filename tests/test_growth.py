@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import decoding as D
 from tallyloom.plans.queries import QUERIES
+from tallyloom.schema import PREDICTION
 from tallyloom.sources import documents as Q
+from tallyloom.streaming import ingest as I
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -55,3 +57,23 @@ def test_documents_are_read_by_more_than_one_task(spark, tmp_path):
     heads, predictions = Q.read_documents(Q.result_files(spark, [str(tmp_path)]))
     assert sorted(r["case_id"] for r in predictions.collect()) == sorted(str(i) for i in range(12))
     assert len([f for f in heads.inputFiles() if "kind=head" in f]) > 4
+
+
+def test_a_batch_has_no_more_files_than_cores(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    made = {"case_id": "cast(id as string)", "question_id": "'q'", "probabilities": "map('true', 0.5D)"}
+    rows = spark.range(2000).selectExpr(
+        "'r' run_id", "'b' benchmark_id",
+        *[f"cast({made.get(f.name, 'null')} as {f.dataType.simpleString()}) {f.name}" for f in PREDICTION.fields],
+        "timestamp'2024-01-01' arrived_at",
+    )
+    rows.write.parquet(source)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        I.ingest(spark, source, target, progress).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stored = spark.read.parquet(target)
+    assert stored.count() == stored.select("case_id").distinct().count() == 2000
+    assert len(stored.inputFiles()) <= spark.sparkContext.defaultParallelism
