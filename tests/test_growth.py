@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import decoding as D
 from tallyloom.llm import langid
-from tallyloom.plans.queries import QUERIES
+from tallyloom.plans.queries import QUERIES, checks
+from tallyloom.plans.testbed import Testbed
 from tallyloom.schema import PREDICTION
 from tallyloom.sources import documents as Q
 from tallyloom.streaming import ingest as I
@@ -81,6 +82,23 @@ def test_a_batch_has_no_more_files_than_cores(spark, tmp_path):
     assert len(stored.inputFiles()) <= spark.sparkContext.defaultParallelism
 
 
+def test_validation_evaluates_damaged_predictions_only(spark, monkeypatch):
+    """The results of the sound predictions are not part of the query; its own have the same columns."""
+    expected = Testbed(spark, SMALL).lazy_results.columns
+    evaluated = []
+    monkeypatch.setattr(Testbed, "results", property(lambda tb: evaluated.append(tb) or tb.lazy_results))
+    real = checks.evaluate
+
+    def seen(*tables):
+        made = real(*tables)
+        assert made.columns == expected
+        return made
+
+    monkeypatch.setattr(checks, "evaluate", seen)
+    found = QUERIES["validated_results"](spark, SMALL)
+    assert not evaluated and found.columns == ["check", "subject", "detail"]
+
+
 def test_limits_of_languages_come_from_all_calibration_rows(spark):
     """Every row of a calibration table larger than 4,000 rows counts."""
     r = random.Random(3)
