@@ -21,7 +21,7 @@ _KEY = _RUN + ", cast(cid as varchar) case_id"
 
 
 def _rows(tb, task):
-    return J.row_scores(J.join_decisions(tb.predictions_of(task), tb.decisions_of(task)))
+    return J.row_scores(J.join_decisions(tb.predictions_of(task), tb.decisions_of(task), tb.pieces_of(task)))
 
 
 _JOINED = """select concat('run-', cast(m as varchar)) run_id, bid benchmark_id, task,
@@ -38,7 +38,7 @@ _JOINED = """select concat('run-', cast(m as varchar)) run_id, bid benchmark_id,
     _JOINED,
 )
 def _(tb):
-    joined = J.join_decisions(tb.predictions, tb.decisions)
+    joined = J.join_decisions(tb.predictions, tb.decisions, tb.pieces)
     answered = F.col("probabilities").isNotNull() | F.col("box").isNotNull()
     return joined.groupBy("run_id", "benchmark_id", "task").agg(
         F.count(F.lit(1)).alias("decisions"), F.count_if(answered).alias("answered")
@@ -54,7 +54,7 @@ def _(tb):
     """Both tables are stored in buckets of the decision key; the join reads them side by side."""
     spark = tb.spark
     path = shared_path(spark, "colocated")
-    buckets = spark.sparkContext.defaultParallelism
+    buckets = max(spark.sparkContext.defaultParallelism, tb.pieces)
     name = path.rsplit("-", 1)[-1]
     decisions = W.save_colocated(tb.decisions, f"decisions_{name}", buckets, f"{path}/decisions")
     predictions = W.save_colocated(tb.predictions, f"predictions_{name}", buckets, f"{path}/predictions")
@@ -71,7 +71,7 @@ def _(tb):
     f"select {_KEY}, oid chosen, pos + 1 as place from choice_row where outcome = 'ok'",
 )
 def _(tb):
-    joined = J.join_decisions(tb.predictions_of("choice"), tb.decisions_of("choice"))
+    joined = J.join_decisions(tb.predictions_of("choice"), tb.decisions_of("choice"), tb.pieces_of("choice"))
     o, p = F.col("options"), F.col("probabilities")
     return joined.where(p.isNotNull()).select(
         "run_id",
@@ -324,7 +324,7 @@ def _(tb):
     f"select {_RUN}, round(skill, 6) skill, round(adj, 6) score from joined",
 )
 def _(tb):
-    metrics = metric_table(tb.predictions, tb.decisions)
+    metrics = metric_table(tb.predictions, tb.decisions, tb.pieces)
     return metrics.select(
         "run_id",
         "benchmark_id",
@@ -341,7 +341,7 @@ def _(tb):
         union all select {_RUN}, round(mae, 6) from score_m""",
 )
 def _(tb):
-    metrics = J.score_predictions(tb.predictions, tb.decisions)
+    metrics = J.score_predictions(tb.predictions, tb.decisions, tb.pieces)
     value = F.coalesce(
         "target_mass_at_prediction", "binary_brier", "normalized_expected_score_mae"
     )
@@ -356,7 +356,7 @@ def _(tb):
     f"select {_RUN}, round(iou, 6) mean_iou, round(hit, 6) accuracy_at_iou_0_5 from box_m",
 )
 def _(tb):
-    return J.score_predictions(tb.predictions_of("box"), tb.decisions_of("box")).select(
+    return J.score_predictions(tb.predictions_of("box"), tb.decisions_of("box"), tb.pieces_of("box")).select(
         "run_id", "benchmark_id", r6("mean_iou"), r6("accuracy_at_iou_0_5")
     )
 
@@ -383,7 +383,7 @@ def _(tb):
         "f1",
         "balanced_accuracy",
     )
-    return J.score_predictions(tb.predictions_of("noul"), tb.decisions_of("noul")).select(
+    return J.score_predictions(tb.predictions_of("noul"), tb.decisions_of("noul"), tb.pieces_of("noul")).select(
         "run_id", "benchmark_id", *[r6(n) for n in names]
     )
 
@@ -412,7 +412,7 @@ def _(tb):
 )
 def _(tb):
     decisions = tb.decisions_of("noul")
-    metrics = J.score_predictions(tb.predictions_of("noul"), decisions)
+    metrics = J.score_predictions(tb.predictions_of("noul"), decisions, tb.pieces_of("noul"))
     others = {c: F.lit(None).cast("double") for c in ("fixed_answer_accuracy_baseline", "constant_mae_baseline")}
     return J.adjusted_metrics(metrics, B.noul_baselines(decisions).withColumns(others)).select(
         "run_id", "benchmark_id", r6("brier_skill")
@@ -446,7 +446,7 @@ for _name, (_survey, _column, _sql) in _CHOICE_BASES.items():
 )
 def _(tb):
     decisions = tb.decisions_of("choice")
-    metrics = J.score_predictions(tb.predictions_of("choice"), decisions)
+    metrics = J.score_predictions(tb.predictions_of("choice"), decisions, tb.pieces_of("choice"))
     return J.adjusted_metrics(metrics, B.baselines(decisions)).select(
         "run_id",
         "benchmark_id",
@@ -496,7 +496,7 @@ def _(tb):
 )
 def _(tb):
     decisions = tb.decisions_of("score")
-    metrics = J.score_predictions(tb.predictions_of("score"), decisions)
+    metrics = J.score_predictions(tb.predictions_of("score"), decisions, tb.pieces_of("score"))
     return J.adjusted_metrics(metrics, B.baselines(decisions)).select(
         "run_id",
         "benchmark_id",
@@ -515,7 +515,7 @@ def _(tb):
         from counts join defs using (bid)""",
 )
 def _(tb):
-    return R.outcome_counts(tb.predictions, tb.benchmarks)
+    return R.outcome_counts(tb.predictions, tb.benchmarks, count=tb.pieces)
 
 
 _KEYS = """(select m, bid, cid from choice_row union all select m, bid, cid from score_row
@@ -537,7 +537,7 @@ def _(tb):
     twice = tb.predictions.where("run_id = 'run-1' and cast(case_id as bigint) % 199 = 0")
     renamed = F.when(unknown, F.concat(F.lit("x"), "case_id")).otherwise(F.col("case_id"))
     rows = tb.predictions.withColumn("case_id", renamed).unionByName(twice)
-    return R.outcome_counts(rows, tb.benchmarks, tb.decisions).select(
+    return R.outcome_counts(rows, tb.benchmarks, tb.decisions, tb.pieces).select(
         "run_id", "benchmark_id", "cases", "status"
     )
 

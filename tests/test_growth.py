@@ -5,8 +5,13 @@ import re
 
 from pyspark.sql import functions as F
 
+from helpers import answer, decision, decisions, predictions
 from tallyloom.functions import decoding as D
 from tallyloom.llm import langid
+from tallyloom.operators import results as R
+from tallyloom.operators import scoring as J
+from tallyloom.plans import testbed
+from tallyloom.plans.evaluation import evaluate
 from tallyloom.plans.queries import QUERIES, checks
 from tallyloom.plans.testbed import Testbed
 from tallyloom.schema import PREDICTION
@@ -112,3 +117,48 @@ def test_limits_of_languages_come_from_all_calibration_rows(spark):
     excess = ((judged.cross_entropy - judged.cross_entropy.median()) * firm).sort_values().to_numpy()
     highest = excess[-9]  # rank 8,392 of 8,400 is the quantile 0.999
     assert abs(model.limit[0] - max(1.25 * highest, 1.0)) < 1e-6
+
+
+def exchanges(df):
+    return len(re.findall(r"Exchange hashpartitioning", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def odd_keys(spark):
+    """Predictions with copies, unknown and null keys, and decisions with a copy and a null key."""
+    yes, target = {"true": 0.9, "false": 0.1}, {"true": 1.0, "false": 0.0}
+    known = [decision("b-noul", i, "noul", ("true", "false"), target) for i in (*range(30), 3)]
+    made = [answer(f"r{i % 3}", "b-noul", i % 35, yes) for i in range(120)]
+    null = [(*known[0][:1], None, *known[0][2:])], [(*made[0][:2], None, *made[0][3:])] * 2
+    return predictions(spark, made + null[1]), decisions(spark, known + null[0])
+
+
+def test_keys_are_counted_and_joined_where_they_were_dealt(spark):
+    made, known = odd_keys(spark)
+    benchmarks = spark.createDataFrame([("b-noul", "noul", "d", 30)], "id string, task string, dataset string, decision_count bigint")
+    runs = spark.createDataFrame([(f"r{i}", "measured") for i in range(3)], "run_id string, provenance string")
+    hashes = known.withColumn("input_hash", F.concat(F.lit("h"), "case_id"))
+    recorded = made.selectExpr("run_id", "benchmark_id", "case_id", "if(case_id = '7', 'x', concat('h', case_id)) input_hash")
+    for build, most in (
+        (lambda n: R.key_counts(made, n), 2),
+        (lambda n: R.outcome_counts(made, benchmarks, None, n), 4),
+        (lambda n: R.outcome_counts(made, benchmarks, known, n), 6),
+        (lambda n: evaluate(made, known, benchmarks, runs, n), None),
+        (lambda n: checks.C.prediction_keys(made, known, n), 4),
+        (lambda n: checks.C.input_hashes(recorded, hashes, n), None),
+    ):
+        plain, spread = build(0), build(40)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, spread.collect()))
+        if most is not None:
+            assert exchanges(build(40)) <= most
+
+
+def test_tasks_grow_with_the_tables(spark, monkeypatch):
+    orders = Testbed(spark, SMALL).table("orders").count()
+    monkeypatch.setattr(testbed, "SPREAD_ROWS", orders // 50)
+    assert Testbed(spark, SMALL).orders_base.rdd.getNumPartitions() >= 50
+    monkeypatch.setattr(testbed, "ROWS_PER_TASK", 6 * (orders // 50))
+    tb = Testbed(spark, SMALL)
+    assert tb.pieces_of("orders") >= 50
+    joined = J.join_decisions(tb.predictions_of("choice"), tb.decisions_of("choice"), tb.pieces_of("choice"))
+    assert exchanges(joined) == 4 and joined.columns[:3] == ["benchmark_id", "case_id", "question_id"]
+    assert joined.count() == J.join_decisions(tb.predictions_of("choice"), tb.decisions_of("choice")).count()
