@@ -258,7 +258,7 @@ def _(tb):
         ),
     )
     again = renamed.where("cast(replace(case_id, 'x', '') as bigint) % 199 = 0")
-    return _out(C.prediction_keys(renamed.unionByName(again), tb.decisions))
+    return _out(C.prediction_keys(renamed.unionByName(again), tb.decisions, tb.pieces))
 
 
 @query(
@@ -310,7 +310,7 @@ def _(tb):
         "case when cast(case_id as bigint) % 101 = 0 then 'other' else concat('h', case_id) end "
         "input_hash",
     ).where("cast(case_id as bigint) % 103 <> 0")
-    return _out(C.input_hashes(recorded, tb.decisions))
+    return _out(C.input_hashes(recorded, tb.decisions, tb.pieces))
 
 
 _NUDGED = {"mean_iou": "run-1", "f1": "run-2", "binary_brier": "run-3", "baseline_adjusted_score": "run-4"}

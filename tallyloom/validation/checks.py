@@ -21,6 +21,7 @@ from tallyloom.constants import (
 )
 from tallyloom.functions import text as X
 from tallyloom.functions.scoring import clip_unit, valid_probabilities
+from tallyloom.session import dealt
 
 DECISION = ("benchmark_id", "case_id", "question_id")
 RESULT = ("run_id", "benchmark_id")
@@ -224,14 +225,18 @@ def prediction_outcomes(joined: DataFrame, keys=("run_id", *DECISION)) -> DataFr
     return _found(joined, "outcome", keys, outcome_problem())
 
 
-def prediction_keys(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
+def prediction_keys(predictions: DataFrame, decisions: DataFrame, count: int = 0) -> DataFrame:
     """Unknown decision keys, and keys recorded more than once within a run.
 
-    Duplicates are counted with partial aggregation, so repeated keys never gather in a task.
+    Duplicates are counted with partial aggregation, so a task holds keys and not their copies. Dealt over `count` tasks
+    by key (see `session.dealt`), both are found where the keys lie.
     """
-    unknown = predictions.join(decisions.select(*DECISION), list(DECISION), "left_anti")
+    # The case first: its first eight bytes tell most keys apart when they are sorted.
+    key = ["case_id", "question_id", "benchmark_id"]
+    rows = dealt(predictions.select("run_id", *DECISION), count, *key)
+    unknown = rows.join(dealt(decisions.select(*key), count, *key), key, "left_anti")
     repeated = (
-        predictions.groupBy("run_id", *DECISION)
+        rows.groupBy("run_id", *DECISION)
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > 1)
     )
@@ -268,15 +273,18 @@ def duplicate_cases(cases: DataFrame) -> DataFrame:
     return _found(repeated, "case id", ["benchmark_id", "case_id"], F.lit("duplicate"))
 
 
-def input_hashes(recorded: DataFrame, dataset: DataFrame) -> DataFrame:
+def input_hashes(recorded: DataFrame, dataset: DataFrame, count: int = 0) -> DataFrame:
     """Hashes a result recorded per (benchmark, case) against those of the dataset.
 
     `recorded` carries run_id. Dataset cases a run does not mention are found by counting its
-    known cases, so no run x case grid is built.
+    known cases, so no run x case grid is built. Dealt over `count` tasks by case (see `session.dealt`), hashes are
+    compared and cases counted where they lie.
     """
     keys = ["benchmark_id", "case_id"]
     current = dataset.select(*keys, F.col("input_hash").alias("current_hash"))
-    compared = recorded.join(current, keys, "left")
+    # The case first: its first eight bytes tell most keys apart when they are sorted.
+    key = keys[::-1]
+    compared = dealt(recorded, count, *key).join(dealt(current, count, *key), key, "left")
     wrong = _found(
         compared,
         "input hash",
