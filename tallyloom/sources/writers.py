@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import csv_cell, markdown_cell, markdown_link
+from tallyloom.operators.scoring import SORTED_KEY
 from tallyloom.sources.files import CommitLog, delete
 from tallyloom.validation.checks import conflicting_results, raise_on
 
@@ -221,7 +222,7 @@ def save_colocated(table: DataFrame, name: str, buckets: int, path: str | None =
     Decisions and predictions stored with the same number of buckets are joined, and their keys counted, without a
     shuffle of either.
     """
-    key = ("benchmark_id", "case_id", "question_id")
+    key = SORTED_KEY
     writer = table.repartition(buckets, *key).write.mode("errorifexists").bucketBy(buckets, *key).sortBy(*key)
     (writer if path is None else writer.option("path", path)).saveAsTable(name)
     return table.sparkSession.table(name)
