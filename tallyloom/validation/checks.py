@@ -36,6 +36,19 @@ def _found(rows: DataFrame, check: str, keys: list[str] | tuple[str, ...], detai
     ).where(F.col("detail").isNotNull())
 
 
+def _found_once(rows: DataFrame, check: str, keys: list[str] | tuple[str, ...], detail: Column):
+    """As `_found`, for rules over the elements of derived arrays.
+
+    A filter on the detail would be moved below the columns it reads, and these would then be derived again for each
+    element; what is exploded stays above them.
+    """
+    return rows.select(
+        F.lit(check).alias("check"),
+        F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("subject"),
+        F.explode(F.array_compact(F.array(detail))).alias("detail"),
+    )
+
+
 def first_problem(*rules: tuple[str, Column]) -> Column:
     """The text of the first rule that holds; NULL conditions do not count."""
     out = F.lit(None).cast("string")
@@ -123,7 +136,7 @@ def case_rules(cases: DataFrame, keys=("case_id",)) -> DataFrame:
         b = target(q)["box"]
         return (b["left"] == b["right"]) | (b["top"] == b["bottom"])
 
-    return _found(
+    return _found_once(
         cases,
         "case",
         keys,
@@ -149,7 +162,7 @@ def native_rows(rows: DataFrame, keys=("case_id",)) -> DataFrame:
     def repeated(array: Column) -> Column:
         return F.size(F.array_distinct(array)) != F.size(array)
 
-    return _found(
+    return _found_once(
         rows,
         "native row",
         keys,
