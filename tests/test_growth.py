@@ -12,7 +12,7 @@ from tallyloom.operators import results as R
 from tallyloom.operators import scoring as J
 from tallyloom.plans import testbed
 from tallyloom.plans.evaluation import evaluate
-from tallyloom.plans.queries import QUERIES, checks
+from tallyloom.plans.queries import QUERIES, checks, storage
 from tallyloom.plans.testbed import Testbed
 from tallyloom.schema import PREDICTION
 from tallyloom.sources import documents as Q
@@ -162,3 +162,17 @@ def test_tasks_grow_with_the_tables(spark, monkeypatch):
     joined = J.join_decisions(tb.predictions_of("choice"), tb.decisions_of("choice"), tb.pieces_of("choice"))
     assert exchanges(joined) == 4 and joined.columns[:3] == ["benchmark_id", "case_id", "question_id"]
     assert joined.count() == J.join_decisions(tb.predictions_of("choice"), tb.decisions_of("choice")).count()
+
+
+def test_targets_of_a_case_are_derived_once(spark):
+    plan = QUERIES["check_cases"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    inside = " ".join(lambdas(plan))
+    assert "map_from_entries" not in inside and "map_filter" not in inside
+    assert len(re.findall("map_filter", plan)) <= 2
+
+
+def test_arrivals_are_written_by_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(testbed, "ROWS_PER_TASK", Testbed(spark, SMALL).table("orders").count())
+    tb = Testbed(spark, SMALL)
+    assert tb.pieces >= 6
+    assert len(spark.read.parquet(storage._arrivals(tb)).inputFiles()) == tb.pieces
