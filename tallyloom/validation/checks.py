@@ -37,10 +37,10 @@ def _found(rows: DataFrame, check: str, keys: list[str] | tuple[str, ...], detai
 
 
 def _found_once(rows: DataFrame, check: str, keys: list[str] | tuple[str, ...], detail: Column):
-    """As `_found`, for rules over the elements of derived arrays.
+    """As `_found`, for rules over derived columns.
 
     A filter on the detail would be moved below the columns it reads, and these would then be derived again for each
-    element; what is exploded stays above them.
+    element or mention; what is exploded stays above them.
     """
     return rows.select(
         F.lit(check).alias("check"),
@@ -235,7 +235,7 @@ def outcome_problem() -> Column:
 
 def prediction_outcomes(joined: DataFrame, keys=("run_id", *DECISION)) -> DataFrame:
     """Exactly one outcome, of a type that fits the task."""
-    return _found(joined, "outcome", keys, outcome_problem())
+    return _found_once(joined, "outcome", keys, outcome_problem())
 
 
 def prediction_keys(predictions: DataFrame, decisions: DataFrame, count: int = 0) -> DataFrame:

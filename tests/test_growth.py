@@ -171,6 +171,11 @@ def test_targets_of_a_case_are_derived_once(spark):
     assert len(re.findall("map_filter", plan)) <= 2
 
 
+def test_predictions_are_derived_once_where_outcomes_are_checked(spark):
+    plan = QUERIES["check_outcomes"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays") <= 2  # choices and scores
+
+
 def test_arrivals_are_written_by_more_tasks_as_they_grow(spark, monkeypatch):
     monkeypatch.setattr(testbed, "ROWS_PER_TASK", Testbed(spark, SMALL).table("orders").count())
     tb = Testbed(spark, SMALL)
