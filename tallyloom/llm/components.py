@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import written
+
 TASK_LINKS = 1 << 20
 
 
@@ -51,11 +53,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, label) from the first two columns of `links`, integers; `folder` is a new one below the shared folder."""
-    spark = links.sparkSession
     a, b = (F.col(f"`{c}`").cast("bigint") for c in links.columns[:2])
     edges = links.select(a.alias("a"), b.alias("b")).filter("a <> b").mapInArrow(_forest, "a bigint, b bigint")
-    edges.write.parquet(f"{folder}/0")
-    edges = spark.read.parquet(f"{folder}/0")
+    edges = written(edges, f"{folder}/0")
     before = None
     for step in range(1, 100):
         # Large star: both directions, the larger neighbours of v go to the smallest of v and its neighbours.
@@ -67,8 +67,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a > b")
         new = small.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
-        new.write.parquet(f"{folder}/{step}")
-        edges = spark.read.parquet(f"{folder}/{step}")
+        edges = written(new, f"{folder}/{step}")
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break

@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.arrow import NULL_ID, Hashes, free_name, keyed_texts, mixed, ranges, row_key, whole_groups
 from tallyloom.llm.similarity import SMALL_GROUP, TILE, Join, Tiles, frequent_keys, index_batches, linked_components
-from tallyloom.session import shared_path
+from tallyloom.session import shared_path, written
+from tallyloom.sources.files import delete
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORDS = 8  # 64-bit words of a sketch
@@ -333,8 +334,7 @@ def grouped_rows(
     given = keyed_texts(docs)
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return written(df, f"{folder}/{name}")
 
     described = stored(
         given.mapInArrow(_described(words), "row bigint, doc bigint, n bigint, h1 bigint, h2 bigint"), "sets"
@@ -397,20 +397,22 @@ def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 
     Rows without words are in no group and all stay. Of rows with equal id and text one stays. The rows to leave out,
     and those that occur more than once, are written first: Spark sees their size and shuffles `docs` only if it is large.
+    What the join wrote for itself is deleted then.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "one-of-each-group")
-    grouped_rows(docs.select("doc_id", "text"), words, num, den).write.parquet(f"{folder}/rows")
-    rows = spark.read.parquet(f"{folder}/rows").filter("n > 0")
-    rows.filter("row <> first_row").select("row").distinct().write.parquet(f"{folder}/gone")
-    rows.filter("row = first_row").groupBy("row").count().filter("count > 1").select("row").write.parquet(f"{folder}/repeated")
+    rows = grouped_rows(docs.select("doc_id", "text"), words, num, den, folder=f"{folder}/join")
+    rows = written(rows, f"{folder}/rows").filter("n > 0")
+    delete(spark, f"{folder}/join")
+    gone = written(rows.filter("row <> first_row").select("row").distinct(), f"{folder}/gone")
+    often = rows.filter("row = first_row").groupBy("row").count().filter("count > 1")
+    repeated = written(often.select("row"), f"{folder}/repeated")
     key = free_name(docs, "j_row")
     keyed = docs.withColumn(key, row_key())
 
-    def joined(some: DataFrame, name: str, how: str) -> DataFrame:
-        listed = spark.read.parquet(f"{folder}/{name}").select(F.col("row").alias(key))
-        return some.join(listed, key, how)
+    def joined(some: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        return some.join(listed.select(F.col("row").alias(key)), key, how)
 
-    kept = joined(keyed, "gone", "left_anti")
-    once = joined(kept, "repeated", "left_semi").dropDuplicates([key])
-    return joined(kept, "repeated", "left_anti").unionByName(once).drop(key)
+    kept = joined(keyed, gone, "left_anti")
+    once = joined(kept, repeated, "left_semi").dropDuplicates([key])
+    return joined(kept, repeated, "left_anti").unionByName(once).drop(key)

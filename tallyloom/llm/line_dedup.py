@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions.binding import let
 from tallyloom.llm.arrow import Hashes, free_name, keyed_texts, mixed, ranges, row_key, whole_groups
 from tallyloom.llm.similarity import SMALL_GROUP, TILE, Join, Tiles, frequent_keys, index_batches, linked_components
-from tallyloom.session import shared_path
+from tallyloom.session import shared_path, written
+from tallyloom.sources.files import delete
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CHUNK_BYTES = 1 << 19
@@ -287,8 +288,7 @@ def line_verdicts(
     given = keyed_texts(docs)
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return written(df, f"{folder}/{name}")
 
     shape = "row bigint, doc bigint, line bigint, n bigint, h1 bigint, h2 bigint, text string"
     lines = stored(given.mapInArrow(_listed(min_chars, exact_chars), shape), "lines")
@@ -331,9 +331,17 @@ def removed_lines(verdicts: DataFrame) -> DataFrame:
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def remove_lines(docs: DataFrame, **parameters) -> DataFrame:
-    """`docs` with the removed lines taken out of `text`; all other columns, n_chars too, stay as they are."""
-    gone = removed_lines(line_verdicts(docs.select("doc_id", "text"), **parameters))
+def remove_lines(docs: DataFrame, folder: str | None = None, **parameters) -> DataFrame:
+    """`docs` with the removed lines taken out of `text`; all other columns, n_chars too, stay as they are.
+
+    The numbers of the lines are written first. What was written to find them, which has the texts of all lines, is
+    deleted then.
+    """
+    spark = docs.sparkSession
+    folder = folder or shared_path(spark, "remove-lines")
+    verdicts = line_verdicts(docs.select("doc_id", "text"), folder=f"{folder}/verdicts", **parameters)
+    gone = written(removed_lines(verdicts), f"{folder}/gone")
+    delete(spark, f"{folder}/verdicts")
     key, removed = free_name(docs, "l_row"), free_name(docs, "l_removed")
 
     def left(lines: Column) -> Column:

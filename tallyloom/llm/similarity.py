@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.arrow import mixed, ranges, whole_groups
 from tallyloom.llm.components import components
+from tallyloom.session import written
 
 SMALL_GROUP = 8
 TILE = 2048
@@ -231,8 +232,7 @@ def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, joi
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return written(df, f"{folder}/{name}")
 
     groups = stored(
         rows.repartition(parts, "key")

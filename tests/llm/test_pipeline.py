@@ -1,14 +1,20 @@
+import pathlib
+import time
+
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from llm_helpers import documents, groups, prose, shingles
+from tallyloom import session
 from tallyloom.llm.bpe import read_ranks
 from tallyloom.llm.queries import ORACLES, QUERIES
+from tallyloom.session import RELEASE, written
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -68,6 +74,35 @@ def test_stages_on_planted_documents(spark):
         assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["text"] or "")
 
 
+def shuffled(spark):
+    """Names of the shuffle files of a local session."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f.name for x in folders for f in pathlib.Path(x).rglob("shuffle_*")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    before, setting = shuffled(spark), spark.conf.get(RELEASE)
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    assert written(rows, f"{tmp_path}/rows").count() == 10
+    assert spark.conf.get(RELEASE) == setting
+    until = time.time() + 20  # files are removed in the background
+    while made := [x for x in shuffled(spark) - before if x.endswith(".data")]:
+        # The count above is one row of one task.
+        if len(made) <= 1 or time.time() > until:
+            break
+        time.sleep(0.1)
+    assert len(made) <= 1
+
+
+def test_stages_leave_no_texts_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    docs = documents(spark, [(i, "\n".join(prose(10 * i + k, 400) for k in range(5))) for i in range(30)])
+    for name in ("lines", "near-duplicates"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, SMALL).count() == 30
+    kept = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert kept < 0.1 * sum(len(r["text"]) for r in docs.collect())
+
+
 def test_run_over_the_small_table(spark):
     df = corpus_pipeline.run(spark, SMALL)
     assert {"doc_id", "text", "n_tokens", "ids"} <= set(df.columns)
