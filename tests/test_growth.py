@@ -1,8 +1,11 @@
 """What must not cost more per row, or more tasks in a row, as tables grow."""
 
+import json
 import random
 import re
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import answer, decision, decisions, predictions
@@ -181,3 +184,46 @@ def test_arrivals_are_written_by_more_tasks_as_they_grow(spark, monkeypatch):
     tb = Testbed(spark, SMALL)
     assert tb.pieces >= 6
     assert len(spark.read.parquet(storage._arrivals(tb)).inputFiles()) == tb.pieces
+
+
+def tasks_of(spark, run):
+    """The most tasks that a stage of `run` had."""
+    tracker, group = spark.sparkContext.statusTracker(), str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, "tasks")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    return max(s.numTasks for s in stages if s is not None)
+
+
+def test_documents_are_written_by_more_than_one_task(spark, tmp_path):
+    """Small documents are not put together by their sizes, as they take long to compress."""
+    heads = spark.range(24).selectExpr("concat('r', id) run_id", "'b' benchmark_id")
+    heads = heads.withColumn("result", F.struct("run_id", F.struct(F.col("benchmark_id").alias("id")).alias("benchmark")))
+    heads = heads.localCheckpoint()
+    made = spark.range(240).selectExpr(
+        "concat('r', id % 24) run_id", "'b' benchmark_id", "cast(id as string) case_id", "'q' question_id",
+        *[f"cast(null as {f.dataType.simpleString()}) {f.name}" for f in PREDICTION.fields if f.name not in ("case_id", "question_id")],
+    )
+    assert tasks_of(spark, lambda: Q.write_result_documents(heads, made, str(tmp_path))) >= 24
+    for i in range(24):
+        (tmp_path / f"r{i}" / "metadata.json").write_text("{}")
+    found, predictions = Q.read_documents(Q.result_files(spark, [str(tmp_path)]))
+    assert found.where("problem is null").count() == 24
+    assert sorted(r["case_id"] for r in predictions.collect()) == sorted(str(i) for i in range(240))
+    # What is broken was found when the files were split.
+    assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_elements_without_spaces_are_split_at_any_place():
+    for elements in ([{"a": "},{"}, {"b": [1, {}]}, {}], [{"a": 1}, 7, {"b": 2}, "{"], [{}]):
+        text = json.dumps({"predictions": elements, "z": 1}, separators=(",", ":"))
+        for size in range(1, len(text) + 1):
+            parts = list(Q.split_document(text[i : i + size] for i in range(0, len(text), size)))
+            assert [json.loads(t) for k, t in parts if k == "prediction"] == elements and parts[-1] == ("head", '{"z":1}')
+    for bad in ('{"predictions":[{}{}]}', '{"predictions":[{},,{}]}', '{"predictions":[{},{"a"}]}', '{"predictions":[{},{}'):
+        for size in (1, 3, 100):
+            with pytest.raises(ValueError, match="invalid JSON"):
+                list(Q.split_document(bad[i : i + size] for i in range(0, len(bad), size)))
