@@ -227,3 +227,23 @@ def test_elements_without_spaces_are_split_at_any_place():
         for size in (1, 3, 100):
             with pytest.raises(ValueError, match="invalid JSON"):
                 list(Q.split_document(bad[i : i + size] for i in range(0, len(bad), size)))
+
+
+def test_batches_leave_no_shuffle_files(spark, tmp_path):
+    source, target, counted = (str(tmp_path / n) for n in ("in", "out", "counted"))
+    made = {"case_id": "cast(id % 900 as string)", "question_id": "'q'", "probabilities": "map('true', 0.5D)"}
+    rows = spark.range(1000).selectExpr(
+        "'r' run_id", "'b' benchmark_id",
+        *[f"cast({made.get(f.name, 'null')} as {f.dataType.simpleString()}) {f.name}" for f in PREDICTION.fields],
+        "timestamp'2024-01-01' arrived_at",
+    )
+    rows.repartition(3).write.parquet(source)
+    kept = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = kept()
+    I.ingest(spark, source, target, str(tmp_path / "p"), files_per_trigger=1).awaitTermination()
+    assert kept() <= before and spark.read.parquet(target).count() == 900
+    before = kept()
+    I.live_counts(spark, target, counted, str(tmp_path / "q"), files_per_trigger=2).awaitTermination()
+    assert kept() <= before
+    benchmarks = spark.createDataFrame([("b", 900)], "id string, decision_count bigint")
+    assert I.latest_counts(spark, counted, benchmarks).first()["recorded"] == 900
