@@ -20,6 +20,7 @@ from tallyloom.plans.testbed import Testbed
 from tallyloom.schema import PREDICTION
 from tallyloom.sources import documents as Q
 from tallyloom.streaming import ingest as I
+from tallyloom.validation import scan
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -247,3 +248,32 @@ def test_batches_leave_no_shuffle_files(spark, tmp_path):
     assert kept() <= before
     benchmarks = spark.createDataFrame([("b", 900)], "id string, decision_count bigint")
     assert I.latest_counts(spark, counted, benchmarks).first()["recorded"] == 900
+
+
+def test_a_validation_deals_its_rows_and_counts_keys_once(spark, monkeypatch):
+    """With many tasks the same is found as with few, also for keys that are null; key counts are not worked out again."""
+    made, known = odd_keys(spark)
+    made = made.unionByName(made.limit(2).withColumn("run_id", F.lit(None).cast("string")).withColumn("case_id", F.lit("3")))
+    made = made.withColumn("probabilities", F.expr("if(case_id = '9', map('false', 0.1D, 'true', 0.9D), probabilities)")).localCheckpoint()
+    made = made.withColumn("probabilities", F.expr("if(case_id = '8', map('false', 0.1D, 'maybe', 0.9D), probabilities)")).localCheckpoint()
+    known = known.withColumn("input_hash", F.concat(F.lit("h"), "case_id"))
+    benchmarks = spark.createDataFrame(
+        [("b-noul", "noul", 30, 30, "binary_brier")], "id string, task string, case_count bigint, decision_count bigint, primary_metric string"
+    )
+    runs = spark.createDataFrame([(f"r{i}", "m", "local", "measured") for i in range(3)], "run_id string, model_id string, adapter string, provenance string")
+    stored = evaluate(made, known, benchmarks, runs, 0).localCheckpoint()
+    recorded = made.selectExpr("run_id", "benchmark_id", "case_id", "if(case_id = '7', 'x', concat('h', case_id)) input_hash")
+    dealt = []
+    real = scan.dealt
+    monkeypatch.setattr(scan, "dealt", lambda rows, count, *key: dealt.append(count) or real(rows, count, *key))
+    few, many = (scan.validate_results(stored, made, known, benchmarks, runs, recorded, count=n) for n in (0, 40))
+    assert dealt == [0, 0, 40, 40] and few.counters == many.counters
+    rows = sorted(map(tuple, few.violations.collect()))
+    assert rows == sorted(map(tuple, many.violations.collect()))
+    twice = sorted(s for c, s, d in rows if c == "prediction key" and d == "duplicate")
+    # The copy of a decision makes two rows of each of its predictions.
+    joined = made.join(known.select(*J.DECISION_KEY), list(J.DECISION_KEY), "left")
+    expected = joined.groupBy("run_id", "benchmark_id", "case_id", "question_id").count().where("count > 1").collect()
+    assert twice == sorted("/".join(x for x in r[:4] if x is not None) for r in expected)
+    wrong = {s.split("/")[-2] for c, s, _ in rows if c == "probabilities"}
+    assert wrong == {"8"}
