@@ -45,6 +45,11 @@ LARGEST_SET = 1 << 40
 # What a shingle costs in the comparison of two sets, against an index row, in the choice of weights.
 MEETING_COST = 0.7
 CHUNK_BYTES = 1 << 19
+# Index rows that are shuffled at once, as long as no more than SLICES passes over the texts are needed for it.
+SLICE_ROWS = 1 << 24
+SLICES = 3
+# Index rows of a task, which are sorted in memory.
+TASK_ROWS = 1 << 21
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -254,8 +259,17 @@ def index_rows(sets: Sets, node: np.ndarray, bands: Bands, below: int) -> tuple[
     )
 
 
-def _indexed(words: int, bands: Bands, tiles: Tiles):
-    """(key, node, info) of each task's distinct sets; the node is the set's first fingerprint."""
+def index_size(bands: Bands, sets: dict[int, int]) -> int:
+    """About how many index rows the sets of each band have, in both of their schemes."""
+    each = bands.total + bands.double * bands.edge[:-1] / np.maximum(bands.total, 1)
+    return int(sum(n * (each[b] + (each[b - 1] if b else 0)) for b, n in sets.items()))
+
+
+def _indexed(words: int, bands: Bands, tiles: Tiles, part: int = 0, parts: int = 1):
+    """(key, node, info) of each task's distinct sets; the node is the set's first fingerprint.
+
+    Of `parts` slices of the keys only one is made.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +283,11 @@ def _indexed(words: int, bands: Bands, tiles: Tiles):
                 keep = first[sets.row]
                 some = Sets(sets.row[keep], sets.shingle[keep], np.where(first, sets.size, 0))
                 for below in (0, 1):
-                    yield from index_batches(*tiles.deal(*index_rows(some, node, bands, below)))
+                    made = index_rows(some, node, bands, below)
+                    if parts > 1:
+                        mine = (made[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == part
+                        made = tuple(x[mine] for x in made)
+                    yield from index_batches(*tiles.deal(*made))
 
     return run
 
@@ -363,12 +381,15 @@ def grouped_rows(
     shape = "key bigint, node bigint, info bigint"
     part = given.filter(F.pmod(F.xxhash64("row"), F.lit(sample)) == 0)
     tiles = Tiles(frequent_keys(part.mapInArrow(_indexed(words, bands, Tiles({})), shape), sample, parts, tile))
+    size = index_size(bands, counts)
+    slices = min(max(1, math.ceil(size / SLICE_ROWS)), SLICES)
     labels = linked_components(
-        given.mapInArrow(_indexed(words, bands, tiles), shape),
+        [given.mapInArrow(_indexed(words, bands, tiles, i, slices), shape) for i in range(slices)],
         classes.select(F.col("h1").alias("node"), F.col("place.row").alias("rep"), "n"),
         given.select(F.col("row").alias("doc"), "text"),
         Join(fits, most, _verified(words, num, den), _sketch(words), WORDS, small_group),
         folder,
+        math.ceil(size / slices / TASK_ROWS),
     )
     named = classes.withColumn("rep", F.col("place.row")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     linked = named.filter("label is not null")

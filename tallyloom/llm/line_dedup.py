@@ -306,7 +306,7 @@ def line_verdicts(
     few = part.mapInArrow(_indexed(threshold, min_chars, Tiles({})), rows)
     tiles = Tiles(frequent_keys(few, sample, parts, tile))
     labels = linked_components(
-        given.mapInArrow(_indexed(threshold, min_chars, tiles), rows),
+        [given.mapInArrow(_indexed(threshold, min_chars, tiles), rows)],
         classes.filter(F.col("n") >= min_chars).select(F.col("h1").alias("node"), F.col("h1").alias("rep"), "n"),
         lines.filter("text is not null").select(F.col("h1").alias("doc"), "text"),
         Join(fits, most, _verified(threshold), _sketch, WORDS, small_group),

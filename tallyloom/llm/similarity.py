@@ -221,25 +221,36 @@ def _sketched(join: Join):
     return run
 
 
-def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, join: Join, folder: str) -> DataFrame:
+def linked_components(
+    rows: list[DataFrame], classes: DataFrame, texts: DataFrame, join: Join, folder: str, tasks: int = 0
+) -> DataFrame:
     """(node, label) of all linked representatives.
 
-    `rows` are index rows (key, node, info); `classes` has (node, rep, n): the representative of each node;
-    `texts` has (doc, text) for at least all representatives. `folder` is a new one below the shared folder.
-    Only texts that some group has together with others are kept and sketched.
+    `rows` are index rows (key, node, info), in one table or in several without common keys: one after another is
+    shuffled, over `tasks` tasks if these are more than Spark's own, so that the disk holds the rows of one at a time.
+    Texts and pairs are then shuffled in as many parts. `classes` has (node, rep, n): the representative of each node; `texts` has (doc, text) for at least all
+    representatives. `folder` is a new one below the shared folder. Only texts that some group has together with others
+    are kept and sketched.
     """
-    spark = rows.sparkSession
+    spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         return written(df, f"{folder}/{name}")
 
-    groups = stored(
-        rows.repartition(parts, "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_grouped(join), "key bigint, x bigint, y bigint, info bigint"),
-        "groups",
-    )
+    def sliced(make: Callable[[int], DataFrame], name: str) -> DataFrame:
+        """The table that `make` returns in slices; each is written before the next one is begun."""
+        made = [stored(make(i), f"{name}/slice={i}") for i in range(len(rows))]
+        return spark.read.schema(made[0].schema).parquet(*[f"{folder}/{name}/slice={i}" for i in range(len(rows))])
+
+    def slice_of(some: DataFrame, i: int, *key: str) -> DataFrame:
+        return some if len(rows) == 1 else some.filter(F.pmod(F.xxhash64(*key), F.lit(len(rows))) == i)
+
+    def grouped(i: int) -> DataFrame:
+        ordered = rows[i].repartition(max(parts, tasks), "key").sortWithinPartitions("key")
+        return ordered.mapInArrow(_grouped(join), "key bigint, x bigint, y bigint, info bigint")
+
+    groups = sliced(grouped, "groups")
     members = groups.filter("info > 0").select("key", F.col("x").alias("node"), "info")
     pairs = groups.filter("info = 0").select("x", "y").distinct()
     # Sketches as numbers: their distance is a built-in expression.
@@ -247,11 +258,14 @@ def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, joi
     together = members.select("node").unionByName(pairs.select(F.explode(F.array("x", "y")).alias("node"))).distinct()
     some = stored(classes.join(together, "node"), "together")
     wanted = some.select(F.col("rep").alias("doc")).distinct()
-    texts = stored(
+    given = texts
+
+    def sketched(i: int) -> DataFrame:
         # By shuffle at every size: the ids grow with the corpus.
-        texts.join(wanted.hint("merge"), "doc").select("doc", "text").mapInArrow(_sketched(join), "doc bigint, text string, sketch binary"),
-        "texts",
-    ).dropDuplicates(["doc"])
+        found = slice_of(given, i, "doc").join(slice_of(wanted, i, "doc").hint("merge"), "doc").select("doc", "text")
+        return found.mapInArrow(_sketched(join), "doc bigint, text string, sketch binary")
+
+    texts = sliced(sketched, "texts").dropDuplicates(["doc"])
     classes = some.join(texts.select(F.col("doc").alias("rep"), "sketch"), "rep")
     texts = texts.select("doc", "text")
 
@@ -265,8 +279,8 @@ def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, joi
             .mapInArrow(_compared(join), "key bigint, x bigint, y bigint")
         )
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        """(x, y, linked) of pairs of representatives, for pairs of nodes."""
+    def verified(candidates: DataFrame, name: str) -> DataFrame:
+        """(x, y, linked) of pairs of representatives, for pairs of nodes; stored."""
 
         def side(node: str, prefix: str) -> DataFrame:
             names = [F.col(c).alias(f"{prefix}_{c}") for c in ("rep", "n", "sketch")]
@@ -280,17 +294,24 @@ def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, joi
         near = candidates.join(side("x", "a"), "x").join(side("y", "b"), "y")
         near = near.filter(apart <= join.most(F.col("a_n"), F.col("b_n")))
         both = near.select(F.least("a_rep", "b_rep").alias("x"), F.greatest("a_rep", "b_rep").alias("y")).distinct()
-        wanted = both.filter("x <> y").select("x", "y", F.explode(F.array("x", "y")).alias("doc"))
-        return (
-            wanted.join(texts, "doc")
-            .select("x", "y", "doc", "text")
-            .repartition(parts, "x", "y")
-            .sortWithinPartitions("x", "y", "doc")
-            .mapInArrow(join.verify, "x bigint, y bigint, linked boolean")
-        )
+        if len(rows) > 1:
+            both = stored(both, f"{name}-pairs")
+
+        def judged(i: int) -> DataFrame:
+            some = slice_of(both.filter("x <> y"), i, "x", "y")
+            return (
+                some.select("x", "y", F.explode(F.array("x", "y")).alias("doc"))
+                .join(texts, "doc")
+                .select("x", "y", "doc", "text")
+                .repartition(parts, "x", "y")
+                .sortWithinPartitions("x", "y", "doc")
+                .mapInArrow(join.verify, "x bigint, y bigint, linked boolean")
+            )
+
+        return sliced(judged, name)
 
     forest = stored(compared(members, F.lit(0).cast("bigint"), False), "forest")
-    checked = stored(verified(pairs.unionByName(forest.select("x", "y")).distinct()), "checked")
+    checked = verified(pairs.unionByName(forest.select("x", "y")).distinct(), "checked")
     links = checked.filter("linked").select("x", "y")
     labels = components(links, f"{folder}/first")
     rep = classes.select("node", "rep")
@@ -306,5 +327,5 @@ def linked_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, joi
     left = stored(compared(again, F.coalesce("label", "rep"), True).select("x", "y").distinct(), "left")
     if left.isEmpty():
         return labels
-    more = stored(verified(left), "more").filter("linked").select("x", "y")
+    more = verified(left, "more").filter("linked").select("x", "y")
     return components(links.unionByName(more), f"{folder}/second")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from llm_helpers import documents, groups, prose, row_keys, shared_ids, shingles
+from tallyloom.llm import jaccard_join, similarity
 from tallyloom.llm.components import components
 from tallyloom.llm.jaccard_join import Bands, Sets, choose_bands, edges, grouped_rows, index_rows, linked_documents, one_of_each_group
 from tallyloom.session import shared_path
@@ -123,3 +124,22 @@ def test_components_of_chains_and_stars(spark):
     found = {r["node"]: r["label"] for r in components(frame, shared_path(spark, "test")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}}
     assert components(frame.limit(0), shared_path(spark, "test")).collect() == []
+
+
+@pytest.mark.parametrize("parameters", [{}, {"sample": 1, "tile": 3, "small_group": 2}])
+def test_a_large_index_is_shuffled_in_slices(spark, tmp_path, monkeypatch, parameters):
+    """Slice by slice the result is the same, and no slice has more than about its share of the index."""
+    frame = documents(spark, corpus())
+    expected = sorted(map(str, linked_documents(frame, 3, 80, 100, **parameters).collect()))
+    shuffled = []
+    real = similarity._grouped
+    monkeypatch.setattr(similarity, "_grouped", lambda join: shuffled.append(1) or real(join))
+    monkeypatch.setattr(jaccard_join, "SLICE_ROWS", 100)
+    monkeypatch.setattr(jaccard_join, "TASK_ROWS", 50)
+    found = linked_documents(frame, 3, 80, 100, folder=str(tmp_path / "j"), **parameters)
+    assert sorted(map(str, found.collect())) == expected
+    assert len(shuffled) == jaccard_join.SLICES > 1
+    keys = [spark.read.parquet(str(tmp_path / "j" / "groups" / f"slice={i}")).filter("info > 0") for i in range(len(shuffled))]
+    for i, one in enumerate(keys):
+        for other in keys[i + 1 :]:
+            assert one.join(other, "key").isEmpty()
